@@ -1,0 +1,128 @@
+"""End-to-end plans (survey section 3), as functions over DataFrames.
+
+* ``semantic_id_counts``  - the minimum slice: features -> M1 -> M3 -> M4 -> M11 -> A10 input.
+* ``build_feature_table`` - tags x documents -> catalog features (stages 1-4 of the full run).
+* ``run_full``            - three-category pipeline: features, PCA, dictionary IDs, training sets.
+* ``run_two_tags``        - genre + instrument pipeline with the selected feature set.
+* ``run_discrimination``  - feature discrimination report.
+
+Stage hand-offs are stored tables (S10 ``materialize``), so every stage can be
+re-run alone and lineage is cut between stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.catalog import FeatureSet, preset
+from ..functions.ids import codes_to_id
+from ..functions.tags import is_tagged
+from ..operators import discriminate, idstats, linalg, recsets, rvq
+from ..operators import tags as TG
+from ..operators.dictlearn import fit_dictionary
+from ..sources import store
+from ..sources.documents import attach_documents, read_documents
+from ..sources.tags import read_tag_tsv
+from .inputs import embeddings
+
+
+def semantic_id_counts(spark: SparkSession, sf_dir: str, ratio: float = 0.80, n_levels: int = 2,
+                       n_clusters: int = 8, max_iter: int = 20) -> DataFrame:
+    """Flagship query: ``(semantic_id, n)`` rows per RVQ semantic ID of the embeddings."""
+    z, _ = linalg.standardize(embeddings(spark, sf_dir))
+    pca = linalg.fit_pca(z, ratio=ratio)
+    scores = pca.transform(z).select("vec_id", F.col("pca").alias("features"))
+    _, codes, _ = rvq.fit_rvq(scores, n_levels, n_clusters, max_iter, 1)
+    ids = codes.select(codes_to_id("codes").alias("semantic_id"))
+    return idstats.id_counts(ids)
+
+
+def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
+              multi_tag: str = "drop") -> DataFrame:
+    """Stages 1-2: read each category file (S1) and merge (J1 outer / J2 inner)."""
+    tables = {cat: read_tag_tsv(spark, p, cat, multi_tag) for cat, p in paths.items()}
+    if how == "outer":
+        return TG.merge_outer(tables)
+    cats = list(tables)
+    out = tables[cats[0]]
+    for c in cats[1:]:
+        out = TG.merge_inner(out, tables[c])
+    return out
+
+
+def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
+                        features: FeatureSet) -> DataFrame:
+    """Stage 3: tags joined to their documents (J5), catalog projection in one select,
+    empty records dropped (P17).  ``json_full`` records the document's relative name."""
+    docs = read_documents(spark, doc_root)
+    joined = attach_documents(tags, docs, "inner").filter(F.col("doc").isNotNull())
+    out = joined.select(*[c for c in tags.columns], F.col("rel_path").alias("json_full"),
+                        features.vector(F.col("doc")).alias("features"))
+    return out.filter(F.exists("features", lambda x: x.isNotNull()))
+
+
+def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
+             ratio: float = 0.80, n_atoms: int = 16, n_nonzero: int = 2, max_iter: int = 200,
+             batch_size: int | None = 256, threshold: int = 16, max_replication: int = 6,
+             seed: int = 42, rebuild: bool = False) -> dict[str, DataFrame]:
+    """Three-category pipeline (stages 1-8 of the full run)."""
+    out = out_dir.rstrip("/")
+    fs = preset("full_run")
+    feats = store.materialize(spark, f"{out}/features", lambda: TG.filter_min_tags(
+        build_feature_table(spark, load_tags(spark, tag_paths), doc_root, fs), 2), rebuild=rebuild)
+    TG.assert_unique(feats, ["path"], "feature table")  # A4
+    filled, _ = discriminate.fill_missing(feats)
+    z, _ = linalg.standardize(filled)
+    pca = linalg.fit_pca(z, ratio=ratio)
+    scores = store.materialize(spark, f"{out}/features_pca", lambda: pca.transform(z).select(
+        "track_id", "path", "genre", "mood", "instrument", F.col("pca").alias("features")), rebuild=rebuild)
+    model = fit_dictionary(scores, n_atoms, n_nonzero, max_iter, batch_size, seed=seed, id_col="track_id")
+    store.save_model(spark, out, "dictionary", model.tables(spark))
+    ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))
+    ids = store.materialize(spark, f"{out}/dataset_with_semantic_ids", lambda: ids, rebuild=rebuild)
+    pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed)
+    split = recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed)
+    return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
+            "variance": pca.variance_table(spark), "occupancy": idstats.occupancy(ids)}
+
+
+def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
+                 ratio: float = 0.85, max_iter: int = 200, batch_size: int | None = 256,
+                 threshold: int = 16, max_replication: int = 8, seed: int = 42,
+                 rebuild: bool = False) -> dict[str, DataFrame]:
+    """Genre + instrument pipeline: inner merge (J2), selected features, both tags."""
+    out = out_dir.rstrip("/")
+    tags = load_tags(spark, {k: tag_paths[k] for k in ("genre", "instrument")}, how="inner")
+    feats = store.materialize(spark, f"{out}/features_nomood", lambda: TG.filter_min_tags(
+        build_feature_table(spark, tags, doc_root, preset("selected")), 2, ["genre", "instrument"]),
+        rebuild=rebuild)
+    filled, _ = discriminate.fill_missing(feats)
+    z, _ = linalg.standardize(filled)
+    pca = linalg.fit_pca(z, ratio=ratio)
+    scores = pca.transform(z).select("track_id", "path", "genre", "instrument", F.col("pca").alias("features"))
+    model = fit_dictionary(scores, min(16, pca.k), 2, max_iter, batch_size, seed=seed, id_col="track_id")
+    store.save_model(spark, out, "dictionary_nomood", model.tables(spark))
+    ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))
+    pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed,
+                                   two_tags=True)
+    return {"features": feats, "ids": ids, "pairs": recsets.split_exact(
+        pairs, F.concat_ws(":", "track_id", "rep"), seed)}
+
+
+def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
+                       top_n: int = 10, always_include: dict[str, str] | None = None,
+                       feature_set: str = "all") -> dict[str, DataFrame]:
+    """Feature discrimination report over tracks with at least one tag."""
+    fs = preset(feature_set)
+    feats = TG.filter_any_tag(build_feature_table(spark, load_tags(spark, tag_paths), doc_root, fs))
+    tags = feats.select("track_id", "genre", "mood", "instrument")
+    res = discriminate.discrimination(feats, tags, fs.names, ["genre", "mood", "instrument"], "track_id",
+                                      "features", top_n, always_include if always_include is not None
+                                      else {"mood": "sad"})
+    return {"discrimination": res, "summary": discriminate.discrimination_summary(res),
+            "pairs": discriminate.feature_pairs(res, ["category"], 6)}
+
+
+def labeled(df: DataFrame, col: str) -> DataFrame:
+    return df.filter(is_tagged(col))

@@ -334,9 +334,8 @@ SELECT vec_id, list_transform(
 FROM e""")
 def q_json_stat_objects(spark, d):
     """P6-P10 + catalog: JSON documents rendered from embeddings, parsed, extracted."""
-    e = embeddings(spark, d)
-    doc = J.parse(_probe_doc(F.col("features")))
-    return e.select("vec_id", round_all(PROBE_SET.vector(doc)).alias("features"))
+    e = embeddings(spark, d).select("vec_id", J.parse(_probe_doc(F.col("features"))).alias("doc"))
+    return e.select("vec_id", round_all(PROBE_SET.vector(F.col("doc"))).alias("features"))
 
 
 KEYS_TEXT = ["C", "c#", "d", "D#", "e", "f", "f#", "g", "G#", "a", "a#", "b", "bb"]
@@ -350,9 +349,10 @@ pc AS (SELECT *, list_position({_sql_list(['c', 'c#', 'd', 'd#', 'e', 'f', 'f#',
                                lower(key_key)) - 1 AS pc FROM k),
 th AS (SELECT *, ((CASE WHEN key_scale = 'minor' THEN (pc + 3) % 12 ELSE pc END) * 7 % 12) * (2 * pi() / 12) AS theta
        FROM pc)
-SELECT p_partkey, round(strength * cos(theta), 6) AS key_vector_x, round(strength * sin(theta), 6) AS key_vector_y,
+SELECT p_partkey, round(strength * cos(theta), 6) + 0.0 AS key_vector_x,
+       round(strength * sin(theta), 6) + 0.0 AS key_vector_y,
        round(CASE WHEN pc IS NULL THEN NULL WHEN key_scale = 'major' THEN 0.5 * strength ELSE -0.5 * strength END, 6)
-         AS key_vector_z
+         + 0.0 AS key_vector_z
 FROM th""")
 def q_key_vector(spark, d):
     """Tonal key documents rendered from ``part`` (upper-case, minor and unknown keys)."""
@@ -584,11 +584,11 @@ j2 AS (SELECT vec_id, atom AS j2, p AS p2, j1, p1, g11, corr FROM
 sol AS (SELECT j2.*, g22.g AS g22, g12.g AS g12, g11 * g22.g - g12.g * g12.g AS det
         FROM j2 JOIN g g22 ON g22.a = j2.j2 AND g22.b = j2.j2 JOIN g g12 ON g12.a = j2.j1 AND g12.b = j2.j2),
 coef AS (SELECT vec_id, j1, j2,
-                CASE WHEN p1 * p1 < {np.finfo(float).eps!r} THEN 0.0
-                     WHEN corr * corr < {np.finfo(float).eps!r} OR det / g11 <= {np.finfo(float).eps!r} THEN p1 / g11
+                CASE WHEN p1 * p1 < {float(np.finfo(float).eps)!r} THEN 0.0
+                     WHEN corr * corr < {float(np.finfo(float).eps)!r} OR det / g11 <= {float(np.finfo(float).eps)!r} THEN p1 / g11
                      ELSE (p1 * g22 - p2 * g12) / det END AS a,
-                CASE WHEN p1 * p1 < {np.finfo(float).eps!r} OR corr * corr < {np.finfo(float).eps!r}
-                          OR det / g11 <= {np.finfo(float).eps!r} THEN 0.0
+                CASE WHEN p1 * p1 < {float(np.finfo(float).eps)!r} OR corr * corr < {float(np.finfo(float).eps)!r}
+                          OR det / g11 <= {float(np.finfo(float).eps)!r} THEN 0.0
                      ELSE (p2 * g11 - p1 * g12) / det END AS b
          FROM sol),
 tk AS (SELECT vec_id,

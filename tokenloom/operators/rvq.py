@@ -115,7 +115,7 @@ def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: i
             cost = model.summary.trainingCost
             if best is None or cost < best[0]:
                 best = (cost, model)
-        centers = np.array([c.toArray() for c in best[1].clusterCenters()], dtype=float)
+        centers = np.array([np.asarray(c, dtype=float) for c in best[1].clusterCenters()], dtype=float)
         levels.append(centers)
         costs.append(float(best[0]))
         if lv + 1 < n_levels:

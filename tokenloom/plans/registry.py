@@ -976,7 +976,7 @@ def q_stream_rvq_apply(spark, d):
     """M5 + M11 on a streaming read of ``embeddings`` (stateless model application)."""
     from ..streaming.apply import stream_codes
     e = embeddings(spark, d)
-    return stream_codes(spark, f"{d.rstrip('/')}/embeddings.parquet", fixture_codebook(e))
+    return stream_codes(spark, d, fixture_codebook(e), "embeddings.parquet")
 
 
 @register("flagship")

@@ -30,14 +30,17 @@ def stream_dictionary_ids(stream: DataFrame, atoms: np.ndarray, n_nonzero: int,
     return sparse_codes(stream, atoms, n_nonzero, col).withColumn("semantic_id", codes_to_id("codes"))
 
 
-def stream_codes(spark: SparkSession, path: str, levels: list[np.ndarray]) -> DataFrame:
-    """Run the streaming apply over the files at ``path`` until caught up, return the result.
+def stream_codes(spark: SparkSession, folder: str, levels: list[np.ndarray],
+                 pattern: str = "embeddings.parquet") -> DataFrame:
+    """Run the streaming apply over the files of ``folder`` matching ``pattern`` until
+    caught up, and return the result.
 
     Uses an in-memory sink and a checkpoint under the session's shared
     checkpoint folder; every micro-batch is an ordinary Spark job.
     """
-    schema = spark.read.parquet(path).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", pattern).parquet(folder)
               .select("vec_id", as_doubles("embedding").alias("features")))
     coded = stream_rvq_ids(stream, levels).select("vec_id", "codes", "semantic_id")
     name = "rvq_stream_" + uuid.uuid4().hex[:12]

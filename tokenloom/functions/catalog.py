@@ -261,3 +261,19 @@ PRESETS = {
 
 def preset(name: str) -> FeatureSet:
     return PRESETS[name]()
+
+
+# The non-feature columns of a wide feature table.
+EXCLUDE_COLS = ["track_id", "path", "genre", "mood", "instrument", "json_full"]
+
+
+def feature_columns(columns: list[str], exclude: list[str] = EXCLUDE_COLS) -> list[str]:
+    """Feature columns of a wide table are all columns not in the exclusion list."""
+    return [c for c in columns if c not in exclude]
+
+
+def pack_wide(df, exclude: list[str] = EXCLUDE_COLS, out: str = "features"):
+    """Wide feature table (e.g. read back from CSV) -> ``features array<double>`` + names."""
+    names = feature_columns(df.columns, exclude)
+    keep = [c for c in df.columns if c not in names]
+    return df.select(*keep, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias(out)), names

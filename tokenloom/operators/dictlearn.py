@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import hash32, seeded_key
 from ..functions.vectors import as_doubles
+from ..session import cut_lineage
 
 EPS = float(np.finfo(float).eps)
 MAX_DICT_VALUES = 10_000_000
@@ -212,7 +213,8 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
     """
     if fit_algorithm not in ("cd", "omp"):
         raise ValueError("fit_algorithm must be 'cd' or 'omp'")
-    data = df.select(*( [id_col] if id_col else []), as_doubles(col).alias(col))
+    # every iteration re-reads the data: cut its lineage once (shared checkpoint folder)
+    data = cut_lineage(df.select(*([id_col] if id_col else []), as_doubles(col).alias(col)))
     order_key = seeded_key(seed, F.col(id_col)) if id_col else seeded_key(seed, F.to_json(F.col(col)))
     pool_rows = (data.withColumn("_h", hash32(order_key)).orderBy("_h", F.md5(order_key))
                  .limit(2 * n_atoms).select(col).collect())

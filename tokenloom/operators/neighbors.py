@@ -52,16 +52,30 @@ def _topk_rows(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
     return q[keep], nid[keep], s[keep], rank[keep]
 
 
-def _block_topk(k: int, metric: str):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
+def _pair_topk(k: int, metric: str):
+    """One unordered block pair (a, b): the distance block is computed once and
+    both directions (a-rows among b-rows and b-rows among a-rows) keep a top-k."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) == 0:
             return pd.DataFrame({"id": [], "nid": [], "score": []})
-        q = np.stack(left["v"].to_numpy()).astype(float)
-        c = np.stack(right["v"].to_numpy()).astype(float)
-        qid = left["id"].to_numpy().astype(np.int64)
-        cid = right["id"].to_numpy().astype(np.int64)
-        a, b, s, _ = _topk_rows(_scores(q, c, metric), qid, cid, k)
-        return pd.DataFrame({"id": a, "nid": b, "score": s})
+        a_blk = pdf["pa"].iloc[0]
+        left = pdf[pdf["blk"] == a_blk]
+        right = pdf[pdf["blk"] != a_blk]
+        lv = np.stack(left["v"].to_numpy()).astype(float)
+        lid = left["id"].to_numpy().astype(np.int64)
+        out = []
+        if len(right) == 0:        # diagonal pair: the block against itself
+            q, n, sc, _ = _topk_rows(_scores(lv, lv, metric), lid, lid, k)
+            out.append((q, n, sc))
+        else:
+            rv = np.stack(right["v"].to_numpy()).astype(float)
+            rid = right["id"].to_numpy().astype(np.int64)
+            block = _scores(lv, rv, metric)
+            out.append(_topk_rows(block, lid, rid, k)[:3])
+            out.append(_topk_rows(block.T, rid, lid, k)[:3])
+        return pd.DataFrame({"id": np.concatenate([o[0] for o in out]),
+                             "nid": np.concatenate([o[1] for o in out]),
+                             "score": np.concatenate([o[2] for o in out])})
     return run
 
 
@@ -69,8 +83,12 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
               metric: str = "euclidean", block_rows: int = 4096, n_blocks: int | None = None) -> DataFrame:
     """K1: ``(id, rank, neighbor_id, distance)`` for the k nearest other rows of every row.
 
-    ``distance`` is euclidean (or cosine similarity for ``metric='cosine'``).
-    Ties go to the lower neighbor id; a row is never its own neighbor (D11).
+    Rows are hashed into B blocks of about ``block_rows`` rows; every unordered
+    block pair (a <= b) meets once, so each row is shuffled B times and each
+    distance is computed once.  ``distance`` is euclidean (``similarity`` for
+    ``metric='cosine'``).  Ties go to the lower neighbor id; a row is never its
+    own neighbor (D11).  Exact search is O(n^2) work by nature; memory per task
+    is bounded by two blocks.
     """
     base = df.select(F.col(id_col).cast("bigint").alias("id"), as_doubles(vec_col).alias("v"))
     if metric == "cosine":
@@ -78,14 +96,12 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     if n_blocks is None:
         n = base.count()
         n_blocks = max(1, math.ceil(n / block_rows))
-    blk = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = base.select("id", "v", blk.alias("qb"), every.alias("cb"))
-    right = base.select("id", "v", every.alias("qb"), blk.alias("cb"))
-    part = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
-            .applyInPandas(_block_topk(k, metric), "id long, nid long, score double"))
-    w = Window.partitionBy("id").orderBy("score", "nid")
-    top = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    keyed = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    paired = keyed.select("id", "v", "blk", other.alias("j")).select(
+        "id", "v", "blk", F.least("blk", "j").alias("pa"), F.greatest("blk", "j").alias("pb"))
+    part = paired.groupBy("pa", "pb").applyInPandas(_pair_topk(k, metric), "id long, nid long, score double")
+    top = topk_merge(part, ["id"], k)
     dist = F.sqrt(F.greatest(F.col("score"), F.lit(0.0))) if metric == "euclidean" else -F.col("score")
     return top.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"),
                       dist.alias("distance" if metric == "euclidean" else "similarity"))
@@ -93,25 +109,66 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
 
 # ---- query samples -----------------------------------------------------------------
 
+def _merge_topk(best, new, k):
+    """Keep the k best (score, id) per query row of two candidate sets."""
+    if best is None:
+        return new
+    s = np.concatenate([best[0], new[0]], axis=1)
+    i = np.concatenate([best[1], new[1]], axis=1)
+    order = np.lexsort((i, s), axis=-1)[:, :k]
+    return np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+
+
+def _batch_topk(score, qid, cid, k):
+    score = np.where(qid[:, None] == cid[None, :], np.inf, score)
+    m = min(k, score.shape[1])
+    ids = np.broadcast_to(cid[None, :], score.shape)
+    order = np.lexsort((ids, score), axis=-1)[:, :m]
+    return np.take_along_axis(score, order, axis=1), cid[order]
+
+
+def _emit(best, qid, kind):
+    if best is None:
+        return pd.DataFrame({"qid": [], "nid": [], "score": [], "kind": []})
+    s, i = best
+    keep = np.isfinite(s)
+    q = np.repeat(qid, s.shape[1]).reshape(s.shape)
+    return pd.DataFrame({"qid": q[keep], "nid": i[keep], "score": s[keep], "kind": kind})
+
+
 def _query_topk(qid, qvec, qcodes, k: int, metric: str, with_candidates: bool):
+    """Per partition: a running top-k per query over all its batches, emitted once."""
     def run(batches):
+        best_all = best_cand = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             c = np.stack(pdf["v"].to_numpy()).astype(float)
             cid = pdf["id"].to_numpy().astype(np.int64)
             score = _scores(qvec, c, metric)
-            a, b, s, _ = _topk_rows(score, qid, cid, k)
-            out = [pd.DataFrame({"qid": a, "nid": b, "score": s, "kind": "all"})]
+            best_all = _merge_topk(best_all, _batch_topk(score, qid, cid, k), k)
             if with_candidates:
                 cc = np.stack(pdf["codes"].to_numpy()).astype(np.int64)
                 share = (qcodes[:, None, :] == cc[None, :, :]).any(axis=2)  # J9: any level
-                a, b, s, _ = _topk_rows(np.where(share, score, np.inf), qid, cid, k)
-                out.append(pd.DataFrame({"qid": a, "nid": b, "score": s, "kind": "cand"}))
-            yield pd.concat(out, ignore_index=True)
+                best_cand = _merge_topk(best_cand, _batch_topk(np.where(share, score, np.inf), qid, cid, k), k)
+        out = [_emit(best_all, qid, "all")]
+        if with_candidates:
+            out.append(_emit(best_cand, qid, "cand"))
+        yield pd.concat(out, ignore_index=True)
     return run
 
 
+def topk_merge(df: DataFrame, keys: list[str], k: int, fanout: int = 256) -> DataFrame:
+    """Two-level top-k by (score, nid) per key: partial lists are first merged within
+    ``fanout`` groups of source partitions, so no final group exceeds fanout * k rows."""
+    g = F.pmod(F.spark_partition_id(), F.lit(fanout))
+    w1 = Window.partitionBy(*keys, "_g").orderBy("score", "nid")
+    first = (df.withColumn("_g", g).withColumn("_r", F.row_number().over(w1))
+             .filter(F.col("_r") <= k).drop("_r", "_g"))
+    w2 = Window.partitionBy(*keys).orderBy("score", "nid")
+    return first.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+
+
 def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                vec_col: str = "features", metric: str = "cosine", codes_col: str | None = None,
                normalize: bool = True) -> DataFrame:
@@ -137,9 +194,7 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     src = corpus.select(*cols)
     part = src.mapInPandas(_query_topk(qid, qvec, qcodes, k, metric, codes_col is not None),
                            "qid long, nid long, score double, kind string")
-    # each query keeps <= k rows per corpus partition, so this window is bounded
-    w = Window.partitionBy("qid", "kind").orderBy("score", "nid")
-    top = part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = topk_merge(part, ["qid", "kind"], k)
     sc = -F.col("score") if metric == "cosine" else F.col("score")
     return top.select("qid", "kind", "rank", "nid", sc.alias("score"))
 
@@ -151,6 +206,8 @@ def token_candidates(codes: DataFrame, queries: DataFrame, id_col: str = "id",
     The query side (bounded sample x levels) is broadcast; the corpus side is
     streamed once, so a token that holds a third of all rows is no hot spot.
     """
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: the query side is broadcast")
     q = queries.select(F.col(id_col).alias("qid"),
                        F.posexplode(codes_col).alias("level", "token"))
     c = codes.select(F.col(id_col).alias("id"), F.posexplode(codes_col).alias("level", "token"))

@@ -29,3 +29,8 @@ def plot_input(df: DataFrame, label_col: str, score_col: str, key: str, top: int
     kept = in_top(labeled, label_col, tops)
     capped = hash_sample(kept, key, cap, seed)
     return capped.select(key, label_col, *[F.get(F.col(score_col), i).alias(f"pc{i + 1}") for i in range(n_dims)])
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows (a limit; nothing else is computed)."""
+    return df.limit(n)

@@ -126,3 +126,43 @@ def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root:
 
 def labeled(df: DataFrame, col: str) -> DataFrame:
     return df.filter(is_tagged(col))
+
+
+def rvq_semantic_ids(df: DataFrame, out_dir: str | None = None, name: str = "best_kmeans",
+                     n_levels: int = 2, n_clusters: int = 128, max_iter: int = 200, n_init: int = 16,
+                     seed: int = 42, col: str = "features"):
+    """Fit RVQ, attach semantic IDs, report occupancy, persist the codebook.
+
+    Returns ``(ids, occupancy, codebook)``; ``name`` keeps stored tables of
+    different runs apart (D14)."""
+    book, codes, _ = rvq.fit_rvq(df, n_levels, n_clusters, max_iter, n_init, seed, col)
+    ids = codes.withColumn("semantic_id", codes_to_id("codes"))
+    if out_dir:
+        store.save_model(df.sparkSession, out_dir, name, {"codebook": book})
+    return ids, idstats.occupancy(ids), book
+
+
+def load_rvq_ids(df: DataFrame, out_dir: str, name: str = "best_kmeans", col: str = "features") -> DataFrame:
+    """M5 via stored tables: missing model raises FileNotFoundError."""
+    book = store.load_model(df.sparkSession, out_dir, name, ["codebook"])["codebook"]
+    return rvq.apply_rvq(df, book, col).withColumn("semantic_id", codes_to_id("codes"))
+
+
+def dictionary_semantic_ids(df: DataFrame, out_dir: str | None = None, name: str = "best_dl",
+                            n_nonzero: int = 2, n_atoms: int = 128, max_iter: int = 100,
+                            batch_size: int | None = 256, seed: int = 42, col: str = "features",
+                            id_col: str | None = None):
+    """Fit the dictionary, attach semantic IDs, report occupancy, persist
+    dictionary and config tables (S9)."""
+    model = fit_dictionary(df, n_atoms, n_nonzero, max_iter, batch_size, seed=seed, col=col, id_col=id_col)
+    ids = model.transform(df, col).withColumn("semantic_id", codes_to_id("codes"))
+    if out_dir:
+        store.save_model(df.sparkSession, out_dir, name, model.tables(df.sparkSession))
+    return ids, idstats.occupancy(ids), model
+
+
+def load_dictionary_ids(df: DataFrame, out_dir: str, name: str = "best_dl", col: str = "features") -> DataFrame:
+    """M10 via stored tables: missing model raises FileNotFoundError."""
+    from ..operators.dictlearn import load_dictionary
+    tables = store.load_model(df.sparkSession, out_dir, name, ["dictionary", "config"])
+    return load_dictionary(tables).transform(df, col).withColumn("semantic_id", codes_to_id("codes"))

@@ -606,8 +606,11 @@ omp AS (SELECT vec_id,
 
 
 def omp2_codes(spark, d) -> DataFrame:
+    """The dictionary goes through its table form (dictionary + config) and back."""
+    from ..operators.dictlearn import DictionaryModel, load_dictionary
     e = embeddings(spark, d)
-    return sparse_codes(e, label_dictionary(e), 2)
+    tables = DictionaryModel(label_dictionary(e), 2, []).tables(spark)
+    return load_dictionary(tables).transform(e)
 
 
 @register("omp2_tokens", "WITH " + OMP2_SQL + "SELECT vec_id, codes FROM omp")
@@ -652,6 +655,29 @@ knn AS (SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id FROM
 """
 
 
+@register("quality_report", "WITH " + KNN_SQL.replace(EMB_SQL, RVQ_SQL) + """,
+tg AS (SELECT vec_id, semantic_id, 'genre' AS category, CAST(label AS VARCHAR) AS tag FROM rvq
+       UNION ALL SELECT vec_id, semantic_id, 'mood', CAST(label // 3 AS VARCHAR) FROM rvq),
+per AS (SELECT category, semantic_id, tag, count(*) AS n FROM tg GROUP BY ALL),
+cl AS (SELECT category, semantic_id, max(n) AS m, sum(n) AS t FROM per GROUP BY ALL),
+cp AS (SELECT category, coalesce(round(sum(m) / sum(t), 6), 0.0) AS cluster_micro,
+              coalesce(round(avg(m / t), 6), 0.0) AS cluster_macro FROM cl GROUP BY category),
+nl AS (SELECT t.category, knn.vec_id, n.tag AS nlabel, count(*) AS c FROM knn
+       JOIN tg t ON t.vec_id = knn.vec_id JOIN tg n ON n.vec_id = knn.neighbor_id AND n.category = t.category
+       GROUP BY ALL),
+sc AS (SELECT category, vec_id, max(c) / 20.0 AS s FROM nl GROUP BY ALL),
+own AS (SELECT sc.*, tg.tag FROM sc JOIN tg USING (category, vec_id)),
+bl AS (SELECT category, tag, sum(s) AS ss, count(*) AS n FROM own GROUP BY ALL),
+np AS (SELECT category, coalesce(round(sum(ss) / sum(n), 6), 0.0) AS neighbor_micro,
+              coalesce(round(avg(ss / n), 6), 0.0) AS neighbor_macro FROM bl GROUP BY category)
+SELECT category, cluster_micro, cluster_macro, neighbor_micro, neighbor_macro FROM cp JOIN np USING (category)""")
+def q_quality_report(spark, d):
+    """Cluster purity and neighbor purity@20 of the RVQ IDs for two tag columns."""
+    ids = rvq_ids(spark, d).withColumn("genre", F.col("label").cast("string")).withColumn(
+        "mood", (F.col("label") / 3).cast("int").cast("string"))
+    return quality.quality_report(ids, ["genre", "mood"], "semantic_id", "vec_id", "features", 20)
+
+
 @register("knn_exact", "WITH " + KNN_SQL + "SELECT vec_id, rank, neighbor_id FROM knn")
 def q_knn_exact(spark, d):
     knn = neighbors.knn_exact(embeddings(spark, d), 20, "vec_id", "features", block_rows=128)

@@ -17,7 +17,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import json_leaf as J
-from .vectors import pick_indices
 
 Builder = Callable[[Column], list[Column]]
 
@@ -37,14 +36,14 @@ def mean_cov(key: str, path: str, prefix: str, n: int) -> Extractor:
     """P7+P10: mean vector and std from the covariance diagonal."""
     names = tuple(f"{prefix}_mean_{i}" for i in range(n)) + tuple(f"{prefix}_std_{i}" for i in range(n))
     return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path + ".mean"), n)
-                     + _fixed(J.sqrt_diag(J.matrix_leaf(d, path + ".cov")), n))
+                     + [F.sqrt(F.get(F.get(J.matrix_leaf(d, path + ".cov"), i), i)) for i in range(n)])
 
 
 def mean_var(key: str, path: str, prefix: str, n: int) -> Extractor:
     """P7+P9: mean vector and std from the variance vector."""
     names = tuple(f"{prefix}_mean_{i}" for i in range(n)) + tuple(f"{prefix}_std_{i}" for i in range(n))
     return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path + ".mean"), n)
-                     + _fixed(J.sqrt_each(J.array_leaf(d, path + ".var")), n))
+                     + [F.sqrt(c) for c in _fixed(J.array_leaf(d, path + ".var"), n)])
 
 
 def mean_array(key: str, path: str, prefix: str, n: int) -> Extractor:
@@ -67,8 +66,7 @@ def stats(key: str, pairs: list[tuple[str, str]], which=("mean", "var")) -> Extr
 def picked(key: str, path: str, prefix: str, idx: list[int]) -> Extractor:
     """Selected elements of an array leaf, named by their source index."""
     names = tuple(f"{prefix}_{i}" for i in idx)
-    return Extractor(key, names, lambda d: [F.get(pick_indices(J.array_leaf(d, path), idx), j)
-                                            for j in range(len(idx))])
+    return Extractor(key, names, lambda d: [F.get(J.array_leaf(d, path), i) for i in idx])
 
 
 def tonality(key: str) -> Extractor:
@@ -203,8 +201,13 @@ class FeatureSet:
                     out.append(c.cast("double"))
         return out
 
-    def vector(self, doc: Column) -> Column:
-        return F.array(*self.columns(doc))
+    def vector(self, doc: Column, digits: int | None = None) -> Column:
+        """All features as one array; ``digits`` rounds element-wise (kept out of a
+        higher-order function so the leaf reads stay code-generated and shared)."""
+        cols = self.columns(doc)
+        if digits is not None:
+            cols = [F.round(c, digits) for c in cols]
+        return F.array(*cols)
 
 
 def base_set(use_mel_alt=False, use_energy_alt=False, add_valley=False, add_timbre_dist=False,

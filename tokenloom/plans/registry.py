@@ -335,7 +335,7 @@ FROM e""")
 def q_json_stat_objects(spark, d):
     """P6-P10 + catalog: JSON documents rendered from embeddings, parsed, extracted."""
     e = embeddings(spark, d).select("vec_id", J.parse(_probe_doc(F.col("features"))).alias("doc"))
-    return e.select("vec_id", round_all(PROBE_SET.vector(F.col("doc"))).alias("features"))
+    return e.select("vec_id", PROBE_SET.vector(F.col("doc"), digits=6).alias("features"))
 
 
 KEYS_TEXT = ["C", "c#", "d", "D#", "e", "f", "f#", "g", "G#", "a", "a#", "b", "bb"]

@@ -111,10 +111,12 @@ def anova(long: DataFrame, group_cols: list[str], label_col: str = "label",
     """
     per = long.groupBy(*group_cols, label_col).agg(
         F.count(value_col).alias("ng"), F.avg(value_col).alias("mg"), F.var_pop(value_col).alias("vg"))
-    tot = per.groupBy(*group_cols).agg(
-        F.sum("ng").alias("n"), F.count("*").alias("n_groups"),
-        (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("gm"))
-    j = per.join(tot.filter(F.col("n_groups") >= 2), group_cols)
+    # totals by a window over the aggregated rows (<= labels rows per group), so the
+    # heavy per-label aggregation is planned once instead of feeding a self-join
+    w = Window.partitionBy(*group_cols)
+    j = (per.withColumn("n", F.sum("ng").over(w)).withColumn("n_groups", F.count("*").over(w))
+         .withColumn("gm", F.sum(F.col("ng") * F.col("mg")).over(w) / F.col("n"))
+         .filter(F.col("n_groups") >= 2))
     ss = j.groupBy(*group_cols).agg(
         F.first("n").alias("n"), F.first("n_groups").alias("n_groups"),
         F.sum(F.col("ng") * (F.col("mg") - F.col("gm")) ** 2).alias("ss_between"),
@@ -177,13 +179,13 @@ def discrimination(features: DataFrame, tags: DataFrame, names: list[str], tag_c
     if standardize:
         filled = fit_scaler(filled, col).apply(filled, col)
     labels, _ = single_top_labels(tags, tag_cols, key, top_n, always_include)
-    big_enough = labels.groupBy("category").agg(F.count("*").alias("c")).filter(F.col("c") >= min_rows)
-    labels = labels.join(F.broadcast(big_enough.select("category")), "category")
     names_arr = F.array(*[F.lit(n) for n in names])
     long = (labels.join(filled, key)
             .select("category", "label", F.posexplode(col).alias("idx", "value"))
             .withColumn("feature", F.get(names_arr, F.col("idx"))))
-    res = anova(long, ["category", "feature"], "label", "value")
+    # A category with fewer than min_rows labeled tracks is skipped; after the
+    # fill every feature of a labeled track has a value, so n is that row count
+    res = anova(long, ["category", "feature"], "label", "value").filter(F.col("n") >= min_rows)
     return with_pvalues(res, ["category"]).select(
         "category", "feature", "f_statistic", "p_value", "eta_squared", "significant", "rank",
         "n", "n_groups")

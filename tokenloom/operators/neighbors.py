@@ -223,13 +223,17 @@ def index_recall(df: DataFrame, k: int = 10, n_queries: int = 50, seed: int = 42
     Cosine on L2-normalized rows; a query without candidates scores 0 (and
     with fewer than k other rows the overlap is still divided by k, D12).
     """
-    queries = hash_sample(df, id_col, n_queries, seed)
+    spark = df.sparkSession
+    # the bounded sample is fetched once and reused (no second evaluation of the sample plan)
+    qrows = hash_sample(df, id_col, n_queries, seed).select(id_col, vec_col, codes_col).collect()
+    schema = df.select(id_col, vec_col, codes_col).schema
+    queries = spark.createDataFrame(qrows, schema)
     top = query_topk(df, queries, k, id_col, vec_col, "cosine", codes_col)
     gt = top.filter(F.col("kind") == "all").select("qid", "nid")
     cand = top.filter(F.col("kind") == "cand").select("qid", "nid")
     hits = gt.join(cand, ["qid", "nid"]).groupBy("qid").agg(F.count("*").alias("hits"))
-    per_q = (queries.select(F.col(id_col).cast("bigint").alias("qid"))
-             .join(hits, "qid", "left")
+    qids = spark.createDataFrame([(int(r[id_col]),) for r in qrows], "qid long")
+    per_q = (qids.join(hits, "qid", "left")
              .select("qid", (F.coalesce(F.col("hits"), F.lit(0)) / F.lit(float(k))).alias("recall")))
     if detail:
         return per_q

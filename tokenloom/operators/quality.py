@@ -57,11 +57,15 @@ def quality_report(df: DataFrame, tag_cols: list[str], cluster_col: str = "seman
     for c in tag_cols:
         cp = cluster_purity(df, cluster_col, c).select(
             F.lit(c).alias("category"), F.col("micro").alias("cluster_micro"),
-            F.col("macro").alias("cluster_macro"))
-        if vec_col:
-            np_ = neighbor_purity(df, k, id_col, vec_col, c).select(
-                F.lit(c).alias("category"), F.col("micro").alias("neighbor_micro"),
-                F.col("macro").alias("neighbor_macro"))
-            cp = cp.join(np_, "category")
+            F.col("macro").alias("cluster_macro"),
+            F.lit(None).cast("double").alias("neighbor_micro"), F.lit(None).cast("double").alias("neighbor_macro"))
         rows.append(cp)
-    return reduce(lambda a, b: a.unionByName(b), rows)
+        if vec_col:
+            rows.append(neighbor_purity(df, k, id_col, vec_col, c).select(
+                F.lit(c).alias("category"), F.lit(None).cast("double").alias("cluster_micro"),
+                F.lit(None).cast("double").alias("cluster_macro"),
+                F.col("micro").alias("neighbor_micro"), F.col("macro").alias("neighbor_macro")))
+    # one row per category from the union of one-row results (no join on a constant key)
+    u = reduce(lambda a, b: a.unionByName(b), rows)
+    metrics = ["cluster_micro", "cluster_macro"] + (["neighbor_micro", "neighbor_macro"] if vec_col else [])
+    return u.groupBy("category").agg(*[F.max(m).alias(m) for m in metrics])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def code_distribution(df: DataFrame, codes_col: str = "codes", vocab: int | None = None) -> DataFrame:
@@ -35,14 +36,40 @@ def occupancy(df: DataFrame, id_col: str = "semantic_id") -> DataFrame:
                   F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_pct"))
 
 
+def exact_median(values: DataFrame, col: str) -> DataFrame:
+    """Exact median of an integer column without gathering the values in one task.
+
+    The histogram ``(value, count)`` has one row per distinct value (for rows
+    per ID that is a few hundred rows at most), so the cumulative window over it
+    is small; the two middle positions are averaged for an even count.
+    """
+    hist = values.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c") + 1)
+    pos = (cum.withColumn("t", F.sum("c").over(Window.partitionBy()))
+           .withColumn("p1", F.floor((F.col("t") + 1) / 2)).withColumn("p2", F.floor(F.col("t") / 2) + 1))
+    hit = pos.filter(((F.col("lo") <= F.col("p1")) & (F.col("p1") <= F.col("hi")))
+                     | ((F.col("lo") <= F.col("p2")) & (F.col("p2") <= F.col("hi"))))
+    both = hit.agg(
+        F.max(F.when((F.col("lo") <= F.col("p1")) & (F.col("p1") <= F.col("hi")), F.col("v"))).alias("a"),
+        F.max(F.when((F.col("lo") <= F.col("p2")) & (F.col("p2") <= F.col("hi")), F.col("v"))).alias("b"))
+    return both.select(((F.col("a") + F.col("b")) / 2.0).alias("median"))
+
+
 def occupancy_detail(df: DataFrame, id_col: str = "semantic_id") -> DataFrame:
     """A10 plus median rows per ID and the singleton count."""
     c = id_counts(df, id_col)
-    return c.agg(F.count("*").alias("unique_ids"),
-                 F.round(F.avg("n"), 6).alias("mean_per_id"),
-                 F.median("n").cast("double").alias("median_per_id"),
-                 F.count_if(F.col("n") == 1).alias("n_singletons"),
-                 F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_pct"))
+    summary = c.agg(F.count("*").alias("unique_ids"),
+                    F.round(F.avg("n"), 6).alias("mean_per_id"),
+                    F.count_if(F.col("n") == 1).alias("n_singletons"),
+                    F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_pct"))
+    med = exact_median(c, "n").select(F.col("median").alias("median_per_id"))
+    # two one-row results side by side: a union + max keeps it free of any join
+    a = summary.withColumn("median_per_id", F.lit(None).cast("double"))
+    b = med.select(F.lit(None).cast("long").alias("unique_ids"), F.lit(None).cast("double").alias("mean_per_id"),
+                   F.lit(None).cast("long").alias("n_singletons"), F.lit(None).cast("double").alias("singleton_pct"),
+                   F.col("median_per_id").cast("double").alias("median_per_id"))
+    return a.unionByName(b).agg(*[F.max(x).alias(x) for x in a.columns])
 
 
 def top_ids(df: DataFrame, n: int = 10, id_col: str = "semantic_id") -> DataFrame:

@@ -145,11 +145,18 @@ def global_rank(df: DataFrame, order_key: Column, n_buckets: int = 64) -> DataFr
     return ranked.withColumn("rank", F.col("_off") + F.col("_local")).drop("_h", "_m", "_b", "_local", "_off")
 
 
+ROWS_PER_BUCKET = 2_000_000  # rows one window task sorts in global_rank
+
+
 def split_exact(df: DataFrame, key: Column, seed: int = 42, test_size: float = 0.2,
                 val_share: float = 0.5, n_buckets: int = 64) -> DataFrame:
-    """Exact 80/10/10 split (``split`` = train/val/test) in seeded hash order."""
+    """Exact 80/10/10 split (``split`` = train/val/test) in seeded hash order.
+
+    The bucket count grows with the row count so no bucket holds more than about
+    ``ROWS_PER_BUCKET`` rows."""
     n = df.count()
     n_train, n_val, _ = split_sizes(n, test_size, val_share)
+    n_buckets = max(n_buckets, math.ceil(n / ROWS_PER_BUCKET))
     ranked = global_rank(df, seeded_key(seed, key), n_buckets)
     part = (F.when(F.col("rank") <= n_train, F.lit("train"))
             .when(F.col("rank") <= n_train + n_val, F.lit("val")).otherwise(F.lit("test")))

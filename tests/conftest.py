@@ -13,6 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tokenloom.session import get_spark
-    s = get_spark("local[4]", app="tokenloom-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app="tokenloom-tests", shuffle_partitions=8,
+                  extra={"spark.driver.memory": "6g"})
     yield s
     s.stop()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import json_leaf as J
 from tokenloom.functions.catalog import FB, FC, FeatureSet, preset
-from tokenloom.plans.pipelines import build_feature_table
+from tokenloom.plans.pipelines import build_feature_table, drop_empty_records
 from tokenloom.sources.documents import document_coverage, read_documents
 
 
@@ -51,7 +51,7 @@ def test_feature_table(spark, doc_tree):
     tags = spark.createDataFrame([("t1", "a/1.mp3", "rock"), ("t2", "a/2.mp3", "pop"), ("t3", "a/3.mp3", "jazz"),
                                   ("t4", "a/4.mp3", "folk")], "track_id string, path string, genre string")
     fs = preset("full_run")
-    out = {r["track_id"]: r for r in build_feature_table(spark, tags, doc_tree, fs).collect()}
+    out = {r["track_id"]: r for r in drop_empty_records(build_feature_table(spark, tags, doc_tree, fs)).collect()}
     assert set(out) == {"t1", "t3"}            # malformed and absent documents give no record
     names = fs.names
     f1 = dict(zip(names, out["t1"]["features"]))

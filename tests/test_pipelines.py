@@ -1,0 +1,134 @@
+import json
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.functions.catalog import pack_wide, preset
+from tokenloom.plans import pipelines as P
+from tokenloom.sources import store
+
+GENRES = ["rock", "pop", "jazz", "folk"]
+MOODS = ["happy", "sad", "calm"]
+INSTR = ["piano", "guitar", "drums"]
+
+
+def make_doc(rng, g):
+    base = g * 3.0
+    return {
+        "lowlevel": {
+            "mfcc": {"mean": list(rng.normal(base, 1, 13)), "cov": np.diag(rng.uniform(1, 4, 13)).tolist()},
+            "melbands": {"mean": list(rng.normal(base, 1, 40)), "var": list(rng.uniform(1, 2, 40))},
+            "gfcc": {"mean": list(rng.normal(base, 1, 13)), "cov": np.diag(rng.uniform(1, 4, 13)).tolist()},
+            "spectral_centroid": {"mean": float(rng.normal(1000 + 100 * g, 10))},
+            "spectral_contrast_coeffs": {"mean": list(rng.normal(0, 1, 6))},
+            "spectral_contrast_valleys": {"mean": list(rng.normal(0, 1, 6))},
+            "barkbands_skewness": {"mean": float(rng.normal())}, "barkbands_kurtosis": {"mean": float(rng.normal())},
+            "spectral_flux": {"mean": float(rng.normal(g, 1))}, "spectral_spread": {"mean": float(rng.normal())},
+            "spectral_skewness": {"mean": float(rng.normal())}, "spectral_kurtosis": {"mean": float(rng.normal())},
+            "spectral_rms": {"mean": float(rng.normal())}, "erbbands_spread": {"mean": float(rng.normal())},
+            "erbbands_flatness_db": {"mean": float(rng.normal())}, "erbbands_crest": {"mean": float(rng.normal())},
+            "dissonance": {"mean": float(rng.normal())}, "average_loudness": float(rng.uniform()),
+            "spectral_complexity": {"mean": 1.0, "var": float(rng.uniform())},
+            "spectral_entropy": {"mean": float(rng.normal())},
+            "spectral_energyband_high": {"mean": 1.0}, "spectral_energyband_low": {"mean": 2.0},
+            "spectral_energyband_middle_high": {"mean": 3.0}, "spectral_energyband_middle_low": {"mean": 4.0},
+        },
+        "rhythm": {"bpm": float(rng.normal(120, 10)), "onset_rate": float(rng.uniform(1, 5)),
+                   "danceability": float(rng.uniform()), "beats_loudness": {"mean": 0.5, "var": 0.04}},
+        "tonal": {"hpcp": {"mean": list(rng.uniform(0, 1, 36))}, "key_key": ["c", "a", "f#"][g % 3],
+                  "key_scale": ["major", "minor"][g % 2], "key_strength": 0.7,
+                  "hpcp_entropy": {"mean": float(rng.normal())}, "tuning_equal_tempered_deviation": 0.1},
+    }
+
+
+@pytest.fixture(scope="module")
+def corpus(tmp_path_factory):
+    root = tmp_path_factory.mktemp("corpus")
+    docs = root / "docs"
+    rng = np.random.default_rng(12)
+    header = "TRACK_ID\tARTIST_ID\tALBUM_ID\tPATH\tDURATION\tTAGS"
+    files = {c: [header] for c in ("genre", "mood", "instrument")}
+    for i in range(90):
+        g = i % 4
+        path = f"{i % 10:02d}/{i}.mp3"
+        (docs / f"{i % 10:02d}").mkdir(parents=True, exist_ok=True)
+        (docs / path.replace(".mp3", ".json")).write_text(json.dumps(make_doc(rng, g)))
+        files["genre"].append(f"track_{i}\ta\tb\t{path}\t1.0\tgenre---{GENRES[g]}")
+        if i % 3:
+            files["mood"].append(f"track_{i}\ta\tb\t{path}\t1.0\tmood/theme---{MOODS[i % 3]}")
+        if i % 5:
+            files["instrument"].append(f"track_{i}\ta\tb\t{path}\t1.0\tinstrument---{INSTR[i % 3]}")
+    paths = {}
+    for c, lines in files.items():
+        p = root / f"{c}.tsv"
+        p.write_text("\n".join(lines) + "\n")
+        paths[c] = str(p)
+    return {"tags": paths, "docs": str(docs), "root": root}
+
+
+def test_run_full(spark, corpus):
+    out = str(corpus["root"] / "out_full")
+    res = P.run_full(spark, corpus["tags"], corpus["docs"], out, ratio=0.8, n_atoms=8, n_nonzero=2,
+                     max_iter=3, batch_size=64)
+    feats = res["features"]
+    assert feats.count() == 90 - 90 // 15  # rows with >= 2 of 3 tag categories
+    assert feats.select(F.size("features")).first()[0] == preset("full_run").width
+    ids = res["ids"]
+    assert ids.filter(F.col("semantic_id").rlike("^(<[0-9]{3}>){2}$")).count() == ids.count()
+    pairs = res["pairs"]
+    counts = {r["split"]: r["n"] for r in pairs.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert sum(counts.values()) == pairs.count() and set(counts) == {"train", "val", "test"}
+    # stored stages are reused on a second run (S10) and the model reloads
+    again = P.run_full(spark, corpus["tags"], corpus["docs"], out, ratio=0.8, n_atoms=8, max_iter=1)
+    assert again["features"].count() == feats.count()
+    reloaded = P.load_dictionary_ids(res["scores"], out, "dictionary")
+    assert reloaded.count() == res["scores"].count()
+
+
+def test_run_two_tags(spark, corpus):
+    res = P.run_two_tags(spark, corpus["tags"], corpus["docs"], str(corpus["root"] / "out_two"), max_iter=2,
+                         batch_size=64)
+    feats = res["features"]
+    assert feats.count() == 90 - 90 // 5
+    assert feats.select(F.size("features")).first()[0] == 26
+    assert res["pairs"].filter(F.col("prompt").isNull()).count() == 0
+
+
+def test_run_discrimination(spark, corpus):
+    res = P.run_discrimination(spark, corpus["tags"], corpus["docs"], str(corpus["root"] / "out_disc"), top_n=3)
+    d = res["discrimination"]
+    top = d.filter("category = 'genre' AND rank = 1").collect()[0]
+    assert top["significant"] and top["f_statistic"] > 10
+    assert {r["category"] for r in res["summary"].collect()} == {"genre", "mood", "instrument"}
+
+
+def test_csv_round_trip_and_wide_pack(spark, tmp_path):
+    df = spark.createDataFrame([("t1", "p1", "rock", "", [1.0, 2.0])],
+                               "track_id string, path string, genre string, mood string, features array<double>")
+    wide = store.widen(df, ["a", "b"])
+    store.write_csv(wide, str(tmp_path / "w"))
+    back = store.read_csv(spark, str(tmp_path / "w"))
+    row = back.collect()[0]
+    assert row["mood"] is None and row["a"] == "1.0"      # "" reads back as null (S7)
+    packed, names = pack_wide(back)
+    assert names == ["a", "b"] and packed.collect()[0]["features"] == [1.0, 2.0]
+    built = store.materialize(spark, str(tmp_path / "m"), lambda: df)
+    assert store.table_exists(spark, str(tmp_path / "m")) and built.count() == 1
+
+
+def test_rvq_ids_persist_and_reload(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(i % 3, 0.1, 4)]) for i in range(60)],
+                               "id long, features array<double>")
+    ids, occ, _ = P.rvq_semantic_ids(df, str(tmp_path), "km", n_levels=2, n_clusters=3, max_iter=10, n_init=2)
+    again = P.load_rvq_ids(df, str(tmp_path), "km")
+    a = {r["id"]: r["semantic_id"] for r in ids.collect()}
+    b = {r["id"]: r["semantic_id"] for r in again.collect()}
+    assert a == b and occ.collect()[0]["unique_ids"] >= 3
+    with pytest.raises(FileNotFoundError):
+        P.load_rvq_ids(df, str(tmp_path), "missing")
+    dids, docc, _ = P.dictionary_semantic_ids(df, str(tmp_path), "dl", n_nonzero=2, n_atoms=4, max_iter=2,
+                                              batch_size=None, id_col="id")
+    dagain = P.load_dictionary_ids(df, str(tmp_path), "dl")
+    assert {r["id"]: r["semantic_id"] for r in dids.collect()} == {r["id"]: r["semantic_id"] for r in dagain.collect()}

@@ -74,3 +74,20 @@ def test_plan_shapes(spark):
     scan = part._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_size), LessThanOrEqual(p_size,35)]" in scan
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in scan
+
+
+HEAVY = {"grid_search_rvq", "grid_search_dict", "rvq_fit", "dict_fit", "dict_fit_full", "flagship", "pca_ratio",
+         "stream_rvq_apply"}
+
+
+def test_no_pair_explosion_operators(spark):
+    """No registered query plans a cartesian product or a nested-loop join."""
+    bad = {}
+    for name, q in entry_mod.queries().items():
+        if name in HEAVY:
+            continue
+        plan = _plan(q(spark, SF_SMALL))
+        found = [p for p in ("CartesianProduct", "BroadcastNestedLoopJoin") if p in plan]
+        if found:
+            bad[name] = found
+    assert bad == {}

@@ -53,13 +53,23 @@ def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
 
 def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
                         features: FeatureSet) -> DataFrame:
-    """Stage 3: tags joined to their documents (J5), catalog projection in one select,
-    empty records dropped (P17).  ``json_full`` records the document's relative name."""
+    """Stage 3: tags joined to their documents (J5), catalog projection in one select.
+
+    ``json_full`` records the document's relative name.  The result carries no
+    filter on purpose: a filter on document columns would be pushed below the join
+    onto the document scan (every document parsed, matched or not, and every leaf
+    read twice).  Apply ``drop_empty_records`` (P17) to the stored table instead;
+    a malformed document parses to null and so has only null features.
+    """
     docs = read_documents(spark, doc_root)
-    joined = attach_documents(tags, docs, "inner").filter(F.col("doc").isNotNull())
-    out = joined.select(*[c for c in tags.columns], F.col("rel_path").alias("json_full"),
-                        features.vector(F.col("doc")).alias("features"))
-    return out.filter(F.exists("features", lambda x: x.isNotNull()))
+    joined = attach_documents(tags, docs, "inner")
+    return joined.select(*[c for c in tags.columns], F.col("rel_path").alias("json_full"),
+                         features.vector(F.col("doc")).alias("features"))
+
+
+def drop_empty_records(df: DataFrame, col: str = "features") -> DataFrame:
+    """A record without any extracted feature is no record."""
+    return df.filter(F.exists(col, lambda x: x.isNotNull()))
 
 
 def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
@@ -69,8 +79,9 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     """Three-category pipeline (stages 1-8 of the full run)."""
     out = out_dir.rstrip("/")
     fs = preset("full_run")
-    feats = store.materialize(spark, f"{out}/features", lambda: TG.filter_min_tags(
-        build_feature_table(spark, load_tags(spark, tag_paths), doc_root, fs), 2), rebuild=rebuild)
+    # W1 runs on the tag rows before the join, so only kept tracks' documents are parsed
+    feats = drop_empty_records(store.materialize(spark, f"{out}/features", lambda: build_feature_table(
+        spark, TG.filter_min_tags(load_tags(spark, tag_paths), 2), doc_root, fs), rebuild=rebuild))
     TG.assert_unique(feats, ["path"], "feature table")  # A4
     filled, _ = discriminate.fill_missing(feats)
     z, _ = linalg.standardize(filled)
@@ -94,9 +105,9 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
     """Genre + instrument pipeline: inner merge (J2), selected features, both tags."""
     out = out_dir.rstrip("/")
     tags = load_tags(spark, {k: tag_paths[k] for k in ("genre", "instrument")}, how="inner")
-    feats = store.materialize(spark, f"{out}/features_nomood", lambda: TG.filter_min_tags(
-        build_feature_table(spark, tags, doc_root, preset("selected")), 2, ["genre", "instrument"]),
-        rebuild=rebuild)
+    feats = drop_empty_records(store.materialize(spark, f"{out}/features_nomood", lambda: build_feature_table(
+        spark, TG.filter_min_tags(tags, 2, ["genre", "instrument"]), doc_root, preset("selected")),
+        rebuild=rebuild))
     filled, _ = discriminate.fill_missing(feats)
     z, _ = linalg.standardize(filled)
     pca = linalg.fit_pca(z, ratio=ratio)
@@ -110,12 +121,19 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
         pairs, F.concat_ws(":", "track_id", "rep"), seed)}
 
 
-def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
+def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
                        top_n: int = 10, always_include: dict[str, str] | None = None,
-                       feature_set: str = "all") -> dict[str, DataFrame]:
-    """Feature discrimination report over tracks with at least one tag."""
+                       feature_set: str = "all", rebuild: bool = False) -> dict[str, DataFrame]:
+    """Feature discrimination report over tracks with at least one tag.
+
+    The feature table is stored first (S10, as the reference caches its feature
+    CSV): the wide catalog projection is planned once, and the report reads it back.
+    """
     fs = preset(feature_set)
-    feats = TG.filter_any_tag(build_feature_table(spark, load_tags(spark, tag_paths), doc_root, fs))
+    feats = drop_empty_records(store.materialize(
+        spark, f"{out_dir.rstrip('/')}/features_{feature_set}",
+        lambda: build_feature_table(spark, TG.filter_any_tag(load_tags(spark, tag_paths)), doc_root, fs),
+        rebuild=rebuild))
     tags = feats.select("track_id", "genre", "mood", "instrument")
     res = discriminate.discrimination(feats, tags, fs.names, ["genre", "mood", "instrument"], "track_id",
                                       "features", top_n, always_include if always_include is not None

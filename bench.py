@@ -49,8 +49,11 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(f"local[{cpus}]", app="tokenloom-bench", shuffle_partitions=int(cpus),
-                      extra={"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
+    extra = {"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")}
+    event_dir = os.environ.get("BENCH_EVENT_LOG")  # e.g. a fresh mktemp -d folder: stage/task times
+    if event_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
+    spark = get_spark(f"local[{cpus}]", app="tokenloom-bench", shuffle_partitions=int(cpus), extra=extra)
     times, cold = {}, {}
     for name in names:
         cold[name] = round(run_once(spark, name, sf_dir), 3)

@@ -13,3 +13,24 @@ def test_stream_equals_batch(spark):
     batch = {r["vec_id"]: list(r["codes"]) for r in apply_codebooks(e, levels).collect()}
     streamed = {r["vec_id"]: list(r["codes"]) for r in stream_codes(spark, SF_SMALL, levels).collect()}
     assert streamed == batch
+
+
+def test_stream_dictionary_equals_batch(spark, tmp_path):
+    import numpy as np
+    from tokenloom.operators.dictlearn import sparse_codes
+    from tokenloom.streaming.apply import stream_dictionary_ids
+    e = embeddings(spark, SF_SMALL)
+    rng = np.random.default_rng(14)
+    atoms = rng.normal(size=(6, 64))
+    atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
+    batch = {r["vec_id"]: list(r["codes"]) for r in sparse_codes(e, atoms, 2).collect()}
+    src = spark.readStream.schema(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").schema) \
+        .option("pathGlobFilter", "embeddings.parquet").parquet(SF_SMALL)
+    stream = src.select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    coded = stream_dictionary_ids(stream, atoms, 2).select("vec_id", "codes")
+    q = (coded.writeStream.format("memory").queryName("dict_stream_test").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r["vec_id"]: list(r["codes"]) for r in spark.table("dict_stream_test").collect()}
+    assert got == batch

@@ -91,35 +91,40 @@ def coefs_to_tokens(coef: Column | str, n_nonzero: int, n_atoms: int, pad: int =
     return F.concat(toks, F.array_repeat(F.lit(pad), F.greatest(F.lit(n_nonzero) - F.size(toks), F.lit(0))))
 
 
-def _encode(dictionary: np.ndarray, n_nonzero: int, col: str):
+def _encode(dictionary: np.ndarray, n_nonzero: int, col: str, out_cols: list[str]):
     G = dictionary @ dictionary.T
 
     def run(batches):
         for pdf in batches:
+            out = pdf[out_cols].copy()
             if len(pdf) == 0:
-                pdf["coef"] = pd.Series([], dtype=object)
-                yield pdf
+                out["coef"] = pd.Series([], dtype=object)
+                yield out
                 continue
             x = np.stack(pdf[col].to_numpy()).astype(float)
-            pdf["coef"] = list(omp_gram(x @ dictionary.T, G, n_nonzero))
-            yield pdf
+            out["coef"] = list(omp_gram(x @ dictionary.T, G, n_nonzero))
+            yield out
     return run
 
 
-def omp_encode(df: DataFrame, dictionary: np.ndarray, n_nonzero: int, col: str = "features") -> DataFrame:
-    """M8: dense OMP coefficients ``coef array<double>`` (length D) per row."""
+def omp_encode(df: DataFrame, dictionary: np.ndarray, n_nonzero: int, col: str = "features",
+               out_cols: list[str] | None = None) -> DataFrame:
+    """M8: dense OMP coefficients ``coef array<double>`` (length D) per row;
+    ``out_cols`` (default all) are carried back out of the Arrow batch."""
     if dictionary.size > MAX_DICT_VALUES:
         raise ValueError("dictionary too large to ship to tasks")
     src = df.withColumn(col, as_doubles(col))
-    schema = T.StructType(list(src.schema.fields) + [T.StructField("coef", T.ArrayType(T.DoubleType()))])
-    return src.mapInPandas(_encode(np.asarray(dictionary, float), n_nonzero, col), schema)
+    out_cols = list(src.columns) if out_cols is None else list(out_cols)
+    schema = T.StructType([src.schema[c] for c in out_cols] + [T.StructField("coef", T.ArrayType(T.DoubleType()))])
+    src = src.select(*dict.fromkeys(out_cols + [col]))
+    return src.mapInPandas(_encode(np.asarray(dictionary, float), n_nonzero, col, out_cols), schema)
 
 
 def sparse_codes(df: DataFrame, dictionary: np.ndarray, n_nonzero: int, col: str = "features",
-                 pad: int = 0) -> DataFrame:
+                 pad: int = 0, out_cols: list[str] | None = None) -> DataFrame:
     """M8 + M9: ``codes array<int>`` of signed atom tokens."""
     D = dictionary.shape[0]
-    enc = omp_encode(df, dictionary, n_nonzero, col)
+    enc = omp_encode(df, dictionary, n_nonzero, col, out_cols)
     return enc.withColumn("codes", coefs_to_tokens("coef", n_nonzero, D, pad)).drop("coef")
 
 
@@ -193,8 +198,9 @@ class DictionaryModel:
                                     "n_nonzero_coefs int, n_dict_components int")
         return {"dictionary": d, "config": cfg}
 
-    def transform(self, df: DataFrame, col: str = "features", pad: int = 0) -> DataFrame:
-        return sparse_codes(df, self.atoms, self.n_nonzero, col, pad)
+    def transform(self, df: DataFrame, col: str = "features", pad: int = 0,
+                  out_cols: list[str] | None = None) -> DataFrame:
+        return sparse_codes(df, self.atoms, self.n_nonzero, col, pad, out_cols)
 
 
 def _normalize_rows(m: np.ndarray) -> np.ndarray:

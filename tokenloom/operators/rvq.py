@@ -52,14 +52,15 @@ def nearest(r: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.argmin(d2, axis=1)
 
 
-def _assign(levels: list[np.ndarray], col: str, keep_residual: str | None):
+def _assign(levels: list[np.ndarray], col: str, keep_residual: str | None, out_cols: list[str]):
     def run(batches):
         for pdf in batches:
             if len(pdf) == 0:
-                pdf["codes"] = pd.Series([], dtype=object)
+                out = pdf[out_cols].copy()
+                out["codes"] = pd.Series([], dtype=object)
                 if keep_residual:
-                    pdf[keep_residual] = pd.Series([], dtype=object)
-                yield pdf
+                    out[keep_residual] = pd.Series([], dtype=object)
+                yield out
                 continue
             r = np.stack(pdf[col].to_numpy()).astype(float)
             codes = np.zeros((len(pdf), len(levels)), dtype=np.int32)
@@ -67,26 +68,34 @@ def _assign(levels: list[np.ndarray], col: str, keep_residual: str | None):
                 t = nearest(r, centers)
                 codes[:, lv] = t
                 r = r - centers[t]
-            pdf["codes"] = list(codes)
+            out = pdf[out_cols].copy()
+            out["codes"] = list(codes)
             if keep_residual:
-                pdf[keep_residual] = list(r)
-            yield pdf
+                out[keep_residual] = list(r)
+            yield out
     return run
 
 
 def apply_codebooks(df: DataFrame, levels: list[np.ndarray], col: str = "features",
-                    keep_residual: str | None = None) -> DataFrame:
-    """M5 core: add ``codes array<int>`` (and optionally the final residual)."""
+                    keep_residual: str | None = None, out_cols: list[str] | None = None) -> DataFrame:
+    """M5 core: add ``codes array<int>`` (and optionally the final residual).
+
+    ``out_cols`` (default: every input column) are the columns carried back out
+    of the Arrow batch; leaving the vector out halves the data moved through Python.
+    """
     src = df.withColumn(col, as_doubles(col))
-    fields = list(src.schema.fields) + [T.StructField("codes", T.ArrayType(T.IntegerType()))]
+    out_cols = list(src.columns) if out_cols is None else list(out_cols)
+    fields = [src.schema[c] for c in out_cols] + [T.StructField("codes", T.ArrayType(T.IntegerType()))]
     if keep_residual:
         fields.append(T.StructField(keep_residual, T.ArrayType(T.DoubleType())))
-    return src.mapInPandas(_assign(levels, col, keep_residual), T.StructType(fields))
+    src = src.select(*dict.fromkeys(out_cols + [col]))
+    return src.mapInPandas(_assign(levels, col, keep_residual, out_cols), T.StructType(fields))
 
 
-def apply_rvq(df: DataFrame, codebook: DataFrame, col: str = "features") -> DataFrame:
+def apply_rvq(df: DataFrame, codebook: DataFrame, col: str = "features",
+              out_cols: list[str] | None = None) -> DataFrame:
     """M5: RVQ apply with a stored codebook table."""
-    return apply_codebooks(df, codebook_arrays(codebook), col)
+    return apply_codebooks(df, codebook_arrays(codebook), col, out_cols=out_cols)
 
 
 def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: int = 200,
@@ -119,7 +128,7 @@ def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: i
         levels.append(centers)
         costs.append(float(best[0]))
         if lv + 1 < n_levels:
-            nxt = apply_codebooks(residual, [centers], "_r", keep_residual="_next")
+            nxt = apply_codebooks(residual, [centers], "_r", keep_residual="_next", out_cols=[])
             residual = cut_lineage(nxt.select(F.col("_next").alias("_r")))
     codebook = spark.createDataFrame(
         [(lv, t, [float(x) for x in c]) for lv, cs in enumerate(levels) for t, c in enumerate(cs)],

@@ -145,6 +145,7 @@ SELECT p_partkey,
 FROM tok
 """)
 def q_tag_parse(spark, d):
+    """First prefixed token per category from a whitespace-separated tag field."""
     p = table(spark, d, "part")
     t = F.concat(F.lit("genre---"), F.lower("p_type"), F.lit(" mood/theme---"),
                  F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" instrument---"), F.col("p_brand"))
@@ -175,18 +176,21 @@ def q_tsv_scan(spark, d):
 
 @register("tag_outer_merge", "WITH " + TAGS_SQL + "SELECT track_id, path, genre, mood, instrument FROM merged")
 def q_tag_outer_merge(spark, d):
+    """Full outer merge of three category tables, missing tag -> ""."""
     return TG.merge_outer(tag_tables(spark, d))
 
 
 @register("tag_inner_merge", "WITH " + TAGS_SQL + """
 SELECT track_id, path, genre, instrument FROM genre_t JOIN inst_t USING (track_id, path)""")
 def q_tag_inner_merge(spark, d):
+    """Inner merge of two category tables."""
     t = tag_tables(spark, d)
     return TG.merge_inner(t["genre"], t["instrument"])
 
 
 @register("tag_min2", "WITH " + TAGS_SQL + "SELECT track_id, path, genre, mood, instrument FROM ntag WHERE n_cat >= 2")
 def q_tag_min2(spark, d):
+    """Tracks with at least two non-empty categories."""
     return TG.filter_min_tags(TG.merge_outer(tag_tables(spark, d)), 2)
 
 
@@ -194,6 +198,7 @@ def q_tag_min2(spark, d):
 SELECT track_id, path, genre, mood, instrument FROM ntag
 WHERE genre <> '' OR mood <> '' OR instrument <> ''""")
 def q_tag_min1(spark, d):
+    """Tracks with at least one non-empty category."""
     return TG.filter_any_tag(TG.merge_outer(tag_tables(spark, d)))
 
 
@@ -211,6 +216,7 @@ FROM (SELECT 'genre' AS category, count(*) AS n_rows, count(*) FILTER (WHERE gen
       UNION ALL SELECT 'mood', count(*), count(*) FILTER (WHERE mood <> '') FROM merged
       UNION ALL SELECT 'instrument', count(*), count(*) FILTER (WHERE instrument <> '') FROM merged)""")
 def q_tag_coverage(spark, d):
+    """A2: rows, non-empty count and percentage per category."""
     return TG.tag_coverage(TG.merge_outer(tag_tables(spark, d)))
 
 
@@ -222,6 +228,7 @@ SELECT count(*) AS n_total, count(*) FILTER (WHERE n_cat >= 2) AS n_kept,
        count(*) FILTER (WHERE n_cat >= 2 AND instrument <> '') AS instrument_tagged
 FROM ntag""")
 def q_tag_retention(spark, d):
+    """A3: rows kept by the two-category filter and their tag coverage."""
     from ..functions.tags import n_tagged
     return TG.filter_retention(TG.merge_outer(tag_tables(spark, d)), n_tagged(TG.TAG_COLS) >= 2)
 
@@ -229,12 +236,14 @@ def q_tag_retention(spark, d):
 @register("tag_category_counts", "WITH " + TAGS_SQL + """
 SELECT n_cat AS n_categories, count(*) AS n_rows FROM ntag GROUP BY n_cat""")
 def q_tag_category_counts(spark, d):
+    """A5: tracks by number of non-empty categories."""
     return TG.category_counts(TG.merge_outer(tag_tables(spark, d)))
 
 
 @register("tag_topn", "WITH " + TAGS_SQL + """
 SELECT mood AS tag, count(*) AS n FROM merged WHERE mood <> '' GROUP BY mood ORDER BY n DESC, tag LIMIT 5""")
 def q_tag_topn(spark, d):
+    """Five most frequent moods."""
     return TG.top_counts(TG.merge_outer(tag_tables(spark, d)), "mood", 5)
 
 
@@ -369,6 +378,7 @@ def q_key_vector(spark, d):
 @register("feature_select_idx", "WITH " + EMB_SQL + """
 SELECT vec_id, [v[1], v[2], v[4], v[6], v[8], v[12]] AS gfcc_pick, [v[1], v[4], v[5], v[6]] AS valley_pick FROM e""")
 def q_feature_select_idx(spark, d):
+    """Selected array elements by index."""
     e = embeddings(spark, d)
     return e.select("vec_id", pick_indices("features", [0, 1, 3, 5, 7, 11]).alias("gfcc_pick"),
                     pick_indices("features", [0, 3, 4, 5]).alias("valley_pick"))
@@ -397,6 +407,7 @@ def q_nan_fill(spark, d):
 SELECT CAST(i AS INTEGER) AS idx, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(x) AS n
 FROM el GROUP BY i""")
 def q_column_stats(spark, d):
+    """Per-dimension mean and population std."""
     s = linalg.column_stats(embeddings(spark, d))
     return s.select("idx", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "n")
 
@@ -406,6 +417,7 @@ st AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM el GROUP BY i)
 SELECT vec_id, list(round((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) ORDER BY i) AS features
 FROM el JOIN st USING (i) GROUP BY vec_id""")
 def q_standardize(spark, d):
+    """M1: (x - mean) / std with population std."""
     z, _ = linalg.standardize(embeddings(spark, d))
     return z.select("vec_id", round_all("features").alias("features"))
 
@@ -425,6 +437,7 @@ def q_gram_long(spark, d):
 @register("l2_normalize", "WITH " + EMB_SQL + "," + NORM_SQL + """
 SELECT vec_id, list_transform(v, lambda x: round(x, 6)) AS features FROM en""")
 def q_l2_normalize(spark, d):
+    """Rows scaled to unit L2 norm (1e-12 guard)."""
     e = embeddings(spark, d)
     return e.select("vec_id", round_all(l2_normalize("features")).alias("features"))
 
@@ -483,18 +496,25 @@ def rvq_ids(spark, d) -> DataFrame:
 
 @register("rvq_apply", "WITH " + RVQ_SQL + "SELECT vec_id, codes, semantic_id FROM rvq")
 def q_rvq_apply(spark, d):
-    return rvq_ids(spark, d).select("vec_id", "codes", "semantic_id")
+    """M5 + M11: a stored two-level codebook applied to every embedding row."""
+    e = embeddings(spark, d)
+    coded = rvq.apply_codebooks(e, fixture_codebook(e), out_cols=["vec_id"])
+    return coded.select("vec_id", "codes", codes_to_id("codes").alias("semantic_id"))
 
 
 @register("semantic_id", "WITH " + RVQ_SQL + "SELECT vec_id, semantic_id FROM rvq")
 def q_semantic_id(spark, d):
-    return rvq_ids(spark, d).select("vec_id", "semantic_id")
+    """Codes -> ``<000><001>`` strings."""
+    e = embeddings(spark, d)
+    coded = rvq.apply_codebooks(e, fixture_codebook(e), out_cols=["vec_id"])
+    return coded.select("vec_id", codes_to_id("codes").alias("semantic_id"))
 
 
 @register("code_distribution", "WITH " + RVQ_SQL + """
 SELECT CAST(level AS INTEGER) AS level, count(DISTINCT token) AS n_tokens, round(count(DISTINCT token) / 16.0, 6) AS usage
 FROM (SELECT generate_subscripts(codes, 1) - 1 AS level, unnest(codes) AS token FROM rvq) GROUP BY level""")
 def q_code_distribution(spark, d):
+    """Distinct tokens per level and vocabulary usage."""
     return idstats.code_distribution(rvq_ids(spark, d), vocab=16)
 
 
@@ -502,6 +522,7 @@ def q_code_distribution(spark, d):
 SELECT count(DISTINCT semantic_id) AS n_ids, count(*) AS n_rows,
        round(count(DISTINCT semantic_id) / count(*), 6) AS diversity FROM rvq""")
 def q_id_diversity(spark, d):
+    """Distinct IDs / rows."""
     return idstats.id_diversity(rvq_ids(spark, d))
 
 
@@ -510,6 +531,7 @@ c AS (SELECT semantic_id, count(*) AS n FROM rvq GROUP BY semantic_id)
 SELECT count(*) AS unique_ids, round(avg(n), 6) AS mean_per_id, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6)
        AS singleton_pct FROM c""")
 def q_occupancy(spark, d):
+    """A10: unique IDs, mean rows per ID, singleton share."""
     return idstats.occupancy(rvq_ids(spark, d))
 
 
@@ -519,18 +541,21 @@ SELECT count(*) AS unique_ids, round(avg(n), 6) AS mean_per_id, CAST(median(n) A
        count(*) FILTER (WHERE n = 1) AS n_singletons,
        round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS singleton_pct FROM c""")
 def q_occupancy_detail(spark, d):
+    """A10 plus exact median rows per ID and singleton count."""
     return idstats.occupancy_detail(rvq_ids(spark, d))
 
 
 @register("top_ids", "WITH " + RVQ_SQL + """
 SELECT semantic_id, count(*) AS n FROM rvq GROUP BY semantic_id ORDER BY n DESC, semantic_id LIMIT 10""")
 def q_top_ids(spark, d):
+    """Ten most common IDs."""
     return idstats.top_ids(rvq_ids(spark, d), 10)
 
 
 @register("label_second_token", "WITH " + RVQ_SQL + """
 SELECT vec_id, string_split(semantic_id, '>')[2] || '>' AS plot_label FROM rvq""")
 def q_label_second_token(spark, d):
+    """Plot label from the second token of the ID."""
     return rvq_ids(spark, d).select("vec_id", id_second_token("semantic_id").alias("plot_label"))
 
 
@@ -539,6 +564,7 @@ per AS (SELECT semantic_id, label, count(*) AS n FROM rvq GROUP BY semantic_id,
 cl AS (SELECT semantic_id, max(n) AS m, sum(n) AS t FROM per GROUP BY semantic_id)
 SELECT coalesce(round(sum(m) / sum(t), 6), 0.0) AS micro, coalesce(round(avg(m / t), 6), 0.0) AS macro FROM cl""")
 def q_cluster_purity(spark, d):
+    """Purity of the RVQ IDs with respect to the embedding label."""
     return quality.cluster_purity(rvq_ids(spark, d), "semantic_id", "label")
 
 
@@ -547,6 +573,7 @@ WITH per AS (SELECT source, lang, count(*) AS n FROM documents WHERE length(lang
 cl AS (SELECT source, max(n) AS m, sum(n) AS t FROM per GROUP BY source)
 SELECT coalesce(round(sum(m) / sum(t), 6), 0.0) AS micro, coalesce(round(avg(m / t), 6), 0.0) AS macro FROM cl""")
 def q_cluster_purity_docs(spark, d):
+    """Purity of document sources with respect to language."""
     return quality.cluster_purity(table(spark, d, "documents"), "source", "lang")
 
 
@@ -610,7 +637,7 @@ def omp2_codes(spark, d) -> DataFrame:
     from ..operators.dictlearn import DictionaryModel, load_dictionary
     e = embeddings(spark, d)
     tables = DictionaryModel(label_dictionary(e), 2, []).tables(spark)
-    return load_dictionary(tables).transform(e)
+    return load_dictionary(tables).transform(e, out_cols=["vec_id"])
 
 
 @register("omp2_tokens", "WITH " + OMP2_SQL + "SELECT vec_id, codes FROM omp")
@@ -623,6 +650,7 @@ def q_omp2_tokens(spark, d):
 SELECT count(*) AS n_tokens, count(*) FILTER (WHERE t >= 16) AS n_out_of_vocab, max(t) AS max_token, 16 AS vocab
 FROM (SELECT unnest(codes) AS t FROM omp)""")
 def q_vocab_check(spark, d):
+    """Tokens outside a 16-token vocabulary."""
     return idstats.vocab_check(omp2_codes(spark, d), 16)
 
 
@@ -680,6 +708,7 @@ def q_quality_report(spark, d):
 
 @register("knn_exact", "WITH " + KNN_SQL + "SELECT vec_id, rank, neighbor_id FROM knn")
 def q_knn_exact(spark, d):
+    """K1: exact 20 nearest neighbors of every embedding row (block pairs)."""
     knn = neighbors.knn_exact(embeddings(spark, d), 20, "vec_id", "features", block_rows=128)
     return knn.select("vec_id", "rank", "neighbor_id")
 
@@ -692,6 +721,7 @@ own AS (SELECT sc.*, e.label FROM sc JOIN e USING (vec_id)),
 bl AS (SELECT label, sum(s) AS ss, count(*) AS n FROM own GROUP BY label)
 SELECT coalesce(round(sum(ss) / sum(n), 6), 0.0) AS micro, coalesce(round(avg(ss / n), 6), 0.0) AS macro FROM bl""")
 def q_neighbor_purity(spark, d):
+    """K3: neighbor purity@20 of the labels."""
     return quality.neighbor_purity(embeddings(spark, d), 20, "vec_id", "features", "label", block_rows=128)
 
 
@@ -766,6 +796,7 @@ def q_hits_at_k(spark, d):
 
 @register("upsample", "WITH " + IDT_SQL + "SELECT p_partkey, rep, id_count FROM up")
 def q_upsample(spark, d):
+    """Rare semantic IDs replicated (threshold 16, at most 6 copies)."""
     up = recsets.upsample(id_tracks(spark, d), "semantic_id", 16, 6)
     return up.select("p_partkey", "rep", "id_count")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import codes_to_id
 from ..operators import idstats, neighbors, rvq
 from ..operators.dictlearn import fit_dictionary, sparse_codes
+from ..session import cut_lineage
 
 RESULT_SCHEMA = ("config_no int, L int, K int, n_init int, unique_ids long, mean_per_id double, "
                  "singleton_pct double, recall double, score double")
@@ -52,7 +53,7 @@ def search_rvq(df: DataFrame, id_col: str = "id", col: str = "features",
                seed: int = 42):
     """Returns ``(results, best_codebook)``; loop order K, then L, then n_init."""
     spark = df.sparkSession
-    data = df.select(id_col, col).persist()
+    data = cut_lineage(df.select(id_col, col))  # every configuration re-reads it
     rows, books, no = [], {}, 0
     for K in n_clusters_list:
         fits = {}
@@ -73,7 +74,6 @@ def search_rvq(df: DataFrame, id_col: str = "id", col: str = "features",
     book = spark.createDataFrame(
         [(lv, t, [float(x) for x in c]) for lv, cs in enumerate(levels) for t, c in enumerate(cs)],
         "level int, token int, center array<double>")
-    data.unpersist()
     return res, book
 
 
@@ -83,7 +83,7 @@ def search_dictionary(df: DataFrame, id_col: str = "id", col: str = "features",
                       seed: int = 42):
     """Returns ``(results, best_model)``; loop order D, then C, then batch size."""
     spark = df.sparkSession
-    data = df.select(id_col, col).persist()
+    data = cut_lineage(df.select(id_col, col))
     rows, models, no = [], {}, 0
     for D in n_atoms_list:
         fits = {b: fit_dictionary(data, D, 2, max_iter, b, seed=seed, col=col, id_col=id_col)
@@ -100,5 +100,4 @@ def search_dictionary(df: DataFrame, id_col: str = "id", col: str = "features",
     best_no = best_config(res).collect()[0]["config_no"]
     model, C = models[best_no]
     model.n_nonzero = C
-    data.unpersist()
     return res, model

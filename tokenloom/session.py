@@ -97,3 +97,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: float, executor_cores: int, n_executors: int,
+               executor_memory_gb: float = 16.0, target_partition_mb: int = 256) -> dict[str, str]:
+    """Partition sizing for a cluster run over ``input_bytes`` of input.
+
+    * scan splits of ``target_partition_mb`` (bounded by per-core memory / 4);
+    * shuffle partitions so that each holds about one split of data, at least
+      two waves of the available cores (AQE then coalesces small ones and splits
+      skewed ones at runtime).
+    """
+    cores = max(1, executor_cores * n_executors)
+    per_core_mb = executor_memory_gb * 1024 / max(1, executor_cores)
+    split_mb = int(max(32, min(target_partition_mb, per_core_mb / 4)))
+    shuffle = max(2 * cores, int(input_bytes / (split_mb * 1024 * 1024)))
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{split_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * split_mb}m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    }

@@ -229,9 +229,10 @@ def index_recall(df: DataFrame, k: int = 10, n_queries: int = 50, seed: int = 42
     schema = df.select(id_col, vec_col, codes_col).schema
     queries = spark.createDataFrame(qrows, schema)
     top = query_topk(df, queries, k, id_col, vec_col, "cosine", codes_col)
-    gt = top.filter(F.col("kind") == "all").select("qid", "nid")
-    cand = top.filter(F.col("kind") == "cand").select("qid", "nid")
-    hits = gt.join(cand, ["qid", "nid"]).groupBy("qid").agg(F.count("*").alias("hits"))
+    # a neighbor in both lists appears under both kinds: one aggregation over the
+    # top-k rows (splitting them into two joined branches would scan the corpus twice)
+    both = top.groupBy("qid", "nid").agg(F.count_distinct("kind").alias("kinds")).filter(F.col("kinds") == 2)
+    hits = both.groupBy("qid").agg(F.count("*").alias("hits"))
     qids = spark.createDataFrame([(int(r[id_col]),) for r in qrows], "qid long")
     per_q = (qids.join(hits, "qid", "left")
              .select("qid", (F.coalesce(F.col("hits"), F.lit(0)) / F.lit(float(k))).alias("recall")))

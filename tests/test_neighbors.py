@@ -83,3 +83,30 @@ def test_neighbor_purity_brute(spark):
     assert abs(r["micro"] - round(s.mean(), 6)) < 1e-9 and abs(r["macro"] - round(macro, 6)) < 1e-9
     small = quality.neighbor_purity(df.limit(5), k, "id", "features", "label").collect()[0]
     assert (small["micro"], small["macro"]) == (0.0, 0.0)
+
+
+def test_pivot_strategy_exact(spark):
+    rng = np.random.default_rng(15)
+    sets = [rng.integers(0, 3, size=(90, 3)).astype(float),                      # duplicates and ties
+            np.concatenate([rng.normal(c, 0.05, size=(30, 4)) for c in rng.normal(0, 5, size=(4, 4))]),
+            rng.normal(size=(80, 6))]
+    for x in sets:
+        df = make(spark, x)
+        ref = brute_knn(x, 4)
+        for piv in (1, 5):
+            got = {}
+            for r in neighbors.knn_pivot(df, 4, "id", "features", n_pivots=piv, block_rows=16).collect():
+                got.setdefault(r["id"], {})[r["rank"]] = r["neighbor_id"]
+            assert {i: [got[i][j] for j in range(1, 5)] for i in got} == ref
+
+
+def test_candidate_cells_prune_clusters():
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(c, 0.1, size=(50, 2)) for c in ([0, 0], [50, 0], [0, 50], [50, 50])])
+    piv = x[[0, 50, 100, 150]]
+    cell = ((x[:, None, :] - piv[None]) ** 2).sum(-1).argmin(1)
+    dp = np.sqrt(((x - piv[cell]) ** 2).sum(1))
+    counts = np.bincount(cell, minlength=4).astype(float)
+    radius = np.array([dp[cell == c].max() for c in range(4)])
+    cands = neighbors.candidate_cells(piv, counts, radius, 5)
+    assert [list(c) for c in cands] == [[0], [1], [2], [3]]   # far-apart clusters: only the own cell

@@ -713,6 +713,13 @@ def q_knn_exact(spark, d):
     return knn.select("vec_id", "rank", "neighbor_id")
 
 
+@register("knn_pivot", "WITH " + KNN_SQL + "SELECT vec_id, rank, neighbor_id FROM knn")
+def q_knn_pivot(spark, d):
+    """K1 with pivot cells and triangle-inequality pruning (same exact result)."""
+    knn = neighbors.knn_exact(embeddings(spark, d), 20, "vec_id", "features", block_rows=64, strategy="pivot")
+    return knn.select("vec_id", "rank", "neighbor_id")
+
+
 @register("neighbor_purity", "WITH " + KNN_SQL + """,
 per AS (SELECT knn.vec_id, e.label AS nlabel, count(*) AS c FROM knn JOIN e ON e.vec_id = knn.neighbor_id
         GROUP BY knn.vec_id, e.label),

@@ -44,9 +44,7 @@ def _compare(spark, name, sf):
     assert got == exp
 
 
-@pytest.mark.parametrize("name", ["tag_outer_merge", "tsv_scan", "json_leaf", "standardize", "rvq_apply",
-                                  "omp2_tokens", "knn_exact", "index_recall", "prompts3", "split", "anova",
-                                  "discrimination_f", "stream_rvq_apply"])
+@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
 def test_oracle_small(spark, name):
     _compare(spark, name, SF_SMALL)
 

@@ -148,10 +148,13 @@ def fit_pca(df: DataFrame, col: str = "features", k: int | None = None,
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
+    # one statistics pass gives the width (its row count) and the mean for the scores
+    stats = column_stats(df, col).orderBy("idx").collect()
+    d = len(stats)
+    if d == 0 or d > MAX_MODEL_DIM:
+        raise ValueError(f"feature width {d} outside 1..{MAX_MODEL_DIM}")
+    mean = np.array([r["mean"] for r in stats], dtype=float)
     vec = df.select(array_to_vector(as_doubles(col)).alias("v"))
-    d = int(df.select(F.size(col).alias("d")).limit(1).collect()[0]["d"])
-    if d > MAX_MODEL_DIM:
-        raise ValueError(f"feature width {d} exceeds {MAX_MODEL_DIM}")
     model = PCA(k=d, inputCol="v", outputCol="p").fit(vec)
     pc = model.pc.toArray()
     ratios = model.explainedVariance.toArray()
@@ -161,6 +164,4 @@ def fit_pca(df: DataFrame, col: str = "features", k: int | None = None,
         cum = np.cumsum(ratios)
         k = int(min(np.searchsorted(cum, ratio, side="right") + 1, d))
     k = max(1, min(int(k), d))
-    stats = column_stats(df, col).orderBy("idx").collect()
-    mean = np.array([r["mean"] for r in stats], dtype=float)
     return PcaModel(mean, _fix_signs(pc[:, :k]), ratios[:k])

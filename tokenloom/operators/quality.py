@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import is_tagged
+from ..session import cut_lineage
 from .neighbors import knn_exact
 
 
@@ -50,21 +51,55 @@ def neighbor_purity(df: DataFrame, k: int = 20, id_col: str = "id", vec_col: str
     return neighbor_purity_from_knn(knn, labeled, k, id_col, label_col)
 
 
+def _same_row_sets(df: DataFrame, cols: list[str]) -> list[list[str]]:
+    """Group tag columns whose labeled-row sets are identical (one aggregation)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return [[c] for c in cols]
+    diff = df.agg(*[F.count_if(is_tagged(F.col(a).cast("string")) != is_tagged(F.col(b).cast("string")))
+                    .alias(f"{a}|{b}") for a, b in pairs]).collect()[0]
+    groups: list[list[str]] = []
+    for c in cols:
+        for g in groups:
+            if diff[f"{g[0]}|{c}"] == 0:
+                g.append(c)
+                break
+        else:
+            groups.append([c])
+    return groups
+
+
 def quality_report(df: DataFrame, tag_cols: list[str], cluster_col: str = "semantic_id",
-                   id_col: str = "track_id", vec_col: str | None = None, k: int = 20) -> DataFrame:
-    """Cluster purity (and neighbor purity@k when ``vec_col`` is given) per tag column."""
+                   id_col: str = "track_id", vec_col: str | None = None, k: int = 20,
+                   block_rows: int = 4096) -> DataFrame:
+    """Cluster purity (and neighbor purity@k when ``vec_col`` is given) per tag column.
+
+    Neighbor purity needs the exact kNN among each category's labeled rows; categories
+    that label the same rows share one kNN computation.
+    """
     rows = []
     for c in tag_cols:
-        cp = cluster_purity(df, cluster_col, c).select(
+        rows.append(cluster_purity(df, cluster_col, c).select(
             F.lit(c).alias("category"), F.col("micro").alias("cluster_micro"),
             F.col("macro").alias("cluster_macro"),
-            F.lit(None).cast("double").alias("neighbor_micro"), F.lit(None).cast("double").alias("neighbor_macro"))
-        rows.append(cp)
-        if vec_col:
-            rows.append(neighbor_purity(df, k, id_col, vec_col, c).select(
-                F.lit(c).alias("category"), F.lit(None).cast("double").alias("cluster_micro"),
-                F.lit(None).cast("double").alias("cluster_macro"),
-                F.col("micro").alias("neighbor_micro"), F.col("macro").alias("neighbor_macro")))
+            F.lit(None).cast("double").alias("neighbor_micro"), F.lit(None).cast("double").alias("neighbor_macro")))
+    if vec_col:
+        for group in _same_row_sets(df, tag_cols):
+            labeled = df.filter(is_tagged(F.col(group[0]).cast("string")))
+            n = labeled.count()
+            knn = (knn_exact(labeled.select(id_col, vec_col), k, id_col, vec_col, "euclidean", block_rows)
+                   if n > k else None)
+            if knn is not None and len(group) > 1:
+                knn = cut_lineage(knn)  # computed once, read by every category of the group
+            for c in group:
+                if knn is None:
+                    np_ = df.sparkSession.createDataFrame([(0.0, 0.0)], "micro double, macro double")
+                else:
+                    np_ = neighbor_purity_from_knn(knn, labeled.select(id_col, c), k, id_col, c)
+                rows.append(np_.select(
+                    F.lit(c).alias("category"), F.lit(None).cast("double").alias("cluster_micro"),
+                    F.lit(None).cast("double").alias("cluster_macro"),
+                    F.col("micro").alias("neighbor_micro"), F.col("macro").alias("neighbor_macro")))
     # one row per category from the union of one-row results (no join on a constant key)
     u = reduce(lambda a, b: a.unionByName(b), rows)
     metrics = ["cluster_micro", "cluster_macro"] + (["neighbor_micro", "neighbor_macro"] if vec_col else [])

@@ -11,6 +11,7 @@ never collected and its lineage does not grow across iterations.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hash32, seeded_key
+from ..functions.hashing import hash32, pick, seeded_key
 from ..functions.vectors import as_doubles
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 
 EPS = float(np.finfo(float).eps)
 MAX_DICT_VALUES = 10_000_000
+MAX_SLOTS = 1024  # mini-batch slots stored as partition folders
 
 
 # ---- OMP (M8) -------------------------------------------------------------------
@@ -234,14 +236,28 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
         atoms = _normalize_rows(atoms)
     D, dim = atoms.shape
     n_total = data.count() if batch_size else None
+    slots = None
+    if batch_size:
+        # mini-batches: rows are dealt once into slot folders in the shared checkpoint
+        # area; iteration t reads slot t mod S only (partition pruning), never the whole data
+        n_slots = int(min(MAX_SLOTS, max(1, math.ceil(n_total / batch_size))))
+        import uuid
+        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/dictfit-{uuid.uuid4().hex[:12]}"
+        slot_key = seeded_key(seed, F.col(id_col)) if id_col else seeded_key(seed, F.to_json(F.col(col)))
+        (data.withColumn("_slot", pick(slot_key, n_slots)).repartition(n_slots, "_slot")
+         .write.partitionBy("_slot").parquet(path))
+        slots = df.sparkSession.read.parquet(path)
+        slot_rows = n_total / n_slots
     A = np.zeros((D, D))
     B = np.zeros((dim, D))
     history: list[float] = []
     spare = 0
     for it in range(max_iter):
         if batch_size:
-            frac = min(1.0, batch_size / max(n_total, 1))
-            batch = data.sample(withReplacement=False, fraction=frac, seed=seed + it)
+            batch = slots.filter(F.col("_slot") == it % n_slots).drop("_slot")
+            frac = batch_size / max(slot_rows, 1.0)
+            if frac < 1.0:
+                batch = batch.sample(withReplacement=False, fraction=frac, seed=seed + it)
         else:
             batch = data
         part = batch.mapInPandas(_partial_stats(atoms, fit_algorithm, alpha, n_nonzero, col),

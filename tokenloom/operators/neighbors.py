@@ -37,19 +37,44 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _topk_rows(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
-    """Per query row: the k best (score, id) pairs, ties by the lower id; self excluded."""
+    """Per query row: the k best (score, id) pairs, ties by the lower id; self excluded.
+
+    ``np.partition`` finds each row's k-th smallest score in linear time; every
+    entry up to that value (ties included, so the result stays exact) is then
+    ordered by (row, score, id) with one small lexsort.
+    """
     score = np.where(qid[:, None] == cid[None, :], np.inf, score)
-    m = min(k, score.shape[1])
-    if m == 0:
+    nq, nc = score.shape
+    m = min(k, nc)
+    if m == 0 or nq == 0:
         return np.empty((0,), np.int64), np.empty((0,), np.int64), np.empty((0,)), np.empty((0,), np.int32)
-    ids = np.broadcast_to(cid[None, :], score.shape)
-    order = np.lexsort((ids, score), axis=-1)[:, :m]
-    s = np.take_along_axis(score, order, axis=1)
-    nid = cid[order]
-    keep = np.isfinite(s)
-    q = np.repeat(qid, m).reshape(-1, m)
-    rank = np.tile(np.arange(1, m + 1, dtype=np.int32), (len(qid), 1))
-    return q[keep], nid[keep], s[keep], rank[keep]
+    kth = np.partition(score, m - 1, axis=1)[:, m - 1] if m < nc else score.max(axis=1)
+    r, c = np.nonzero(score <= kth[:, None])
+    s = score[r, c]
+    order = np.lexsort((cid[c], s, r))
+    r, c, s = r[order], c[order], s[order]
+    start = np.searchsorted(r, np.arange(nq))
+    rank = np.arange(len(r)) - start[r] + 1
+    keep = (rank <= m) & np.isfinite(s)
+    return qid[r[keep]], cid[c[keep]], s[keep], rank[keep].astype(np.int32)
+
+
+def _batch_topk(score, qid, cid, k):
+    """Dense (rows x k) top-k for running merges; missing slots are +inf."""
+    a, b, s, rank = _topk_rows(score, qid, cid, k)
+    m = min(k, score.shape[1])
+    out_s = np.full((len(qid), m), np.inf)
+    out_i = np.full((len(qid), m), -1, dtype=np.int64)
+    if len(a):
+        row = np.searchsorted(qid, a) if np.all(qid[:-1] <= qid[1:]) else _row_index(qid, a)
+        out_s[row, rank - 1] = s
+        out_i[row, rank - 1] = b
+    return out_s, out_i
+
+
+def _row_index(qid: np.ndarray, a: np.ndarray) -> np.ndarray:
+    pos = {int(q): i for i, q in enumerate(qid)}
+    return np.array([pos[int(x)] for x in a], dtype=np.int64)
 
 
 def _pair_topk(k: int, metric: str):
@@ -286,14 +311,6 @@ def _merge_topk(best, new, k):
     return np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
 
 
-def _batch_topk(score, qid, cid, k):
-    score = np.where(qid[:, None] == cid[None, :], np.inf, score)
-    m = min(k, score.shape[1])
-    ids = np.broadcast_to(cid[None, :], score.shape)
-    order = np.lexsort((ids, score), axis=-1)[:, :m]
-    return np.take_along_axis(score, order, axis=1), cid[order]
-
-
 def _emit(best, qid, kind):
     if best is None:
         return pd.DataFrame({"qid": [], "nid": [], "score": [], "kind": []})

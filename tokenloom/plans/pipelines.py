@@ -22,7 +22,8 @@ from ..operators import discriminate, idstats, linalg, recsets, rvq
 from ..operators import tags as TG
 from ..operators.dictlearn import fit_dictionary
 from ..sources import store
-from ..sources.documents import attach_documents, read_documents
+from ..functions.json_leaf import parse
+from ..sources.documents import attach_documents, json_name, read_documents
 from ..sources.tags import read_tag_tsv
 from .inputs import embeddings
 
@@ -51,20 +52,46 @@ def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
     return out
 
 
+MAX_BROADCAST_TAG_ROWS = 5_000_000  # tag rows (keys + a few short strings) broadcast to every task
+
+
 def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
-                        features: FeatureSet) -> DataFrame:
+                        features: FeatureSet, strategy: str = "auto") -> DataFrame:
     """Stage 3: tags joined to their documents (J5), catalog projection in one select.
 
-    ``json_full`` records the document's relative name.  The result carries no
-    filter on purpose: a filter on document columns would be pushed below the join
-    onto the document scan (every document parsed, matched or not, and every leaf
-    read twice).  Apply ``drop_empty_records`` (P17) to the stored table instead;
-    a malformed document parses to null and so has only null features.
+    ``json_full`` records the document's relative name.  How documents meet tags:
+
+    * ``broadcast`` - the tag rows go to every task (size checked: at most
+      ``MAX_BROADCAST_TAG_ROWS``); documents are matched map-side and only
+      matched documents are parsed; no document text is shuffled.
+    * ``extract_first`` - every document is parsed and projected map-side, and the
+      compact feature rows (not the raw JSON text) are shuffled to meet the tags.
+    * ``auto`` - ``broadcast`` when the counted tag rows fit, else ``extract_first``.
+
+    The result carries no filter on purpose: a filter on document columns would be
+    pushed onto the document scan.  Apply ``drop_empty_records`` (P17) to the stored
+    table; a malformed document parses to null and so has only null features.
     """
     docs = read_documents(spark, doc_root)
-    joined = attach_documents(tags, docs, "inner")
-    return joined.select(*[c for c in tags.columns], F.col("rel_path").alias("json_full"),
-                         features.vector(F.col("doc")).alias("features"))
+    if strategy == "auto":
+        n_tags = tags.limit(MAX_BROADCAST_TAG_ROWS + 1).count()
+        strategy = "broadcast" if n_tags <= MAX_BROADCAST_TAG_ROWS else "extract_first"
+    keep = [c for c in tags.columns]
+    if strategy == "broadcast":
+        keyed = tags.withColumn("rel_path", json_name("path"))
+        joined = docs.join(F.broadcast(keyed), "rel_path").withColumn("doc", parse("text")).drop("text")
+        return joined.select(*keep, F.col("rel_path").alias("json_full"),
+                             features.vector(F.col("doc")).alias("features"))
+    if strategy == "extract_first":
+        parsed = docs.select("rel_path", parse("text").alias("doc"))
+        feats = parsed.select("rel_path", features.vector(F.col("doc")).alias("features"))
+        keyed = tags.withColumn("rel_path", json_name("path"))
+        return keyed.join(feats, "rel_path").select(*keep, F.col("rel_path").alias("json_full"), "features")
+    if strategy == "shuffle":
+        joined = attach_documents(tags, docs, "inner")
+        return joined.select(*keep, F.col("rel_path").alias("json_full"),
+                             features.vector(F.col("doc")).alias("features"))
+    raise ValueError("strategy must be auto, broadcast, extract_first or shuffle")
 
 
 def drop_empty_records(df: DataFrame, col: str = "features") -> DataFrame:

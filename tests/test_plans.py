@@ -89,3 +89,14 @@ def test_no_pair_explosion_operators(spark):
         if found:
             bad[name] = found
     assert bad == {}
+
+
+def test_package_zip_to_shared_path(spark, tmp_path):
+    import io
+    import zipfile
+    from tokenloom.session import _package_zip, write_shared_bytes
+    data = _package_zip()
+    target = f"file://{tmp_path}/pyfiles/pkg.zip"
+    write_shared_bytes(spark, target, data)
+    names = zipfile.ZipFile(io.BytesIO(open(f"{tmp_path}/pyfiles/pkg.zip", "rb").read())).namelist()
+    assert "tokenloom/operators/rvq.py" in names and "tokenloom/__init__.py" in names

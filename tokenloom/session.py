@@ -7,6 +7,8 @@ session without that setting (tests, laptops) gets a fresh temporary folder.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
@@ -45,26 +47,53 @@ def get_spark(master: str | None = None, app: str = "tokenloom",
     return spark
 
 
+def _package_zip() -> bytes:
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    return buf.getvalue()
+
+
+def write_shared_bytes(spark: SparkSession, target: str, data: bytes) -> None:
+    """Write bytes to any Hadoop-supported path (HDFS, S3A, ABFS, file:) from the driver."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``tokenloom`` importable in every Python worker (the ``--py-files`` route).
 
-    Arrow-batched operators run module functions on the executors; the package
-    is zipped once per application on the driver and added with ``addPyFile``.
+    Arrow-batched operators run module functions on the executors.  The package is
+    zipped in memory once per application; a local session adds it from a local
+    file, a cluster session writes it to the shared checkpoint folder first (never a
+    machine-local folder) and adds it from there.
     """
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="tokenloom-pyfiles-"), "tokenloom.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
-        for base, _, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(base, f)
-                    zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    data = _package_zip()
+    name = f"tokenloom-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    if _is_local(spark):
+        target = os.path.join(tempfile.mkdtemp(prefix="tokenloom-pyfiles-"), name)
+        with open(target, "wb") as fh:
+            fh.write(data)
+    else:
+        target = f"{checkpoint_dir(spark).rstrip('/')}/pyfiles/{name}"
+        write_shared_bytes(spark, target, data)
+    sc.addPyFile(target)
     _SHIPPED.add(app)
 
 

@@ -84,6 +84,12 @@ def test_run_full(spark, corpus):
     assert again["features"].count() == feats.count()
     reloaded = P.load_dictionary_ids(res["scores"], out, "dictionary")
     assert reloaded.count() == res["scores"].count()
+    cov = res["document_coverage"].collect()[0]
+    assert cov["coverage_pct"] == 100.0
+    tc = {r["category"]: r["n_tagged"] for r in res["tag_coverage"].collect()}
+    assert tc == {"genre": 90, "mood": 60, "instrument": 72}
+    assert {r["category"] for r in res["top_tags"].collect()} == {"genre", "mood", "instrument"}
+    assert res["id_detail"].collect()[0]["unique_ids"] >= 1
 
 
 def test_run_two_tags(spark, corpus):

@@ -23,7 +23,7 @@ from ..operators import tags as TG
 from ..operators.dictlearn import fit_dictionary
 from ..sources import store
 from ..functions.json_leaf import parse
-from ..sources.documents import attach_documents, json_name, read_documents
+from ..sources.documents import attach_documents, document_coverage, json_name, read_documents
 from ..sources.tags import read_tag_tsv
 from .inputs import embeddings
 
@@ -106,9 +106,10 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     """Three-category pipeline (stages 1-8 of the full run)."""
     out = out_dir.rstrip("/")
     fs = preset("full_run")
+    merged = load_tags(spark, tag_paths)
     # W1 runs on the tag rows before the join, so only kept tracks' documents are parsed
     feats = drop_empty_records(store.materialize(spark, f"{out}/features", lambda: build_feature_table(
-        spark, TG.filter_min_tags(load_tags(spark, tag_paths), 2), doc_root, fs), rebuild=rebuild))
+        spark, TG.filter_min_tags(merged, 2), doc_root, fs), rebuild=rebuild))
     TG.assert_unique(feats, ["path"], "feature table")  # A4
     filled, _ = discriminate.fill_missing(feats)
     z, _ = linalg.standardize(filled)
@@ -122,7 +123,27 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed)
     split = recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed)
     return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
-            "variance": pca.variance_table(spark), "occupancy": idstats.occupancy(ids)}
+            "variance": pca.variance_table(spark), "occupancy": idstats.occupancy(ids),
+            **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2),
+            "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10)}
+
+
+def tag_profiles(spark: SparkSession, merged: DataFrame, doc_root: str, cols: list[str],
+                 min_tags: int, top: int = 20) -> dict[str, DataFrame]:
+    """The reports printed along the reference's feature stage, as tables:
+    A1 document coverage, A2 tag coverage, A3 filter retention, A5 category counts,
+    A6 top tags per category."""
+    from functools import reduce
+
+    from ..functions.tags import n_tagged
+    tops = [TG.top_counts(merged, c, top).withColumn("category", F.lit(c)) for c in cols]
+    return {
+        "document_coverage": document_coverage(merged, read_documents(spark, doc_root)),
+        "tag_coverage": TG.tag_coverage(merged, cols),
+        "retention": TG.filter_retention(merged, n_tagged(cols) >= min_tags, cols),
+        "category_counts": TG.category_counts(merged, cols),
+        "top_tags": reduce(lambda a, b: a.unionByName(b), tops),
+    }
 
 
 def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,

@@ -89,3 +89,18 @@ def test_top_tags_and_single(spark):
     single = {r["track_id"]: r["mood_single"] for r in TG.single_top_tag(df, "mood", names).collect()}
     # 3 holds two top labels, 7 repeats one label: both dropped
     assert single == {1: "happy", 2: "happy", 4: "calm", 6: "angry"}
+
+
+def test_check_tag_distribution_and_attach(spark):
+    df = spark.createDataFrame([("t1", "p1", "rock", "sad", ""), ("t2", "p2", "rock", "", "piano"),
+                                ("t3", "p3", "pop", "sad", "piano")],
+                               "track_id string, path string, genre string, mood string, instrument string")
+    out = TG.check_tag_distribution(df, 1)
+    assert {r["n_categories"]: r["n_rows"] for r in out["category_counts"].collect()} == {2: 2, 3: 1}
+    assert {(r["category"], r["tag"]) for r in out["top_tags"].collect()} == {
+        ("genre", "rock"), ("mood", "sad"), ("instrument", "piano")}
+    with pytest.raises(TG.DuplicateKeyError):
+        TG.check_tag_distribution(df.unionByName(df.limit(1)))
+    ids = spark.createDataFrame([("t1", "<001>"), ("t3", "<002>")], "track_id string, semantic_id string")
+    got = {r["track_id"]: r["semantic_id"] for r in TG.attach_ids(df, ids).collect()}
+    assert got == {"t1": "<001>", "t2": None, "t3": "<002>"}

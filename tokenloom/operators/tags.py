@@ -149,3 +149,18 @@ def single_top_tag(df: DataFrame, col: str, top: list[str], out: str | None = No
 def in_top(df: DataFrame, col: str, top: DataFrame, top_col: str = "tag") -> DataFrame:
     """Rows whose value is among the top values (left-semi join; top is <= n rows)."""
     return df.join(F.broadcast(top.select(F.col(top_col).alias(col))), col, "left_semi")
+
+
+def check_tag_distribution(df: DataFrame, top: int = 20, cols: list[str] = TAG_COLS,
+                           key: list[str] = ["path"]) -> dict[str, DataFrame]:
+    """A4 + A5 + A6: the key must be unique (raises otherwise), then rows by number of
+    non-empty categories and the ``top`` most frequent tags per category."""
+    assert_unique(df, key, "tag table")
+    tops = [top_counts(df, c, top).withColumn("category", F.lit(c)) for c in cols]
+    return {"category_counts": category_counts(df, cols),
+            "top_tags": reduce(lambda a, b: a.unionByName(b), tops)}
+
+
+def attach_ids(df: DataFrame, ids: DataFrame, keys: list[str] = ["track_id"]) -> DataFrame:
+    """Semantic IDs joined to their rows by key (never by position), one-to-one checked."""
+    return join_one_to_one(df, ids, keys, "left")

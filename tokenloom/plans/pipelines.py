@@ -116,6 +116,7 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     pca = linalg.fit_pca(z, ratio=ratio)
     scores = store.materialize(spark, f"{out}/features_pca", lambda: pca.transform(z).select(
         "track_id", "path", "genre", "mood", "instrument", F.col("pca").alias("features")), rebuild=rebuild)
+    store.write_table(pca.variance_table(spark), f"{out}/explained_variance")  # S8
     model = fit_dictionary(scores, n_atoms, n_nonzero, max_iter, batch_size, seed=seed, id_col="track_id")
     store.save_model(spark, out, "dictionary", model.tables(spark))
     ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))

@@ -1,9 +1,8 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions.ids import codes_to_id
-from tokenloom.operators.dictlearn import coefs_to_tokens, fit_dictionary, omp_gram, sparse_codes
+from tokenloom.operators.dictlearn import coefs_to_tokens, fit_dictionary, omp_gram
 
 EPS = np.finfo(float).eps
 

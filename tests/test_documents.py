@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions import json_leaf as J
-from tokenloom.functions.catalog import FB, FC, FeatureSet, preset
+from tokenloom.functions.catalog import preset
 from tokenloom.plans.pipelines import build_feature_table, drop_empty_records
 from tokenloom.sources.documents import document_coverage, read_documents
 

@@ -5,7 +5,6 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tokenloom.functions.tags import grab_tag
 from tokenloom.operators.recsets import split_sizes

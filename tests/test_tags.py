@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tokenloom.functions.tags import grab_tag
 from tokenloom.operators import tags as TG

@@ -10,7 +10,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.ids import codes_to_id
 from ..functions.vectors import as_doubles

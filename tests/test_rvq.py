@@ -38,3 +38,22 @@ def test_missing_model_raises(spark, tmp_path):
     import pytest
     with pytest.raises(FileNotFoundError):
         store.load_model(spark, str(tmp_path), "nothing", ["codebook"])
+
+
+def test_multi_restart_kmeans(spark):
+    from tokenloom.operators.kmeans import fit_kmeans
+    rng = np.random.default_rng(18)
+    true = np.array([[0, 0], [6, 0], [0, 6], [6, 6]], dtype=float)
+    x = np.concatenate([rng.normal(c, 0.2, size=(100, 2)) for c in true])
+    df = make(spark, x).repartition(4)
+    centers, cost, n_iter = fit_kmeans(df, 4, 50, n_init=5, seed=1)
+    got = sorted(map(tuple, np.round(centers)))
+    assert got == sorted(map(tuple, true)) and n_iter < 50
+    # cost equals the inertia of the returned centers
+    d2 = ((x[:, None, :] - centers[None]) ** 2).sum(-1).min(1).sum()
+    assert abs(cost - d2) < 1e-6 * max(1.0, d2)
+    # RVQ with restarts in one pass reproduces its codes through apply
+    book, codes, info = rvq.fit_rvq(df, n_levels=2, n_clusters=4, max_iter=20, n_init=3)
+    fit_codes = {r["id"]: list(r["codes"]) for r in codes.collect()}
+    applied = {r["id"]: list(r["codes"]) for r in rvq.apply_rvq(df, book).collect()}
+    assert applied == fit_codes and info["train_cost"][1] < info["train_cost"][0]

@@ -99,7 +99,7 @@ def apply_rvq(df: DataFrame, codebook: DataFrame, col: str = "features",
 
 
 def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: int = 200,
-            n_init: int = 1, seed: int = 42, col: str = "features",
+            n_init: int = 1, seed: int = 42, col: str = "features", engine: str = "auto",
             ) -> tuple[DataFrame, DataFrame, dict]:
     """M4: fit one k-means codebook per level on the running residual.
 
@@ -107,7 +107,16 @@ def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: i
     ``codes array<int>`` computed with the same assignment as ``apply_rvq``,
     so applying the returned codebook reproduces the codes exactly.  The
     residual of each level is checkpointed into the shared checkpoint folder.
+
+    ``engine``: ``mllib`` (one MLlib k-means fit per restart, k-means|| seeding) or
+    ``multi`` (``operators.kmeans``: all restarts advance in the same pass, so the
+    data is read once per iteration whatever ``n_init`` is); ``auto`` picks ``multi``
+    when ``n_init > 1``.
     """
+    if engine == "auto":
+        engine = "multi" if n_init > 1 else "mllib"
+    if engine not in ("mllib", "multi"):
+        raise ValueError("engine must be auto, mllib or multi")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -116,17 +125,23 @@ def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: i
     levels: list[np.ndarray] = []
     costs = []
     for lv in range(n_levels):
-        vec = residual.select(array_to_vector("_r").alias("v"))
-        best = None
-        for trial in range(max(1, n_init)):
-            km = KMeans(k=n_clusters, maxIter=max_iter, seed=seed + trial, featuresCol="v")
-            model = km.fit(vec)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, model)
-        centers = np.array([np.asarray(c, dtype=float) for c in best[1].clusterCenters()], dtype=float)
-        levels.append(centers)
-        costs.append(float(best[0]))
+        if engine == "multi":
+            from .kmeans import fit_kmeans
+            centers, cost, _ = fit_kmeans(residual, n_clusters, max_iter, n_init, seed + lv, "_r")
+            levels.append(centers)
+            costs.append(cost)
+        else:
+            vec = residual.select(array_to_vector("_r").alias("v"))
+            best = None
+            for trial in range(max(1, n_init)):
+                km = KMeans(k=n_clusters, maxIter=max_iter, seed=seed + trial, featuresCol="v")
+                model = km.fit(vec)
+                cost = model.summary.trainingCost
+                if best is None or cost < best[0]:
+                    best = (cost, model)
+            centers = np.array([np.asarray(c, dtype=float) for c in best[1].clusterCenters()], dtype=float)
+            levels.append(centers)
+            costs.append(float(best[0]))
         if lv + 1 < n_levels:
             nxt = apply_codebooks(residual, [centers], "_r", keep_residual="_next", out_cols=[])
             residual = cut_lineage(nxt.select(F.col("_next").alias("_r")))

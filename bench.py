@@ -22,6 +22,7 @@ from tokenloom.session import get_spark  # noqa: E402
 HEADLINE = [
     "flagship",          # M1 -> M3 -> M4 -> M11 -> A10
     "rvq_fit",           # M4
+    "rvq_fit_restarts",  # M4, 4 restarts in one pass per iteration
     "rvq_apply",         # M5 + M11
     "dict_fit",          # M6 + M8 + M9
     "omp2_tokens",       # M8-M10

@@ -575,6 +575,14 @@ def q_cluster_purity_docs(spark, d):
     return quality.cluster_purity(table(spark, d, "documents"), "source", "lang")
 
 
+@register("rvq_fit_restarts")
+def q_rvq_fit_restarts(spark, d):
+    """M4 with 4 k-means restarts per level, all advanced in one pass per iteration (L=2, K=8)."""
+    z, _ = linalg.standardize(embeddings(spark, d))
+    _, codes, _ = rvq.fit_rvq(z, n_levels=2, n_clusters=8, max_iter=20, n_init=4)
+    return codes.select("vec_id", codes_to_id("codes").alias("semantic_id"))
+
+
 @register("rvq_fit")
 def q_rvq_fit(spark, d):
     """M4 (+M11): RVQ fitted with MLlib k-means on standardized embeddings (L=2, K=8)."""

@@ -119,3 +119,18 @@ def test_comprehensive_leaves(spark):
     assert got["beat_loudness_var"] == 0.04 and got["beats_count"] == 10.0
     assert got["tuning_frequency"] == 440.0 and got["chords_changes_rate"] == 0.2
     assert got["zerocrossingrate_mean"] == 0.05 and got["gfcc_mean_0"] is None
+
+
+def test_strict_reader_and_missing_counts(spark):
+    from pyspark.sql.utils import AnalysisException  # noqa: F401
+    from tokenloom.plans.pipelines import assert_complete, missing_leaf_counts
+    from tokenloom.operators.sample import preview
+    df = spark.createDataFrame([('{"a":{"b":1}}',), ('{"a":{}}',)], "t string").select(J.parse("t").alias("d"))
+    with pytest.raises(Exception):
+        df.select(J.strict_scalar(F.col("d"), "a.b")).collect()
+    feats = spark.createDataFrame([([1.0, None],), ([2.0, float("nan")],), ([3.0, 4.0],)], "features array<double>")
+    got = {r["feature"]: r["n_missing"] for r in missing_leaf_counts(feats, ["x", "y"]).collect()}
+    assert got == {"x": 0, "y": 2}
+    with pytest.raises(ValueError, match="'y'"):
+        assert_complete(feats, ["x", "y"])
+    assert preview(feats, 2).count() == 2

@@ -94,6 +94,22 @@ def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
     raise ValueError("strategy must be auto, broadcast, extract_first or shuffle")
 
 
+def missing_leaf_counts(df: DataFrame, names: list[str], col: str = "features") -> DataFrame:
+    """Per catalog feature, how many records lack it (one aggregation, d rows out)."""
+    names_arr = F.array(*[F.lit(n) for n in names])
+    long = df.select(F.posexplode(col).alias("idx", "v"))
+    per = long.groupBy("idx").agg(F.count_if(F.col("v").isNull() | F.isnan("v")).alias("n_missing"),
+                                  F.count("*").alias("n_records"))
+    return per.select(F.get(names_arr, F.col("idx")).alias("feature"), "n_missing", "n_records")
+
+
+def assert_complete(df: DataFrame, names: list[str], col: str = "features") -> None:
+    """D4 strict mode: raise if any record lacks any catalog feature (names the first one)."""
+    bad = missing_leaf_counts(df, names, col).filter(F.col("n_missing") > 0).orderBy("feature").limit(1).collect()
+    if bad:
+        raise ValueError(f"feature {bad[0]['feature']!r} missing in {bad[0]['n_missing']} records")
+
+
 def drop_empty_records(df: DataFrame, col: str = "features") -> DataFrame:
     """A record without any extracted feature is no record."""
     return df.filter(F.exists(col, lambda x: x.isNotNull()))

@@ -90,6 +90,8 @@ def test_run_full(spark, corpus):
     assert tc == {"genre": 90, "mood": 60, "instrument": 72}
     assert {r["category"] for r in res["top_tags"].collect()} == {"genre", "mood", "instrument"}
     assert res["id_detail"].collect()[0]["unique_ids"] >= 1
+    miss = {r["feature"]: r["n_missing"] for r in res["missing_leaves"].collect()}
+    assert miss["mfcc_mean_0"] == 0 and miss["spec_valley_mean_0"] == 0 and len(miss) == preset("full_run").width
 
 
 def test_run_two_tags(spark, corpus):

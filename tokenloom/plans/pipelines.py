@@ -142,7 +142,8 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
             "variance": pca.variance_table(spark), "occupancy": idstats.occupancy(ids),
             **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2),
-            "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10)}
+            "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
+            "missing_leaves": missing_leaf_counts(feats, fs.names)}
 
 
 def tag_profiles(spark: SparkSession, merged: DataFrame, doc_root: str, cols: list[str],

@@ -34,3 +34,21 @@ def test_stream_dictionary_equals_batch(spark, tmp_path):
     q.stop()
     got = {r["vec_id"]: list(r["codes"]) for r in spark.table("dict_stream_test").collect()}
     assert got == batch
+
+
+def test_streaming_tag_files(spark, tmp_path):
+    """S1-S3 are stateless row parsing: the same function reads a stream of tag files."""
+    from tokenloom.sources.tags import parse_tag_lines
+    header = "TRACK_ID\tPATH\tTAGS"
+    src = tmp_path / "incoming"
+    src.mkdir()
+    (src / "a.tsv").write_text(f"{header}\nt1\tp1\tgenre---rock\nt2\tp2\tgenre---pop\tgenre---jazz\n")
+    (src / "b.tsv").write_text(f"{header}\nt3\tp3\n")
+    lines = spark.readStream.format("text").load(str(src))
+    parsed = parse_tag_lines(lines, header, "genre")
+    q = (parsed.writeStream.format("memory").queryName("tag_stream_test").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["track_id"], r["genre"]) for r in spark.table("tag_stream_test").collect())
+    assert got == [("t1", "rock"), ("t3", "")]

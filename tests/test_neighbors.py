@@ -25,9 +25,9 @@ def test_knn_blocks_match_brute_force(spark):
     x = rng.integers(0, 4, size=(60, 3)).astype(float)   # many exact ties and duplicates
     df = make(spark, x)
     ref = brute_knn(x, 5)
-    for blocks in (1, 3, 7):
+    for blocks, chunk in ((1, 2048), (3, 7), (7, 4)):
         got = {}
-        for r in neighbors.knn_exact(df, 5, "id", "features", n_blocks=blocks).collect():
+        for r in neighbors.knn_exact(df, 5, "id", "features", n_blocks=blocks, chunk_rows=chunk).collect():
             got.setdefault(r["id"], {})[r["rank"]] = r["neighbor_id"]
         assert {i: [got[i][k] for k in range(1, 6)] for i in got} == ref
 

@@ -36,18 +36,20 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def _topk_rows(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
+def _topk_core(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
     """Per query row: the k best (score, id) pairs, ties by the lower id; self excluded.
 
     ``np.partition`` finds each row's k-th smallest score in linear time; every
     entry up to that value (ties included, so the result stays exact) is then
-    ordered by (row, score, id) with one small lexsort.
+    ordered by (row, score, id) with one small lexsort.  Returns row positions,
+    column positions, scores and 1-based ranks.
     """
     score = np.where(qid[:, None] == cid[None, :], np.inf, score)
     nq, nc = score.shape
     m = min(k, nc)
     if m == 0 or nq == 0:
-        return np.empty((0,), np.int64), np.empty((0,), np.int64), np.empty((0,)), np.empty((0,), np.int32)
+        e = np.empty((0,), np.int64)
+        return e, e, np.empty((0,)), np.empty((0,), np.int32)
     kth = np.partition(score, m - 1, axis=1)[:, m - 1] if m < nc else score.max(axis=1)
     r, c = np.nonzero(score <= kth[:, None])
     s = score[r, c]
@@ -56,30 +58,33 @@ def _topk_rows(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
     start = np.searchsorted(r, np.arange(nq))
     rank = np.arange(len(r)) - start[r] + 1
     keep = (rank <= m) & np.isfinite(s)
-    return qid[r[keep]], cid[c[keep]], s[keep], rank[keep].astype(np.int32)
+    return r[keep], c[keep], s[keep], rank[keep].astype(np.int32)
+
+
+def _topk_rows(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
+    """As ``_topk_core`` with ids instead of positions."""
+    r, c, s, rank = _topk_core(score, qid, cid, k)
+    return qid[r], cid[c], s, rank
 
 
 def _batch_topk(score, qid, cid, k):
     """Dense (rows x k) top-k for running merges; missing slots are +inf."""
-    a, b, s, rank = _topk_rows(score, qid, cid, k)
+    r, c, s, rank = _topk_core(score, qid, cid, k)
     m = min(k, score.shape[1])
     out_s = np.full((len(qid), m), np.inf)
     out_i = np.full((len(qid), m), -1, dtype=np.int64)
-    if len(a):
-        row = np.searchsorted(qid, a) if np.all(qid[:-1] <= qid[1:]) else _row_index(qid, a)
-        out_s[row, rank - 1] = s
-        out_i[row, rank - 1] = b
+    out_s[r, rank - 1] = s
+    out_i[r, rank - 1] = cid[c]
     return out_s, out_i
 
 
-def _row_index(qid: np.ndarray, a: np.ndarray) -> np.ndarray:
-    pos = {int(q): i for i, q in enumerate(qid)}
-    return np.array([pos[int(x)] for x in a], dtype=np.int64)
+CHUNK_ROWS = 2048  # query rows per distance chunk inside a task (chunk x block doubles)
 
 
-def _pair_topk(k: int, metric: str):
-    """One unordered block pair (a, b): the distance block is computed once and
-    both directions (a-rows among b-rows and b-rows among a-rows) keep a top-k."""
+def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
+    """One unordered block pair (a, b): every distance is computed once, in chunks of
+    ``chunk_rows`` a-rows against all b-rows; a-rows get their top-k per chunk, b-rows
+    keep a running top-k across chunks.  Memory is chunk_rows x block_rows doubles."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
             return pd.DataFrame({"id": [], "nid": [], "score": []})
@@ -88,16 +93,19 @@ def _pair_topk(k: int, metric: str):
         right = pdf[pdf["blk"] != a_blk]
         lv = np.stack(left["v"].to_numpy()).astype(float)
         lid = left["id"].to_numpy().astype(np.int64)
-        out = []
-        if len(right) == 0:        # diagonal pair: the block against itself
-            q, n, sc, _ = _topk_rows(_scores(lv, lv, metric), lid, lid, k)
-            out.append((q, n, sc))
-        else:
-            rv = np.stack(right["v"].to_numpy()).astype(float)
-            rid = right["id"].to_numpy().astype(np.int64)
-            block = _scores(lv, rv, metric)
-            out.append(_topk_rows(block, lid, rid, k)[:3])
-            out.append(_topk_rows(block.T, rid, lid, k)[:3])
+        diagonal = len(right) == 0
+        rv = lv if diagonal else np.stack(right["v"].to_numpy()).astype(float)
+        rid = lid if diagonal else right["id"].to_numpy().astype(np.int64)
+        out, best_r = [], None
+        for start in range(0, len(lid), chunk_rows):
+            sl = slice(start, start + chunk_rows)
+            block = _scores(lv[sl], rv, metric)
+            out.append(_topk_rows(block, lid[sl], rid, k)[:3])
+            if not diagonal:
+                best_r = _merge_topk(best_r, _batch_topk(block.T, rid, lid[sl], k), k)
+        if best_r is not None:
+            e = _emit(best_r, rid, "x")
+            out.append((e["qid"].to_numpy(), e["nid"].to_numpy(), e["score"].to_numpy()))
         return pd.DataFrame({"id": np.concatenate([o[0] for o in out]),
                              "nid": np.concatenate([o[1] for o in out]),
                              "score": np.concatenate([o[2] for o in out])})
@@ -105,16 +113,17 @@ def _pair_topk(k: int, metric: str):
 
 
 def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "features",
-              metric: str = "euclidean", block_rows: int = 4096, n_blocks: int | None = None,
-              strategy: str = "blocks") -> DataFrame:
+              metric: str = "euclidean", block_rows: int = 16384, n_blocks: int | None = None,
+              strategy: str = "blocks", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """K1: ``(id, rank, neighbor_id, distance)`` for the k nearest other rows of every row.
 
     Rows are hashed into B blocks of about ``block_rows`` rows; every unordered
     block pair (a <= b) meets once, so each row is shuffled B times and each
     distance is computed once.  ``distance`` is euclidean (``similarity`` for
     ``metric='cosine'``).  Ties go to the lower neighbor id; a row is never its
-    own neighbor (D11).  Exact search is O(n^2) work by nature; memory per task
-    is bounded by two blocks.
+    own neighbor (D11).  Exact search is O(n^2) work by nature; each row is
+    shuffled n / block_rows times, and a task holds two blocks plus one
+    ``chunk_rows`` x ``block_rows`` distance chunk.
 
     ``strategy='pivot'`` gives the same result with pivot cells and triangle-inequality
     pruning of cell pairs (``knn_pivot``): worth it for low-dimensional or clustered
@@ -135,7 +144,8 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     paired = keyed.select("id", "v", "blk", other.alias("j")).select(
         "id", "v", "blk", F.least("blk", "j").alias("pa"), F.greatest("blk", "j").alias("pb"))
-    part = paired.groupBy("pa", "pb").applyInPandas(_pair_topk(k, metric), "id long, nid long, score double")
+    part = paired.groupBy("pa", "pb").applyInPandas(_pair_topk(k, metric, chunk_rows),
+                                                     "id long, nid long, score double")
     top = topk_merge(part, ["id"], k)
     dist = F.sqrt(F.greatest(F.col("score"), F.lit(0.0))) if metric == "euclidean" else -F.col("score")
     return top.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"),

@@ -134,3 +134,20 @@ def test_strict_reader_and_missing_counts(spark):
     with pytest.raises(ValueError, match="'y'"):
         assert_complete(feats, ["x", "y"])
     assert preview(feats, 2).count() == 2
+
+
+def test_jsonl_documents(spark, tmp_path):
+    from tokenloom.sources.documents import read_documents_jsonl
+    p = tmp_path / "dump"
+    p.mkdir()
+    (p / "part-0.txt").write_text(
+        json.dumps({"path": "a/1.json", "doc": full_doc()}) + "\n" + "{broken\n"
+        + json.dumps({"path": "a/3.json", "doc": {"rhythm": {"bpm": 99.0}}}) + "\n")
+    docs = read_documents_jsonl(spark, str(p))
+    assert sorted(r["rel_path"] for r in docs.collect()) == ["a/1.json", "a/3.json"]
+    tags = spark.createDataFrame([("t1", "a/1.mp3", "rock"), ("t3", "a/3.mp3", "pop"), ("t9", "a/9.mp3", "x")],
+                                 "track_id string, path string, genre string")
+    fs = preset("full_run")
+    rows = {r["track_id"]: dict(zip(fs.names, r["features"])) for r in drop_empty_records(
+        build_feature_table(spark, tags, str(p), fs, doc_format="jsonl")).collect()}
+    assert set(rows) == {"t1", "t3"} and rows["t3"]["tempo_bpm"] == 99.0 and rows["t1"]["mfcc_std_0"] == 2.0

@@ -100,3 +100,9 @@ def test_package_zip_to_shared_path(spark, tmp_path):
     write_shared_bytes(spark, target, data)
     names = zipfile.ZipFile(io.BytesIO(open(f"{tmp_path}/pyfiles/pkg.zip", "rb").read())).namelist()
     assert "tokenloom/operators/rvq.py" in names and "tokenloom/__init__.py" in names
+
+
+@pytest.mark.parametrize("name", ["pipeline_full", "pipeline_discrimination"])
+def test_pipeline_queries_small(spark, name):
+    df = entry_mod.queries()[name](spark, SF_SMALL)
+    assert df.count() > 0

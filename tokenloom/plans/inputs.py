@@ -65,3 +65,64 @@ def multi_label_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("---", F.lower("p_brand"),
                     F.when(F.col("p_size") > 40, F.lower("p_type"))).alias("instrument"),
     )
+
+
+TAG_HEADER = "TRACK_ID\tARTIST_ID\tPATH\tTAGS"
+
+
+def _doc_struct(v, label):
+    """A feature document (full-run leaves) rendered from one 64-value embedding."""
+    g = lambda i: F.get(v, i)
+    diag = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(12)), lambda j: F.when(i == j, F.get(v, i + 13) * F.get(v, i + 13))
+        .otherwise(F.lit(0.0))))
+    keys = F.array(*[F.lit(k) for k in ["c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b"]])
+    return F.struct(
+        F.struct(F.struct(F.slice(v, 1, 13).alias("mean"), diag.alias("cov")).alias("mfcc"),
+                 F.struct(g(26).alias("mean")).alias("spectral_centroid"),
+                 F.struct(F.slice(v, 28, 6).alias("mean")).alias("spectral_contrast_coeffs"),
+                 F.struct(F.slice(v, 34, 6).alias("mean")).alias("spectral_contrast_valleys"),
+                 F.struct(g(40).alias("mean")).alias("barkbands_skewness"),
+                 F.struct(g(41).alias("mean")).alias("barkbands_kurtosis")).alias("lowlevel"),
+        F.struct((F.lit(100.0) + g(39) * 50).alias("bpm"), F.abs(g(43)).alias("onset_rate"),
+                 F.struct(g(44).alias("mean"), (g(45) * g(45)).alias("var")).alias("beats_loudness"))
+        .alias("rhythm"),
+        F.struct(F.struct(F.transform(F.slice(v, 1, 36), lambda x: F.abs(x)).alias("mean")).alias("hpcp"),
+                 F.get(keys, F.pmod(label, F.lit(12))).alias("key_key"),
+                 F.when(F.pmod(label, F.lit(2)) == 0, F.lit("major")).otherwise(F.lit("minor")).alias("key_scale"),
+                 F.abs(g(42)).alias("key_strength")).alias("tonal"))
+
+
+def render_corpus(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:
+    """Write the reference's on-disk inputs, derived by Spark from ``part`` and ``embeddings``:
+    three tag TSV folders (partial overlap, multi-tag rows longer than the header, rows
+    without a tag) and a JSON-lines feature-document dump for tracks that have an embedding.
+    Returns the paths; nothing passes through the driver."""
+    root = root.rstrip("/")
+    p = table(spark, sf_dir, "part")
+    tk = track_keys(p)
+    pid = F.col("p_partkey").cast("string")
+    fields = {
+        "genre": (F.col("p_size") <= 35, [F.concat(F.lit("genre---"), F.lower("p_type"))],
+                  F.col("p_size") > 33),
+        "mood": (F.col("p_size") >= 15, [F.concat(F.lit("mood/theme---"), F.split_part("p_name", F.lit(" "),
+                                                                                     F.lit(1)))], None),
+        "instrument": (F.col("p_size").between(10, 45),
+                       [F.concat(F.lit("instrument---"), F.lower("p_brand"))], None),
+    }
+    paths = {}
+    for cat, (keep, tag, second) in fields.items():
+        extra = (F.when(second, F.concat(F.lit(cat + "---"), F.split_part("p_name", F.lit(" "), F.lit(2))))
+                 if second is not None else F.lit(None).cast("string"))
+        tag_field = F.when(F.col("p_size") % 9 == 0, F.lit(None).cast("string")).otherwise(tag[0])
+        line = F.concat_ws("\t", tk[0], F.concat(F.lit("artist_"), pid), tk[1], tag_field, extra)
+        lines = spark.createDataFrame([(TAG_HEADER,)], "value string").unionByName(
+            p.filter(keep).select(line.alias("value")))
+        paths[cat] = f"{root}/tags/{cat}"
+        lines.write.mode("overwrite").text(paths[cat])
+    e = table(spark, sf_dir, "embeddings")
+    doc = F.to_json(F.struct(F.concat(F.lit("mp3/"), F.col("vec_id").cast("string"), F.lit(".json")).alias("path"),
+                             _doc_struct(F.col("embedding").cast("array<double>"), F.col("label")).alias("doc")))
+    paths["docs"] = f"{root}/docs"
+    e.select(doc.alias("value")).write.mode("overwrite").text(paths["docs"])
+    return paths

@@ -23,7 +23,8 @@ from ..operators import tags as TG
 from ..operators.dictlearn import fit_dictionary
 from ..sources import store
 from ..functions.json_leaf import parse
-from ..sources.documents import attach_documents, document_coverage, json_name, read_documents
+from ..sources.documents import (attach_documents, document_coverage, json_name, read_documents,
+                                 read_documents_jsonl)
 from ..sources.tags import read_tag_tsv
 from .inputs import embeddings
 
@@ -39,10 +40,19 @@ def semantic_id_counts(spark: SparkSession, sf_dir: str, ratio: float = 0.80, n_
     return idstats.id_counts(ids)
 
 
+def load_documents(spark: SparkSession, doc_root: str, doc_format: str = "files") -> DataFrame:
+    """``files``: one JSON file per track under ``doc_root``; ``jsonl``: one document per line."""
+    if doc_format == "files":
+        return read_documents(spark, doc_root)
+    if doc_format == "jsonl":
+        return read_documents_jsonl(spark, doc_root)
+    raise ValueError("doc_format must be files or jsonl")
+
+
 def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
-              multi_tag: str = "drop") -> DataFrame:
+              multi_tag: str = "drop", header: str | None = None) -> DataFrame:
     """Stages 1-2: read each category file (S1) and merge (J1 outer / J2 inner)."""
-    tables = {cat: read_tag_tsv(spark, p, cat, multi_tag) for cat, p in paths.items()}
+    tables = {cat: read_tag_tsv(spark, p, cat, multi_tag, header) for cat, p in paths.items()}
     if how == "outer":
         return TG.merge_outer(tables)
     cats = list(tables)
@@ -56,7 +66,7 @@ MAX_BROADCAST_TAG_ROWS = 5_000_000  # tag rows (keys + a few short strings) broa
 
 
 def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
-                        features: FeatureSet, strategy: str = "auto") -> DataFrame:
+                        features: FeatureSet, strategy: str = "auto", doc_format: str = "files") -> DataFrame:
     """Stage 3: tags joined to their documents (J5), catalog projection in one select.
 
     ``json_full`` records the document's relative name.  How documents meet tags:
@@ -72,7 +82,7 @@ def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
     pushed onto the document scan.  Apply ``drop_empty_records`` (P17) to the stored
     table; a malformed document parses to null and so has only null features.
     """
-    docs = read_documents(spark, doc_root)
+    docs = load_documents(spark, doc_root, doc_format)
     if strategy == "auto":
         n_tags = tags.limit(MAX_BROADCAST_TAG_ROWS + 1).count()
         strategy = "broadcast" if n_tags <= MAX_BROADCAST_TAG_ROWS else "extract_first"
@@ -118,14 +128,15 @@ def drop_empty_records(df: DataFrame, col: str = "features") -> DataFrame:
 def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
              ratio: float = 0.80, n_atoms: int = 16, n_nonzero: int = 2, max_iter: int = 200,
              batch_size: int | None = 256, threshold: int = 16, max_replication: int = 6,
-             seed: int = 42, rebuild: bool = False) -> dict[str, DataFrame]:
+             seed: int = 42, rebuild: bool = False, doc_format: str = "files",
+             tag_header: str | None = None) -> dict[str, DataFrame]:
     """Three-category pipeline (stages 1-8 of the full run)."""
     out = out_dir.rstrip("/")
     fs = preset("full_run")
-    merged = load_tags(spark, tag_paths)
+    merged = load_tags(spark, tag_paths, header=tag_header)
     # W1 runs on the tag rows before the join, so only kept tracks' documents are parsed
     feats = drop_empty_records(store.materialize(spark, f"{out}/features", lambda: build_feature_table(
-        spark, TG.filter_min_tags(merged, 2), doc_root, fs), rebuild=rebuild))
+        spark, TG.filter_min_tags(merged, 2), doc_root, fs, doc_format=doc_format), rebuild=rebuild))
     TG.assert_unique(feats, ["path"], "feature table")  # A4
     filled, _ = discriminate.fill_missing(feats)
     z, _ = linalg.standardize(filled)
@@ -141,13 +152,13 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     split = recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed)
     return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
             "variance": pca.variance_table(spark), "occupancy": idstats.occupancy(ids),
-            **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2),
+            **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2, doc_format=doc_format),
             "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
             "missing_leaves": missing_leaf_counts(feats, fs.names)}
 
 
 def tag_profiles(spark: SparkSession, merged: DataFrame, doc_root: str, cols: list[str],
-                 min_tags: int, top: int = 20) -> dict[str, DataFrame]:
+                 min_tags: int, top: int = 20, doc_format: str = "files") -> dict[str, DataFrame]:
     """The reports printed along the reference's feature stage, as tables:
     A1 document coverage, A2 tag coverage, A3 filter retention, A5 category counts,
     A6 top tags per category."""
@@ -156,7 +167,7 @@ def tag_profiles(spark: SparkSession, merged: DataFrame, doc_root: str, cols: li
     from ..functions.tags import n_tagged
     tops = [TG.top_counts(merged, c, top).withColumn("category", F.lit(c)) for c in cols]
     return {
-        "document_coverage": document_coverage(merged, read_documents(spark, doc_root)),
+        "document_coverage": document_coverage(merged, load_documents(spark, doc_root, doc_format)),
         "tag_coverage": TG.tag_coverage(merged, cols),
         "retention": TG.filter_retention(merged, n_tagged(cols) >= min_tags, cols),
         "category_counts": TG.category_counts(merged, cols),
@@ -189,7 +200,8 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
 
 def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
                        top_n: int = 10, always_include: dict[str, str] | None = None,
-                       feature_set: str = "all", rebuild: bool = False) -> dict[str, DataFrame]:
+                       feature_set: str = "all", rebuild: bool = False, doc_format: str = "files",
+                       tag_header: str | None = None) -> dict[str, DataFrame]:
     """Feature discrimination report over tracks with at least one tag.
 
     The feature table is stored first (S10, as the reference caches its feature
@@ -198,7 +210,8 @@ def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root:
     fs = preset(feature_set)
     feats = drop_empty_records(store.materialize(
         spark, f"{out_dir.rstrip('/')}/features_{feature_set}",
-        lambda: build_feature_table(spark, TG.filter_any_tag(load_tags(spark, tag_paths)), doc_root, fs),
+        lambda: build_feature_table(spark, TG.filter_any_tag(load_tags(spark, tag_paths, header=tag_header)),
+                                    doc_root, fs, doc_format=doc_format),
         rebuild=rebuild))
     tags = feats.select("track_id", "genre", "mood", "instrument")
     res = discriminate.discrimination(feats, tags, fs.names, ["genre", "mood", "instrument"], "track_id",

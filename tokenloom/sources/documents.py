@@ -28,6 +28,22 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(rel.alias("rel_path"), "text")
 
 
+def read_documents_jsonl(spark: SparkSession, path: str, path_field: str = "path",
+                         doc_field: str = "doc") -> DataFrame:
+    """S5, line layout: one JSON object per line ``{"path": <relative json name>, "doc": {...}}``.
+
+    Millions of small files are slow to list and open on any object store; a dump
+    with one document per line splits into ordinary scan partitions.  Output is the
+    same ``(rel_path, text)`` as ``read_documents``; a malformed line gives a null
+    text and so no record.
+    """
+    lines = spark.read.text(path)
+    v = F.try_parse_json(F.col("value"))
+    return lines.select(F.try_variant_get(v, f"$.{path_field}", "string").alias("rel_path"),
+                        F.to_json(F.try_variant_get(v, f"$.{doc_field}", "variant")).alias("text")) \
+        .filter(F.col("rel_path").isNotNull())
+
+
 def attach_documents(tags: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
     """Tag rows joined to their documents on the relative JSON name, then parsed.
 

@@ -59,7 +59,11 @@ def read_header(spark: SparkSession, path: str) -> str:
     return head[0][0]
 
 
-def read_tag_tsv(spark: SparkSession, path: str, category: str, multi_tag: str = "drop") -> DataFrame:
-    """``load_tag_tsv`` - one tag category file (or a folder of them)."""
-    header = read_header(spark, path)
+def read_tag_tsv(spark: SparkSession, path: str, category: str, multi_tag: str = "drop",
+                 header: str | None = None) -> DataFrame:
+    """``load_tag_tsv`` - one tag category file (or a folder of them).
+
+    ``header`` may be given when a folder holds many part files; otherwise the
+    first line of the first file is the header."""
+    header = header if header is not None else read_header(spark, path)
     return parse_tag_lines(spark.read.text(path), header, category, multi_tag)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import json_leaf as J
 from tokenloom.functions.catalog import preset
-from tokenloom.plans.pipelines import build_feature_table, drop_empty_records
+from tokenloom.plans.programs import build_feature_table, drop_empty_records
 from tokenloom.sources.documents import document_coverage, read_documents
 
 
@@ -123,7 +123,7 @@ def test_comprehensive_leaves(spark):
 
 def test_strict_reader_and_missing_counts(spark):
     from pyspark.sql.utils import AnalysisException  # noqa: F401
-    from tokenloom.plans.pipelines import assert_complete, missing_leaf_counts
+    from tokenloom.plans.programs import assert_complete, missing_leaf_counts
     from tokenloom.operators.sample import preview
     df = spark.createDataFrame([('{"a":{"b":1}}',), ('{"a":{}}',)], "t string").select(J.parse("t").alias("d"))
     with pytest.raises(Exception):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.functions.catalog import pack_wide, preset
-from tokenloom.plans import pipelines as P
+from tokenloom.plans import programs as P
 from tokenloom.sources import store
 
 GENRES = ["rock", "pop", "jazz", "folk"]

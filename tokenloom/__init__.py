@@ -5,7 +5,7 @@ Layers:
   functions/  column expressions (tag parsing, JSON leaves, feature catalog, IDs)
   operators/  DataFrame -> DataFrame operators (tags, linear algebra, RVQ,
               dictionary coding, neighbors, quality, training sets, ANOVA)
-  plans/      multi-step plans (grid searches, end-to-end pipelines, query registry)
+  plans/      multi-step plans (grid searches, end-to-end programs, query registry)
   streaming/  stateless model application on streaming DataFrames
 """
 

@@ -242,7 +242,7 @@ def comprehensive_set(use_mel_alt=False, use_energy_alt=False, extract_all=True)
 
 
 def selected_set() -> FeatureSet:
-    """The 26 selected features of the two-category pipeline."""
+    """The 26 selected features of the two-category program."""
     return FeatureSet("selected", tuple(FN))
 
 

@@ -2,8 +2,8 @@
 
 * ``semantic_id_counts``  - the minimum slice: features -> M1 -> M3 -> M4 -> M11 -> A10 input.
 * ``build_feature_table`` - tags x documents -> catalog features (stages 1-4 of the full run).
-* ``run_full``            - three-category pipeline: features, PCA, dictionary IDs, training sets.
-* ``run_two_tags``        - genre + instrument pipeline with the selected feature set.
+* ``run_full``            - three-category program: features, PCA, dictionary IDs, training sets.
+* ``run_two_tags``        - genre + instrument program with the selected feature set.
 * ``run_discrimination``  - feature discrimination report.
 
 Stage hand-offs are stored tables (S10 ``materialize``), so every stage can be
@@ -130,7 +130,7 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
              batch_size: int | None = 256, threshold: int = 16, max_replication: int = 6,
              seed: int = 42, rebuild: bool = False, doc_format: str = "files",
              tag_header: str | None = None) -> dict[str, DataFrame]:
-    """Three-category pipeline (stages 1-8 of the full run)."""
+    """Three-category program (stages 1-8 of the full run)."""
     out = out_dir.rstrip("/")
     fs = preset("full_run")
     merged = load_tags(spark, tag_paths, header=tag_header)
@@ -179,7 +179,7 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
                  ratio: float = 0.85, max_iter: int = 200, batch_size: int | None = 256,
                  threshold: int = 16, max_replication: int = 8, seed: int = 42,
                  rebuild: bool = False) -> dict[str, DataFrame]:
-    """Genre + instrument pipeline: inner merge (J2), selected features, both tags."""
+    """Genre + instrument program: inner merge (J2), selected features, both tags."""
     out = out_dir.rstrip("/")
     tags = load_tags(spark, {k: tag_paths[k] for k in ("genre", "instrument")}, how="inner")
     feats = drop_empty_records(store.materialize(spark, f"{out}/features_nomood", lambda: build_feature_table(

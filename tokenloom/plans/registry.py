@@ -1057,12 +1057,12 @@ def _corpus(spark, d):
     return root, render_corpus(spark, d, root)
 
 
-@register("pipeline_full")
-def q_pipeline_full(spark, d):
+@register("full_run")
+def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,
     R1-R4) over tag TSVs and feature documents that Spark renders from part and embeddings."""
     from .inputs import TAG_HEADER
-    from .pipelines import run_full
+    from .programs import run_full
     root, paths = _corpus(spark, d)
     tags = {c: paths[c] for c in ("genre", "mood", "instrument")}
     res = run_full(spark, tags, paths["docs"], f"{root}/out", ratio=0.8, n_atoms=16, n_nonzero=2, max_iter=5,
@@ -1070,11 +1070,11 @@ def q_pipeline_full(spark, d):
     return res["pairs"].select("track_id", "rep", "prompt", "target", "split")
 
 
-@register("pipeline_discrimination")
-def q_pipeline_discrimination(spark, d):
+@register("discrimination_run")
+def q_discrimination_run(spark, d):
     """The discrimination program end to end (S1, J1, W4, catalog, P18, A7, W6, A14, S11)."""
     from .inputs import TAG_HEADER
-    from .pipelines import run_discrimination
+    from .programs import run_discrimination
     root, paths = _corpus(spark, d)
     tags = {c: paths[c] for c in ("genre", "mood", "instrument")}
     res = run_discrimination(spark, tags, paths["docs"], f"{root}/out", top_n=10, feature_set="full_run",
@@ -1085,5 +1085,5 @@ def q_pipeline_discrimination(spark, d):
 @register("flagship")
 def q_flagship(spark, d):
     """Minimum slice: embeddings -> M1 -> M3(0.80) -> M4(L=2, K=8) -> M11 -> rows per ID."""
-    from .pipelines import semantic_id_counts
+    from .programs import semantic_id_counts
     return semantic_id_counts(spark, d)

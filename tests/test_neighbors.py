@@ -110,3 +110,15 @@ def test_candidate_cells_prune_clusters():
     radius = np.array([dp[cell == c].max() for c in range(4)])
     cands = neighbors.candidate_cells(piv, counts, radius, 5)
     assert [list(c) for c in cands] == [[0], [1], [2], [3]]   # far-apart clusters: only the own cell
+
+
+def test_knn_with_empty_blocks(spark):
+    """Many more blocks than rows: most blocks are empty and must contribute nothing."""
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(12, 3))
+    df = make(spark, x)
+    ref = brute_knn(x, 3)
+    got = {}
+    for r in neighbors.knn_exact(df, 3, "id", "features", n_blocks=40).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbor_id"]
+    assert {i: [got[i][j] for j in range(1, 4)] for i in got} == ref

@@ -88,12 +88,14 @@ def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
             return pd.DataFrame({"id": [], "nid": [], "score": []})
-        a_blk = pdf["pa"].iloc[0]
+        a_blk, b_blk = pdf["pa"].iloc[0], pdf["pb"].iloc[0]
+        diagonal = a_blk == b_blk          # from the group key, never from an empty side
         left = pdf[pdf["blk"] == a_blk]
-        right = pdf[pdf["blk"] != a_blk]
+        right = pdf[pdf["blk"] == b_blk]
+        if len(left) == 0 or (not diagonal and len(right) == 0):
+            return pd.DataFrame({"id": [], "nid": [], "score": []})
         lv = np.stack(left["v"].to_numpy()).astype(float)
         lid = left["id"].to_numpy().astype(np.int64)
-        diagonal = len(right) == 0
         rv = lv if diagonal else np.stack(right["v"].to_numpy()).astype(float)
         rid = lid if diagonal else right["id"].to_numpy().astype(np.int64)
         out, best_r = [], None

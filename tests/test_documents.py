@@ -151,3 +151,11 @@ def test_jsonl_documents(spark, tmp_path):
     rows = {r["track_id"]: dict(zip(fs.names, r["features"])) for r in drop_empty_records(
         build_feature_table(spark, tags, str(p), fs, doc_format="jsonl")).collect()}
     assert set(rows) == {"t1", "t3"} and rows["t3"]["tempo_bpm"] == 99.0 and rows["t1"]["mfcc_std_0"] == 2.0
+
+
+def test_array_leaf_ravel(spark):
+    docs = ['{"t":{"h":{"mean":[[1,2],[3,4]]}}}', '{"t":{"h":{"mean":7}}}', '{"t":{"h":{"mean":[5,6]}}}',
+            '{"t":{"h":{}}}']
+    df = spark.createDataFrame([(d,) for d in docs], "t string").select(J.parse("t").alias("d"))
+    got = [r[0] for r in df.select(J.array_leaf(F.col("d"), "t.h.mean")).collect()]
+    assert got == [[1.0, 2.0, 3.0, 4.0], [7.0], [5.0, 6.0], None]

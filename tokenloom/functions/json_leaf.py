@@ -52,8 +52,14 @@ def stat(doc: Column, path: str, name: str) -> Column:
 
 
 def array_leaf(doc: Column, path: str) -> Column:
-    """Numeric array leaf."""
-    return F.try_variant_get(doc, _p(path), "array<double>")
+    """Numeric array leaf, flattened like ``ravel``: a 2-D leaf gives its rows one
+    after another, a scalar gives a one-element array."""
+    p = _p(path)
+    scalar_ = F.try_variant_get(doc, p, "double")
+    nested = F.try_variant_get(doc, p + "[0]", "array<double>").isNotNull()
+    return (F.when(scalar_.isNotNull(), F.array(scalar_))
+            .when(nested, F.flatten(F.try_variant_get(doc, p, "array<array<double>>")))
+            .otherwise(F.try_variant_get(doc, p, "array<double>")))
 
 
 def matrix_leaf(doc: Column, path: str) -> Column:

@@ -157,6 +157,7 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
 # ---- pivot-pruned exact kNN -------------------------------------------------------
 
 MAX_PIVOTS = 4096
+ROUTE_ROWS = 65536  # rows per routed Arrow batch
 
 
 def _assign_cells(pivots: np.ndarray):
@@ -236,22 +237,15 @@ def _route(cands: list[np.ndarray], subs: np.ndarray):
             for c in np.unique(cell):
                 idx = np.nonzero(cell == c)[0]
                 me = me_all[idx]
-                tq = blocks(cands[c])                    # as queries
-                tc = blocks(wanted_by.get(int(c), ()))   # as corpus rows
-                parts = []
-                if len(tq):
-                    parts.append(pd.DataFrame({"qb": np.repeat(me, len(tq)), "cb": np.tile(tq, len(idx)),
-                                               "role": np.int8(0), "r": np.repeat(idx, len(tq))}))
-                if len(tc):
-                    parts.append(pd.DataFrame({"qb": np.tile(tc, len(idx)), "cb": np.repeat(me, len(tc)),
-                                               "role": np.int8(1), "r": np.repeat(idx, len(tc))}))
-                if not parts:
-                    continue
-                out = pd.concat(parts, ignore_index=True)
-                r = out.pop("r").to_numpy()
-                out["id"] = ids[r]
-                out["v"] = vec[r]
-                yield out
+                for role, targets in ((0, blocks(cands[c])), (1, blocks(wanted_by.get(int(c), ())))):
+                    # yield in pieces of <= ROUTE_ROWS output rows: each carries its vector
+                    step = max(1, ROUTE_ROWS // max(1, len(idx)))
+                    for t0 in range(0, len(targets), step):
+                        t = targets[t0:t0 + step]
+                        mine, other = np.repeat(me, len(t)), np.tile(t, len(idx))
+                        r = np.repeat(idx, len(t))
+                        yield pd.DataFrame({"qb": mine if role == 0 else other, "cb": other if role == 0 else mine,
+                                            "role": np.int8(role), "id": ids[r], "v": vec[r]})
     return run
 
 

@@ -103,3 +103,12 @@ def test_check_tag_distribution_and_attach(spark):
     ids = spark.createDataFrame([("t1", "<001>"), ("t3", "<002>")], "track_id string, semantic_id string")
     got = {r["track_id"]: r["semantic_id"] for r in TG.attach_ids(df, ids).collect()}
     assert got == {"t1": "<001>", "t2": None, "t3": "<002>"}
+
+
+def test_scan_report(spark, tmp_path):
+    from tokenloom.sources.tags import scan_report
+    path = write(tmp_path, "r.tsv", [HEADER, "t1\ta/1.mp3\tx\tgenre---rock\tgenre---pop", "t2\ta/2.mp3\tx\tgenre---a",
+                                     "t3\ta/3.mp3\tx", "t4"])
+    r = scan_report(spark, path).collect()[0]
+    assert (r["n_rows"], r["n_long"], r["n_short"], r["n_null_key"], r["n_kept"]) == (4, 1, 2, 1, 2)
+    assert read_tag_tsv(spark, path, "genre").count() == r["n_kept"]

@@ -67,3 +67,21 @@ def read_tag_tsv(spark: SparkSession, path: str, category: str, multi_tag: str =
     first line of the first file is the header."""
     header = header if header is not None else read_header(spark, path)
     return parse_tag_lines(spark.read.text(path), header, category, multi_tag)
+
+
+def scan_report(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """S2/D2/D3 profile of a tag file in one aggregation: data rows, rows longer than the
+    header (several tab-separated tags, skipped by default), rows shorter than the header
+    (kept, missing fields null), rows without a key (dropped), rows kept."""
+    header = header if header is not None else read_header(spark, path)
+    names = [h.strip().lower() for h in header.split("\t")]
+    n = len(names)
+    f = F.split(F.col("value"), "\t")
+    rows = spark.read.text(path).filter(F.col("value") != F.lit(header)).select(f.alias("f"))
+    key_missing = (F.get(F.col("f"), names.index("track_id")).isNull()
+                   | F.get(F.col("f"), names.index("path")).isNull())
+    return rows.agg(F.count("*").alias("n_rows"),
+                    F.count_if(F.size("f") > n).alias("n_long"),
+                    F.count_if(F.size("f") < n).alias("n_short"),
+                    F.count_if((F.size("f") <= n) & key_missing).alias("n_null_key"),
+                    F.count_if((F.size("f") <= n) & ~key_missing).alias("n_kept"))

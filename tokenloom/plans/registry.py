@@ -1057,6 +1057,19 @@ def _corpus(spark, d):
     return root, render_corpus(spark, d, root)
 
 
+@register("tag_scan_report", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE p_size > 33) AS n_long,
+       count(*) FILTER (WHERE p_size % 9 = 0) AS n_short, CAST(0 AS BIGINT) AS n_null_key,
+       count(*) FILTER (WHERE p_size <= 33) AS n_kept
+FROM part WHERE p_size <= 35""")
+def q_tag_scan_report(spark, d):
+    """S1-S3 on a real TSV folder that Spark renders from part: long, short and kept rows."""
+    from ..sources.tags import scan_report
+    from .inputs import TAG_HEADER
+    _, paths = _corpus(spark, d)
+    return scan_report(spark, paths["genre"], TAG_HEADER)
+
+
 @register("full_run")
 def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_leaf as J
-from ..functions.catalog import FB, FC, FeatureSet
+from ..functions.catalog import FB, FC, FeatureSet, preset
 from ..functions.ids import codes_to_id, id_second_token
 from ..functions.tags import grab_tag
 from ..functions.vectors import l2_normalize, pick_indices, round_all
@@ -1070,6 +1070,44 @@ def q_tag_scan_report(spark, d):
     return scan_report(spark, paths["genre"], TAG_HEADER)
 
 
+FEATURE_TABLE_SQL = """
+WITH g AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE lower(p_type) END AS genre
+           FROM part WHERE p_size <= 33),
+m AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE split_part(p_name, ' ', 1) END AS mood
+      FROM part WHERE p_size >= 15),
+i AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE lower(p_brand) END AS instrument
+      FROM part WHERE p_size BETWEEN 10 AND 45),
+mg AS (SELECT k, coalesce(genre, '') AS genre, coalesce(mood, '') AS mood, coalesce(instrument, '') AS instrument
+       FROM g FULL OUTER JOIN m USING (k) FULL OUTER JOIN i USING (k)),
+kept AS (SELECT k FROM mg WHERE CAST(genre <> '' AS INT) + CAST(mood <> '' AS INT) + CAST(instrument <> '' AS INT) >= 2),
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kv AS (SELECT vec_id, abs(v[43]) AS s, label % 2 = 0 AS major,
+              ((CASE WHEN label % 2 = 0 THEN label % 12 ELSE (label % 12 + 3) % 12 END) * 7 % 12) * (2 * pi() / 12) AS th
+       FROM e)
+SELECT 'track_' || CAST(e.vec_id AS VARCHAR) AS track_id, list_transform(
+  v[1:13] || list_transform(v[14:26], lambda x: sqrt(x * x)) || [v[27]] || v[28:33] || v[34:39]
+  || list_transform(v[1:36], lambda x: abs(x)) || [100.0 + v[40] * 50] || [v[41], v[42]]
+  || [kv.s * cos(kv.th), kv.s * sin(kv.th), CASE WHEN kv.major THEN 0.5 ELSE -0.5 END * kv.s]
+  || [abs(v[44])] || [v[45], sqrt(v[46] * v[46])],
+  lambda x: round(x, 6) + 0.0) AS features
+FROM e JOIN kept ON kept.k = e.vec_id JOIN kv USING (vec_id)
+"""
+
+
+@register("feature_table", FEATURE_TABLE_SQL)
+def q_feature_table(spark, d):
+    """S1-S5, J1, W1, J5, the full-run catalog and P17 over real TSV folders and a JSON-lines
+    document dump that Spark renders from part and embeddings."""
+    from .inputs import TAG_HEADER
+    from .programs import build_feature_table, drop_empty_records, load_tags
+    _, paths = _corpus(spark, d)
+    tags = TG.filter_min_tags(load_tags(spark, {c: paths[c] for c in ("genre", "mood", "instrument")},
+                                        header=TAG_HEADER), 2)
+    feats = drop_empty_records(build_feature_table(spark, tags, paths["docs"], preset("full_run"),
+                                                   doc_format="jsonl"))
+    return feats.select("track_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
 @register("full_run")
 def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,

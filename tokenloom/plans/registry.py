@@ -1105,7 +1105,10 @@ def q_feature_table(spark, d):
                                         header=TAG_HEADER), 2)
     feats = drop_empty_records(build_feature_table(spark, tags, paths["docs"], preset("full_run"),
                                                    doc_format="jsonl"))
-    return feats.select("track_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    width = preset("full_run").width
+    # element-wise rounding: a transform() over the inlined feature array would run interpreted
+    return feats.select("track_id", F.array(*[F.round(F.get("features", i), 6) for i in range(width)])
+                        .alias("features"))
 
 
 @register("full_run")

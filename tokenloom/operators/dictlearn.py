@@ -174,7 +174,11 @@ def sum_partials(df: DataFrame, col: str = "stats", fanout: int = 64) -> np.ndar
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    if df.rdd.getNumPartitions() <= fanout:
+    try:
+        few = df.rdd.getNumPartitions() <= fanout
+    except Exception:  # no RDD view (Spark Connect): always take the two-level sum
+        few = False
+    if few:
         # at most one model-sized row per partition: no second stage needed
         rows = df.select(col).collect()
         return np.sum([np.asarray(r[0], dtype=float) for r in rows], axis=0) if rows else None

@@ -80,7 +80,17 @@ def ship_package(spark: SparkSession) -> None:
     file, a cluster session writes it to the shared checkpoint folder first (never a
     machine-local folder) and adds it from there.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect session: ship through the artifact API instead
+        key = f"connect:{id(spark)}"
+        if key not in _SHIPPED:
+            target = os.path.join(tempfile.mkdtemp(prefix="tokenloom-pyfiles-"), "tokenloom.zip")
+            with open(target, "wb") as fh:
+                fh.write(_package_zip())
+            spark.addArtifacts(target, pyfile=True)
+            _SHIPPED.add(key)
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return

@@ -122,3 +122,21 @@ def test_knn_with_empty_blocks(spark):
     for r in neighbors.knn_exact(df, 3, "id", "features", n_blocks=40).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["neighbor_id"]
     assert {i: [got[i][j] for j in range(1, 4)] for i in got} == ref
+
+
+def test_knn_string_ids(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(f"track_{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)],
+                               "track_id string, features array<double>")
+    ref = brute_knn(x, 4)
+    for strategy in ("blocks", "pivot"):
+        got = {}
+        for r in neighbors.knn_exact(df, 4, "track_id", "features", n_blocks=3 if strategy == "blocks" else None,
+                                     block_rows=16, strategy=strategy).collect():
+            got.setdefault(r["track_id"], {})[r["rank"]] = r["neighbor_id"]
+        assert {int(i[6:]): [int(got[i][j][6:]) for j in range(1, 5)] for i in got} == ref
+    qs = df.filter("track_id < 'track_005'")
+    top = neighbors.query_topk(df, qs, 3, "track_id", "features", "euclidean").filter("kind = 'all'").collect()
+    assert {r["qid"] for r in top} == {f"track_{i:03d}" for i in range(5)} and all(
+        isinstance(r["nid"], str) for r in top)

@@ -140,3 +140,17 @@ def test_rvq_ids_persist_and_reload(spark, tmp_path):
                                               batch_size=None, id_col="id")
     dagain = P.load_dictionary_ids(df, str(tmp_path), "dl")
     assert {r["id"]: r["semantic_id"] for r in dids.collect()} == {r["id"]: r["semantic_id"] for r in dagain.collect()}
+
+
+@pytest.mark.parametrize("method", ["rvq", "dictionary"])
+def test_run_semantic_ids(spark, tmp_path, method):
+    rng = np.random.default_rng(20)
+    lab = rng.integers(0, 3, size=120)
+    df = spark.createDataFrame([(f"t{i}", [float(v) for v in rng.normal(lab[i] * 3, 0.5, 4)], ["a", "b", "c"][lab[i]])
+                                for i in range(120)], "track_id string, features array<double>, genre string")
+    grid = ({"n_levels_list": [2], "n_clusters_list": [3, 4], "n_init_values": [1], "max_iter": 5} if method == "rvq"
+            else {"n_nonzero_list": [1, 2], "n_atoms_list": [4], "batch_sizes": [None], "max_iter": 2})
+    res = P.run_semantic_ids(spark, df, str(tmp_path), method, tag_cols=["genre"], k=5, search=grid)
+    assert res["search"].count() == 2 and res["ids"].count() == 120
+    q = res["quality"].collect()[0]
+    assert 0 <= q["cluster_micro"] <= 1 and q["neighbor_micro"] > 0.9

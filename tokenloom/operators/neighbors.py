@@ -78,6 +78,30 @@ def _batch_topk(score, qid, cid, k):
     return out_s, out_i
 
 
+def numeric_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Integer ids are used as they are.  Any other id type gets an exact dense surrogate
+    (1..n in seeded hash order, distributed ranking, no collisions); returns the frame
+    with ``_nid`` and the ``(_nid, id)`` mapping to translate results back."""
+    from pyspark.sql.types import IntegralType
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        return df.withColumn("_nid", F.col(id_col).cast("bigint")), None
+    from ..functions.hashing import seeded_key
+    from .recsets import global_rank
+    ids = df.select(id_col).distinct()
+    mapping = global_rank(ids, seeded_key(0, F.col(id_col))).select(F.col("rank").alias("_nid"), id_col)
+    return df.join(mapping, id_col), mapping
+
+
+def _back(res: DataFrame, mapping: DataFrame | None, cols: dict[str, str]) -> DataFrame:
+    """Translate surrogate id columns of a result back to the original ids."""
+    if mapping is None:
+        return res
+    for col, name in cols.items():
+        m = mapping.select(F.col("_nid").alias(col), F.col(mapping.columns[1]).alias(f"_{name}"))
+        res = res.join(m, col).drop(col).withColumnRenamed(f"_{name}", name)
+    return res
+
+
 CHUNK_ROWS = 2048  # query rows per distance chunk inside a task (chunk x block doubles)
 
 
@@ -136,7 +160,8 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
         return knn_pivot(df, k, id_col, vec_col, metric, block_rows)
     if strategy != "blocks":
         raise ValueError("strategy must be 'blocks' or 'pivot'")
-    base = df.select(F.col(id_col).cast("bigint").alias("id"), as_doubles(vec_col).alias("v"))
+    num, mapping = numeric_ids(df.select(id_col, vec_col), id_col)
+    base = num.select(F.col("_nid").alias("id"), as_doubles(vec_col).alias("v"))
     if metric == "cosine":
         base = base.withColumn("v", l2_normalize("v"))
     if n_blocks is None:
@@ -150,8 +175,12 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
                                                      "id long, nid long, score double")
     top = topk_merge(part, ["id"], k)
     dist = F.sqrt(F.greatest(F.col("score"), F.lit(0.0))) if metric == "euclidean" else -F.col("score")
-    return top.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"),
-                      dist.alias("distance" if metric == "euclidean" else "similarity"))
+    dname = "distance" if metric == "euclidean" else "similarity"
+    res = top.select("id", "rank", "nid", dist.alias(dname))
+    if mapping is not None:
+        res = _back(res, mapping, {"id": "__id", "nid": "__nid"}).select(
+            F.col("__id").alias("id"), "rank", F.col("__nid").alias("nid"), dname)
+    return res.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"), dname)
 
 
 # ---- pivot-pruned exact kNN -------------------------------------------------------
@@ -277,7 +306,8 @@ def knn_pivot(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     4. Cells are split into sub-blocks of <= block_rows rows (a hot cell becomes many
        bounded groups); each (query sub-block, corpus sub-block) pair is one grouped task.
     """
-    base = df.select(F.col(id_col).cast("bigint").alias("id"), as_doubles(vec_col).alias("v"))
+    num, mapping = numeric_ids(df.select(id_col, vec_col), id_col)
+    base = num.select(F.col("_nid").alias("id"), as_doubles(vec_col).alias("v"))
     if metric == "cosine":
         base = base.withColumn("v", l2_normalize("v"))
     n = base.count()
@@ -301,8 +331,12 @@ def knn_pivot(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     part = routed.groupBy("qb", "cb").applyInPandas(_group_topk(k, metric), "id long, nid long, score double")
     top = topk_merge(part, ["id"], k)
     dist = F.sqrt(F.greatest(F.col("score"), F.lit(0.0))) if metric == "euclidean" else -F.col("score")
-    return top.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"),
-                      dist.alias("distance" if metric == "euclidean" else "similarity"))
+    dname = "distance" if metric == "euclidean" else "similarity"
+    res = top.select("id", "rank", "nid", dist.alias(dname))
+    if mapping is not None:
+        res = _back(res, mapping, {"id": "__id", "nid": "__nid"}).select(
+            F.col("__id").alias("id"), "rank", F.col("__nid").alias("nid"), dname)
+    return res.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"), dname)
 
 
 # ---- query samples -----------------------------------------------------------------
@@ -370,7 +404,13 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     rows sharing a token with the query at some level.
     """
     vec = l2_normalize(as_doubles(vec_col)) if normalize and metric == "cosine" else as_doubles(vec_col)
-    cols = [F.col(id_col).cast("bigint").alias("id"), vec.alias("v")]
+    keep = [id_col, vec_col] + ([codes_col] if codes_col else [])
+    corpus, mapping = numeric_ids(corpus.select(*keep), id_col)
+    if mapping is not None:  # queries are rows of the corpus: same surrogate ids
+        queries = queries.select(*keep).join(mapping, id_col)
+    else:
+        queries = queries.select(*keep).withColumn("_nid", F.col(id_col).cast("bigint"))
+    cols = [F.col("_nid").alias("id"), vec.alias("v")]
     if codes_col:
         cols.append(F.col(codes_col).alias("codes"))
     qrows = queries.select(*cols).limit(MAX_QUERIES + 1).collect()
@@ -386,7 +426,11 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
                            "qid long, nid long, score double, kind string")
     top = topk_merge(part, ["qid", "kind"], k)
     sc = -F.col("score") if metric == "cosine" else F.col("score")
-    return top.select("qid", "kind", "rank", "nid", sc.alias("score"))
+    res = top.select("qid", "kind", "rank", "nid", sc.alias("score"))
+    if mapping is not None:
+        res = _back(res, mapping, {"qid": "__q", "nid": "__n"}).select(
+            F.col("__q").alias("qid"), "kind", "rank", F.col("__n").alias("nid"), "score")
+    return res
 
 
 def token_candidates(codes: DataFrame, queries: DataFrame, id_col: str = "id",
@@ -423,7 +467,9 @@ def index_recall(df: DataFrame, k: int = 10, n_queries: int = 50, seed: int = 42
     # top-k rows (splitting them into two joined branches would scan the corpus twice)
     both = top.groupBy("qid", "nid").agg(F.count_distinct("kind").alias("kinds")).filter(F.col("kinds") == 2)
     hits = both.groupBy("qid").agg(F.count("*").alias("hits"))
-    qids = spark.createDataFrame([(int(r[id_col]),) for r in qrows], "qid long")
+    from pyspark.sql.types import StructField, StructType
+    qids = spark.createDataFrame([(r[id_col],) for r in qrows],
+                                 StructType([StructField("qid", schema[id_col].dataType)]))
     per_q = (qids.join(hits, "qid", "left")
              .select("qid", (F.coalesce(F.col("hits"), F.lit(0)) / F.lit(float(k))).alias("recall")))
     if detail:

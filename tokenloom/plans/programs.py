@@ -267,3 +267,31 @@ def load_dictionary_ids(df: DataFrame, out_dir: str, name: str = "best_dl", col:
     from ..operators.dictlearn import load_dictionary
     tables = store.load_model(df.sparkSession, out_dir, name, ["dictionary", "config"])
     return load_dictionary(tables).transform(df, col).withColumn("semantic_id", codes_to_id("codes"))
+
+
+def run_semantic_ids(spark: SparkSession, scores: DataFrame, out_dir: str, method: str = "dictionary",
+                     id_col: str = "track_id", tag_cols: list[str] | None = None, k: int = 20,
+                     search: dict | None = None, seed: int = 42) -> dict[str, DataFrame]:
+    """The semantic-ID program: grid search (M14 or M15), persist the best model (S9),
+    IDs for every row (M5/M10 + M11), statistics (A11) and quality per tag column (A13)."""
+    from .search import search_dictionary, search_rvq
+    search = dict(search or {})
+    out = out_dir.rstrip("/")
+    if method == "rvq":
+        results, book = search_rvq(scores, id_col=id_col, seed=seed, **search)
+        store.save_model(spark, out, "best_kmeans", {"codebook": book})
+        ids = rvq.apply_rvq(scores, book)
+    elif method == "dictionary":
+        results, model = search_dictionary(scores, id_col=id_col, seed=seed, **search)
+        store.save_model(spark, out, "best_dl", model.tables(spark))
+        ids = model.transform(scores)
+    else:
+        raise ValueError("method must be rvq or dictionary")
+    ids = store.materialize(spark, f"{out}/dataset_with_semantic_ids",
+                            lambda: ids.withColumn("semantic_id", codes_to_id("codes")), rebuild=True)
+    res = {"search": results, "ids": ids, "id_detail": idstats.occupancy_detail(ids),
+           "top_ids": idstats.top_ids(ids, 10)}
+    if tag_cols:
+        from ..operators.quality import quality_report
+        res["quality"] = quality_report(ids, tag_cols, "semantic_id", id_col, "features", k)
+    return res

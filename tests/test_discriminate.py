@@ -55,3 +55,17 @@ def test_discrimination_end_to_end(spark):
     assert summ["genre"]["n_features"] == 2
     pairs = D.feature_pairs(res, ["category"], 2).filter("category = 'genre'").collect()
     assert (pairs[0]["feature_x"], pairs[0]["feature_y"]) == ("sep", "noise")
+
+
+def test_plot_inputs(spark):
+    names = ["spec_contrast_mean_0", "spec_valley_mean_0", "spec_contrast_mean_1", "key_vector_x",
+             "key_vector_y", "key_vector_z"]
+    assert D.contrast_valley_pairs(names) == [("spec_contrast_mean_0", "spec_valley_mean_0")]
+    f = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 0.1, 0.2, 0.3]), (2, [4.0, 5.0, 6.0, 0.4, 0.5, 0.6])],
+                              "track_id int, features array<double>")
+    lab = spark.createDataFrame([(1, "rock"), (3, "pop")], "track_id int, label string")
+    pv = D.pair_values(f, lab, names, D.contrast_valley_pairs(names)).collect()
+    assert [(r["pair"], r["x"], r["y"], r["label"]) for r in pv] == [
+        ("spec_contrast_mean_0|spec_valley_mean_0", 1.0, 2.0, "rock")]
+    tv = D.tonal_vectors(f, lab, names).collect()
+    assert [(r["x"], r["y"], r["z"]) for r in tv] == [(0.1, 0.2, 0.3)]

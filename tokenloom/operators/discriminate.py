@@ -217,3 +217,28 @@ def value_quantiles(long: DataFrame, group_cols: list[str], value_col: str = "va
     return (long.groupBy(*group_cols).agg(F.count("*").alias("n"), q.alias("q"))
             .select(*group_cols, "n", F.get("q", 0).alias("q25"), F.get("q", 1).alias("median"),
                     F.get("q", 2).alias("q75")))
+
+
+def contrast_valley_pairs(names: list[str]) -> list[tuple[str, str]]:
+    """Fixed scatter pairs: spectral contrast i against spectral valley i, when both exist."""
+    have = set(names)
+    return [(f"spec_contrast_mean_{i}", f"spec_valley_mean_{i}") for i in range(6)
+            if f"spec_contrast_mean_{i}" in have and f"spec_valley_mean_{i}" in have]
+
+
+def pair_values(features: DataFrame, labels: DataFrame, names: list[str], pairs: list[tuple[str, str]],
+                key: str = "track_id", col: str = "features", label_col: str = "label") -> DataFrame:
+    """Scatter input (T5 pairs or fixed pairs): ``(pair, x, y, label)`` per labeled track and pair."""
+    idx = {n: i for i, n in enumerate(names)}
+    arr = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.get(F.col(col), idx[a]).alias("x"),
+                             F.get(F.col(col), idx[b]).alias("y")) for a, b in pairs])
+    j = labels.select(key, label_col).join(features.select(key, col), key)
+    return j.select(label_col, F.explode(arr).alias("p")).select("p.pair", "p.x", "p.y", label_col)
+
+
+def tonal_vectors(features: DataFrame, labels: DataFrame, names: list[str], key: str = "track_id",
+                  col: str = "features", label_col: str = "label") -> DataFrame:
+    """3-D tonal plot input: the key vector of every labeled track."""
+    idx = {n: i for i, n in enumerate(names)}
+    j = labels.select(key, label_col).join(features.select(key, col), key)
+    return j.select(key, label_col, *[F.get(F.col(col), idx[f"key_vector_{a}"]).alias(a) for a in "xyz"])

@@ -109,6 +109,8 @@ def test_run_discrimination(spark, corpus):
     top = d.filter("category = 'genre' AND rank = 1").collect()[0]
     assert top["significant"] and top["f_statistic"] > 10
     assert {r["category"] for r in res["summary"].collect()} == {"genre", "mood", "instrument"}
+    assert res["contrast_valley"].select("pair").distinct().count() == 6
+    assert res["tonal"].filter("x IS NULL").count() == 0
 
 
 def test_csv_round_trip_and_wide_pack(spark, tmp_path):

@@ -232,13 +232,15 @@ def pair_values(features: DataFrame, labels: DataFrame, names: list[str], pairs:
     idx = {n: i for i, n in enumerate(names)}
     arr = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.get(F.col(col), idx[a]).alias("x"),
                              F.get(F.col(col), idx[b]).alias("y")) for a, b in pairs])
-    j = labels.select(key, label_col).join(features.select(key, col), key)
-    return j.select(label_col, F.explode(arr).alias("p")).select("p.pair", "p.x", "p.y", label_col)
+    carry = [c for c in labels.columns if c != key]          # label plus e.g. category
+    j = labels.join(features.select(key, col), key)
+    return j.select(*carry, F.explode(arr).alias("p")).select("p.pair", "p.x", "p.y", *carry)
 
 
 def tonal_vectors(features: DataFrame, labels: DataFrame, names: list[str], key: str = "track_id",
                   col: str = "features", label_col: str = "label") -> DataFrame:
     """3-D tonal plot input: the key vector of every labeled track."""
     idx = {n: i for i, n in enumerate(names)}
-    j = labels.select(key, label_col).join(features.select(key, col), key)
-    return j.select(key, label_col, *[F.get(F.col(col), idx[f"key_vector_{a}"]).alias(a) for a in "xyz"])
+    carry = [c for c in labels.columns if c != key]
+    j = labels.join(features.select(key, col), key)
+    return j.select(key, *carry, *[F.get(F.col(col), idx[f"key_vector_{a}"]).alias(a) for a in "xyz"])

@@ -221,8 +221,16 @@ def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root:
     res = discriminate.discrimination(feats, tags, fs.names, ["genre", "mood", "instrument"], "track_id",
                                       "features", top_n, always_include if always_include is not None
                                       else {"mood": "sad"})
-    return {"discrimination": res, "summary": discriminate.discrimination_summary(res),
-            "pairs": discriminate.feature_pairs(res, ["category"], 6)}
+    always = always_include if always_include is not None else {"mood": "sad"}
+    labels, top = discriminate.single_top_labels(tags, ["genre", "mood", "instrument"], "track_id", top_n, always)
+    out = {"discrimination": res, "summary": discriminate.discrimination_summary(res),
+           "pairs": discriminate.feature_pairs(res, ["category"], 6), "top_tags": top}
+    cv = discriminate.contrast_valley_pairs(fs.names)
+    if cv:  # T9-style plot inputs
+        out["contrast_valley"] = discriminate.pair_values(feats, labels, fs.names, cv)
+    if "key_vector_x" in fs.names:
+        out["tonal"] = discriminate.tonal_vectors(feats, labels, fs.names)
+    return out
 
 
 def labeled(df: DataFrame, col: str) -> DataFrame:

@@ -50,7 +50,8 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     names = sys.argv[1:] or HEADLINE
-    extra = {"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")}
+    memory = os.environ.get("BENCH_MEMORY", "16g")
+    extra = {"spark.driver.memory": memory}
     event_dir = os.environ.get("BENCH_EVENT_LOG")  # e.g. a fresh mktemp -d folder: stage/task times
     if event_dir:
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
@@ -63,7 +64,7 @@ def main():
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {"metric": "median_warm_sec_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "cold": cold, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-           "cpus": int(cpus), "repeat": repeat}
+           "cpus": int(cpus), "driver_memory": memory, "repeat": repeat}
     spark.stop()
     print(json.dumps(out))
 

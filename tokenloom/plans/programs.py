@@ -182,17 +182,20 @@ def tag_profiles(spark: SparkSession, merged: DataFrame, doc_root: str, cols: li
 def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
                  ratio: float = 0.85, max_iter: int = 200, batch_size: int | None = 256,
                  threshold: int = 16, max_replication: int = 8, seed: int = 42,
-                 rebuild: bool = False) -> dict[str, DataFrame]:
+                 rebuild: bool = False, doc_format: str = "files",
+                 tag_header: str | None = None) -> dict[str, DataFrame]:
     """Genre + instrument program: inner merge (J2), selected features, both tags."""
     out = out_dir.rstrip("/")
-    tags = load_tags(spark, {k: tag_paths[k] for k in ("genre", "instrument")}, how="inner")
+    tags = load_tags(spark, {k: tag_paths[k] for k in ("genre", "instrument")}, how="inner", header=tag_header)
     feats = drop_empty_records(store.materialize(spark, f"{out}/features_nomood", lambda: build_feature_table(
-        spark, TG.filter_min_tags(tags, 2, ["genre", "instrument"]), doc_root, preset("selected")),
-        rebuild=rebuild))
+        spark, TG.filter_min_tags(tags, 2, ["genre", "instrument"]), doc_root, preset("selected"),
+        doc_format=doc_format), rebuild=rebuild))
     filled, _ = discriminate.fill_missing(feats)
     z, _ = linalg.standardize(filled)
     pca = linalg.fit_pca(z, ratio=ratio)
-    scores = pca.transform(z).select("track_id", "path", "genre", "instrument", F.col("pca").alias("features"))
+    scores = store.materialize(spark, f"{out}/features_pca_nomood", lambda: pca.transform(z).select(
+        "track_id", "path", "genre", "instrument", F.col("pca").alias("features")), rebuild=rebuild)
+    store.write_table(pca.variance_table(spark), f"{out}/explained_variance_nomood")  # S8
     model = fit_dictionary(scores, min(16, pca.k), 2, max_iter, batch_size, seed=seed, id_col="track_id")
     store.save_model(spark, out, "dictionary_nomood", model.tables(spark))
     ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))

@@ -102,7 +102,7 @@ def test_package_zip_to_shared_path(spark, tmp_path):
     assert "tokenloom/operators/rvq.py" in names and "tokenloom/__init__.py" in names
 
 
-@pytest.mark.parametrize("name", ["full_run", "discrimination_run"])
+@pytest.mark.parametrize("name", ["full_run", "two_tags_run", "discrimination_run"])
 def test_program_queries_small(spark, name):
     df = entry_mod.queries()[name](spark, SF_SMALL)
     assert df.count() > 0

@@ -79,18 +79,34 @@ def _doc_struct(v, label):
     keys = F.array(*[F.lit(k) for k in ["c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b"]])
     return F.struct(
         F.struct(F.struct(F.slice(v, 1, 13).alias("mean"), diag.alias("cov")).alias("mfcc"),
+                 F.struct(F.slice(v, 47, 13).alias("mean")).alias("gfcc"),
                  F.struct(g(26).alias("mean")).alias("spectral_centroid"),
+                 F.struct(g(46).alias("mean")).alias("spectral_flux"),
+                 F.struct(g(47).alias("mean")).alias("spectral_spread"),
+                 F.struct(g(48).alias("mean")).alias("spectral_skewness"),
+                 F.struct(g(49).alias("mean")).alias("spectral_kurtosis"),
+                 F.struct(g(50).alias("mean")).alias("spectral_rms"),
+                 F.struct(g(51).alias("mean")).alias("erbbands_spread"),
+                 F.struct(g(52).alias("mean")).alias("erbbands_flatness_db"),
+                 F.struct(g(53).alias("mean")).alias("erbbands_crest"),
+                 F.struct(g(54).alias("mean")).alias("dissonance"),
+                 F.abs(g(55)).alias("average_loudness"),
+                 F.struct((g(56) * g(56)).alias("var")).alias("spectral_complexity"),
+                 F.struct(g(57).alias("mean")).alias("spectral_entropy"),
                  F.struct(F.slice(v, 28, 6).alias("mean")).alias("spectral_contrast_coeffs"),
                  F.struct(F.slice(v, 34, 6).alias("mean")).alias("spectral_contrast_valleys"),
                  F.struct(g(40).alias("mean")).alias("barkbands_skewness"),
                  F.struct(g(41).alias("mean")).alias("barkbands_kurtosis")).alias("lowlevel"),
         F.struct((F.lit(100.0) + g(39) * 50).alias("bpm"), F.abs(g(43)).alias("onset_rate"),
+                 F.abs(g(58)).alias("danceability"),
                  F.struct(g(44).alias("mean"), (g(45) * g(45)).alias("var")).alias("beats_loudness"))
         .alias("rhythm"),
         F.struct(F.struct(F.transform(F.slice(v, 1, 36), lambda x: F.abs(x)).alias("mean")).alias("hpcp"),
                  F.get(keys, F.pmod(label, F.lit(12))).alias("key_key"),
                  F.when(F.pmod(label, F.lit(2)) == 0, F.lit("major")).otherwise(F.lit("minor")).alias("key_scale"),
-                 F.abs(g(42)).alias("key_strength")).alias("tonal"))
+                 F.abs(g(42)).alias("key_strength"),
+                 F.struct(g(59).alias("mean")).alias("hpcp_entropy"),
+                 g(60).alias("tuning_equal_tempered_deviation")).alias("tonal"))
 
 
 def render_corpus(spark: SparkSession, sf_dir: str, root: str) -> dict[str, str]:

@@ -1124,6 +1124,18 @@ def q_full_run(spark, d):
     return res["pairs"].select("track_id", "rep", "prompt", "target", "split")
 
 
+@register("two_tags_run")
+def q_two_tags_run(spark, d):
+    """The genre + instrument program end to end (J2, selected features, W2, M1, M3, M6, R2-R4)
+    over rendered tag TSVs and documents."""
+    from .inputs import TAG_HEADER
+    from .programs import run_two_tags
+    root, paths = _corpus(spark, d)
+    res = run_two_tags(spark, {c: paths[c] for c in ("genre", "instrument")}, paths["docs"], f"{root}/out",
+                       max_iter=5, batch_size=256, doc_format="jsonl", tag_header=TAG_HEADER)
+    return res["pairs"].select("track_id", "rep", "prompt", "target", "split")
+
+
 @register("discrimination_run")
 def q_discrimination_run(spark, d):
     """The discrimination program end to end (S1, J1, W4, catalog, P18, A7, W6, A14, S11)."""

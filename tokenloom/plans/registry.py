@@ -1136,6 +1136,23 @@ def q_two_tags_run(spark, d):
     return res["pairs"].select("track_id", "rep", "prompt", "target", "split")
 
 
+@register("semantic_ids_run")
+def q_semantic_ids_run(spark, d):
+    """The semantic-ID program: dictionary grid search, stored best model, IDs, statistics and
+    per-category quality (A13) on standardized embeddings; returns the quality report."""
+    import uuid
+    from ..session import checkpoint_dir
+    from .programs import run_semantic_ids
+    z, _ = linalg.standardize(embeddings(spark, d))
+    ids = z.withColumn("genre", F.col("label").cast("string")).withColumn(
+        "mood", (F.col("label") / 3).cast("int").cast("string"))
+    out = f"{checkpoint_dir(spark).rstrip('/')}/semantic-{uuid.uuid4().hex[:12]}"
+    res = run_semantic_ids(spark, ids, out, "dictionary", id_col="vec_id", tag_cols=["genre", "mood"], k=20,
+                           search={"n_nonzero_list": [2, 3], "n_atoms_list": [8], "batch_sizes": [256],
+                                   "max_iter": 3})
+    return res["quality"]
+
+
 @register("discrimination_run")
 def q_discrimination_run(spark, d):
     """The discrimination program end to end (S1, J1, W4, catalog, P18, A7, W6, A14, S11)."""

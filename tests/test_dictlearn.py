@@ -68,3 +68,14 @@ def test_fit_dictionary_reduces_error(spark):
     assert out.count() == 300 and out.filter(F.size("codes") != 2).count() == 0
     mb = fit_dictionary(df, n_atoms=5, n_nonzero=2, max_iter=4, batch_size=64, alpha=0.1, id_col="id")
     assert mb.atoms.shape == (5, 8)
+
+
+def test_slot_minibatches(spark, monkeypatch):
+    """The slot-partitioned mini-batch path (used above SLOT_MIN_ROWS rows) fits as well."""
+    import tokenloom.operators.dictlearn as dl
+    monkeypatch.setattr(dl, "SLOT_MIN_ROWS", 10)
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    model = dl.fit_dictionary(df, n_atoms=4, n_nonzero=2, max_iter=6, batch_size=50, alpha=0.1, id_col="id")
+    assert model.atoms.shape == (4, 6) and len(model.history) == 6

@@ -27,6 +27,7 @@ from ..session import checkpoint_dir, cut_lineage
 EPS = float(np.finfo(float).eps)
 MAX_DICT_VALUES = 10_000_000
 MAX_SLOTS = 1024  # mini-batch slots stored as partition folders
+SLOT_MIN_ROWS = 1_000_000  # below this, sampling the checkpointed input each iteration is cheaper
 
 
 # ---- OMP (M8) -------------------------------------------------------------------
@@ -245,7 +246,7 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
     D, dim = atoms.shape
     n_total = data.count() if batch_size else None
     slots = None
-    if batch_size:
+    if batch_size and n_total > SLOT_MIN_ROWS:
         # mini-batches: rows are dealt once into slot folders in the shared checkpoint
         # area; iteration t reads slot t mod S only (partition pruning), never the whole data
         n_slots = int(min(MAX_SLOTS, max(1, math.ceil(n_total / batch_size))))
@@ -261,11 +262,14 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
     history: list[float] = []
     spare = 0
     for it in range(max_iter):
-        if batch_size:
+        if batch_size and slots is not None:
             batch = slots.filter(F.col("_slot") == it % n_slots).drop("_slot")
             frac = batch_size / max(slot_rows, 1.0)
             if frac < 1.0:
                 batch = batch.sample(withReplacement=False, fraction=frac, seed=seed + it)
+        elif batch_size:
+            frac = min(1.0, batch_size / max(n_total, 1))
+            batch = data if frac >= 1.0 else data.sample(withReplacement=False, fraction=frac, seed=seed + it)
         else:
             batch = data
         part = batch.mapInPandas(_partial_stats(atoms, fit_algorithm, alpha, n_nonzero, col),

@@ -52,3 +52,47 @@ def test_streaming_tag_files(spark, tmp_path):
     q.stop()
     got = sorted((r["track_id"], r["genre"]) for r in spark.table("tag_stream_test").collect())
     assert got == [("t1", "rock"), ("t3", "")]
+
+
+def test_stream_track_ids_equal_batch(spark, tmp_path):
+    """New documents arriving as files get the same IDs as the batch path with the same models."""
+    import json
+    import numpy as np
+    from tokenloom.functions.catalog import preset
+    from tokenloom.functions.ids import codes_to_id
+    from tokenloom.functions.vectors import nan_to_zero
+    from tokenloom.operators import linalg
+    from tokenloom.operators.rvq import apply_codebooks, fit_rvq, codebook_arrays
+    from tokenloom.functions import json_leaf as J
+    from tokenloom.streaming.apply import stream_track_ids
+    rng = np.random.default_rng(23)
+    fs = preset("selected")
+    docs = []
+    for i in range(60):
+        docs.append({"path": f"a/{i}.json", "doc": {
+            "lowlevel": {"gfcc": {"mean": list(rng.normal(i % 3, 1, 13))},
+                         "spectral_flux": {"mean": float(rng.normal())}, "dissonance": {"mean": float(rng.normal())},
+                         "average_loudness": float(rng.uniform())},
+            "rhythm": {"danceability": float(rng.uniform())}}})
+    folder = tmp_path / "incoming"
+    folder.mkdir()
+    for part in range(3):
+        (folder / f"part-{part}.json").write_text("\n".join(json.dumps(d) for d in docs[part::3]) + "\n")
+    tags = spark.createDataFrame([(f"t{i}", f"a/{i}.mp3") for i in range(60)], "track_id string, path string")
+    batch_docs = spark.createDataFrame([(d["path"], json.dumps(d["doc"])) for d in docs], "rel_path string, text string")
+    feats = (batch_docs.join(tags.withColumn("rel_path", F.replace("path", F.lit(".mp3"), F.lit(".json"))), "rel_path")
+             .select("track_id", nan_to_zero(fs.vector(J.parse("text"))).alias("features")))
+    z, scaler = linalg.standardize(feats)
+    pca = linalg.fit_pca(z, k=3)
+    scores = pca.transform(z).select("track_id", F.col("pca").alias("features"))
+    book, _, _ = fit_rvq(scores, 2, 3, 10, 1)
+    levels = codebook_arrays(book)
+    expect = {r["track_id"]: r["semantic_id"] for r in apply_codebooks(scores, levels).select(
+        "track_id", codes_to_id("codes").alias("semantic_id")).collect()}
+    q = (stream_track_ids(spark, str(folder), tags, fs, scaler, pca, levels)
+         .writeStream.format("memory").queryName("track_id_stream").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {r["track_id"]: r["semantic_id"] for r in spark.table("track_id_stream").collect()}
+    assert got == expect

@@ -51,3 +51,36 @@ def stream_codes(spark: SparkSession, folder: str, levels: list[np.ndarray],
     finally:
         q.stop()
     return spark.table(name)
+
+
+def stream_documents_jsonl(spark: SparkSession, folder: str, path_field: str = "path",
+                           doc_field: str = "doc"):
+    """New JSON-lines document files arriving in ``folder`` as ``(rel_path, doc variant)``."""
+    from pyspark.sql import functions as F
+    lines = spark.readStream.format("text").load(folder)
+    v = F.try_parse_json(F.col("value"))
+    return lines.select(F.try_variant_get(v, f"$.{path_field}", "string").alias("rel_path"),
+                        F.try_variant_get(v, f"$.{doc_field}", "variant").alias("doc")) \
+        .filter(F.col("rel_path").isNotNull())
+
+
+def stream_track_ids(spark: SparkSession, doc_folder: str, tags: DataFrame, features, scaler, pca,
+                     levels: list[np.ndarray]) -> DataFrame:
+    """Semantic IDs for tracks whose documents arrive as a stream, with stored models.
+
+    Stream-static inner join of the documents with the tag table (J5), one catalog
+    projection, missing values filled (P18), the stored scaler (M1) and PCA (M2/M3),
+    then the stored codebook (M5) and the ID string (M11).  Every step is stateless,
+    so each micro-batch is an ordinary Spark job and no state store is needed.
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions.vectors import nan_to_zero
+    from ..sources.documents import json_name
+    docs = stream_documents_jsonl(spark, doc_folder)
+    keyed = tags.withColumn("rel_path", json_name("path"))
+    joined = docs.join(keyed, "rel_path")
+    feats = joined.select("track_id", nan_to_zero(features.vector(F.col("doc"))).alias("features"))
+    z = scaler.apply(feats, "features")
+    scores = pca.transform(z, "features", "pca").select("track_id", F.col("pca").alias("features"))
+    return stream_rvq_ids(scores, levels).select("track_id", "codes", "semantic_id")

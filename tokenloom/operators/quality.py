@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -47,7 +48,8 @@ def neighbor_purity(df: DataFrame, k: int = 20, id_col: str = "id", vec_col: str
     n = labeled.count()
     if n <= k:
         return df.sparkSession.createDataFrame([(0.0, 0.0)], "micro double, macro double")
-    knn = knn_exact(labeled, k, id_col, vec_col, "euclidean", block_rows)
+    knn = knn_exact(labeled, k, id_col, vec_col, "euclidean", block_rows,
+                    n_blocks=max(1, math.ceil(n / block_rows)))  # n is known: no second count
     return neighbor_purity_from_knn(knn, labeled, k, id_col, label_col)
 
 
@@ -87,7 +89,8 @@ def quality_report(df: DataFrame, tag_cols: list[str], cluster_col: str = "seman
         for group in _same_row_sets(df, tag_cols):
             labeled = df.filter(is_tagged(F.col(group[0]).cast("string")))
             n = labeled.count()
-            knn = (knn_exact(labeled.select(id_col, vec_col), k, id_col, vec_col, "euclidean", block_rows)
+            knn = (knn_exact(labeled.select(id_col, vec_col), k, id_col, vec_col, "euclidean", block_rows,
+                             n_blocks=max(1, math.ceil(n / block_rows)))
                    if n > k else None)
             if knn is not None and len(group) > 1:
                 knn = cut_lineage(knn)  # computed once, read by every category of the group

@@ -76,6 +76,10 @@ def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
       matched documents are parsed; no document text is shuffled.
     * ``extract_first`` - every document is parsed and projected map-side, and the
       compact feature rows (not the raw JSON text) are shuffled to meet the tags.
+    * ``shuffle`` - documents and tags meet in a shuffle join on the path and only
+      matched documents are parsed; with ``spark.sql.optimizer.runtime.bloomFilter.enabled``
+      Spark prunes unmatched documents before the shuffle, so this is the better choice
+      when only a small share of a large document dump has tags.
     * ``auto`` - ``broadcast`` when the counted tag rows fit, else ``extract_first``.
 
     The result carries no filter on purpose: a filter on document columns would be

@@ -79,3 +79,12 @@ def test_slot_minibatches(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
     model = dl.fit_dictionary(df, n_atoms=4, n_nonzero=2, max_iter=6, batch_size=50, alpha=0.1, id_col="id")
     assert model.atoms.shape == (4, 6) and len(model.history) == 6
+
+
+def test_fit_independent_of_partitioning(spark):
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(300, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    a = fit_dictionary(df.repartition(2), n_atoms=4, n_nonzero=2, max_iter=4, batch_size=60, alpha=0.1, id_col="id")
+    b = fit_dictionary(df.repartition(7), n_atoms=4, n_nonzero=2, max_iter=4, batch_size=60, alpha=0.1, id_col="id")
+    assert np.allclose(a.atoms, b.atoms, atol=1e-9)

@@ -214,6 +214,11 @@ class DictionaryModel:
         return sparse_codes(df, self.atoms, self.n_nonzero, col, pad, out_cols)
 
 
+def _hash_keep(seed: int, key, fraction: float):
+    """Keep a row with probability ``fraction``, decided by md5 of (seed, key)."""
+    return hash32(seeded_key(seed, key)) < F.lit(int(fraction * (1 << 32)))
+
+
 def _normalize_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms > 0, norms, 1.0)
@@ -245,6 +250,7 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
         atoms = _normalize_rows(atoms)
     D, dim = atoms.shape
     n_total = data.count() if batch_size else None
+    row_key = F.col(id_col).cast("string") if id_col else F.to_json(F.col(col))
     slots = None
     if batch_size and n_total > SLOT_MIN_ROWS:
         # mini-batches: rows are dealt once into slot folders in the shared checkpoint
@@ -262,14 +268,16 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
     history: list[float] = []
     spare = 0
     for it in range(max_iter):
+        # mini-batches are chosen by a seeded hash of each row's key, so they do not depend
+        # on how the data happens to be partitioned (Bernoulli sampling would)
         if batch_size and slots is not None:
             batch = slots.filter(F.col("_slot") == it % n_slots).drop("_slot")
             frac = batch_size / max(slot_rows, 1.0)
             if frac < 1.0:
-                batch = batch.sample(withReplacement=False, fraction=frac, seed=seed + it)
+                batch = batch.filter(_hash_keep(seed + it, row_key, frac))
         elif batch_size:
             frac = min(1.0, batch_size / max(n_total, 1))
-            batch = data if frac >= 1.0 else data.sample(withReplacement=False, fraction=frac, seed=seed + it)
+            batch = data if frac >= 1.0 else data.filter(_hash_keep(seed + it, row_key, frac))
         else:
             batch = data
         part = batch.mapInPandas(_partial_stats(atoms, fit_algorithm, alpha, n_nonzero, col),

@@ -117,7 +117,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting must exist; a local session without it gets a
     fresh temporary folder (the test situation).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

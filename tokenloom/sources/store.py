@@ -20,7 +20,15 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
+    """A stored table is complete when its ``_SUCCESS`` marker exists."""
+    try:
+        return _fs_exists(spark, path.rstrip("/") + "/_SUCCESS")
+    except Exception:  # no JVM handle (Spark Connect): a readable table counts as complete
+        try:
+            spark.read.format("binaryFile").load(path.rstrip("/") + "/_SUCCESS").limit(1).collect()
+            return True
+        except Exception:
+            return False
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

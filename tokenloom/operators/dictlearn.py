@@ -227,11 +227,14 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
 def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_iter: int = 100,
                    batch_size: int | None = 256, alpha: float = 1.0, fit_algorithm: str = "cd",
                    seed: int = 42, col: str = "features", id_col: str | None = None) -> DictionaryModel:
-    """M6 (``batch_size`` rows sampled per iteration) or M7 (``batch_size=None``: every row).
-
-    The starting atoms are the first ``n_atoms`` rows in seeded md5 order
-    (normalized); an atom that no batch row uses is re-seeded from a further
-    row of that order.
+    """M6 (about ``batch_size`` rows per iteration) or M7 (``batch_size=None``: every row).
+
+    Mini-batch rows are chosen by a seeded md5 of the row key (``id_col``, else the
+    vector), so the fit does not depend on partitioning; above ``SLOT_MIN_ROWS`` rows
+    they come from one slot folder per iteration instead of a full scan.  The
+    starting atoms are the first ``n_atoms`` rows in seeded md5 order (normalized);
+    an atom that no batch row uses is re-seeded from a further row of that order.
+    Codes in the fit are lasso codes (coordinate descent, ``alpha``) or OMP codes.
     """
     if fit_algorithm not in ("cd", "omp"):
         raise ValueError("fit_algorithm must be 'cd' or 'omp'")

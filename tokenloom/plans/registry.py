@@ -1111,6 +1111,66 @@ def q_feature_table(spark, d):
                         .alias("features"))
 
 
+def _discrimination_program_sql() -> str:
+    names = _sql_list(preset("full_run").names)
+    return """
+WITH g AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE lower(p_type) END AS genre
+           FROM part WHERE p_size <= 33),
+m AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE split_part(p_name, ' ', 1) END AS mood
+      FROM part WHERE p_size >= 15),
+i AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE lower(p_brand) END AS instrument
+      FROM part WHERE p_size BETWEEN 10 AND 45),
+mg AS (SELECT k, coalesce(genre, '') AS genre, coalesce(mood, '') AS mood, coalesce(instrument, '') AS instrument
+       FROM g FULL OUTER JOIN m USING (k) FULL OUTER JOIN i USING (k)),
+anyt AS (SELECT * FROM mg WHERE genre <> '' OR mood <> '' OR instrument <> ''),
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kv AS (SELECT vec_id, abs(v[43]) AS s, label % 2 = 0 AS major,
+              ((CASE WHEN label % 2 = 0 THEN label % 12 ELSE (label % 12 + 3) % 12 END) * 7 % 12) * (2 * pi() / 12) AS th
+       FROM e),
+f AS (SELECT e.vec_id,
+        v[1:13] || list_transform(v[14:26], lambda x: sqrt(x * x)) || [v[27]] || v[28:33] || v[34:39]
+        || list_transform(v[1:36], lambda x: abs(x)) || [100.0 + v[40] * 50] || [v[41], v[42]]
+        || [kv.s * cos(kv.th), kv.s * sin(kv.th), CASE WHEN kv.major THEN 0.5 ELSE -0.5 END * kv.s]
+        || [abs(v[44])] || [v[45], sqrt(v[46] * v[46])] AS fv
+      FROM e JOIN anyt ON anyt.k = e.vec_id JOIN kv USING (vec_id)),
+fl AS (SELECT vec_id, generate_subscripts(fv, 1) - 1 AS i, unnest(fv) AS x FROM f),
+st AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM fl GROUP BY i),
+z AS (SELECT vec_id, i, (x - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS value FROM fl JOIN st USING (i)),
+tl AS (SELECT k AS vec_id, 'genre' AS category, genre AS tag FROM anyt WHERE genre <> '' AND k IN (SELECT vec_id FROM f)
+       UNION ALL SELECT k, 'mood', mood FROM anyt WHERE mood <> '' AND k IN (SELECT vec_id FROM f)
+       UNION ALL SELECT k, 'instrument', instrument FROM anyt WHERE instrument <> '' AND k IN (SELECT vec_id FROM f)),
+cn AS (SELECT category, tag, count(*) AS n FROM tl GROUP BY category, tag),
+top AS (SELECT category, tag FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, tag) AS r
+                                   FROM cn) WHERE r <= 10),
+lab AS (SELECT tl.vec_id, tl.category, tl.tag AS label FROM tl JOIN top USING (category, tag)),
+lv AS (SELECT lab.category, lab.label, z.i, z.value FROM lab JOIN z USING (vec_id)),
+per AS (SELECT category, i, label, count(value) AS ng, avg(value) AS mg, var_pop(value) AS vg FROM lv
+        GROUP BY category, i, label),
+tot AS (SELECT category, i, sum(ng) AS n, count(*) AS n_groups, sum(ng * mg) / sum(ng) AS gm FROM per GROUP BY category, i),
+ss AS (SELECT category, i, any_value(n) AS n, any_value(n_groups) AS n_groups, sum(ng * (mg - gm) * (mg - gm)) AS ssb,
+              sum(ng * vg) AS ssw FROM per JOIN tot USING (category, i) WHERE n_groups >= 2 GROUP BY category, i)
+SELECT category, """ + names + """[i + 1] AS feature, CAST(n AS BIGINT) AS n, CAST(n_groups AS INTEGER) AS n_groups,
+       round(CASE WHEN ssw > 0 THEN (ssb / (n_groups - 1)) / (ssw / (n - n_groups)) END, 6) AS f_statistic,
+       round(CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) ELSE 0.0 END, 6) AS eta_squared
+FROM ss WHERE n >= 10
+"""
+
+
+@register("discrimination_program_f", _discrimination_program_sql())
+def q_discrimination_program_f(spark, d):
+    """The discrimination program end to end (S1, J1, W4, J5, catalog, P17, P18, M1, A7, W6, A14)
+    over rendered tag TSVs and documents: F and eta squared per category and feature."""
+    from .inputs import TAG_HEADER
+    from .programs import run_discrimination
+    root, paths = _corpus(spark, d)
+    res = run_discrimination(spark, {c: paths[c] for c in ("genre", "mood", "instrument")}, paths["docs"],
+                             f"{root}/out", top_n=10, feature_set="full_run", doc_format="jsonl",
+                             tag_header=TAG_HEADER, always_include={})
+    return res["discrimination"].select("category", "feature", "n", "n_groups",
+                                        r6(F.col("f_statistic")).alias("f_statistic"),
+                                        r6(F.col("eta_squared")).alias("eta_squared"))
+
+
 @register("full_run")
 def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,

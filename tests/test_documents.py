@@ -122,7 +122,6 @@ def test_comprehensive_leaves(spark):
 
 
 def test_strict_reader_and_missing_counts(spark):
-    from pyspark.sql.utils import AnalysisException  # noqa: F401
     from tokenloom.plans.programs import assert_complete, missing_leaf_counts
     from tokenloom.operators.sample import preview
     df = spark.createDataFrame([('{"a":{"b":1}}',), ('{"a":{}}',)], "t string").select(J.parse("t").alias("d"))

@@ -1171,6 +1171,36 @@ def q_discrimination_program_f(spark, d):
                                         r6(F.col("eta_squared")).alias("eta_squared"))
 
 
+FEATURE_TABLE_SELECTED_SQL = """
+WITH g AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE lower(p_type) END AS genre
+           FROM part WHERE p_size <= 33),
+i AS (SELECT p_partkey AS k, CASE WHEN p_size % 9 = 0 THEN '' ELSE lower(p_brand) END AS instrument
+      FROM part WHERE p_size BETWEEN 10 AND 45),
+kept AS (SELECT k FROM g JOIN i USING (k) WHERE genre <> '' AND instrument <> ''),
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT 'track_' || CAST(e.vec_id AS VARCHAR) AS track_id, list_transform(
+  [v[47], v[48], v[50], v[52], v[54], v[58]] || [v[34], v[37], v[38], v[39]]
+  || [v[47], v[48], v[49], v[50], v[51], v[52], v[53], v[54], v[55], v[60], abs(v[56]), abs(v[59]), v[27],
+      v[57] * v[57], v[58], v[61]],
+  lambda x: round(x, 6) + 0.0) AS features
+FROM e JOIN kept ON kept.k = e.vec_id
+"""
+
+
+@register("feature_table_selected", FEATURE_TABLE_SELECTED_SQL)
+def q_feature_table_selected(spark, d):
+    """J2 + W2 + the selected catalog (FN1-FN18) over rendered tag TSVs and documents."""
+    from .inputs import TAG_HEADER
+    from .programs import build_feature_table, drop_empty_records, load_tags
+    _, paths = _corpus(spark, d)
+    tags = TG.filter_min_tags(load_tags(spark, {c: paths[c] for c in ("genre", "instrument")}, how="inner",
+                                        header=TAG_HEADER), 2, ["genre", "instrument"])
+    fs = preset("selected")
+    feats = drop_empty_records(build_feature_table(spark, tags, paths["docs"], fs, doc_format="jsonl"))
+    return feats.select("track_id", F.array(*[F.round(F.get("features", i), 6) for i in range(fs.width)])
+                        .alias("features"))
+
+
 @register("full_run")
 def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,

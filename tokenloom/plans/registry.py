@@ -1201,6 +1201,87 @@ def q_feature_table_selected(spark, d):
                         .alias("features"))
 
 
+def _comprehensive_doc(v, label):
+    """A document with every comprehensive-catalog leaf, in varied shapes (lists, stat objects,
+    objects where a scalar is expected), rendered from one embedding row."""
+    g = lambda i: F.get(v, i)
+    sq = lambda i: g(i) * g(i)
+    diag = lambda off: F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(12)), lambda j: F.when(i == j, F.get(v, i + off) * F.get(v, i + off))
+        .otherwise(F.lit(0.0))))
+    ms = lambda i: F.struct(g(i).alias("mean"), sq(i + 1).alias("var"))
+    keys = F.array(*[F.lit(k) for k in ["c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b"]])
+    ll = [F.struct(F.slice(v, 1, 13).alias("mean"), diag(13).alias("cov")).alias("mfcc"),
+          F.struct(F.slice(v, 21, 13).alias("mean"), diag(33).alias("cov")).alias("gfcc"),
+          F.struct(g(26).alias("mean")).alias("spectral_centroid"),
+          F.struct(F.slice(v, 28, 6).alias("mean")).alias("spectral_contrast_coeffs"),
+          F.struct(F.slice(v, 34, 6).alias("mean")).alias("spectral_contrast_valleys"),
+          F.array(g(53)).alias("average_loudness"), g(54).alias("dynamic_complexity"),
+          ms(55).alias("spectral_rms"), F.struct(g(57).alias("mean")).alias("zerocrossingrate"),
+          F.struct(g(2).alias("mean")).alias("silence_rate_20dB"),
+          F.struct(g(3).alias("mean")).alias("silence_rate_30dB"),
+          F.struct(g(4).alias("mean")).alias("silence_rate_60dB"),
+          ms(5).alias("spectral_complexity"), ms(7).alias("spectral_strongpeak")]
+    ll += [ms(46 + j).alias(f"spectral_{n}") for j, n in enumerate(
+        ["rolloff", "flux", "spread", "skewness", "kurtosis", "decrease", "entropy"])]
+    ll += [ms(58 + j).alias(n) for j, n in enumerate(["pitch_salience", "dissonance", "hfc"])]
+    for base, off in (("barkbands", 40), ("erbbands", 45), ("melbands", 50)):
+        ll += [ms(off + j).alias(f"{base}_{n}") for j, n in enumerate(
+            ["crest", "flatness_db", "kurtosis", "skewness", "spread"])]
+    rh = [F.array(g(39) + 100, F.lit(0.0)).alias("bpm"), F.struct(g(40).alias("mean")).alias("danceability"),
+          g(41).alias("beats_count"),
+          F.struct(g(42).alias("median"), g(43).alias("mean")).alias("bpm_histogram_first_peak_bpm"),
+          F.struct(g(44).alias("mean")).alias("bpm_histogram_first_peak_weight"),
+          F.array(g(45), F.lit(1.0)).alias("bpm_histogram_second_peak_bpm"),
+          g(60).alias("bpm_histogram_second_peak_weight"),
+          ms(9).alias("beats_loudness"), F.array(g(11)).alias("onset_rate")]
+    to = [F.struct(F.transform(F.slice(v, 1, 36), lambda x: F.abs(x)).alias("mean")).alias("hpcp"),
+          F.struct(F.slice(v, 13, 36).alias("mean")).alias("thpcp"),
+          F.get(keys, F.pmod(label, F.lit(12))).alias("key_key"),
+          F.when(F.pmod(label, F.lit(2)) == 0, F.lit("major")).otherwise(F.lit("minor")).alias("key_scale"),
+          F.abs(g(61)).alias("key_strength"),
+          g(62).alias("chords_changes_rate"), ms(0).alias("chords_strength"), ms(0).alias("hpcp_entropy"),
+          g(48).alias("chords_number_rate"), F.array(g(0) + 440).alias("tuning_frequency"),
+          g(1).alias("tuning_diatonic_strength"),
+          F.struct(F.lit(1).alias("x")).alias("tuning_equal_tempered_deviation")]
+    return F.to_json(F.struct(F.struct(*ll).alias("lowlevel"), F.struct(*rh).alias("rhythm"),
+                              F.struct(*to).alias("tonal")))
+
+
+def _comprehensive_sql() -> str:
+    def ms(i):  # DuckDB 1-based: mean v[i+1], var v[i+2]^2
+        return f"v[{i + 1}], v[{i + 2}] * v[{i + 2}]"
+    core = ("v[1:13] || list_transform(v[14:26], lambda x: sqrt(x * x)) || [v[27]] || v[28:33] || v[34:39]"
+            " || list_transform(v[1:36], lambda x: abs(x))"
+            " || [kv.s * cos(kv.th), kv.s * sin(kv.th), CASE WHEN kv.major THEN 0.5 ELSE -0.5 END * kv.s]")
+    high = ("[v[40] + 100, NULL, v[42], v[43], v[45], v[46], v[61]]"
+            " || [" + ", ".join(ms(46 + j) for j in range(7)) + "]"
+            " || [v[54], v[55], " + ms(55) + ", v[58]]"
+            " || [" + ", ".join(ms(58 + j) for j in range(3)) + "]"
+            " || [v[63], " + ms(0) + "] || [" + ms(0) + "]")
+    medium = ("[v[3], v[4], v[5]] || [" + ms(5) + "] || [" + ms(7) + "] || [" + ms(9) + "] || [v[12]]"
+              " || v[13:48] || [v[49]]")
+    low = ("[" + ", ".join(ms(off + j) for off in (40, 45, 50) for j in range(5)) + "]"
+           " || [v[1] + 440, v[2], NULL]"
+           " || v[21:33] || list_transform(v[34:46], lambda x: sqrt(x * x))")
+    return f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kv AS (SELECT vec_id, abs(v[62]) AS s, label % 2 = 0 AS major,
+              ((CASE WHEN label % 2 = 0 THEN label % 12 ELSE (label % 12 + 3) % 12 END) * 7 % 12) * (2 * pi() / 12) AS th
+       FROM e)
+SELECT e.vec_id, list_transform({core} || {high} || {medium} || {low}, lambda x: round(x, 6) + 0.0) AS features
+FROM e JOIN kv USING (vec_id)
+"""
+
+
+@register("comprehensive_features", _comprehensive_sql())
+def q_comprehensive_features(spark, d):
+    """P13/FC1-FC22: the 221-feature comprehensive catalog over documents with every leaf shape."""
+    e = embeddings(spark, d).select("vec_id", J.parse(_comprehensive_doc(F.col("features"), F.col("label")))
+                                    .alias("doc"))
+    return e.select("vec_id", preset("comprehensive").vector(F.col("doc"), digits=6).alias("features"))
+
+
 @register("full_run")
 def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,

@@ -1221,7 +1221,11 @@ def _comprehensive_doc(v, label):
           F.struct(g(2).alias("mean")).alias("silence_rate_20dB"),
           F.struct(g(3).alias("mean")).alias("silence_rate_30dB"),
           F.struct(g(4).alias("mean")).alias("silence_rate_60dB"),
-          ms(5).alias("spectral_complexity"), ms(7).alias("spectral_strongpeak")]
+          ms(5).alias("spectral_complexity"), ms(7).alias("spectral_strongpeak"),
+          F.struct(F.slice(v, 25, 40).alias("mean"),
+                   F.transform(F.slice(v, 1, 40), lambda x: x * x).alias("var")).alias("melbands")]
+    ll += [F.struct(g(30 + j).alias("mean")).alias(f"spectral_energyband_{b}")
+           for j, b in enumerate(["high", "low", "middle_high", "middle_low"])]
     ll += [ms(46 + j).alias(f"spectral_{n}") for j, n in enumerate(
         ["rolloff", "flux", "spread", "skewness", "kurtosis", "decrease", "entropy"])]
     ll += [ms(58 + j).alias(n) for j, n in enumerate(["pitch_salience", "dissonance", "hfc"])]
@@ -1282,6 +1286,32 @@ def q_comprehensive_features(spark, d):
     return e.select("vec_id", preset("comprehensive").vector(F.col("doc"), digits=6).alias("features"))
 
 
+ALL_FEATURES_SQL = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kv AS (SELECT vec_id, abs(v[62]) AS s, label % 2 = 0 AS major,
+              ((CASE WHEN label % 2 = 0 THEN label % 12 ELSE (label % 12 + 3) % 12 END) * 7 % 12) * (2 * pi() / 12) AS th
+       FROM e)
+SELECT e.vec_id, list_transform(
+  v[1:13] || list_transform(v[14:26], lambda x: sqrt(x * x)) || [v[27]] || v[28:33] || v[34:39]
+  || list_transform(v[1:36], lambda x: abs(x)) || [NULL] || [v[44], v[43]]
+  || [kv.s * cos(kv.th), kv.s * sin(kv.th), CASE WHEN kv.major THEN 0.5 ELSE -0.5 END * kv.s]
+  || [NULL] || [v[10], sqrt(v[11] * v[11])]
+  || v[25:64] || list_transform(v[1:40], lambda x: sqrt(x * x))
+  || [v[31], v[32], v[33], v[34]],
+  lambda x: round(x, 6) + 0.0) AS features
+FROM e JOIN kv USING (vec_id)
+"""
+
+
+@register("all_features", ALL_FEATURES_SQL)
+def q_all_features(spark, d):
+    """The all-alternatives set (base with every option, then mel and energy) in one scan;
+    list-valued bpm and onset leaves are not scalars for the base extractors and read as null."""
+    e = embeddings(spark, d).select("vec_id", J.parse(_comprehensive_doc(F.col("features"), F.col("label")))
+                                    .alias("doc"))
+    return e.select("vec_id", preset("all").vector(F.col("doc"), digits=6).alias("features"))
+
+
 @register("full_run")
 def q_full_run(spark, d):
     """The three-category program end to end (S1-S10, J1, J5, catalog, W1, M1, M3, M6, M11,

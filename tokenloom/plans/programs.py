@@ -62,7 +62,7 @@ def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
     return out
 
 
-MAX_BROADCAST_TAG_ROWS = 5_000_000  # tag rows (keys + a few short strings) broadcast to every task
+MAX_BROADCAST_TAG_ROWS = 1_000_000  # tag rows (keys + a few short strings, ~100 MB) broadcast to every task
 
 
 def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,

@@ -25,7 +25,7 @@ from ..functions.vectors import as_doubles
 from ..session import checkpoint_dir, cut_lineage
 
 EPS = float(np.finfo(float).eps)
-MAX_DICT_VALUES = 10_000_000
+MAX_DICT_VALUES = 2_000_000  # 16 MB of doubles; D=128 x d=221 is 28k
 MAX_SLOTS = 1024  # mini-batch slots stored as partition folders
 SLOT_MIN_ROWS = 1_000_000  # below this, sampling the checkpointed input each iteration is cheaper
 

@@ -23,7 +23,7 @@ from ..functions.hashing import hash32, seeded_key
 from ..functions.vectors import as_doubles
 from .dictlearn import sum_partials
 
-MAX_CENTER_VALUES = 20_000_000
+MAX_CENTER_VALUES = 5_000_000  # restarts x K x d doubles shipped with each pass
 
 
 def kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:

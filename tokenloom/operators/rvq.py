@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.vectors import as_doubles
 from ..session import cut_lineage
 
-MAX_CODEBOOK_VALUES = 50_000_000  # 400 MB of doubles: far above any K x dim x L in use
+MAX_CODEBOOK_VALUES = 5_000_000  # 40 MB of doubles; K=128 x d=221 x L=3 is 85k
 
 
 def codebook_arrays(codebook: DataFrame) -> list[np.ndarray]:

@@ -140,3 +140,20 @@ def test_knn_string_ids(spark):
     top = neighbors.query_topk(df, qs, 3, "track_id", "features", "euclidean").filter("kind = 'all'").collect()
     assert {r["qid"] for r in top} == {f"track_{i:03d}" for i in range(5)} and all(
         isinstance(r["nid"], str) for r in top)
+
+
+def test_query_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "QUERY_CHUNK", 3)
+    rng = np.random.default_rng(25)
+    x = rng.normal(size=(50, 4))
+    df = make(spark, x).withColumn("codes", F.array(F.lit(1)))
+    qs = df.filter("id < 10")
+    top = neighbors.query_topk(df, qs, 4, "id", "features", "euclidean", "codes").collect()
+    d = ((x[:10, None, :] - x[None, :, :]) ** 2).sum(-1)
+    for q in range(10):
+        d[q, q] = np.inf
+        exp = sorted(range(50), key=lambda j: (d[q, j], j))[:4]
+        for kind in ("all", "cand"):
+            got = [r["nid"] for r in sorted((r for r in top if r["qid"] == q and r["kind"] == kind),
+                                            key=lambda r: r["rank"])]
+            assert got == exp

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from ..functions.vectors import as_doubles, l2_normalize
 from .sample import hash_sample
 
-MAX_QUERIES = 100_000
+MAX_QUERIES = 10_000  # query samples are small by design (50 in the reference)
 
 
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -360,24 +360,35 @@ def _emit(best, qid, kind):
     return pd.DataFrame({"qid": q[keep], "nid": i[keep], "score": s[keep], "kind": kind})
 
 
+QUERY_CHUNK = 1024  # queries scored at once against an Arrow batch (chunk x batch doubles)
+
+
 def _query_topk(qid, qvec, qcodes, k: int, metric: str, with_candidates: bool):
-    """Per partition: a running top-k per query over all its batches, emitted once."""
+    """Per partition: a running top-k per query over all its batches, emitted once.
+    Queries are scored in chunks, so a task holds QUERY_CHUNK x batch scores at a time."""
     def run(batches):
-        best_all = best_cand = None
+        best_all = [None] * len(range(0, len(qid), QUERY_CHUNK))
+        best_cand = [None] * len(best_all)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             c = np.stack(pdf["v"].to_numpy()).astype(float)
             cid = pdf["id"].to_numpy().astype(np.int64)
-            score = _scores(qvec, c, metric)
-            best_all = _merge_topk(best_all, _batch_topk(score, qid, cid, k), k)
+            cc = np.stack(pdf["codes"].to_numpy()).astype(np.int64) if with_candidates else None
+            for ci, q0 in enumerate(range(0, len(qid), QUERY_CHUNK)):
+                qs = slice(q0, q0 + QUERY_CHUNK)
+                score = _scores(qvec[qs], c, metric)
+                best_all[ci] = _merge_topk(best_all[ci], _batch_topk(score, qid[qs], cid, k), k)
+                if with_candidates:
+                    share = (qcodes[qs][:, None, :] == cc[None, :, :]).any(axis=2)  # J9: any level
+                    best_cand[ci] = _merge_topk(best_cand[ci],
+                                                _batch_topk(np.where(share, score, np.inf), qid[qs], cid, k), k)
+        out = []
+        for ci, q0 in enumerate(range(0, len(qid), QUERY_CHUNK)):
+            qs = qid[q0:q0 + QUERY_CHUNK]
+            out.append(_emit(best_all[ci], qs, "all"))
             if with_candidates:
-                cc = np.stack(pdf["codes"].to_numpy()).astype(np.int64)
-                share = (qcodes[:, None, :] == cc[None, :, :]).any(axis=2)  # J9: any level
-                best_cand = _merge_topk(best_cand, _batch_topk(np.where(share, score, np.inf), qid, cid, k), k)
-        out = [_emit(best_all, qid, "all")]
-        if with_candidates:
-            out.append(_emit(best_cand, qid, "cand"))
+                out.append(_emit(best_cand[ci], qs, "cand"))
         yield pd.concat(out, ignore_index=True)
     return run
 

@@ -23,6 +23,7 @@ from ..functions.hashing import hash32, seeded_key
 from ..functions.vectors import as_doubles
 from .dictlearn import sum_partials
 
+ROW_CHUNK = 2048  # rows scored at once against all restart centers
 MAX_CENTER_VALUES = 5_000_000  # restarts x K x d doubles shipped with each pass
 
 
@@ -54,24 +55,30 @@ def _partial(centers: np.ndarray, col: str):
             if len(pdf) == 0:
                 continue
             seen = True
-            x = np.stack(pdf[col].to_numpy()).astype(float)
-            d2 = (x * x).sum(1)[:, None] - 2.0 * (x @ flat.T) + cc[None, :]
-            d2 = np.maximum(d2, 0.0).reshape(len(x), R, K)
-            lab = np.argmin(d2, axis=2)                          # (n, R), lowest center on ties
-            best = np.take_along_axis(d2, lab[:, :, None], axis=2)[:, :, 0]
-            cost += best.sum(0)
-            onehot = np.zeros((K, len(x)))
-            cols = np.arange(len(x))
-            for r in range(R):
-                onehot[:] = 0.0
-                onehot[lab[:, r], cols] = 1.0
-                sums[r] += onehot @ x                                # per-center sums with BLAS
-                counts[r] += np.bincount(lab[:, r], minlength=K)
+            xb = np.stack(pdf[col].to_numpy()).astype(float)
+            for r0 in range(0, len(xb), ROW_CHUNK):      # rows x (R*K) distances per chunk
+                x = xb[r0:r0 + ROW_CHUNK]
+                _accumulate(x, flat, cc, R, K, sums, counts, cost)
         if seen:
             yield pd.DataFrame({"stats": [np.concatenate([sums.ravel(), counts.ravel(), cost])]})
     return run
 
 
+def _accumulate(x, flat, cc, R, K, sums, counts, cost):
+    """Assign a chunk of rows to the nearest center of every restart and add its statistics."""
+    d2 = (x * x).sum(1)[:, None] - 2.0 * (x @ flat.T) + cc[None, :]
+    d2 = np.maximum(d2, 0.0).reshape(len(x), R, K)
+    lab = np.argmin(d2, axis=2)                          # (n, R), lowest center on ties
+    cost += np.take_along_axis(d2, lab[:, :, None], axis=2)[:, :, 0].sum(0)
+    onehot = np.zeros((K, len(x)))
+    cols = np.arange(len(x))
+    for r in range(R):
+        onehot[:] = 0.0
+        onehot[lab[:, r], cols] = 1.0
+        sums[r] += onehot @ x                            # per-center sums with BLAS
+        counts[r] += np.bincount(lab[:, r], minlength=K)
+
+
 def _pass(data: DataFrame, centers: np.ndarray, col: str):
     R, K, d = centers.shape
     s = sum_partials(data.mapInPandas(_partial(centers, col), "stats array<double>"))

@@ -102,7 +102,7 @@ def _back(res: DataFrame, mapping: DataFrame | None, cols: dict[str, str]) -> Da
     return res
 
 
-CHUNK_ROWS = 2048  # query rows per distance chunk inside a task (chunk x block doubles)
+CHUNK_ROWS = 1024  # query rows per distance chunk inside a task (chunk x block doubles)
 
 
 def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
@@ -198,9 +198,13 @@ def _assign_cells(pivots: np.ndarray):
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["v"].to_numpy()).astype(float)
-            d2 = (x * x).sum(1)[:, None] - 2.0 * (x @ pivots.T) + pp[None, :]
-            cell = np.argmin(d2, axis=1)
-            dp = np.sqrt(np.maximum(d2[np.arange(len(x)), cell], 0.0))
+            cell = np.empty(len(x), dtype=np.int64)
+            dp = np.empty(len(x))
+            for r0 in range(0, len(x), CHUNK_ROWS):      # rows x pivots distances per chunk
+                xc = x[r0:r0 + CHUNK_ROWS]
+                d2 = (xc * xc).sum(1)[:, None] - 2.0 * (xc @ pivots.T) + pp[None, :]
+                cell[r0:r0 + len(xc)] = np.argmin(d2, axis=1)
+                dp[r0:r0 + len(xc)] = np.sqrt(np.maximum(d2[np.arange(len(xc)), cell[r0:r0 + len(xc)]], 0.0))
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "v": pdf["v"], "cell": cell.astype(np.int32),
                                 "dp": dp})
     return run

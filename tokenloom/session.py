@@ -73,6 +73,16 @@ def write_shared_bytes(spark: SparkSession, target: str, data: bytes) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
+    """Ship the package to the Python workers; a failure is reported, not raised
+    (workers that already import the package from their path keep working)."""
+    try:
+        _ship_package(spark)
+    except Exception as ex:  # noqa: BLE001
+        import warnings
+        warnings.warn(f"tokenloom: could not ship the package to executors: {ex}")
+
+
+def _ship_package(spark: SparkSession) -> None:
     """Make ``tokenloom`` importable in every Python worker (the ``--py-files`` route).
 
     Arrow-batched operators run module functions on the executors.  The package is

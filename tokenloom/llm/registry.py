@@ -52,4 +52,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+@query("op10_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.bpe import encode, read_vocabulary
+    return encode(table(spark, sf_dir, "documents"), read_vocabulary(), digest=True)
+
+
 __all__ = ["QUERIES", "ORACLE_SQL", "F"]

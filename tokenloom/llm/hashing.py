@@ -38,11 +38,11 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * (len(have) if have is not None else 0))
+        size = max(n, 1 << 16)
         out = np.full(size, U64(base), dtype=U64)
         out[0] = 1
         _POWERS[base] = have = np.cumprod(out, dtype=U64)
-        if size > 1 << 23:  # one very long text: don't keep its table
+        if size > 1 << 21:  # one very long text: don't keep its table
             del _POWERS[base]
     return have[:n]
 
@@ -70,19 +70,21 @@ def word_spans(raw: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray,
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def chunks(ids, texts: list, most: int = 4_000_000):
-    """Successive (ids, UTF-8 texts) of about ``most`` bytes; a longer text comes alone."""
-    own, held, size = [], [], 0
-    for i, t in zip(ids, texts):
-        b = b"" if t is None else (t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass"))
-        if held and size + len(b) > most:
-            yield own, held
-            own, held, size = [], [], 0
-        own.append(i)
-        held.append(b)
-        size += len(b) + 1
+def chunks(batch, most: int = 1_000_000, columns: int = 2):
+    """Successive rows of the first columns of an Arrow batch (ids, texts, ...), the texts as UTF-8 bytes
+    and about ``most`` bytes of them; a longer text comes alone.  Bounds a task's memory."""
+    held, size = [], 0
+    for lo in range(0, batch.num_rows, 128):
+        part = batch.slice(lo, 128)
+        for row in zip(*(part.column(k).to_pylist() for k in range(columns))):
+            text = b"" if row[1] is None else row[1].encode("utf-8", "surrogatepass")
+            if held and size + len(text) > most:
+                yield tuple(map(list, zip(*held)))
+                held, size = [], 0
+            held.append((row[0], text, *row[2:]))
+            size += len(text) + 1
     if held:
-        yield own, held
+        yield tuple(map(list, zip(*held)))
 
 
 def hashed_words(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:

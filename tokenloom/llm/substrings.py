@@ -30,7 +30,9 @@ from tokenloom.llm import hashing as H
 from tokenloom.llm.common import buckets
 
 _PACKED = "bucket int, docs binary, counts binary, found binary, anchors binary"
-_REPLY = "doc_id bigint, found binary"
+_REPLY = "place int, docs binary, found binary"
+_EMPTY = pa.RecordBatch.from_pydict({k: [] for k in ("bucket", "docs", "counts", "found", "anchors")}, schema=pa.schema(
+    [("bucket", pa.int32()), *((k, pa.binary()) for k in ("docs", "counts", "found", "anchors"))]))
 
 
 def _marks(words: np.ndarray, counts: np.ndarray, width: int):
@@ -83,17 +85,34 @@ def _unpack(batches, kind):
     return np.concatenate(docs), np.concatenate(values), np.concatenate(anchors)
 
 
-def _replies(docs: np.ndarray, values: np.ndarray):
-    """A row for each document with the values found for it."""
+def _places(docs: np.ndarray, n: int) -> np.ndarray:
+    return (H.mix64(docs.view(np.uint64)) % H.U64(n)).astype(np.int64)
+
+
+def _replies(n: int, docs: np.ndarray, values: np.ndarray):
+    """One row for each place of documents, with the values found for its documents."""
+    if not len(docs):
+        return
+    place = _places(docs, n)
+    order = np.lexsort((docs, place))
+    docs, values, place = docs[order], values[order], place[order]
+    cuts = np.searchsorted(place, np.arange(n + 1))
+    at = np.flatnonzero(np.diff(cuts))
+    yield pa.RecordBatch.from_arrays([
+        pa.array(at, pa.int32()), pa.array([docs[cuts[k]:cuts[k + 1]].tobytes() for k in at], pa.binary()),
+        pa.array([values[cuts[k]:cuts[k + 1]].tobytes() for k in at], pa.binary())], names=["place", "docs", "found"])
+
+
+def _known(replies: pa.Table, kind) -> dict[int, np.ndarray]:
+    """The values found for each document of a place."""
+    if not replies.num_rows:
+        return {}
+    docs = np.concatenate([np.frombuffer(x, np.int64) for x in replies.column("docs").to_pylist()])
+    found = np.concatenate([np.frombuffer(x, kind) for x in replies.column("found").to_pylist()])
     order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    start = np.flatnonzero(np.diff(docs, prepend=docs[:1] - 1)) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(start[1:], len(docs))
-    for lo in range(0, len(start), 10_000):
-        part = range(lo, min(lo + 10_000, len(start)))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(docs[start[lo:lo + 10_000]], pa.int64()),
-            pa.array([values[start[i]:ends[i]].tobytes() for i in part], pa.binary())], names=["doc_id", "found"])
+    docs, found = docs[order], found[order]
+    start = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return dict(zip(docs[start].tolist(), np.split(found, start[1:])))
 
 
 def _grouped_min(values: np.ndarray, docs: np.ndarray, use: np.ndarray):
@@ -105,10 +124,21 @@ def _grouped_min(values: np.ndarray, docs: np.ndarray, use: np.ndarray):
     return at, low, len(kinds)
 
 
+def _placed(n: int):
+    """The place of each row: by its id, so that answers find it; rows without an id go anywhere."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            place = _places(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), n)
+            place = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.arange(batch.num_rows) % n, place)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), ids, batch.column(1)], names=["place", "doc_id", "text"])
+    return run
+
+
 def _anchor_probes(block: int, window: int, n_buckets: int):
     def run(batches):
         for batch in batches:
-            for ids, texts in H.chunks(*(batch.column(i).to_pylist() for i in range(2))):
+            for ids, texts in H.chunks(batch):
                 words, counts = H.hashed_words(texts, lower=False)
                 hashes, text, at = _marks(words, counts, block)
                 use = counts[text] >= window
@@ -116,50 +146,59 @@ def _anchor_probes(block: int, window: int, n_buckets: int):
     return run
 
 
-def _anchor_hits(batches):
-    docs, values, anchors = _unpack(batches, np.uint32)
-    at, low, n = _grouped_min(values, docs, anchors)
-    high = np.full(n, np.iinfo(np.int64).min)
-    np.maximum.at(high, at, docs)
-    # probes of a later document, and reference blocks that a later document probes
-    hit = (docs > low[at]) | (anchors & (docs < high[at])) if n else np.zeros(0, bool)
-    yield from _replies(docs[hit], values[hit])
+def _anchor_hits(n: int):
+    def run(batches):
+        docs, values, anchors = _unpack(batches, np.uint32)
+        at, low, kinds = _grouped_min(values, docs, anchors)
+        high = np.full(kinds, np.iinfo(np.int64).min)
+        np.maximum.at(high, at, docs)
+        # probes of a later document, and reference blocks that a later document probes
+        hit = (docs > low[at]) | (anchors & (docs < high[at])) if kinds else np.zeros(0, bool)
+        yield from _replies(n, docs[hit], values[hit])
+    return run
+
+
+def _window_hits(n: int):
+    def run(batches):
+        docs, values, anchors = _unpack(batches, np.uint64)
+        at, low, kinds = _grouped_min(values, docs, anchors)
+        hit = docs > low[at] if kinds else np.zeros(0, bool)
+        yield from _replies(n, docs[hit], values[hit])
+    return run
 
 
 def _extended(block: int, window: int, n_buckets: int):
     """The windows around the hits of each document, packed by bucket."""
-    def run(batches):
-        for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(2)))
-            found = iter(batch.column(2).to_pylist())
-            for ids, texts in H.chunks(*(batch.column(i).to_pylist() for i in range(2))):
-                words, counts = H.hashed_words(texts, lower=False)
-                hashes, text, at = _marks(words, counts, block)
-                hit = np.zeros(len(hashes), dtype=bool)
-                cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                for k in range(len(texts)):
-                    known = np.concatenate([np.frombuffer(v, np.uint32) for v in next(found)])
-                    lo, hi = cuts[k], cuts[k + 1]
-                    hit[lo:hi] = np.isin(hashes[lo:hi].astype(np.uint32), known)
-                # a hit at p is inside the windows that start at p - (window - block) .. p
-                first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                mark = np.zeros(len(words) + 1, dtype=np.int32)
-                begin = first[text[hit]] + np.maximum(at[hit] - (window - block), 0)
-                np.add.at(mark, begin, 1)
-                np.add.at(mark, first[text[hit]] + at[hit] + 1, -1)
-                inside = np.cumsum(mark)[:-1] > 0
-                hashes, text, at = _marks(words, counts, window)
-                use = inside[first[text] + at] if len(text) else np.zeros(0, bool)
-                yield _pack(n_buckets, np.array(ids, np.int64), text[use], hashes[use],
-                            np.ones(int(use.sum()), bool), np.uint64)
+    def run(left: pa.Table, right: pa.Table):
+        known = _known(right, np.uint32)
+        rows = [_EMPTY]
+        if known:
+            left = left.select(["doc_id", "text"])
+            left = left.filter(pc.is_in(left.column(0), pa.array(list(known), pa.int64())))
+            for batch in left.to_batches():
+                rows += _around(batch, known, block, window, n_buckets)
+        return pa.Table.from_batches(rows)
     return run
 
 
-def _window_hits(batches):
-    docs, values, anchors = _unpack(batches, np.uint64)
-    at, low, n = _grouped_min(values, docs, anchors)
-    hit = docs > low[at] if n else np.zeros(0, bool)
-    yield from _replies(docs[hit], values[hit])
+def _around(batch, known, block, window, n_buckets):
+    for ids, texts in H.chunks(batch):
+        words, counts = H.hashed_words(texts, lower=False)
+        hashes, text, at = _marks(words, counts, block)
+        hit = np.zeros(len(hashes), dtype=bool)
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+        for k, i in enumerate(ids):
+            lo, hi = cuts[k], cuts[k + 1]
+            hit[lo:hi] = np.isin(hashes[lo:hi].astype(np.uint32), known[i])
+        # a hit at p is inside the windows that start at p - (window - block) .. p
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        mark = np.zeros(len(words) + 1, dtype=np.int32)
+        np.add.at(mark, first[text[hit]] + np.maximum(at[hit] - (window - block), 0), 1)
+        np.add.at(mark, first[text[hit]] + at[hit] + 1, -1)
+        inside = np.cumsum(mark)[:-1] > 0
+        hashes, text, at = _marks(words, counts, window)
+        use = inside[first[text] + at] if len(text) else np.zeros(0, bool)
+        yield _pack(n_buckets, np.array(ids, np.int64), text[use], hashes[use], np.ones(int(use.sum()), bool), np.uint64)
 
 
 def covered(text: bytes, known: np.ndarray, window: int) -> np.ndarray:
@@ -174,26 +213,23 @@ def covered(text: bytes, known: np.ndarray, window: int) -> np.ndarray:
 
 
 def _cleaned(window: int, digest: bool):
-    def run(batches):
-        for batch in batches:
-            out = {"id": [], "n": [], "removed": [], "kept": []}
-            for i, t, f in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                raw = b"" if t is None else t.encode("utf-8", "surrogatepass")
-                words = raw.split()
-                gone = 0
-                n = len(words)
-                if f and n:
-                    mask = covered(raw, np.concatenate([np.frombuffer(v, np.uint64) for v in f]), window)
-                    gone = int(mask.sum())
-                    words = [w for w, m in zip(words, mask.tolist()) if not m]
-                kept = b" ".join(words)
-                out["id"].append(i)
-                out["n"].append(n)
-                out["removed"].append(gone)
-                out["kept"].append(hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["removed"], pa.int64()),
-                pa.array(out["kept"], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+    def run(left: pa.Table, right: pa.Table):
+        known = _known(right, np.uint64)
+        out = []
+        for batch in left.select(["doc_id", "text"]).to_batches():
+            for ids, texts in H.chunks(batch):
+                for i, raw in zip(ids, texts):
+                    words = raw.split()
+                    n, gone = len(words), 0
+                    if i in known and n:
+                        mask = covered(raw, known[i], window)
+                        gone = int(mask.sum())
+                        words = [w for w, m in zip(words, mask.tolist()) if not m]
+                    kept = b" ".join(words)
+                    out.append((i, n, gone, hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")))
+        ids, n, gone, kept = zip(*out) if out else ((), (), (), ())
+        return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                        names=["doc_id", "n_words", "n_removed", "kept"])
     return run
 
 
@@ -206,14 +242,11 @@ def dedup_substrings(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
         raise ValueError("window: two words at least")
     block, n = (window + 1) // 2, buckets(docs)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = own.repartition(n, "doc_id")  # one shuffle of the text, used by both joins below
     anchors = own.where("doc_id IS NOT NULL").mapInArrow(_anchor_probes(block, window, n), _PACKED)
-    hits = anchors.repartitionById(n, "bucket").mapInArrow(_anchor_hits, _REPLY)
-    hits = hits.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    # a left join like the last one, so that both read the same shuffle of the text
-    near = placed.join(hits.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
-    windows = near.mapInArrow(_extended(block, window, n), _PACKED)
-    repeats = windows.repartitionById(n, "bucket").mapInArrow(_window_hits, _REPLY)
-    repeats = repeats.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    joined = placed.join(repeats.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_cleaned(window, digest), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    hits = anchors.repartitionById(n, "bucket").mapInArrow(_anchor_hits(n), _REPLY)
+    # one shuffle of the text, read by both steps below
+    placed = own.mapInArrow(_placed(n), "place int, doc_id bigint, text string").repartition(n, "place")
+    windows = placed.groupBy("place").cogroup(hits.groupBy("place")).applyInArrow(_extended(block, window, n), _PACKED)
+    repeats = windows.repartitionById(n, "bucket").mapInArrow(_window_hits(n), _REPLY)
+    return placed.groupBy("place").cogroup(repeats.groupBy("place")).applyInArrow(
+        _cleaned(window, digest), "doc_id bigint, n_words bigint, n_removed bigint, kept string")

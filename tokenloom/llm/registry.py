@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.llm import licenses
 from tokenloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,35 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_license_scan", licenses.oracle_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+rolled AS (
+  SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s
+  FROM words),
+shingles AS (SELECT DISTINCT doc_id, s FROM rolled WHERE pos <= greatest(n - 4, 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.x, reach.r FROM reach JOIN links l ON l.y = reach.doc_id)
+SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op5_near_duplicates", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.setjoin import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos

@@ -28,6 +28,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+OP3_SQL = r"""
+WITH texts AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark)),
+words AS (SELECT kind, id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts WHERE len(w) >= 5),
+rolled AS (
+  SELECT kind, id, n, pos,
+    string_agg(word, ' ') OVER (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM words),
+shingles AS (SELECT DISTINCT kind, id, s FROM rolled WHERE pos <= n - 4),
+sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE kind = 'item' GROUP BY id),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'doc' AND i.kind = 'item' GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes ON item_id = id WHERE n_shared * 100 >= n_item * 80
+"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.llm.containment import contained_items
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

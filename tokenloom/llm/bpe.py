@@ -34,8 +34,8 @@ LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 _TABLES: dict[str, object] = {}
 
 
-def _code_points() -> tuple[np.ndarray, np.ndarray]:
-    """Class and hash value of every code point.
+def _classes() -> np.ndarray:
+    """Class of every code point; the driver works it out and the tasks get it.
 
     Unicode versions differ between libraries, so code points that the ``regex`` and ``unicodedata``
     modules class differently get the class that the tokenizers library gives them."""
@@ -62,15 +62,22 @@ def _code_points() -> tuple[np.ndarray, np.ndarray]:
                 kind[c] = (LETTER if first[0][1] == (0, 2) else NUMBER if first[1][1] == (1, 3)
                            else OTHER if inner == 1 else SPACE)
         _TABLES["classes"] = kind
+    return _TABLES["classes"]
+
+
+def _values() -> np.ndarray:
+    """Hash value of every code point."""
+    if "values" not in _TABLES:
         _TABLES["values"] = H.mix64(np.arange(1, 0x110001, dtype=H.U64) * H.U64(0xA0761D6478BD642F))
-    return _TABLES["classes"], _TABLES["values"]
+    return _TABLES["values"]
 
 
-def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the texts, each followed by a break, and start, end and text of every word."""
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    breaks = np.cumsum([len(t) + 1 for t in texts]) - 1
-    kind = _code_points()[0][codes]
+def split_words(joined: str, sizes: list[int], classes: np.ndarray):
+    """Code points of the texts, each followed by a break, and start, end and text of every word.
+    ``joined``: the texts with a line end after each; ``sizes``: their lengths."""
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    breaks = np.cumsum(np.array(sizes, dtype=np.int64) + 1) - 1
+    kind = classes[codes]
     kind[breaks] = BREAK
     begin = np.flatnonzero(np.diff(kind, prepend=255) | (kind == BREAK))  # runs of one class
     what, size = kind[begin], np.diff(begin, append=len(kind))
@@ -109,19 +116,15 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, dtype=H.U64)
-    values = _code_points()[1][codes]
+    values = _values()[codes]
     return H.mix64(H._spans(values, H._M_BYTE, starts, ends) + (ends - starts).astype(H.U64))
 
 
-def _decode_points(codes: np.ndarray, start: int, end: int) -> str:
-    return codes[start:end].tobytes().decode("utf-32-le", "surrogatepass")
-
-
 class Vocabulary:
     """A vocabulary file: special tokens, the encoder and the id-to-piece table."""
 
     def __init__(self, text: str):
-        self.text = text
+        self.text, self.classes = text, _classes()
         data = json.loads(text)
         kind, model = data.get("pre_tokenizer") or {}, data["model"]
         if (kind.get("type"), kind.get("add_prefix_space"), kind.get("use_regex", True)) != ("ByteLevel", False, True) \
@@ -186,7 +189,7 @@ def _pack(blocks: int):
     return run
 
 
-def _texts(rows: pa.Table, voc: Vocabulary, most: int = 2_000_000):
+def _texts(rows: pa.Table, voc: Vocabulary, most: int = 1_000_000):
     """Successive (first row, number of rows, segments, row of each segment) of bounded size."""
     texts = rows.column("_text").to_pylist()
     first, held, row, size = 0, [], [], 0
@@ -203,10 +206,11 @@ def _texts(rows: pa.Table, voc: Vocabulary, most: int = 2_000_000):
 
 
 def _split(held: list[str], voc: Vocabulary):
-    """Distinct word hashes, a (start, end) of each, each word's index among them, its segment, code points.
+    """Distinct word hashes, a (start, end) of each, each word's index among them, its segment, the segments joined.
 
     A special token is one word; its hash is that of its code points, set apart."""
-    codes, starts, ends, segment = split_words(held)
+    joined = "\n".join([*held, ""])
+    codes, starts, ends, segment = split_words(joined, list(map(len, held)), voc.classes)
     hashes = word_hashes(codes, starts, ends)
     marks = [k for k, t in enumerate(held) if t in voc.special] if voc.special else []
     if marks:
@@ -221,24 +225,27 @@ def _split(held: list[str], voc: Vocabulary):
         order = np.argsort(starts, kind="stable")
         starts, ends, hashes, segment = starts[order], ends[order], hashes[order], segment[order]
     kinds, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-    return kinds, starts[first], ends[first], at.astype(np.int32), segment, codes
+    return kinds, starts[first], ends[first], at.astype(np.int32), segment, joined
 
 
 def _words(blocks: int, voc: Vocabulary):
     """For each block, its distinct words by bucket, sorted by hash."""
     def run(batches):
-        seen: dict[int, tuple[list, list]] = {}
+        seen: dict[int, tuple[np.ndarray, list, list]] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known, words = seen.setdefault(block, (np.zeros(0, H.U64), np.zeros(0, object)))
+                known, order, words = seen.get(block, (np.zeros(0, H.U64), [], []))
                 for _, _, held, _ in _texts(_opened(data), voc):
-                    kinds, starts, ends, _, _, codes = _split(held, voc)
-                    new = ~np.isin(kinds, known)
-                    fresh = np.empty(int(new.sum()), dtype=object)
-                    fresh[:] = [_decode_points(codes, a, b) for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-                    known, words = np.concatenate([known, kinds[new]]), np.concatenate([words, fresh])
-                seen[block] = (known, words)
-        for block, (known, words) in seen.items():
+                    kinds, starts, ends, _, _, joined = _split(held, voc)
+                    new = np.ones(len(kinds), dtype=bool)
+                    if len(known):
+                        new = known[np.minimum(np.searchsorted(known, kinds), len(known) - 1)] != kinds
+                    words.extend([joined[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+                    order.append(kinds[new])
+                    known = np.sort(np.concatenate([known, kinds[new]]), kind="stable")
+                seen[block] = (known, order, words)
+        for block, (_, order, words) in seen.items():
+            known, words = np.concatenate([np.zeros(0, H.U64), *order]), np.array([*words, None], dtype=object)
             bucket = (known >> H.U64(32)) % H.U64(blocks)
             order = np.lexsort((known, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(blocks + 1, dtype=H.U64))
@@ -265,7 +272,7 @@ def _encode(voc: Vocabulary):
                 asked.append((bucket, block, np.array(at, np.int64)))
         one = voc.encoder()
         ids = [np.array(e.ids, np.uint32) for lo in range(0, len(words), 50_000)
-               for e in one.encode_batch(words[lo:lo + 50_000], add_special_tokens=False)]
+               for e in one.encode_batch_fast(words[lo:lo + 50_000], add_special_tokens=False)]
         for bucket, block, at in asked:
             part = pa.RecordBatch.from_arrays([
                 pa.array([[len(ids[k]) for k in at.tolist()]], pa.list_(pa.uint32())),

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from tokenloom.llm import hashing as H
 from tokenloom.llm.common import buckets, components, cut_lineage, map_groups
 
-COORDS = 128
-LEVELS = 20
+COORDS = 64
+LEVELS = 21
+STEP = 5
 _A = (H.mix64(np.arange(1, COORDS + 1, dtype=H.U64)) >> H.U64(32)).astype(np.uint32) | np.uint32(1)
 _B = H.mix64(np.arange(1001, COORDS + 1001, dtype=H.U64)).astype(np.uint32)
 
@@ -72,13 +73,20 @@ def _signatures(lower: bool, width: int):
 
 
 def _full_sets(lower: bool, width: int):
+    """The set of each document, once for each node that it is in."""
     def run(batches):
         for batch in batches:
-            out = [(i, s.tobytes(), signature(s).tobytes()) for i, s in _sets(lower, width, batch)]
-            if out:
-                ids, sets, tokens = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(
-                    tokens, pa.binary())], names=["id", "shingles", "tokens"])
+            for ids, texts, nodes, stars in H.chunks(batch, columns=4):
+                words, counts = H.hashed_words(texts, lower)
+                at, out = 0, []
+                for i, n, own, star in zip(ids, counts.tolist(), nodes, stars):
+                    held = H.shingle_set(words[at:at + n], width).tobytes()
+                    at += n
+                    out += [(node, s, i, held) for node, s in zip(own, star)]
+                if out:
+                    columns = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                        columns, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["node", "star", "id", "shingles"])
     return run
 
 
@@ -100,21 +108,26 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint32).reshape(len(rows), COORDS)
 
 
-def _branches(level: int, similarity: float):
-    """The next nodes: each node's path chooses one coordinate, and a second one as often as keeps
-    ``1 / similarity`` branches in expectation."""
+def _branches(first: int, last: int, similarity: float):
+    """The nodes of the next levels, ``first`` to ``last``, with the node above each.  A node's path chooses one
+    coordinate, and a second one as often as keeps ``1 / similarity`` branches in expectation."""
     more = 1 / similarity - 1
 
     def run(batches):
         for batch in batches:
             nodes, ids, tokens = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            for k in range(1 + math.ceil(more)):
-                dice = H.mix64(nodes + H.U64(7919 * level + 104729 * k + 1))
-                use = np.ones(len(nodes), bool) if k == 0 else (dice >> H.U64(11)).astype(float) / 2.0**53 < more - (k - 1)
-                coord = (H.mix64(dice) % H.U64(COORDS)).astype(np.int64)
-                chosen = tokens[np.arange(len(nodes)), coord].astype(H.U64)
-                child = H.mix64(H.mix64(nodes ^ dice) + chosen * H.U64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(child[use].view(np.int64)), pa.array(ids[use])], names=["node", "id"])
+            row = np.arange(len(nodes))
+            for level in range(first, last + 1):
+                below = []
+                for k in range(1 + math.ceil(more)):
+                    dice = H.mix64(nodes + H.U64(7919 * level + 104729 * k + 1))
+                    use = np.ones(len(nodes), bool) if k == 0 else (dice >> H.U64(11)).astype(float) / 2.0**53 < more - (k - 1)
+                    dice, above, at = dice[use], nodes[use], row[use]
+                    chosen = tokens[at, (H.mix64(dice) % H.U64(COORDS)).astype(np.int64)].astype(H.U64)
+                    below.append((H.mix64(H.mix64(above ^ dice) + chosen * H.U64(0x9E3779B97F4A7C15)), above, at))
+                nodes, above, row = (np.concatenate(x) for x in zip(*below))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(above.view(np.int64)), pa.array(
+                    np.full(len(row), level, np.int32)), pa.array(ids[row])], names=["node", "above", "level", "id"])
     return run
 
 
@@ -131,7 +144,7 @@ class _Forest:
         self.up[self.root(i)] = self.root(j)
 
 
-def linked_pairs(sets: list[np.ndarray], tokens: np.ndarray, percent: int, star: bool = False):
+def linked_pairs(sets: list[np.ndarray], percent: int, star: bool = False):
     """Pairs (i, j) with intersection / union of at least ``percent`` %, fewer than ``len(sets)`` of them,
     that connect everything that such pairs connect.  With ``star``: pairs with the first set only.
 
@@ -140,6 +153,7 @@ def linked_pairs(sets: list[np.ndarray], tokens: np.ndarray, percent: int, star:
     m, sizes = len(sets), np.array([len(s) for s in sets])
     forest, need = _Forest(m), percent / 100
     least = need - 4 * math.sqrt(need * (1 - need) / COORDS) if m > 64 else 0.0
+    tokens = np.array([signature(s) for s in sets]) if least else None
     for i in range(1 if star else m - 1):
         rest = np.arange(i + 1, m)
         rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
@@ -160,9 +174,8 @@ def _compare(percent: int):
         ids = np.array(group.column("id").to_pylist())
         order = np.argsort(ids)
         sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
-        star = group.column("star")[0].as_py()
-        tokens = _matrix(group.column("tokens"))[order]
-        pairs = list(linked_pairs([sets[k] for k in order.tolist()], tokens, percent, star))
+        sets = [sets[k] for k in order.tolist()]
+        pairs = list(linked_pairs(sets, percent, group.column("star")[0].as_py()))
         ids = ids[order]
         if pairs:
             a, b = np.array(pairs).T
@@ -172,10 +185,10 @@ def _compare(percent: int):
 
 def _compared(leaves: DataFrame, docs: DataFrame, lower: bool, width: int, percent: int) -> DataFrame:
     """Links within the leaves (``ids`` array, ``star`` boolean), on the full sets."""
-    wanted = leaves.select(F.explode("ids").alias("id")).distinct()
-    sets = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(
-        _full_sets(lower, width), "id bigint, shingles binary, tokens binary")
-    rows = leaves.select(F.xxhash64("ids", "star").alias("node"), "star", F.explode("ids").alias("id")).join(sets, "id")
+    wanted = leaves.select(F.xxhash64("ids", "star").alias("node"), "star", F.explode("ids").alias("id")).groupBy("id").agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("star").alias("stars"))
+    rows = docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "nodes", "stars").mapInArrow(
+        _full_sets(lower, width), "node bigint, star boolean, id bigint, shingles binary")
     return map_groups(rows, "node", _compare(percent), "a bigint, b bigint")
 
 
@@ -197,19 +210,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: b
 def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, levels) -> DataFrame:
     keep_path = (percent / 100) ** levels
     trees = min(COORDS, math.ceil(math.log(1 - recall) / math.log(1 - keep_path)))
-    members, leaves = reps.mapInArrow(_roots(trees), "node bigint, id bigint"), []
-    for level in range(1, LEVELS + 1):
-        members = cut_lineage(members)
-        sizes = members.groupBy("node").count().where("count > 1")
-        small = members.join(sizes.where(F.col("count") <= leaf), "node")
+    rows = reps.mapInArrow(_roots(trees), "node bigint, id bigint").selectExpr("node", "0L AS above", "1 AS level", "id")
+    first, last, leaves, large = 1, 1, [], None
+    while True:
+        rows = cut_lineage(rows)
+        sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.max("level").alias("level")).where("m > 1")
+        small = rows.join(sizes.where(F.col("m") <= leaf).select("node"), "node")
+        big = sizes.where(F.col("m") > leaf)
+        if last > first:  # only where the node above is too large
+            small = small.where(F.col("level") == first).unionByName(
+                small.where(F.col("level") > first).join(big.select(F.col("node").alias("above")), "above", "left_semi"))
         leaves.append(small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", F.lit(False).alias("star")))
-        large = members.join(sizes.where(F.col("count") > leaf), "node").select("node", "id")
-        if sizes.where(F.col("count") > leaf).isEmpty():
+        big = big.where(F.col("level") == last).select("node")
+        if big.isEmpty():
             large = None
             break
-        if level < LEVELS:
-            members = large.join(reps, "id").select("node", "id", "tokens").mapInArrow(
-                _branches(level, percent / 100), "node bigint, id bigint").distinct()
+        large = rows.join(big, "node").select("node", "id")
+        if last >= LEVELS:
+            break
+        first, last = last + 1, min(last + STEP, LEVELS)
+        rows = large.join(reps, "id").select("node", "id", "tokens").mapInArrow(
+            _branches(first, last, percent / 100), "node bigint, above bigint, level int, id bigint")
     rest = None
     if large is not None:  # too large at the last level: with the smallest id, in slices
         first = large.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("m"))

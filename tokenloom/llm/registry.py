@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import licenses, pii
+from tokenloom.llm import licenses, pii, quality, toxicity
 from tokenloom.llm.common import table
 
 #: Key of the registered queries; a deployment passes its own.
@@ -61,6 +61,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_quality_ranking")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -85,6 +90,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op8_toxicity_lexicon")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import licenses, pii, quality, toxicity
-from tokenloom.llm.common import table
+from tokenloom.llm import licenses, pii, quality, secrets, toxicity, vectors
+from tokenloom.llm.common import shared_path, table
 
 #: Key of the registered queries; a deployment passes its own.
 PII_KEY = "registered-query"
@@ -90,6 +90,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secret_ledger")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_versions(table(spark, sf_dir, "documents"), shared_path(spark, "secret-ledger"))
+    return secrets.digests(found)
+
+
+OP7_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+    AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.x, reach.r FROM reach JOIN links l ON l.y = reach.vec_id),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN counted ON x = vec_id GROUP BY vec_id
+"""
+
+
+@query("op7_near_vectors", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_toxicity_lexicon")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

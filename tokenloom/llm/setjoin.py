@@ -8,6 +8,7 @@
    keeps a path however deep the tree gets.
 3. Nodes of at most ``leaf`` documents are compared exhaustively on the full sets; a node passes on only
    links that connect something new, so a node of n documents gives fewer than n links.
+   Levels are taken STEP at a time, to need few jobs; a node counts only if the one above is too large.
 4. A node that is still too large at the last level (documents that agree in every chosen token) is
    compared with its smallest document in slices; where that leaves several components, all pairs of
    its slices are compared.  No candidate is dropped anywhere.
@@ -33,7 +34,7 @@ from tokenloom.llm.common import buckets, components, cut_lineage, map_groups
 
 COORDS = 64
 LEVELS = 21
-STEP = 5
+STEP = 4
 _A = (H.mix64(np.arange(1, COORDS + 1, dtype=H.U64)) >> H.U64(32)).astype(np.uint32) | np.uint32(1)
 _B = H.mix64(np.arange(1001, COORDS + 1001, dtype=H.U64)).astype(np.uint32)
 

@@ -305,10 +305,10 @@ def _place(blocks: int, voc: Vocabulary, digest: bool, schema: pa.Schema):
             ids.append(got.column("ids").chunk(0).flatten().to_numpy())
         counts, ids = np.concatenate(counts), np.concatenate(ids)
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        own = [ids[a:b].tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         back = np.empty(len(known), dtype=np.int64)
         back[order] = np.arange(len(known))  # from a word's rank by hash to its place in the answers
         if digest:
+            own = [ids[a:b].tolist() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             shown = [",".join(map(str, x)).encode() for x in own]
             decoded = [b"".join(map(voc.pieces.__getitem__, x)) for x in own]
         tables = []
@@ -316,21 +316,24 @@ def _place(blocks: int, voc: Vocabulary, digest: bool, schema: pa.Schema):
             n_ids, out_ids, out_text = [], [], []
             for n, kinds, at, row in split:
                 place = back[np.searchsorted(known, kinds)][at]
-                ends = np.searchsorted(row, np.arange(n), side="right").tolist()
+                ends = np.searchsorted(row, np.arange(n), side="right")
                 sums = np.concatenate([[0], np.cumsum(counts[place])])
-                place, lo = place.tolist(), 0
-                for hi in ends:
-                    mine = place[lo:hi]
-                    n_ids.append(int(sums[hi] - sums[lo]))
-                    if digest:
+                sizes = np.diff(sums[ends], prepend=0)
+                n_ids.append(sizes)
+                if digest:
+                    place, lo = place.tolist(), 0
+                    for hi in ends.tolist():
+                        mine = place[lo:hi]
                         out_ids.append(hashlib.sha256(b",".join([shown[k] for k in mine])).hexdigest())
                         text = b"".join([decoded[k] for k in mine]).decode("utf-8", "replace")
                         out_text.append(hashlib.sha256(text.encode()).hexdigest())
-                    else:
-                        flat = [i for k in mine for i in own[k]]
-                        out_ids.append(flat)
-                        out_text.append(b"".join(map(voc.pieces.__getitem__, flat)).decode("utf-8", "replace"))
-                    lo = hi
+                        lo = hi
+                else:
+                    gather = np.repeat(cuts[place] - sums[:-1], counts[place]) + np.arange(sums[-1])
+                    for own_ids in np.split(ids[gather].astype(np.int32), np.cumsum(sizes)[:-1]):
+                        out_ids.append(own_ids)
+                        out_text.append(b"".join(map(voc.pieces.__getitem__, own_ids.tolist())).decode("utf-8", "replace"))
+            n_ids = np.concatenate(n_ids) if n_ids else np.zeros(0, np.int64)
             kept = [rows.column(k) for k in range(rows.num_columns - 1)]
             tables.append(pa.Table.from_arrays([*kept, pa.array(n_ids, pa.int64()), pa.array(
                 out_ids, pa.string() if digest else pa.list_(pa.int32())), pa.array(out_text, pa.string())], schema=schema))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tokenloom.llm import hashing as H
 from tokenloom.llm.samples import held_out, labelled
@@ -235,19 +236,24 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float
     return tuple(map(float, w))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` (score at least ``threshold``), for every row."""
+def score_rows(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The input with its score; a column of that name is replaced."""
     bias, hit, length = lexicon.curve
+    own = docs.drop(score_col)
+    at, names = own.columns.index(text_col), [*own.columns, score_col]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                x = np.array([measures(lexicon, t) for t in part.column(1).to_pylist()]).reshape(-1, 2)
+                x = np.array([measures(lexicon, t) for t in part.column(at).to_pylist()]).reshape(-1, 2)
                 value = bias + x @ np.array([hit, length])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(value, -30, 30))))],
-                                                 names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(value, -30, 30))))], names=names)
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(score_col, DoubleType())]))
+
+
+def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` (score at least ``threshold``), for every row."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scored = own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score_rows(own, lexicon).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                           (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,12 +5,13 @@ item, so its MinHash agrees with no item's; the search domains are therefore win
 size.  An item of 2^c to 2^(c+1)-1 shingle positions belongs to size class c.  For each class present
 among the items, every document is cut into half-blocks of 2^c positions, and three half-blocks in a
 row form a window: any run of the item's length lies in one window, at a Jaccard similarity of a third
-to two thirds.  Minwise values of the smallest class's half-blocks come from the shingles; each
-larger class takes the smaller of two neighbours, so the shingles are read once.
+to two thirds.
 
 A document and an item are candidates when one of ``permutations`` minwise values of a window agrees
-with the item's (bands of one row, as fits such similarities).  Candidates are verified on the whole
-sets: share of the item's distinct shingles that the document holds, at least ``percent`` %.
+with the item's (bands of one row, as fits such similarities).  They can agree only where the item's
+own minwise shingle stands in the window, so all shingle positions are first joined to the items'
+minwise shingles, and a window's minimum is worked out where one was met.  Candidates are verified on
+the whole sets: share of the item's distinct shingles that the document holds, at least ``percent`` %.
 
 Only DataFrame functions.  The items' values are broadcast up to ``broadcast_rows`` of them (their
 number is counted), beyond that they are joined by a shuffle.
@@ -30,13 +31,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def with_shingles(df: DataFrame, text: Column, width: int, name: str = "s") -> DataFrame:
+def shingles(text: Column, width: int = 5) -> Column:
+    """Hashes of the word shingles of a text in order; none below ``width`` words.
+
+    One expression, in which a variable holds the words: were they a column of their own, a filter
+    pushed below could put their expression into the loop over the positions."""
     words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-    own = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
-    parts = ", ".join(f"_w[i + {k}]" for k in range(width))
-    return own.withColumn(name, F.expr(
-        f"CASE WHEN size(_w) >= {width} THEN transform(sequence(0, size(_w) - {width}), i -> xxhash64({parts})) "
-        "ELSE cast(array() AS array<bigint>) END")).drop("_w")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.array(hashes), lambda w: F.when(F.size(w) >= width, F.transform(
+        F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))).otherwise(
+        F.array().cast("array<bigint>")))[0]
 
 
 def _seeds(spark, n: int) -> list[int]:
@@ -55,38 +59,27 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, width:
     spark = docs.sparkSession
     seeds = _array(_seeds(spark, permutations))
     texts = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_t")).where("item_id IS NOT NULL")
-    # no filter on the shingles themselves: it would be pushed below, into the word expression
-    known = cut_lineage(with_shingles(texts, F.col("_t"), width)).where("size(s) > 0").select(
+    known = cut_lineage(texts.select("item_id", shingles(F.col("_t"), width).alias("s"))).where("size(s) > 0").select(
         "item_id", F.expr("int(floor(log2(size(s))))").alias("class"), F.array_distinct("s").alias("s"))
-    keys = known.select("item_id", F.explode(F.expr(
-        f"transform({seeds}, v -> array_min(transform(s, x -> x ^ v)) ^ xxhash64(class))")).alias("key"))
+    keys = known.select("item_id", "class", F.explode(F.expr(
+        f"transform({seeds}, v -> named_struct('seed', v, 'key', array_min(transform(s, x -> x ^ v)) ^ v))")).alias("k")).select(
+        "item_id", "class", "k.seed", "k.key")
     n_keys = known.count() * permutations
-    classes = [r[0] for r in known.select("class").distinct().orderBy("class").collect()]  # at most 31
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).where("doc_id IS NOT NULL")
-    low = classes[0] if classes else 0
-    cut = with_shingles(own, F.col("_t"), width).select("doc_id", F.expr(
-        f"transform({seeds}, v -> CASE WHEN size(s) > 0 THEN transform(sequence(0, (size(s) - 1) div {1 << low}), "
-        f"b -> array_min(transform(slice(s, b * {1 << low} + 1, {1 << low}), x -> x ^ v))) END)").alias(f"m{low}"))
-    windows = []
-    for c in range(low, (classes[-1] if classes else 0) + 1):
-        if c > low:
-            cut = cut.withColumn(f"m{c}", F.expr(
-                f"transform(m{c - 1}, m -> CASE WHEN m IS NOT NULL THEN transform(sequence(0, (size(m) - 1) div 2), "
-                "b -> array_min(slice(m, 2 * b + 1, 2))) END)"))
-        if c in classes:
-            salt = spark.range(1).select(F.xxhash64(F.lit(c))).first()[0]
-            windows.append(f"array_distinct(coalesce(flatten(transform(m{c}, m -> CASE WHEN m IS NOT NULL THEN transform("
-                           f"sequence(0, greatest(size(m) - 3, 0)), b -> array_min(slice(m, b + 1, 3)) ^ bigint('{salt}')) END)), "
-                           "cast(array() AS array<bigint>)))")
-    if not windows:
-        windows = ["cast(array() AS array<bigint>)"]
-    probes = cut.select("doc_id", F.explode(F.expr(f"concat({', '.join(windows)})")).alias("key"))
+    # an item's minwise shingle must stand in a window to be its minimum: only there the window is looked at
+    probes = own.select("doc_id", F.posexplode_outer(shingles(F.col("_t"), width)).alias("pos", "key"))
     side = F.broadcast(keys) if n_keys <= broadcast_rows else keys
-    pairs = probes.join(side, "key").select("doc_id", "item_id").distinct()
-    # whole sets of the candidates
+    agreed = probes.join(side, "key").groupBy("doc_id").agg(
+        F.collect_set(F.struct("item_id", "class", "seed", "key", "pos")).alias("agreed"))
     full = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    sets = with_shingles(full.join(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "doc_id"), F.col("_t"), width)
-    each = sets.select("doc_id", "s", F.explode("items").alias("item_id")).join(
+    size = "shiftleft(1, m.class)"
+    sets = full.join(agreed, "doc_id").select("doc_id", "agreed", shingles(F.col("_t"), width).alias("s")).select("doc_id", "s", F.expr(
+        "transform(array(s), t -> array_distinct(transform(filter(agreed, m -> exists("
+        f"sequence(greatest(m.pos div {size} - 2, 0), m.pos div {size}), b -> "
+        f"array_min(transform(slice(t, int(b * {size}) + 1, 3 * {size}), y -> y ^ m.seed)) = m.key ^ m.seed)), "
+        "m -> m.item_id)))[0]").alias("items"))
+    # whole sets of the candidates
+    each = sets.select("doc_id", "s", F.explode_outer("items").alias("item_id")).join(
         (F.broadcast(known) if n_keys <= broadcast_rows else known).select("item_id", F.col("s").alias("own")), "item_id")
     counted = each.select("doc_id", "item_id", F.size(F.array_intersect("s", "own")).cast("bigint").alias("n_shared"),
                           F.size("own").cast("bigint").alias("n_item"))

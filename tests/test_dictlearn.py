@@ -70,15 +70,26 @@ def test_fit_dictionary_reduces_error(spark):
     assert mb.atoms.shape == (5, 8)
 
 
-def test_slot_minibatches(spark, monkeypatch):
-    """The slot-partitioned mini-batch path (used above SLOT_MIN_ROWS rows) fits as well."""
-    import tokenloom.operators.dictlearn as dl
-    monkeypatch.setattr(dl, "SLOT_MIN_ROWS", 10)
+def test_every_row_once_per_pass(spark):
+    """Slices of a pass hold every row exactly once, whatever the batch size and the number of steps."""
     rng = np.random.default_rng(22)
     x = rng.normal(size=(400, 6))
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
-    model = dl.fit_dictionary(df, n_atoms=4, n_nonzero=2, max_iter=6, batch_size=50, alpha=0.1, id_col="id")
-    assert model.atoms.shape == (4, 6) and len(model.history) == 6
+    for batch, steps in ((50, 8), (50, 3), (None, 8), (1000, 8)):
+        model = fit_dictionary(df, n_atoms=4, n_nonzero=2, max_iter=3, batch_size=batch, alpha=0.1, id_col="id",
+                               tol=0.0, max_no_improvement=None, steps_per_epoch=steps)
+        assert (model.rows_visited, model.epochs) == (1200, 3)
+        assert len(model.history) == 3 * (min(steps, -(-400 // batch)) if batch else 1)
+        assert np.allclose(np.linalg.norm(model.atoms, axis=1), 1.0)
+
+
+def test_stop_rules(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(200, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    fit = lambda **kw: fit_dictionary(df, n_atoms=3, max_iter=40, batch_size=50, alpha=0.1, id_col="id", **kw)
+    assert fit(tol=10.0).rows_visited < 200
+    assert fit(tol=0.0, max_no_improvement=1).epochs < 40
 
 
 def test_fit_independent_of_partitioning(spark):

@@ -3,6 +3,7 @@
 import math
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -11,26 +12,26 @@ from tokenloom.operators.recsets import split_sizes
 from tokenloom.session import scale_conf
 
 
-def py_grab(s, prefix):
-    if not isinstance(s, str):
-        return ""
-    for tok in s.strip().split():
-        if tok.startswith(prefix):
-            return tok[len(prefix):]
-    return ""
+@pytest.mark.parametrize("text, tag", [
+    ("genre---rock", "rock"), ("rock genre---pop", "pop"), ("genre---a---b genre---c", "a---b"), ("xgenre---y", ""),
+    ("  \t mood/theme---sad \t genre---x ", "x"), ("genre---", ""), ("genre--- genre---late", ""), ("", ""), ("   ", ""), (None, ""),
+    ("Genre---rock", ""), ("genre---x\tgenre---y", "x")])
+def test_grab_tag_examples(spark, text, tag):
+    assert [r[0] for r in spark.createDataFrame([(text,)], "t string").select(grab_tag("t", "genre---")).collect()] == [tag]
 
 
-words = st.lists(st.sampled_from(["genre---rock", "genre---a---b", "mood/theme---sad", "instrument---x",
-                                  "rock", "genre---", "xgenre---y"]), max_size=4)
+labels = st.text(alphabet="abc-", min_size=1, max_size=5)
 
 
-@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(words, st.sampled_from([" ", "  ", " \t"])), min_size=1, max_size=8))
-def test_grab_tag_matches_python(spark, rows):
-    texts = [sep.join(w) for w, sep in rows]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(grab_tag("t", "genre---")).collect()]
-    assert got == [py_grab(t, "genre---") for t in texts]
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.lists(st.sampled_from(["rock", "x---y", "mood/theme---z"]), max_size=3), labels, st.lists(labels, max_size=2),
+                          st.sampled_from([" ", "  ", " \t"])), min_size=1, max_size=8))
+def test_first_label_wins(spark, rows):
+    """Other words before, further labels behind: the first label comes out."""
+    texts = [sep.join([*before, f"genre---{first}", *(f"genre---{x}" for x in behind)]) for before, first, behind, sep in rows]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = dict(df.select("i", grab_tag("t", "genre---")).collect())
+    assert [got[i] for i in range(len(rows))] == [first for _, first, _, _ in rows]
 
 
 @given(st.integers(min_value=1, max_value=10**9))

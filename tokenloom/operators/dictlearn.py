@@ -12,6 +12,7 @@ never collected and its lineage does not grow across iterations.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +23,10 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import hash32, pick, seeded_key
 from ..functions.vectors import as_doubles
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, delete_path
 
 EPS = float(np.finfo(float).eps)
 MAX_DICT_VALUES = 2_000_000  # 16 MB of doubles; D=128 x d=221 is 28k
-MAX_SLOTS = 1024  # mini-batch slots stored as partition folders
-SLOT_MIN_ROWS = 1_000_000  # below this, sampling the checkpointed input each iteration is cheaper
 
 
 # ---- OMP (M8) -------------------------------------------------------------------
@@ -171,21 +170,14 @@ def _partial_stats(dictionary: np.ndarray, algo: str, alpha: float, n_nonzero: i
 
 
 def sum_partials(df: DataFrame, col: str = "stats", fanout: int = 64) -> np.ndarray | None:
-    """Element-wise sum of equally long arrays, two-level so the driver gets <= fanout rows."""
+    """Element-wise sum of equally long arrays: partial vectors meet in ``fanout`` groups
+    on the executors, and at most ``fanout`` model-sized rows reach the driver."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    try:
-        few = df.rdd.getNumPartitions() <= fanout
-    except Exception:  # no RDD view (Spark Connect): always take the two-level sum
-        few = False
-    if few:
-        # at most one model-sized row per partition: no second stage needed
-        rows = df.select(col).collect()
-        return np.sum([np.asarray(r[0], dtype=float) for r in rows], axis=0) if rows else None
     grouped = (df.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(fanout)))
                .groupBy("_g").agg(Summarizer.sum(array_to_vector(col)).alias("s")))
-    rows = grouped.collect()
+    rows = sorted(grouped.collect(), key=lambda r: r["_g"])
     if not rows:
         return None
     return np.sum([r["s"].toArray() for r in rows], axis=0)
@@ -195,7 +187,9 @@ def sum_partials(df: DataFrame, col: str = "stats", fanout: int = 64) -> np.ndar
 class DictionaryModel:
     atoms: np.ndarray         # D x dim, unit-norm rows
     n_nonzero: int
-    history: list[float]
+    history: list[float]      # mean error of each step, on the rows of the step
+    rows_visited: int = 0
+    epochs: int = 0
 
     @property
     def n_atoms(self) -> int:
@@ -214,31 +208,48 @@ class DictionaryModel:
         return sparse_codes(df, self.atoms, self.n_nonzero, col, pad, out_cols)
 
 
-def _hash_keep(seed: int, key, fraction: float):
-    """Keep a row with probability ``fraction``, decided by md5 of (seed, key)."""
-    return hash32(seeded_key(seed, key)) < F.lit(int(fraction * (1 << 32)))
-
-
 def _normalize_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms > 0, norms, 1.0)
 
 
+def _update_atoms(atoms: np.ndarray, A: np.ndarray, B: np.ndarray, pool: np.ndarray, spare: int) -> int:
+    """Block coordinate descent on the sums; an atom no row uses is re-seeded from the pool."""
+    D = len(atoms)
+    for j in range(D):
+        if A[j, j] > 1e-10:
+            u = atoms[j] + (B[:, j] - atoms.T @ A[:, j]) / A[j, j]
+            atoms[j] = u / max(np.linalg.norm(u), 1.0)
+        else:
+            atoms[j] = pool[(D + spare) % len(pool)]
+            spare += 1
+    return spare
+
+
 def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_iter: int = 100,
                    batch_size: int | None = 256, alpha: float = 1.0, fit_algorithm: str = "cd",
-                   seed: int = 42, col: str = "features", id_col: str | None = None) -> DictionaryModel:
-    """M6 (about ``batch_size`` rows per iteration) or M7 (``batch_size=None``: every row).
-
-    Mini-batch rows are chosen by a seeded md5 of the row key (``id_col``, else the
-    vector), so the fit does not depend on partitioning; above ``SLOT_MIN_ROWS`` rows
-    they come from one slot folder per iteration instead of a full scan.  The
-    starting atoms are the first ``n_atoms`` rows in seeded md5 order (normalized);
-    an atom that no batch row uses is re-seeded from a further row of that order.
+                   seed: int = 42, col: str = "features", id_col: str | None = None,
+                   tol: float = 1e-3, max_no_improvement: int | None = 10,
+                   steps_per_epoch: int = 8) -> DictionaryModel:
+    """M6 (mini-batches) or M7 (``batch_size=None``): ``max_iter`` passes over every row.
+
+    M6 deals the rows once into slices by a seeded md5 of the row key (``id_col``, else
+    the vector) and takes one step per slice, so every row enters exactly once per pass
+    whatever the table's size and partitioning.  A slice holds ``batch_size`` rows, or
+    one ``steps_per_epoch``-th of the table where that is more: the batch grows with the
+    data, so that a pass stays at most ``steps_per_epoch`` jobs, each reading its slice's
+    folder only.  The fit stops early when a step changes the atoms by at most ``tol``
+    (Frobenius norm over the number of atoms), or when the smoothed error has not improved
+    for ``max_no_improvement`` steps (0 or None: never).
+
+    The starting atoms are the first ``n_atoms`` rows in seeded md5 order (normalized);
+    an atom that no row of a step uses is re-seeded from a further row of that order.
     Codes in the fit are lasso codes (coordinate descent, ``alpha``) or OMP codes.
     """
     if fit_algorithm not in ("cd", "omp"):
         raise ValueError("fit_algorithm must be 'cd' or 'omp'")
-    # every iteration re-reads the data: cut its lineage once (shared checkpoint folder)
+    spark = df.sparkSession
+    # every step re-reads the data: cut its lineage once (shared checkpoint folder)
     data = cut_lineage(df.select(*([id_col] if id_col else []), as_doubles(col).alias(col)))
     order_key = seeded_key(seed, F.col(id_col)) if id_col else seeded_key(seed, F.to_json(F.col(col)))
     pool_rows = (data.withColumn("_h", hash32(order_key)).orderBy("_h", F.md5(order_key))
@@ -252,63 +263,57 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
         atoms[len(pool):] += 1e-3 * rng.standard_normal(atoms[len(pool):].shape)
         atoms = _normalize_rows(atoms)
     D, dim = atoms.shape
-    n_total = data.count() if batch_size else None
-    row_key = F.col(id_col).cast("string") if id_col else F.to_json(F.col(col))
-    slots = None
-    if batch_size and n_total > SLOT_MIN_ROWS:
-        # mini-batches: rows are dealt once into slot folders in the shared checkpoint
-        # area; iteration t reads slot t mod S only (partition pruning), never the whole data
-        n_slots = int(min(MAX_SLOTS, max(1, math.ceil(n_total / batch_size))))
-        import uuid
-        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/dictfit-{uuid.uuid4().hex[:12]}"
-        slot_key = seeded_key(seed, F.col(id_col)) if id_col else seeded_key(seed, F.to_json(F.col(col)))
-        (data.withColumn("_slot", pick(slot_key, n_slots)).repartition(n_slots, "_slot")
-         .write.partitionBy("_slot").parquet(path))
-        slots = df.sparkSession.read.parquet(path)
-        slot_rows = n_total / n_slots
-    A = np.zeros((D, D))
-    B = np.zeros((dim, D))
+    n_total = data.count()
+    n_slices = min(steps_per_epoch, max(1, math.ceil(n_total / batch_size))) if batch_size else 1
+    slices, folder = [data], None
+    if n_slices > 1:
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/dictfit-{uuid.uuid4().hex[:12]}"
+        (data.withColumn("_slice", pick(order_key, n_slices)).repartition("_slice", F.floor(F.rand(seed) * 64))
+         .write.partitionBy("_slice").parquet(folder))
+        stored = spark.read.parquet(folder)
+        slices = [stored.filter(F.col("_slice") == i).drop("_slice") for i in range(n_slices)]
+    batch = max(1.0, n_total / n_slices)
+    A, B = np.zeros((D, D)), np.zeros((dim, D))
     history: list[float] = []
-    spare = 0
-    for it in range(max_iter):
-        # mini-batches are chosen by a seeded hash of each row's key, so they do not depend
-        # on how the data happens to be partitioned (Bernoulli sampling would)
-        if batch_size and slots is not None:
-            batch = slots.filter(F.col("_slot") == it % n_slots).drop("_slot")
-            frac = batch_size / max(slot_rows, 1.0)
-            if frac < 1.0:
-                batch = batch.filter(_hash_keep(seed + it, row_key, frac))
-        elif batch_size:
-            frac = min(1.0, batch_size / max(n_total, 1))
-            batch = data if frac >= 1.0 else data.filter(_hash_keep(seed + it, row_key, frac))
-        else:
-            batch = data
-        part = batch.mapInPandas(_partial_stats(atoms, fit_algorithm, alpha, n_nonzero, col),
-                                 "stats array<double>")
-        s = sum_partials(part)
-        if s is None:
-            continue
-        A_b = s[:D * D].reshape(D, D)
-        B_b = s[D * D:D * D + dim * D].reshape(dim, D)
-        n_b, err = s[-2], s[-1]
-        history.append(err / max(n_b, 1.0))
-        if batch_size:
-            # forgetting factor of the online algorithm (Mairal et al., 2010, sec. 3.4)
-            t = it + 1
-            theta = batch_size * t if t < batch_size else batch_size ** 2 + t - batch_size
-            beta = (theta + 1 - batch_size) / (theta + 1)
-            A = beta * A + A_b
-            B = beta * B + B_b
-        else:
-            A, B = A_b, B_b
-        for j in range(D):
-            if A[j, j] > 1e-10:
-                u = atoms[j] + (B[:, j] - atoms.T @ A[:, j]) / A[j, j]
-                atoms[j] = u / max(np.linalg.norm(u), 1.0)
-            else:
-                atoms[j] = pool[(D + spare) % len(pool)]
-                spare += 1
-    return DictionaryModel(_normalize_rows(atoms), n_nonzero, history)
+    spare = step = visited = stale = 0
+    smooth, best, done = None, None, False
+    epoch = 0
+    try:
+        for epoch in range(1, max_iter + 1):
+            for part in slices:
+                s = sum_partials(part.mapInPandas(_partial_stats(atoms, fit_algorithm, alpha, n_nonzero, col),
+                                                  "stats array<double>"))
+                if s is None:
+                    continue
+                step += 1
+                A_b = s[:D * D].reshape(D, D)
+                B_b = s[D * D:D * D + dim * D].reshape(dim, D)
+                n_b, err = s[-2], s[-1]
+                visited += int(n_b)
+                history.append(err / max(n_b, 1.0))
+                if batch_size:
+                    # forgetting factor of the online algorithm (Mairal et al., 2010, sec. 3.4)
+                    theta = batch * step if step < batch else batch ** 2 + step - batch
+                    beta = (theta + 1 - batch) / (theta + 1)
+                    A, B = beta * A + A_b, beta * B + B_b
+                else:
+                    A, B = A_b, B_b
+                before = atoms.copy()
+                spare = _update_atoms(atoms, A, B, pool, spare)
+                weight = min(1.0, 2.0 * n_b / (n_total + 1))
+                smooth = history[-1] if smooth is None else smooth * (1 - weight) + history[-1] * weight
+                stale = 0 if best is None or smooth < best else stale + 1
+                best = smooth if best is None else min(best, smooth)
+                done = (tol > 0 and np.linalg.norm(atoms - before) / D <= tol) or bool(
+                    max_no_improvement and stale >= max_no_improvement)
+                if done and batch_size:
+                    break
+            if done:
+                break
+    finally:
+        if folder:
+            delete_path(spark, folder)
+    return DictionaryModel(_normalize_rows(atoms), n_nonzero, history, visited, epoch)
 
 
 def load_dictionary(tables: dict[str, DataFrame]) -> DictionaryModel:

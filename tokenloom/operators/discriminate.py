@@ -111,6 +111,7 @@ def anova(long: DataFrame, group_cols: list[str], label_col: str = "label",
     """
     per = long.groupBy(*group_cols, label_col).agg(
         F.count(value_col).alias("ng"), F.avg(value_col).alias("mg"), F.var_pop(value_col).alias("vg"))
+    per = per.filter(F.col("ng") > 0)  # a label without any value is no group
     # totals by a window over the aggregated rows (<= labels rows per group), so the
     # heavy per-label aggregation is planned once instead of feeding a self-join
     w = Window.partitionBy(*group_cols)
@@ -121,8 +122,8 @@ def anova(long: DataFrame, group_cols: list[str], label_col: str = "label",
         F.first("n").alias("n"), F.first("n_groups").alias("n_groups"),
         F.sum(F.col("ng") * (F.col("mg") - F.col("gm")) ** 2).alias("ss_between"),
         F.sum(F.col("ng") * F.col("vg")).alias("ss_within"))
-    dfb = (F.col("n_groups") - 1).cast("int")
-    dfw = (F.col("n") - F.col("n_groups")).cast("int")
+    dfb = (F.col("n_groups") - 1).cast("bigint")
+    dfw = (F.col("n") - F.col("n_groups")).cast("bigint")
     fstat = F.try_divide(F.col("ss_between") / dfb, F.try_divide(F.col("ss_within"), dfw))
     total = F.col("ss_between") + F.col("ss_within")
     return ss.select(*group_cols, F.col("n").cast("long").alias("n"), F.col("n_groups").cast("int").alias("n_groups"),

@@ -8,8 +8,12 @@ counts and costs.  A two-level sum brings at most 64 partial vectors of
 ``restarts x K x (d + 2)`` values to the driver.  The restart with the lowest
 final cost wins (lowest restart index on ties).
 
-Seeding is k-means++ per restart on a bounded sample (``sample_per_center`` x K rows
-in seeded md5 order of the row); an empty cluster keeps its previous center.
+Seeding is k-means|| over all rows, for all restarts in the same passes: each round adds
+``2 x K`` rows per restart, drawn with probability proportional to their squared
+distance from the candidates so far (an exponential race on a seeded hash of the row's
+content, so equal rows count once and partitioning does not matter); one more pass
+weights the candidates by the rows nearest to them, and weighted k-means++ on the
+candidates picks K.  An empty cluster keeps its previous center.
 """
 
 from __future__ import annotations
@@ -18,28 +22,107 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.hashing import hash32, seeded_key
 from ..functions.vectors import as_doubles
 from .dictlearn import sum_partials
 
+SEED_CHUNK = 512  # rows scored at once against one restart's candidates
 ROW_CHUNK = 2048  # rows scored at once against all restart centers
 MAX_CENTER_VALUES = 5_000_000  # restarts x K x d doubles shipped with each pass
 
 
-def kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeding on a small in-memory sample."""
-    n = len(x)
-    centers = [x[rng.integers(n)]]
+def kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weighted k-means++ on the candidates."""
+    weight = np.ones(len(x)) if weight is None else weight
+    centers = [x[rng.choice(len(x), p=weight / weight.sum())]]
     d2 = ((x - centers[0]) ** 2).sum(1)
     for _ in range(1, k):
-        total = d2.sum()
-        idx = rng.integers(n) if total <= 0 else rng.choice(n, p=d2 / total)
+        p = d2 * weight
+        idx = rng.integers(len(x)) if p.sum() <= 0 else rng.choice(len(x), p=p / p.sum())
         centers.append(x[idx])
         d2 = np.minimum(d2, ((x - x[idx]) ** 2).sum(1))
     return np.array(centers)
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def _row_hash(x: np.ndarray) -> np.ndarray:
+    """A hash of each row's content."""
+    h = np.full(len(x), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for bits in np.ascontiguousarray(x + 0.0).view(np.uint64).T:
+        h = _mix(h ^ bits) + np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
+def _distances(x: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Squared distance of each row to each member of each set."""
+    xx = (x * x).sum(1)[:, None]
+    return [np.maximum(xx - 2.0 * (x @ c.T) + (c * c).sum(1)[None, :], 0.0) for c in sets]
+
+
+def _race(sets: list[np.ndarray], m: int, restarts: int, salt: int, col: str):
+    """Per partition and restart the ``m`` distinct rows that finish first: waiting time -log(u) / distance."""
+    def run(batches):
+        best = [{} for _ in range(restarts)]
+        for pdf in batches:
+            xb = np.stack(pdf[col].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+            for r0 in range(0, len(xb), SEED_CHUNK):
+                x = xb[r0:r0 + SEED_CHUNK]
+                h = _row_hash(x)
+                near = _distances(x, sets) if sets else [None] * restarts
+                for r in range(restarts):
+                    u = ((_mix(h ^ _mix(np.uint64([salt * 1009 + r + 1]))) >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+                    w = np.ones(len(x)) if near[r] is None else near[r].min(axis=1)
+                    wait = np.where(w > 0, -np.log(u) / np.where(w > 0, w, 1.0), np.inf)
+                    for i in np.argsort(wait, kind="stable")[:m]:
+                        if np.isfinite(wait[i]):
+                            best[r][x[i].tobytes()] = (wait[i], x[i])
+                    if len(best[r]) > 2 * m:
+                        best[r] = dict(sorted(best[r].items(), key=lambda e: (e[1][0], e[0]))[:m])
+        rows = [(r, float(w), v.tolist()) for r in range(restarts)
+                for _, (w, v) in sorted(best[r].items(), key=lambda e: (e[1][0], e[0]))[:m]]
+        yield pd.DataFrame(rows, columns=["r", "wait", "v"])
+    return run
+
+
+def _draw(data: DataFrame, sets: list[np.ndarray], m: int, restarts: int, salt: int, col: str) -> list[np.ndarray]:
+    first = data.mapInPandas(_race(sets, m, restarts, salt, col), "r int, wait double, v array<double>").distinct()
+    place = F.row_number().over(Window.partitionBy("r").orderBy("wait", "v"))
+    rows = first.withColumn("place", place).filter(F.col("place") <= m).orderBy("r", "place").collect()
+    return [np.array([row["v"] for row in rows if row["r"] == r], dtype=float) for r in range(restarts)]
+
+
+def _nearest_counts(sets: list[np.ndarray], col: str):
+    def run(batches):
+        counts = [np.zeros(len(c)) for c in sets]
+        for pdf in batches:
+            xb = np.stack(pdf[col].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
+            for r0 in range(0, len(xb), SEED_CHUNK):
+                for n, d2 in zip(counts, _distances(xb[r0:r0 + SEED_CHUNK], sets)):
+                    n += np.bincount(np.argmin(d2, axis=1), minlength=len(n))
+        yield pd.DataFrame({"stats": [np.concatenate(counts)]})
+    return run
+
+
+def seed_centers(data: DataFrame, k: int, restarts: int, seed: int, col: str, rounds: int = 4) -> np.ndarray:
+    """k-means||: (restarts, K, d) starting centers; fewer than ``k`` where there are fewer distinct rows."""
+    sets = _draw(data, [], 1, restarts, seed, col)
+    if not len(sets[0]):
+        raise ValueError("empty input")
+    for i in range(1, rounds + 1):
+        new = _draw(data, sets, 2 * k, restarts, seed + 7919 * i, col)
+        sets = [np.concatenate([a, b]) if len(b) else a for a, b in zip(sets, new)]
+    counts = np.split(sum_partials(data.mapInPandas(_nearest_counts(sets, col), "stats array<double>")),
+                      np.cumsum([len(c) for c in sets])[:-1])
+    k = min(k, min(len(c) for c in sets))
+    return np.stack([kmeans_pp(c, k, np.random.default_rng(seed + r), n) for r, (c, n) in enumerate(zip(sets, counts))])
+
+
 def _partial(centers: np.ndarray, col: str):
     """centers: (R, K, d).  Emits [sums (R*K*d), counts (R*K), cost (R)] per partition."""
     R, K, d = centers.shape
@@ -91,25 +174,23 @@ def _pass(data: DataFrame, centers: np.ndarray, col: str):
 
 
 def fit_kmeans(data: DataFrame, k: int, max_iter: int = 200, n_init: int = 1, seed: int = 42,
-               col: str = "features", tol: float = 1e-4, sample_per_center: int = 64):
+               col: str = "features", tol: float = 1e-4):
     """Returns ``(centers (k, d), cost, n_iter)`` of the best of ``n_init`` restarts.
 
     ``data`` should be stored (checkpointed or read from a table): it is read once per
-    iteration.  Convergence: every restart's largest squared center shift is below
-    ``tol`` times the mean per-dimension variance of the sample (the usual relative
+    iteration.  Convergence: every restart's largest squared center shift is at most
+    ``tol`` times the mean per-dimension variance of all rows (the usual relative
     tolerance), or ``max_iter`` is reached.
     """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
     vec = data.select(as_doubles(col).alias(col))
-    key = seeded_key(seed, F.to_json(F.col(col)))
-    m = max(k, sample_per_center * k)
-    sample = np.array([r[0] for r in vec.orderBy(hash32(key), F.md5(key)).limit(m).collect()], dtype=float)
-    if len(sample) == 0:
-        raise ValueError("empty input")
-    k_eff = min(k, len(sample))
-    if n_init * k_eff * sample.shape[1] > MAX_CENTER_VALUES:
+    centers = seed_centers(vec, k, max(1, n_init), seed, col)
+    if centers.size > MAX_CENTER_VALUES:
         raise ValueError("restarts x centers too large to ship to tasks")
-    centers = np.stack([kmeans_pp(sample, k_eff, np.random.default_rng(seed + r)) for r in range(max(1, n_init))])
-    tol_abs = tol * float(sample.var(axis=0).mean())
+    spread = vec.select(Summarizer.variance(array_to_vector(col)).alias("v")).first()["v"].toArray()
+    tol_abs = tol * float(spread.mean())
     n_iter = 0
     for n_iter in range(1, max_iter + 1):
         sums, counts, _ = _pass(vec, centers, col)

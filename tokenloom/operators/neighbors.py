@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vectors import as_doubles, l2_normalize
+from ..session import cut_lineage
 from .sample import hash_sample
 
 MAX_QUERIES = 10_000  # query samples are small by design (50 in the reference)
@@ -79,16 +80,15 @@ def _batch_topk(score, qid, cid, k):
 
 
 def numeric_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """Integer ids are used as they are.  Any other id type gets an exact dense surrogate
-    (1..n in seeded hash order, distributed ranking, no collisions); returns the frame
-    with ``_nid`` and the ``(_nid, id)`` mapping to translate results back."""
+    """Integer ids are used as they are.  Any other id type gets a unique integer in the
+    order of the ids (so ties go to the lowest id), from a distributed sort; returns the
+    frame with ``_nid`` and the stored ``(_nid, id)`` mapping to translate results back."""
     from pyspark.sql.types import IntegralType
     if isinstance(df.schema[id_col].dataType, IntegralType):
         return df.withColumn("_nid", F.col(id_col).cast("bigint")), None
-    from ..functions.hashing import seeded_key
-    from .recsets import global_rank
-    ids = df.select(id_col).distinct()
-    mapping = global_rank(ids, seeded_key(0, F.col(id_col))).select(F.col("rank").alias("_nid"), id_col)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = df.select(id_col).distinct().repartitionByRange(n, id_col).sortWithinPartitions(id_col)
+    mapping = cut_lineage(ids.select(F.monotonically_increasing_id().alias("_nid"), id_col))
     return df.join(mapping, id_col), mapping
 
 

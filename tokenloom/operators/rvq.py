@@ -1,9 +1,8 @@
 """Residual vector quantization: fit (M4) and apply (M5).
 
 A codebook is a small table ``(level int, token int, center array<double>)``.
-Fitting runs MLlib k-means (k-means|| seeding, distributed Lloyd steps) on
-the residual of each level; ``n_init`` restarts keep the lowest training
-cost.  Applying a codebook is one pass over the data: every Arrow batch is
+Fitting runs distributed k-means (``operators.kmeans``) on the residual of each
+level; ``n_init`` restarts keep the lowest training cost.  Applying a codebook is one pass over the data: every Arrow batch is
 assigned to its nearest center level by level with BLAS, the codebook
 (levels x K x dim doubles, size-checked) travels inside the task closure.
 """
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import as_doubles
 from ..session import cut_lineage
+from .kmeans import fit_kmeans
 
 MAX_CODEBOOK_VALUES = 5_000_000  # 40 MB of doubles; K=128 x d=221 x L=3 is 85k
 
@@ -99,8 +99,7 @@ def apply_rvq(df: DataFrame, codebook: DataFrame, col: str = "features",
 
 
 def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: int = 200,
-            n_init: int = 1, seed: int = 42, col: str = "features", engine: str = "auto",
-            ) -> tuple[DataFrame, DataFrame, dict]:
+            n_init: int = 1, seed: int = 42, col: str = "features", tol: float = 1e-4) -> tuple[DataFrame, DataFrame, dict]:
     """M4: fit one k-means codebook per level on the running residual.
 
     Returns ``(codebook, codes, info)``; ``codes`` keeps every input column plus
@@ -108,40 +107,17 @@ def fit_rvq(df: DataFrame, n_levels: int = 2, n_clusters: int = 128, max_iter: i
     so applying the returned codebook reproduces the codes exactly.  The
     residual of each level is checkpointed into the shared checkpoint folder.
 
-    ``engine``: ``mllib`` (one MLlib k-means fit per restart, k-means|| seeding) or
-    ``multi`` (``operators.kmeans``: all restarts advance in the same pass, so the
-    data is read once per iteration whatever ``n_init`` is); ``auto`` picks ``multi``
-    when ``n_init > 1``.
+    Every level runs ``operators.kmeans``: k-means|| seeding over all rows and Lloyd
+    steps, all ``n_init`` restarts advancing in the same pass over the data.
     """
-    if engine == "auto":
-        engine = "multi" if n_init > 1 else "mllib"
-    if engine not in ("mllib", "multi"):
-        raise ValueError("engine must be auto, mllib or multi")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     spark: SparkSession = df.sparkSession
     residual = cut_lineage(df.select(as_doubles(col).alias("_r")))
     levels: list[np.ndarray] = []
     costs = []
     for lv in range(n_levels):
-        if engine == "multi":
-            from .kmeans import fit_kmeans
-            centers, cost, _ = fit_kmeans(residual, n_clusters, max_iter, n_init, seed + lv, "_r")
-            levels.append(centers)
-            costs.append(cost)
-        else:
-            vec = residual.select(array_to_vector("_r").alias("v"))
-            best = None
-            for trial in range(max(1, n_init)):
-                km = KMeans(k=n_clusters, maxIter=max_iter, seed=seed + trial, featuresCol="v")
-                model = km.fit(vec)
-                cost = model.summary.trainingCost
-                if best is None or cost < best[0]:
-                    best = (cost, model)
-            centers = np.array([np.asarray(c, dtype=float) for c in best[1].clusterCenters()], dtype=float)
-            levels.append(centers)
-            costs.append(float(best[0]))
+        centers, cost, _ = fit_kmeans(residual, n_clusters, max_iter, n_init, seed + lv, "_r", tol)
+        levels.append(centers)
+        costs.append(cost)
         if lv + 1 < n_levels:
             nxt = apply_codebooks(residual, [centers], "_r", keep_residual="_next", out_cols=[])
             residual = cut_lineage(nxt.select(F.col("_next").alias("_r")))

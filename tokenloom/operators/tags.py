@@ -41,16 +41,19 @@ def assert_unique(df: DataFrame, keys: list[str], what: str = "table") -> None:
 def merge_outer(tables: dict[str, DataFrame], keys: list[str] = KEYS) -> DataFrame:
     """Full outer merge of category tables on the keys; missing tag -> ``""``.
 
-    Expressed as union + group-by: one shuffle with map-side combining for
-    any number of categories, instead of a chain of full outer joins that
-    each re-shuffle on the coalesced key.
+    Expressed as union + group-by: one shuffle for any number of categories, instead of
+    a chain of full outer joins that each re-shuffle on the coalesced key.  A key that a
+    table repeats keeps every combination of its rows, as a join does; the programs'
+    one-to-one checks (A4, J4) then raise.
     """
     parts = [t.select(*keys, F.lit(cat).alias("_cat"), F.col(cat).alias("_tag"))
              for cat, t in tables.items()]
     u = reduce(lambda a, b: a.unionByName(b), parts)
-    aggs = [F.coalesce(F.max(F.when(F.col("_cat") == cat, F.col("_tag"))), F.lit("")).alias(cat)
-            for cat in tables]
-    return u.groupBy(*keys).agg(*aggs)
+    found = [F.collect_list(F.when(F.col("_cat") == cat, F.coalesce("_tag", F.lit("")))).alias(cat) for cat in tables]
+    out = u.groupBy(*keys).agg(*found)
+    for cat in tables:
+        out = out.withColumn(cat, F.explode_outer(cat))
+    return out.select(*keys, *[F.coalesce(F.col(cat), F.lit("")).alias(cat) for cat in tables])
 
 
 def merge_inner(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFrame:

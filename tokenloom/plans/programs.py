@@ -62,40 +62,26 @@ def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
     return out
 
 
-MAX_BROADCAST_TAG_ROWS = 1_000_000  # tag rows (keys + a few short strings, ~100 MB) broadcast to every task
-
-
 def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
-                        features: FeatureSet, strategy: str = "auto", doc_format: str = "files") -> DataFrame:
+                        features: FeatureSet, strategy: str = "extract_first", doc_format: str = "files") -> DataFrame:
     """Stage 3: tags joined to their documents (J5), catalog projection in one select.
 
-    ``json_full`` records the document's relative name.  How documents meet tags:
+    ``json_full`` records the document's relative name.  How documents meet tags, the same
+    at every size (whether a side is broadcast is left to adaptive execution):
 
-    * ``broadcast`` - the tag rows go to every task (size checked: at most
-      ``MAX_BROADCAST_TAG_ROWS``); documents are matched map-side and only
-      matched documents are parsed; no document text is shuffled.
     * ``extract_first`` - every document is parsed and projected map-side, and the
-      compact feature rows (not the raw JSON text) are shuffled to meet the tags.
-    * ``shuffle`` - documents and tags meet in a shuffle join on the path and only
-      matched documents are parsed; with ``spark.sql.optimizer.runtime.bloomFilter.enabled``
-      Spark prunes unmatched documents before the shuffle, so this is the better choice
-      when only a small share of a large document dump has tags.
-    * ``auto`` - ``broadcast`` when the counted tag rows fit, else ``extract_first``.
+      compact feature rows (not the raw JSON text) meet the tags.
+    * ``shuffle`` - documents and tags meet by path first and only matched documents are
+      parsed; with ``spark.sql.optimizer.runtime.bloomFilter.enabled`` Spark prunes
+      unmatched documents before the shuffle, so this is the better choice when only a
+      small share of a large document dump has tags.
 
     The result carries no filter on purpose: a filter on document columns would be
     pushed onto the document scan.  Apply ``drop_empty_records`` (P17) to the stored
     table; a malformed document parses to null and so has only null features.
     """
     docs = load_documents(spark, doc_root, doc_format)
-    if strategy == "auto":
-        n_tags = tags.limit(MAX_BROADCAST_TAG_ROWS + 1).count()
-        strategy = "broadcast" if n_tags <= MAX_BROADCAST_TAG_ROWS else "extract_first"
     keep = [c for c in tags.columns]
-    if strategy == "broadcast":
-        keyed = tags.withColumn("rel_path", json_name("path"))
-        joined = docs.join(F.broadcast(keyed), "rel_path").withColumn("doc", parse("text")).drop("text")
-        return joined.select(*keep, F.col("rel_path").alias("json_full"),
-                             features.vector(F.col("doc")).alias("features"))
     if strategy == "extract_first":
         parsed = docs.select("rel_path", parse("text").alias("doc"))
         feats = parsed.select("rel_path", features.vector(F.col("doc")).alias("features"))
@@ -105,7 +91,7 @@ def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
         joined = attach_documents(tags, docs, "inner")
         return joined.select(*keep, F.col("rel_path").alias("json_full"),
                              features.vector(F.col("doc")).alias("features"))
-    raise ValueError("strategy must be auto, broadcast, extract_first or shuffle")
+    raise ValueError("strategy must be extract_first or shuffle")
 
 
 def missing_leaf_counts(df: DataFrame, names: list[str], col: str = "features") -> DataFrame:
@@ -133,6 +119,33 @@ def drop_empty_records(df: DataFrame, col: str = "features") -> DataFrame:
     return df.filter(F.array_max(col).isNotNull())
 
 
+def _scores_and_ids(spark: SparkSession, out: str, suffix: str, feats: DataFrame, cats: list[str], made: dict,
+                    rebuild: bool, ratio: float, n_atoms: int | None, n_nonzero: int, max_iter: int,
+                    batch_size: int | None, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stages 4-7: PCA scores, explained variance and semantic IDs, each stored with the parameters
+    that made it.  A stage is reused, and its model not refitted, only under the same parameters, those
+    of the stages before included.  ``n_atoms`` None: at most 16, as many as components."""
+    made = {**made, "ratio": ratio}
+    if rebuild or not store.is_current(spark, f"{out}/features_pca{suffix}", made):
+        filled, _ = discriminate.fill_missing(feats)
+        z, _ = linalg.standardize(filled)
+        pca = linalg.fit_pca(z, ratio=ratio)
+        store.write_table(pca.variance_table(spark), f"{out}/explained_variance{suffix}")  # S8
+        store.materialize(spark, f"{out}/features_pca{suffix}", lambda: pca.transform(z).select(
+            "track_id", "path", *cats, F.col("pca").alias("features")), rebuild=True, made=made)
+    scores = store.read_table(spark, f"{out}/features_pca{suffix}")
+    variance = store.read_table(spark, f"{out}/explained_variance{suffix}")
+    made = {**made, "atoms": n_atoms, "nonzero": n_nonzero, "max_iter": max_iter, "batch": batch_size, "seed": seed}
+    if rebuild or not store.is_current(spark, f"{out}/dataset_with_semantic_ids{suffix}", made):
+        if n_atoms is None:
+            n_atoms = min(16, variance.count())
+        model = fit_dictionary(scores, n_atoms, n_nonzero, max_iter, batch_size, seed=seed, id_col="track_id")
+        store.save_model(spark, out, f"dictionary{suffix}", model.tables(spark))
+        ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))
+        store.materialize(spark, f"{out}/dataset_with_semantic_ids{suffix}", lambda: ids, rebuild=True, made=made)
+    return scores, variance, store.read_table(spark, f"{out}/dataset_with_semantic_ids{suffix}")
+
+
 def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
              ratio: float = 0.80, n_atoms: int = 16, n_nonzero: int = 2, max_iter: int = 200,
              batch_size: int | None = 256, threshold: int = 16, max_replication: int = 6,
@@ -142,24 +155,18 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
     out = out_dir.rstrip("/")
     fs = preset("full_run")
     merged = load_tags(spark, tag_paths, header=tag_header)
+    made = {"tags": tag_paths, "header": tag_header, "documents": doc_root, "format": doc_format, "features": fs.names}
     # W1 runs on the tag rows before the join, so only kept tracks' documents are parsed
     feats = drop_empty_records(store.materialize(spark, f"{out}/features", lambda: build_feature_table(
-        spark, TG.filter_min_tags(merged, 2), doc_root, fs, doc_format=doc_format), rebuild=rebuild))
+        spark, TG.filter_min_tags(merged, 2), doc_root, fs, doc_format=doc_format), rebuild=rebuild, made=made))
     TG.assert_unique(feats, ["path"], "feature table")  # A4
-    filled, _ = discriminate.fill_missing(feats)
-    z, _ = linalg.standardize(filled)
-    pca = linalg.fit_pca(z, ratio=ratio)
-    scores = store.materialize(spark, f"{out}/features_pca", lambda: pca.transform(z).select(
-        "track_id", "path", "genre", "mood", "instrument", F.col("pca").alias("features")), rebuild=rebuild)
-    store.write_table(pca.variance_table(spark), f"{out}/explained_variance")  # S8
-    model = fit_dictionary(scores, n_atoms, n_nonzero, max_iter, batch_size, seed=seed, id_col="track_id")
-    store.save_model(spark, out, "dictionary", model.tables(spark))
-    ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))
-    ids = store.materialize(spark, f"{out}/dataset_with_semantic_ids", lambda: ids, rebuild=rebuild)
+    scores, variance, ids = _scores_and_ids(
+        spark, out, "", feats, ["genre", "mood", "instrument"], made, rebuild, ratio, n_atoms, n_nonzero, max_iter,
+        batch_size, seed)
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed)
     split = recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed)
     return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
-            "variance": pca.variance_table(spark), "occupancy": idstats.occupancy(ids),
+            "variance": variance, "occupancy": idstats.occupancy(ids),
             **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2, doc_format=doc_format),
             "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
             "missing_leaves": missing_leaf_counts(feats, fs.names)}
@@ -190,23 +197,22 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
                  tag_header: str | None = None) -> dict[str, DataFrame]:
     """Genre + instrument program: inner merge (J2), selected features, both tags."""
     out = out_dir.rstrip("/")
-    tags = load_tags(spark, {k: tag_paths[k] for k in ("genre", "instrument")}, how="inner", header=tag_header)
+    cats, fs = ["genre", "instrument"], preset("selected")
+    tags = load_tags(spark, {k: tag_paths[k] for k in cats}, how="inner", header=tag_header)
+    made = {"tags": {k: tag_paths[k] for k in cats}, "header": tag_header, "documents": doc_root, "format": doc_format,
+            "features": fs.names}
     feats = drop_empty_records(store.materialize(spark, f"{out}/features_nomood", lambda: build_feature_table(
-        spark, TG.filter_min_tags(tags, 2, ["genre", "instrument"]), doc_root, preset("selected"),
-        doc_format=doc_format), rebuild=rebuild))
-    filled, _ = discriminate.fill_missing(feats)
-    z, _ = linalg.standardize(filled)
-    pca = linalg.fit_pca(z, ratio=ratio)
-    scores = store.materialize(spark, f"{out}/features_pca_nomood", lambda: pca.transform(z).select(
-        "track_id", "path", "genre", "instrument", F.col("pca").alias("features")), rebuild=rebuild)
-    store.write_table(pca.variance_table(spark), f"{out}/explained_variance_nomood")  # S8
-    model = fit_dictionary(scores, min(16, pca.k), 2, max_iter, batch_size, seed=seed, id_col="track_id")
-    store.save_model(spark, out, "dictionary_nomood", model.tables(spark))
-    ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))
+        spark, TG.filter_min_tags(tags, 2, cats), doc_root, fs, doc_format=doc_format), rebuild=rebuild, made=made))
+    TG.assert_unique(feats, ["path"], "feature table")  # A4
+    scores, variance, ids = _scores_and_ids(spark, out, "_nomood", feats, cats, made, rebuild, ratio, None, 2, max_iter,
+                                            batch_size, seed)
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed,
                                    two_tags=True)
-    return {"features": feats, "ids": ids, "pairs": recsets.split_exact(
-        pairs, F.concat_ws(":", "track_id", "rep"), seed)}
+    return {"features": feats, "scores": scores, "variance": variance, "ids": ids, "pairs": recsets.split_exact(
+        pairs, F.concat_ws(":", "track_id", "rep"), seed),
+        "occupancy": idstats.occupancy(ids), "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
+        **tag_profiles(spark, tags, doc_root, cats, 2, doc_format=doc_format),
+        "missing_leaves": missing_leaf_counts(feats, fs.names)}
 
 
 def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
@@ -223,7 +229,9 @@ def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root:
         spark, f"{out_dir.rstrip('/')}/features_{feature_set}",
         lambda: build_feature_table(spark, TG.filter_any_tag(load_tags(spark, tag_paths, header=tag_header)),
                                     doc_root, fs, doc_format=doc_format),
-        rebuild=rebuild))
+        rebuild=rebuild, made={"tags": tag_paths, "header": tag_header, "documents": doc_root, "format": doc_format,
+                               "features": fs.names}))
+    TG.assert_unique(feats, ["path"], "feature table")  # A4
     tags = feats.select("track_id", "genre", "mood", "instrument")
     res = discriminate.discrimination(feats, tags, fs.names, ["genre", "mood", "instrument"], "track_id",
                                       "features", top_n, always_include if always_include is not None
@@ -240,10 +248,6 @@ def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root:
     return out
 
 
-def labeled(df: DataFrame, col: str) -> DataFrame:
-    return df.filter(is_tagged(col))
-
-
 def rvq_semantic_ids(df: DataFrame, out_dir: str | None = None, name: str = "best_kmeans",
                      n_levels: int = 2, n_clusters: int = 128, max_iter: int = 200, n_init: int = 16,
                      seed: int = 42, col: str = "features"):

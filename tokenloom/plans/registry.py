@@ -178,6 +178,35 @@ def q_tag_outer_merge(spark, d):
     return TG.merge_outer(tag_tables(spark, d))
 
 
+@register("tag_outer_merge_two", "WITH " + TAGS_SQL + """
+SELECT track_id, path, coalesce(genre, '') AS genre, coalesce(instrument, '') AS instrument
+FROM genre_t FULL JOIN inst_t USING (track_id, path)""")
+def q_tag_outer_merge_two(spark, d):
+    """Full outer merge of two category tables."""
+    t = tag_tables(spark, d)
+    return TG.merge_outer({"genre": t["genre"], "instrument": t["instrument"]})
+
+
+REPEATS_SQL = """
+genre_2 AS (SELECT track_id, path, genre FROM genre_t UNION ALL
+            SELECT track_id, path, 'again ' || genre FROM genre_t WHERE length(genre) % 3 = 0),
+inst_2 AS (SELECT track_id, path, instrument FROM inst_t UNION ALL
+           SELECT track_id, path, NULL FROM inst_t WHERE length(path) % 2 = 0)
+"""
+
+
+@register("tag_merge_repeats", "WITH " + TAGS_SQL.rstrip().rstrip(",") + "," + REPEATS_SQL + """
+SELECT track_id, path, coalesce(genre, '') AS genre, coalesce(instrument, '') AS instrument
+FROM genre_2 FULL JOIN inst_2 USING (track_id, path)""")
+def q_tag_merge_repeats(spark, d):
+    """J1/J3 with keys that a table repeats and null tags: every combination stays."""
+    t = tag_tables(spark, d)
+    g, i = t["genre"], t["instrument"]
+    return TG.merge_outer({
+        "genre": g.unionByName(g.filter(F.length("genre") % 3 == 0).withColumn("genre", F.concat(F.lit("again "), "genre"))),
+        "instrument": i.unionByName(i.filter(F.length("path") % 2 == 0).withColumn("instrument", F.lit(None).cast("string")))})
+
+
 @register("tag_inner_merge", "WITH " + TAGS_SQL + """
 SELECT track_id, path, genre, instrument FROM genre_t JOIN inst_t USING (track_id, path)""")
 def q_tag_inner_merge(spark, d):
@@ -585,7 +614,7 @@ def q_rvq_fit_restarts(spark, d):
 
 @register("rvq_fit")
 def q_rvq_fit(spark, d):
-    """M4 (+M11): RVQ fitted with MLlib k-means on standardized embeddings (L=2, K=8)."""
+    """M4 (+M11): RVQ fitted with distributed k-means on standardized embeddings (L=2, K=8)."""
     z, _ = linalg.standardize(embeddings(spark, d))
     _, codes, _ = rvq.fit_rvq(z, n_levels=2, n_clusters=8, max_iter=20, n_init=1)
     return codes.select("vec_id", codes_to_id("codes").alias("semantic_id"))
@@ -660,6 +689,25 @@ def q_vocab_check(spark, d):
     return idstats.vocab_check(omp2_codes(spark, d), 16)
 
 
+@register("rvq_fixed_point", """
+SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_centers, count(*) AS n_nearest, CAST(8 AS BIGINT) AS n_means FROM embeddings""")
+def q_rvq_fixed_point(spark, d):
+    """M4 at its fixed point: every code is the nearest center, every center the mean of its rows."""
+    z = embeddings(spark, d)
+    book, codes, _ = rvq.fit_rvq(z, 1, 8, 300, 2, tol=1e-20)
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    centers = [F.lit(list(c)) for c in rvq.codebook_arrays(book)[0].tolist()]
+    rows = codes.select("features", F.col("codes")[0].alias("code"), F.array(*[F.round(far("features", c), 9) for c in centers]).alias("d2"))
+    near = rows.agg(F.count("*").alias("n_rows"),
+                    F.count_if(F.array_position("d2", F.array_min("d2")) == F.col("code") + 1).alias("n_nearest"))
+    means = rows.select("code", F.posexplode("features").alias("i", "x")).groupBy("code", "i").agg(F.avg("x").alias("m"))
+    own = F.get(F.get(F.array(*centers), F.col("code")), F.col("i"))
+    off = means.groupBy("code").agg(F.max(F.abs(F.col("m") - own)).alias("off"))
+    off = off.agg(F.count("*").alias("n_centers"), F.count_if(F.col("off") < 1e-9).alias("n_means"))
+    names = ["n_rows", "n_centers", "n_nearest", "n_means"]
+    return near.unionByName(off, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+
+
 @register("dict_fit")
 def q_dict_fit(spark, d):
     """M6 (+M8, M9, M11): mini-batch dictionary fit (16 atoms, 2 nonzeros), then IDs."""
@@ -668,6 +716,22 @@ def q_dict_fit(spark, d):
     return model.transform(z).select("vec_id", codes_to_id("codes").alias("semantic_id"))
 
 
+@register("dict_fit_invariants", """
+SELECT CAST(4 AS INTEGER) AS epochs, 4 * count(*) AS rows_visited, count(*) AS n_rows, true AS unit_atoms, true AS error_fell
+FROM embeddings""")
+def q_dict_fit_invariants(spark, d):
+    """M6 over whole passes: every row once per pass, unit atoms, smaller error at the end."""
+    z, _ = linalg.standardize(embeddings(spark, d))
+    model = fit_dictionary(z, n_atoms=16, n_nonzero=2, max_iter=4, batch_size=256, id_col="vec_id", tol=0.0,
+                           max_no_improvement=None)
+    unit = bool(np.allclose(np.linalg.norm(model.atoms, axis=1), 1.0, atol=1e-9))
+    steps = len(model.history) // 4
+    fell = sum(model.history[-steps:]) < sum(model.history[:steps])
+    return z.agg(F.count("*").alias("n_rows")).select(
+        F.lit(model.epochs).alias("epochs"), F.lit(model.rows_visited).cast("bigint").alias("rows_visited"), "n_rows",
+        F.lit(unit).alias("unit_atoms"), F.lit(bool(fell)).alias("error_fell"))
+
+
 @register("dict_fit_full")
 def q_dict_fit_full(spark, d):
     """M7: full-batch dictionary fit; the learned atoms."""
@@ -875,7 +939,7 @@ tot AS (SELECT i, sum(ng) AS n, count(*) AS n_groups, sum(ng * mg) / sum(ng) AS
 ss AS (SELECT i, any_value(n) AS n, any_value(n_groups) AS n_groups, sum(ng * (mg - gm) * (mg - gm)) AS ssb,
               sum(ng * vg) AS ssw FROM per JOIN tot USING (i) WHERE n_groups >= 2 GROUP BY i),
 an AS (SELECT printf('emb_%02d', i) AS feature, CAST(n AS BIGINT) AS n, CAST(n_groups AS INTEGER) AS n_groups,
-              CAST(n_groups - 1 AS INTEGER) AS df_between, CAST(n - n_groups AS INTEGER) AS df_within,
+              CAST(n_groups - 1 AS BIGINT) AS df_between, CAST(n - n_groups AS BIGINT) AS df_within,
               CASE WHEN ssw > 0 THEN (ssb / (n_groups - 1)) / (ssw / (n - n_groups)) END AS f_statistic,
               CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) ELSE 0.0 END AS eta_squared FROM ss)
 """

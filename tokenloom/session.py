@@ -72,6 +72,13 @@ def write_shared_bytes(spark: SparkSession, target: str, data: bytes) -> None:
         out.close()
 
 
+def delete_path(spark: SparkSession, target: str) -> None:
+    """Delete a folder that this package wrote (a missing one is fine)."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Ship the package to the Python workers; a failure is reported, not raised
     (workers that already import the package from their path keep working)."""

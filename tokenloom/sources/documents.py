@@ -16,16 +16,19 @@ def json_name(path_col: str = "path"):
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` as ``(rel_path, text)``; parsed later, after the join.
 
-    ``rel_path`` is the file path relative to ``root``.
+    ``rel_path`` is the file path relative to ``root`` (nested folders included, decoded).
     """
     root_uri = root.rstrip("/")
     raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
            .text(root_uri).select(F.col("value").alias("text"),
                                   F.col("_metadata.file_path").alias("file_path")))
-    # file_path is a URI (file:/..., s3a://...): keep what follows the root folder name
-    marker = root_uri.split("/")[-1] + "/"
-    rel = F.substring_index(F.col("file_path"), marker, -1)
-    return raw.select(rel.alias("rel_path"), "text")
+    # file_path is an encoded URI (file:/..., s3a://...): its path below the qualified root's path
+    at = spark._jvm.org.apache.hadoop.fs.Path(root_uri)
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)
+    prefix = at.toUri().getPath().rstrip("/") + "/"
+    path = F.regexp_replace("file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return raw.select(F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).alias("rel_path"), "text")
 
 
 def read_documents_jsonl(spark: SparkSession, path: str, path_field: str = "path",

@@ -6,11 +6,14 @@ Models are small tables (codebook, dictionary, config); data tables keep
 
 from __future__ import annotations
 
+import json
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path, write_shared_bytes
+
 
 def _fs_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
@@ -71,14 +74,33 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return r.csv(path)
 
 
+def _made_path(path: str) -> str:
+    return path.rstrip("/") + ".made.json"
+
+
+def is_current(spark: SparkSession, path: str, made: dict) -> bool:
+    """Whether the stored table is complete and was made with the parameters ``made``."""
+    if not table_exists(spark, path) or not _fs_exists(spark, _made_path(path)):
+        return False
+    rows = spark.read.option("wholetext", "true").text(_made_path(path)).collect()
+    return bool(rows) and rows[0][0] == json.dumps(made, sort_keys=True)
+
+
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
-                fmt: str = "parquet", rebuild: bool = False) -> DataFrame:
+                fmt: str = "parquet", rebuild: bool = False, made: dict | None = None) -> DataFrame:
     """Reuse the stored table when complete (``_SUCCESS``), else build and store it.
 
+    With ``made`` (the parameters that shape the table, those of earlier stages included)
+    a table stored under other parameters, or under unknown ones, is built anew.
     Reading back the written table also cuts the lineage of the builder plan.
     """
-    if rebuild or not table_exists(spark, path):
+    fresh = table_exists(spark, path) if made is None else is_current(spark, path, made)
+    if rebuild or not fresh:
+        if made is not None:
+            delete_path(spark, _made_path(path))
         write_table(builder(), path, fmt)
+        if made is not None:
+            write_shared_bytes(spark, _made_path(path), json.dumps(made, sort_keys=True).encode())
     return read_table(spark, path, fmt)
 
 

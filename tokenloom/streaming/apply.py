@@ -34,8 +34,9 @@ def stream_codes(spark: SparkSession, folder: str, levels: list[np.ndarray],
     """Run the streaming apply over the files of ``folder`` matching ``pattern`` until
     caught up, and return the result.
 
-    Uses an in-memory sink and a checkpoint under the session's shared
-    checkpoint folder; every micro-batch is an ordinary Spark job.
+    The coded rows go to a Parquet table below the session's shared checkpoint folder
+    (no row passes the driver), beside the stream's own checkpoint; every micro-batch
+    is an ordinary Spark job.
     """
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
@@ -44,13 +45,10 @@ def stream_codes(spark: SparkSession, folder: str, levels: list[np.ndarray],
     coded = stream_rvq_ids(stream, levels).select("vec_id", "codes", "semantic_id")
     name = "rvq_stream_" + uuid.uuid4().hex[:12]
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (coded.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.table(name)
+    q = (coded.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+         .option("checkpointLocation", f"{ckpt}/state").start(f"{ckpt}/rows"))
+    q.awaitTermination()
+    return spark.read.schema(coded.schema).parquet(f"{ckpt}/rows")
 
 
 def stream_documents_jsonl(spark: SparkSession, folder: str, path_field: str = "path",

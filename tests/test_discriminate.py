@@ -69,3 +69,10 @@ def test_plot_inputs(spark):
         ("spec_contrast_mean_0|spec_valley_mean_0", 1.0, 2.0, "rock")]
     tv = D.tonal_vectors(f, lab, names).collect()
     assert [(r["x"], r["y"], r["z"]) for r in tv] == [(0.1, 0.2, 0.3)]
+
+
+def test_label_without_values_is_no_group(spark):
+    from tokenloom.operators.discriminate import anova
+    rows = [("f", "a", 1.0), ("f", "a", 2.0), ("f", "b", 4.0), ("f", "b", 6.0), ("f", "c", None)]
+    r = anova(spark.createDataFrame(rows, "feature string, label string, value double"), ["feature"]).first()
+    assert (r["n"], r["n_groups"], r["df_between"], r["df_within"]) == (4, 2, 1, 2)

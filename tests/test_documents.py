@@ -158,3 +158,14 @@ def test_array_leaf_ravel(spark):
     df = spark.createDataFrame([(d,) for d in docs], "t string").select(J.parse("t").alias("d"))
     got = [r[0] for r in df.select(J.array_leaf(F.col("d"), "t.h.mean")).collect()]
     assert got == [[1.0, 2.0, 3.0, 4.0], [7.0], [5.0, 6.0], None]
+
+
+def test_document_names_below_the_exact_root(spark, tmp_path):
+    """Nested folders that repeat the root's name, spaces, plus signs and percent signs."""
+    from tokenloom.sources.documents import read_documents
+    root = tmp_path / "a"
+    names = ["media/a/x.json", "with space/z.json", "plus+sign/50%25.json", "a.json", "ümlaut/é.json"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text("{}")
+    assert sorted(r["rel_path"] for r in read_documents(spark, f"{root}/").collect()) == sorted(names)

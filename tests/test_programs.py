@@ -80,8 +80,11 @@ def test_run_full(spark, corpus):
     counts = {r["split"]: r["n"] for r in pairs.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert sum(counts.values()) == pairs.count() and set(counts) == {"train", "val", "test"}
     # stored stages are reused on a second run (S10) and the model reloads
-    again = P.run_full(spark, corpus["tags"], corpus["docs"], out, ratio=0.8, n_atoms=8, max_iter=1)
+    stored = sorted(p.name for p in (corpus["root"] / "out_full" / "dataset_with_semantic_ids").iterdir())
+    again = P.run_full(spark, corpus["tags"], corpus["docs"], out, ratio=0.8, n_atoms=8, n_nonzero=2,
+                       max_iter=3, batch_size=64)
     assert again["features"].count() == feats.count()
+    assert stored == sorted(p.name for p in (corpus["root"] / "out_full" / "dataset_with_semantic_ids").iterdir())
     reloaded = P.load_dictionary_ids(res["scores"], out, "dictionary")
     assert reloaded.count() == res["scores"].count()
     cov = res["document_coverage"].collect()[0]
@@ -92,6 +95,11 @@ def test_run_full(spark, corpus):
     assert res["id_detail"].collect()[0]["unique_ids"] >= 1
     miss = {r["feature"]: r["n_missing"] for r in res["missing_leaves"].collect()}
     assert miss["mfcc_mean_0"] == 0 and miss["spec_valley_mean_0"] == 0 and len(miss) == preset("full_run").width
+    # other parameters: the model and the IDs are made anew (D = 4: tokens below 8)
+    small = P.run_full(spark, corpus["tags"], corpus["docs"], out, ratio=0.8, n_atoms=4, n_nonzero=2, max_iter=1,
+                       batch_size=64)
+    assert small["ids"].select(F.max(F.array_max("codes"))).first()[0] < 8
+    assert spark.read.parquet(f"{out}/dictionary/dictionary").count() == 4
 
 
 def test_run_two_tags(spark, corpus):
@@ -156,3 +164,27 @@ def test_run_semantic_ids(spark, tmp_path, method):
     assert res["search"].count() == 2 and res["ids"].count() == 120
     q = res["quality"].collect()[0]
     assert 0 <= q["cluster_micro"] <= 1 and q["neighbor_micro"] > 0.9
+
+
+def test_stored_stage_follows_its_parameters(spark, tmp_path):
+    from tokenloom.sources import store
+    path = str(tmp_path / "t")
+    calls = []
+
+    def build(n):
+        def run():
+            calls.append(n)
+            return spark.range(n)
+        return run
+    assert store.materialize(spark, path, build(3), made={"n": 3}).count() == 3
+    assert store.materialize(spark, path, build(3), made={"n": 3}).count() == 3
+    assert store.materialize(spark, path, build(5), made={"n": 5}).count() == 5
+    assert calls == [3, 5] and store.is_current(spark, path, {"n": 5}) and not store.is_current(spark, path, {"n": 3})
+
+
+def test_splits_written_and_read(spark, tmp_path):
+    from tokenloom.sources import store
+    rows = [(i, "a, \"b\"" if i % 2 else "c", ["train", "val", "test"][i % 3]) for i in range(9)]
+    df = spark.createDataFrame(rows, "i long, text string, split string")
+    store.write_splits(df, str(tmp_path / "s"))
+    assert sorted(map(tuple, store.read_splits(spark, str(tmp_path / "s"), "i long, text string").collect())) == rows

@@ -57,3 +57,16 @@ def test_multi_restart_kmeans(spark):
     fit_codes = {r["id"]: list(r["codes"]) for r in codes.collect()}
     applied = {r["id"]: list(r["codes"]) for r in rvq.apply_rvq(df, book).collect()}
     assert applied == fit_codes and info["train_cost"][1] < info["train_cost"][0]
+
+
+def test_seeds_with_many_copies(spark):
+    """Two thousand copies of one vector do not crowd out the other rows as seeds."""
+    from tokenloom.operators.kmeans import seed_centers
+    rng = np.random.default_rng(8)
+    x = np.vstack([np.tile(rng.normal(size=(1, 4)), (2000, 1)), rng.normal(size=(500, 4)) + 10 * rng.integers(0, 8, (500, 1))])
+    df = spark.createDataFrame([([float(v) for v in r],) for r in x], "features array<double>").repartition(5)
+    seeds = seed_centers(df, 8, 3, 1, "features")
+    assert seeds.shape == (3, 8, 4)
+    assert all(len(np.unique(s, axis=0)) == 8 for s in seeds) and not np.allclose(seeds[0], seeds[1])
+    again = seed_centers(df.repartition(2), 8, 3, 1, "features")
+    assert np.allclose(seeds, again)

@@ -112,3 +112,14 @@ def test_scan_report(spark, tmp_path):
     r = scan_report(spark, path).collect()[0]
     assert (r["n_rows"], r["n_long"], r["n_short"], r["n_null_key"], r["n_kept"]) == (4, 1, 2, 1, 2)
     assert read_tag_tsv(spark, path, "genre").count() == r["n_kept"]
+
+
+def test_outer_merge_keeps_repeated_keys(spark):
+    """A key that a table repeats keeps every combination; the one-to-one check then raises."""
+    g = spark.createDataFrame([("t1", "p1", "rock"), ("t1", "p1", "jazz"), ("t2", "p2", None)], "track_id string, path string, genre string")
+    i = spark.createDataFrame([("t1", "p1", "piano"), ("t3", "p3", "harp")], "track_id string, path string, instrument string")
+    out = TG.merge_outer({"genre": g, "instrument": i})
+    assert sorted(map(tuple, out.collect())) == [("t1", "p1", "jazz", "piano"), ("t1", "p1", "rock", "piano"),
+                                                 ("t2", "p2", "", ""), ("t3", "p3", "", "harp")]
+    with pytest.raises(TG.DuplicateKeyError):
+        TG.assert_unique(out, ["path"])

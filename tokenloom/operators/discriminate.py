@@ -197,8 +197,8 @@ def discrimination_summary(res: DataFrame) -> DataFrame:
     return res.groupBy("category").agg(
         F.count("*").alias("n_features"),
         F.count_if(F.col("significant")).alias("n_significant"),
-        F.round(F.avg("f_statistic"), 6).alias("mean_f"),
-        F.round(F.avg("eta_squared"), 6).alias("mean_eta_squared"))
+        F.avg("f_statistic").alias("mean_f"),
+        F.avg("eta_squared").alias("mean_eta_squared"))
 
 
 def feature_pairs(res: DataFrame, group_cols: list[str], n: int = 6) -> DataFrame:

@@ -12,7 +12,7 @@ def code_distribution(df: DataFrame, codes_col: str = "codes", vocab: int | None
     long = df.select(F.posexplode(codes_col).alias("level", "token"))
     out = long.groupBy("level").agg(F.count_distinct("token").alias("n_tokens"))
     if vocab:
-        out = out.withColumn("usage", F.round(F.col("n_tokens") / F.lit(float(vocab)), 6))
+        out = out.withColumn("usage", F.col("n_tokens") / F.lit(float(vocab)))
     return out
 
 
@@ -20,7 +20,7 @@ def id_diversity(df: DataFrame, id_col: str = "semantic_id", approx: bool = Fals
     """Distinct IDs / rows (``approx`` uses HyperLogLog++ instead of an exact distinct)."""
     distinct = F.approx_count_distinct(id_col) if approx else F.count_distinct(id_col)
     return df.agg(distinct.alias("n_ids"), F.count("*").alias("n_rows")).withColumn(
-        "diversity", F.round(F.try_divide(F.col("n_ids").cast("double"), F.col("n_rows")), 6))
+        "diversity", F.try_divide(F.col("n_ids").cast("double"), F.col("n_rows")))
 
 
 def id_counts(df: DataFrame, id_col: str = "semantic_id") -> DataFrame:
@@ -32,8 +32,8 @@ def occupancy(df: DataFrame, id_col: str = "semantic_id") -> DataFrame:
     """A10: UniqueIDs, MeanPerID, SingletonPct."""
     c = id_counts(df, id_col)
     return c.agg(F.count("*").alias("unique_ids"),
-                  F.round(F.avg("n"), 6).alias("mean_per_id"),
-                  F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_pct"))
+                  F.avg("n").alias("mean_per_id"),
+                  F.avg((F.col("n") == 1).cast("double")).alias("singleton_pct"))
 
 
 def exact_median(values: DataFrame, col: str) -> DataFrame:
@@ -60,9 +60,9 @@ def occupancy_detail(df: DataFrame, id_col: str = "semantic_id") -> DataFrame:
     """A10 plus median rows per ID and the singleton count."""
     c = id_counts(df, id_col)
     summary = c.agg(F.count("*").alias("unique_ids"),
-                    F.round(F.avg("n"), 6).alias("mean_per_id"),
+                    F.avg("n").alias("mean_per_id"),
                     F.count_if(F.col("n") == 1).alias("n_singletons"),
-                    F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_pct"))
+                    F.avg((F.col("n") == 1).cast("double")).alias("singleton_pct"))
     med = exact_median(c, "n").select(F.col("median").alias("median_per_id"))
     # two one-row results side by side: a union + max keeps it free of any join
     a = summary.withColumn("median_per_id", F.lit(None).cast("double"))

@@ -28,6 +28,20 @@ def column_stats(df: DataFrame, col: str = "features") -> DataFrame:
                                    F.count("v").alias("n"))
 
 
+def vector_stats(df: DataFrame, col: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and population std of complete vectors, and their number, in one summary of
+    whole vectors (no element becomes a row)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    s = df.select(Summarizer.metrics("mean", "variance", "count").summary(
+        array_to_vector(as_doubles(col))).alias("s")).select("s.*").first()
+    n = int(s["count"]) if s["count"] else 0
+    if not n:
+        return np.zeros(0), np.zeros(0), 0
+    return s["mean"].toArray(), np.sqrt(s["variance"].toArray() * (n - 1) / n), n
+
+
 @dataclass
 class Scaler:
     mean: np.ndarray
@@ -44,12 +58,11 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, col: str = "features") -> Scaler:
-    """M1 fit: population statistics; a zero std divides by 1 (d rows to the driver)."""
-    rows = column_stats(df, col).orderBy("idx").collect()
-    if len(rows) > MAX_MODEL_DIM:
-        raise ValueError(f"feature width {len(rows)} exceeds {MAX_MODEL_DIM}")
-    mean = np.array([r["mean"] for r in rows], dtype=float)
-    std = np.array([r["std"] if r["std"] else 0.0 for r in rows], dtype=float)
+    """M1 fit: population statistics; a zero std divides by 1 (two d-long vectors to the
+    driver).  Rows hold no nulls here (P18 fills them before)."""
+    mean, std, _ = vector_stats(df, col)
+    if len(mean) > MAX_MODEL_DIM:
+        raise ValueError(f"feature width {len(mean)} exceeds {MAX_MODEL_DIM}")
     return Scaler(mean, np.where(std == 0.0, 1.0, std))
 
 
@@ -68,19 +81,19 @@ def _partial_gram(width: int, col: str):
             if len(pdf):
                 x = np.stack(pdf[col].to_numpy()).astype(float)
                 acc += x.T @ x
-        i, j = np.meshgrid(np.arange(width), np.arange(width), indexing="ij")
-        yield pd.DataFrame({"i": i.ravel().astype("int32"), "j": j.ravel().astype("int32"),
-                            "s": acc.ravel()})
+        yield pd.DataFrame({"stats": [acc.ravel()]})
     return run
 
 
-def gram_long(df: DataFrame, col: str = "features", normalize: bool = True) -> DataFrame:
+def gram_long(df: DataFrame, col: str = "features", normalize: bool = True, fanout: int = 64) -> DataFrame:
     """``(i, j, value)`` of X^T X (divided by n when ``normalize``).
 
-    Each partition multiplies its own block with BLAS and emits d*d partial
-    sums; the sum over partitions is an ordinary aggregation.  The shuffle
-    is partitions x d^2 rows, independent of the row count.
+    Each partition multiplies its own block with BLAS and emits ONE array of d*d
+    partial sums; arrays are summed in ``fanout`` groups, then together.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     first = df.select(F.size(col).alias("d")).limit(1).collect()
     if not first:
         raise ValueError("empty input")
@@ -88,8 +101,11 @@ def gram_long(df: DataFrame, col: str = "features", normalize: bool = True) -> D
     if d > MAX_MODEL_DIM:
         raise ValueError(f"feature width {d} exceeds {MAX_MODEL_DIM}")
     vec = df.select(as_doubles(col).alias(col))
-    part = vec.mapInPandas(_partial_gram(d, col), "i int, j int, s double")
-    g = part.groupBy("i", "j").agg(F.sum("s").alias("value"))
+    part = vec.mapInPandas(_partial_gram(d, col), "stats array<double>")
+    grouped = part.groupBy(F.pmod(F.spark_partition_id(), F.lit(fanout)).alias("g")).agg(
+        Summarizer.sum(array_to_vector("stats")).alias("s"))
+    g = grouped.agg(Summarizer.sum(F.col("s")).alias("s")).select(F.posexplode(vector_to_array("s")).alias("at", "value")).select(
+        F.floor(F.col("at") / d).cast("int").alias("i"), (F.col("at") % d).cast("int").alias("j"), "value")
     if normalize:
         n = df.count()
         g = g.withColumn("value", F.col("value") / F.lit(float(n)))
@@ -148,12 +164,11 @@ def fit_pca(df: DataFrame, col: str = "features", k: int | None = None,
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    # one statistics pass gives the width (its row count) and the mean for the scores
-    stats = column_stats(df, col).orderBy("idx").collect()
-    d = len(stats)
+    # one statistics pass gives the width and the mean for the scores
+    mean, _, _ = vector_stats(df, col)
+    d = len(mean)
     if d == 0 or d > MAX_MODEL_DIM:
         raise ValueError(f"feature width {d} outside 1..{MAX_MODEL_DIM}")
-    mean = np.array([r["mean"] for r in stats], dtype=float)
     vec = df.select(array_to_vector(as_doubles(col)).alias("v"))
     model = PCA(k=d, inputCol="v", outputCol="p").fit(vec)
     pc = model.pc.toArray()

@@ -23,8 +23,8 @@ def cluster_purity(df: DataFrame, cluster_col: str, label_col: str) -> DataFrame
     per = labeled.groupBy(cluster_col, label_col).agg(F.count("*").alias("n"))
     clus = per.groupBy(cluster_col).agg(F.max("n").alias("m"), F.sum("n").alias("t"))
     return clus.agg(
-        F.coalesce(F.round(F.try_divide(F.sum("m").cast("double"), F.sum("t")), 6), F.lit(0.0)).alias("micro"),
-        F.coalesce(F.round(F.avg(F.col("m") / F.col("t")), 6), F.lit(0.0)).alias("macro"))
+        F.coalesce(F.try_divide(F.sum("m").cast("double"), F.sum("t")), F.lit(0.0)).alias("micro"),
+        F.coalesce(F.avg(F.col("m") / F.col("t")), F.lit(0.0)).alias("macro"))
 
 
 def neighbor_purity_from_knn(knn: DataFrame, labels: DataFrame, k: int, id_col: str = "id",
@@ -37,8 +37,8 @@ def neighbor_purity_from_knn(knn: DataFrame, labels: DataFrame, k: int, id_col:
     own = score.join(labels.select(id_col, label_col), id_col)
     by_label = own.groupBy(label_col).agg(F.sum("s").alias("ss"), F.count("*").alias("n"))
     return by_label.agg(
-        F.coalesce(F.round(F.try_divide(F.sum("ss"), F.sum("n").cast("double")), 6), F.lit(0.0)).alias("micro"),
-        F.coalesce(F.round(F.avg(F.col("ss") / F.col("n")), 6), F.lit(0.0)).alias("macro"))
+        F.coalesce(F.try_divide(F.sum("ss"), F.sum("n").cast("double")), F.lit(0.0)).alias("micro"),
+        F.coalesce(F.avg(F.col("ss") / F.col("n")), F.lit(0.0)).alias("macro"))
 
 
 def neighbor_purity(df: DataFrame, k: int = 20, id_col: str = "id", vec_col: str = "features",

@@ -180,4 +180,4 @@ def hits_at_k(candidates: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame
            .groupBy("query_id").agg(F.max((F.col("candidate") == F.col("target")).cast("int")).alias("hit")))
     return hit.agg(F.count("*").alias("n_queries"),
                    F.sum(F.coalesce(F.col("hit"), F.lit(0))).cast("long").alias("n_hits"),
-                   F.round(F.avg(F.coalesce(F.col("hit"), F.lit(0)).cast("double")), 6).alias("hits_at_k"))
+                   F.avg(F.coalesce(F.col("hit"), F.lit(0)).cast("double")).alias("hits_at_k"))

@@ -98,14 +98,14 @@ def tag_coverage(df: DataFrame, cols: list[str] = TAG_COLS) -> DataFrame:
     long = wide.selectExpr("n_rows", f"stack({len(cols)}, {stack}) as (category, n_tagged)")
     return long.select("category", "n_rows", "n_tagged",
                        F.when(F.col("n_rows") > 0,
-                              F.round(F.col("n_tagged") * 100.0 / F.col("n_rows"), 6)).alias("pct"))
+                              F.col("n_tagged") * 100.0 / F.col("n_rows")).alias("pct"))
 
 
 def filter_retention(df: DataFrame, keep: Column, cols: list[str] = TAG_COLS) -> DataFrame:
     """A3: rows kept by a predicate, share kept, and non-empty counts among kept rows."""
     return df.agg(F.count("*").alias("n_total"),
                   F.count_if(keep).alias("n_kept"),
-                  F.round(F.try_divide(F.count_if(keep) * 100.0, F.count("*")), 6).alias("pct_kept"),
+                  F.try_divide(F.count_if(keep) * 100.0, F.count("*")).alias("pct_kept"),
                   *[F.count_if(keep & is_tagged(c)).alias(f"{c}_tagged") for c in cols])
 
 

@@ -146,6 +146,15 @@ def _scores_and_ids(spark: SparkSession, out: str, suffix: str, feats: DataFrame
     return scores, variance, store.read_table(spark, f"{out}/dataset_with_semantic_ids{suffix}")
 
 
+def _stored_split(spark: SparkSession, out: str, suffix: str, pairs: DataFrame, seed: int) -> DataFrame:
+    """The split training pairs, stored, and each split as CSV."""
+    path = f"{out}/training_pairs{suffix}"
+    store.write_table(recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed), path)
+    stored = store.read_table(spark, path)
+    store.write_splits(stored, f"{out}/training{suffix}")
+    return stored
+
+
 def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
              ratio: float = 0.80, n_atoms: int = 16, n_nonzero: int = 2, max_iter: int = 200,
              batch_size: int | None = 256, threshold: int = 16, max_replication: int = 6,
@@ -164,7 +173,7 @@ def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_
         spark, out, "", feats, ["genre", "mood", "instrument"], made, rebuild, ratio, n_atoms, n_nonzero, max_iter,
         batch_size, seed)
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed)
-    split = recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed)
+    split = _stored_split(spark, out, "", pairs, seed)
     return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
             "variance": variance, "occupancy": idstats.occupancy(ids),
             **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2, doc_format=doc_format),
@@ -208,8 +217,7 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
                                             batch_size, seed)
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed,
                                    two_tags=True)
-    return {"features": feats, "scores": scores, "variance": variance, "ids": ids, "pairs": recsets.split_exact(
-        pairs, F.concat_ws(":", "track_id", "rep"), seed),
+    return {"features": feats, "scores": scores, "variance": variance, "ids": ids, "pairs": _stored_split(spark, out, "_nomood", pairs, seed),
         "occupancy": idstats.occupancy(ids), "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
         **tag_profiles(spark, tags, doc_root, cats, 2, doc_format=doc_format),
         "missing_leaves": missing_leaf_counts(feats, fs.names)}

@@ -10,6 +10,7 @@ dictionary fit, p-values) have no oracle entry.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 import numpy as np
@@ -25,6 +26,7 @@ from ..operators import discriminate as D
 from ..operators import idstats, linalg, neighbors, quality, recsets, rvq, sample
 from ..operators import tags as TG
 from ..operators.dictlearn import fit_dictionary
+from ..session import checkpoint_dir
 from ..sources.tags import parse_tag_lines
 from ..sources.documents import document_coverage
 from .inputs import embeddings, id_tracks, multi_label_tags, table, tag_tables, track_keys
@@ -47,6 +49,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, as the oracle SQL gives them; operators return raw values."""
+    return df.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 # =============================================================================
 # SQL building blocks (DuckDB)
 # =============================================================================
@@ -244,7 +251,7 @@ FROM (SELECT 'genre' AS category, count(*) AS n_rows, count(*) FILTER (WHERE gen
       UNION ALL SELECT 'instrument', count(*), count(*) FILTER (WHERE instrument <> '') FROM merged)""")
 def q_tag_coverage(spark, d):
     """A2: rows, non-empty count and percentage per category."""
-    return TG.tag_coverage(TG.merge_outer(tag_tables(spark, d)))
+    return rounded(TG.tag_coverage(TG.merge_outer(tag_tables(spark, d))))
 
 
 @register("tag_retention", "WITH " + TAGS_SQL + """
@@ -257,7 +264,7 @@ FROM ntag""")
 def q_tag_retention(spark, d):
     """A3: rows kept by the two-category filter and their tag coverage."""
     from ..functions.tags import n_tagged
-    return TG.filter_retention(TG.merge_outer(tag_tables(spark, d)), n_tagged(TG.TAG_COLS) >= 2)
+    return rounded(TG.filter_retention(TG.merge_outer(tag_tables(spark, d)), n_tagged(TG.TAG_COLS) >= 2))
 
 
 @register("tag_category_counts", "WITH " + TAGS_SQL + """
@@ -542,7 +549,7 @@ SELECT CAST(level AS INTEGER) AS level, count(DISTINCT token) AS n_tokens, round
 FROM (SELECT generate_subscripts(codes, 1) - 1 AS level, unnest(codes) AS token FROM rvq) GROUP BY level""")
 def q_code_distribution(spark, d):
     """Distinct tokens per level and vocabulary usage."""
-    return idstats.code_distribution(rvq_ids(spark, d), vocab=16)
+    return rounded(idstats.code_distribution(rvq_ids(spark, d), vocab=16))
 
 
 @register("id_diversity", "WITH " + RVQ_SQL + """
@@ -550,7 +557,7 @@ SELECT count(DISTINCT semantic_id) AS n_ids, count(*) AS n_rows,
        round(count(DISTINCT semantic_id) / count(*), 6) AS diversity FROM rvq""")
 def q_id_diversity(spark, d):
     """Distinct IDs / rows."""
-    return idstats.id_diversity(rvq_ids(spark, d))
+    return rounded(idstats.id_diversity(rvq_ids(spark, d)))
 
 
 @register("occupancy", "WITH " + RVQ_SQL + """,
@@ -559,7 +566,7 @@ SELECT count(*) AS unique_ids, round(avg(n), 6) AS mean_per_id, round(avg(CASE W
        AS singleton_pct FROM c""")
 def q_occupancy(spark, d):
     """A10: unique IDs, mean rows per ID, singleton share."""
-    return idstats.occupancy(rvq_ids(spark, d))
+    return rounded(idstats.occupancy(rvq_ids(spark, d)))
 
 
 @register("occupancy_detail", "WITH " + RVQ_SQL + """,
@@ -569,7 +576,7 @@ SELECT count(*) AS unique_ids, round(avg(n), 6) AS mean_per_id, CAST(median(n) A
        round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS singleton_pct FROM c""")
 def q_occupancy_detail(spark, d):
     """A10 plus exact median rows per ID and singleton count."""
-    return idstats.occupancy_detail(rvq_ids(spark, d))
+    return rounded(idstats.occupancy_detail(rvq_ids(spark, d)))
 
 
 @register("top_ids", "WITH " + RVQ_SQL + """
@@ -592,7 +599,7 @@ cl AS (SELECT semantic_id, max(n) AS m, sum(n) AS t FROM per GROUP BY semantic_i
 SELECT coalesce(round(sum(m) / sum(t), 6), 0.0) AS micro, coalesce(round(avg(m / t), 6), 0.0) AS macro FROM cl""")
 def q_cluster_purity(spark, d):
     """Purity of the RVQ IDs with respect to the embedding label."""
-    return quality.cluster_purity(rvq_ids(spark, d), "semantic_id", "label")
+    return rounded(quality.cluster_purity(rvq_ids(spark, d), "semantic_id", "label"))
 
 
 @register("cluster_purity_docs", """
@@ -601,7 +608,7 @@ cl AS (SELECT source, max(n) AS m, sum(n) AS t FROM per GROUP BY source)
 SELECT coalesce(round(sum(m) / sum(t), 6), 0.0) AS micro, coalesce(round(avg(m / t), 6), 0.0) AS macro FROM cl""")
 def q_cluster_purity_docs(spark, d):
     """Purity of document sources with respect to language."""
-    return quality.cluster_purity(table(spark, d, "documents"), "source", "lang")
+    return rounded(quality.cluster_purity(table(spark, d, "documents"), "source", "lang"))
 
 
 @register("rvq_fit_restarts")
@@ -773,7 +780,7 @@ def q_quality_report(spark, d):
     """Cluster purity and neighbor purity@20 of the RVQ IDs for two tag columns."""
     ids = rvq_ids(spark, d).withColumn("genre", F.col("label").cast("string")).withColumn(
         "mood", (F.col("label") / 3).cast("int").cast("string"))
-    return quality.quality_report(ids, ["genre", "mood"], "semantic_id", "vec_id", "features", 20)
+    return rounded(quality.quality_report(ids, ["genre", "mood"], "semantic_id", "vec_id", "features", 20))
 
 
 @register("knn_exact", "WITH " + KNN_SQL + "SELECT vec_id, rank, neighbor_id FROM knn")
@@ -799,7 +806,7 @@ bl AS (SELECT label, sum(s) AS ss, count(*) AS n FROM own GROUP BY label)
 SELECT coalesce(round(sum(ss) / sum(n), 6), 0.0) AS micro, coalesce(round(avg(ss / n), 6), 0.0) AS macro FROM bl""")
 def q_neighbor_purity(spark, d):
     """K3: neighbor purity@20 of the labels."""
-    return quality.neighbor_purity(embeddings(spark, d), 20, "vec_id", "features", "label", block_rows=128)
+    return rounded(quality.neighbor_purity(embeddings(spark, d), 20, "vec_id", "features", "label", block_rows=128))
 
 
 @register("cosine_topk", "WITH " + EMB_SQL + "," + NORM_SQL + "," + QSAMPLE_SQL + """,
@@ -864,7 +871,7 @@ def q_hits_at_k(spark, d):
     cand = knn.join(labels, "neighbor_id").select(
         F.col("vec_id").alias("query_id"), "rank", F.format_string("< %03d>", "nlabel").alias("candidate"))
     truth = e.select(F.col("vec_id").alias("query_id"), F.format_string("<%03d>", "label").alias("target"))
-    return recsets.hits_at_k(cand, truth, 10)
+    return rounded(recsets.hits_at_k(cand, truth, 10))
 
 
 # =============================================================================
@@ -929,6 +936,27 @@ def q_split(spark, d):
     return recsets.split_exact(up, key, 42, n_buckets=16).select("p_partkey", "rep", "split")
 
 
+SPLIT_SQL = "WITH " + IDT_SQL + """,
+k AS (SELECT p_partkey, rep, '42:' || CAST(p_partkey AS VARCHAR) || ':' || CAST(rep AS VARCHAR) AS k FROM up),
+r AS (SELECT p_partkey, rep, row_number() OVER (ORDER BY CAST('0x' || substr(md5(k), 1, 8) AS BIGINT), md5(k)) AS rk,
+             count(*) OVER () AS n FROM k),
+s AS (SELECT *, n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n_train,
+             CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT)
+             - CAST(ceil(CAST(0.5 AS DOUBLE) * CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT)) AS BIGINT) AS n_val FROM r)
+SELECT p_partkey, rep, CASE WHEN rk <= n_train THEN 'train' WHEN rk <= n_train + n_val THEN 'val' ELSE 'test' END AS split
+FROM s"""
+
+
+@register("split_files", SPLIT_SQL)
+def q_split_files(spark, d):
+    """The three splits written as CSV files and read back."""
+    from ..sources import store
+    path = f"{checkpoint_dir(spark).rstrip('/')}/split-files-{uuid.uuid4().hex[:12]}"
+    store.write_table(q_split(spark, d), f"{path}/all")
+    store.write_splits(store.read_table(spark, f"{path}/all"), path)
+    return store.read_splits(spark, path, "p_partkey bigint, rep int")
+
+
 # =============================================================================
 # Discrimination: A14, A7, W6, S11, T5, T9, T8
 # =============================================================================
@@ -1056,7 +1084,7 @@ def q_discrimination_f(spark, d):
 @register("discrimination_summary")
 def q_discrimination_summary(spark, d):
     """Per category feature count, significant count, mean F and eta squared."""
-    return D.discrimination_summary(_disc(spark, d))
+    return rounded(D.discrimination_summary(_disc(spark, d)))
 
 
 @register("plot_input", "WITH " + EMB_SQL + """,
@@ -1415,7 +1443,7 @@ def q_semantic_ids_run(spark, d):
     res = run_semantic_ids(spark, ids, out, "dictionary", id_col="vec_id", tag_cols=["genre", "mood"], k=20,
                            search={"n_nonzero_list": [2, 3], "n_atoms_list": [8], "batch_sizes": [256],
                                    "max_iter": 3})
-    return res["quality"]
+    return rounded(res["quality"])
 
 
 @register("discrimination_run")

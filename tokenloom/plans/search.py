@@ -37,8 +37,8 @@ def _metrics(coded: DataFrame, id_col: str, col: str, n_queries: int, k_eval: in
 
 def _finish(spark, rows, schema, ideal):
     res = spark.createDataFrame(rows, schema)
-    res = res.withColumn("score", F.round(search_score(F.col("recall"), F.col("singleton_pct"),
-                                                       F.col("mean_per_id"), ideal), 6))
+    res = res.withColumn("score", search_score(F.col("recall"), F.col("singleton_pct"),
+                                               F.col("mean_per_id"), ideal))
     return res
 
 

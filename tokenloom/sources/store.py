@@ -104,6 +104,22 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     return read_table(spark, path, fmt)
 
 
+def write_splits(df: DataFrame, path: str, split_col: str = "split", splits=("train", "val", "test")) -> None:
+    """Each split of a training set as CSV with header under ``path/<split>``; ``df`` should be
+    a stored table (it is read once per split)."""
+    for name in splits:
+        write_csv(df.filter(F.col(split_col) == name).drop(split_col), f"{path.rstrip('/')}/{name}")
+
+
+def read_splits(spark: SparkSession, path: str, schema, split_col: str = "split", splits=("train", "val", "test")) -> DataFrame:
+    """The stored splits together, with their names."""
+    parts = [read_table(spark, f"{path.rstrip('/')}/{name}", "csv", schema).withColumn(split_col, F.lit(name)) for name in splits]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- models (S8, S9) --------------------------------------------------------
 
 def save_model(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame]) -> None:

@@ -22,6 +22,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in an Arrow batch of this session: ten thousand long texts take too much
+    memory outside the heap, once for each running task."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def buckets(df: DataFrame) -> int:
     """The number of buckets of a packed exchange: the session's shuffle partitions, which the
     cluster sizes by its input."""
@@ -90,4 +100,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return star.select(F.col("a").alias("vertex"), "component_id").unionByName(roots)
 
 
-__all__ = ["table", "shared_path", "buckets", "groups", "map_groups", "components", "cut_lineage", "StorageLevel"]
+__all__ = ["table", "shared_path", "buckets", "small_batches", "groups", "map_groups", "components", "cut_lineage", "StorageLevel"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import hashing as H
-from tokenloom.llm.common import buckets, components, cut_lineage, map_groups
+from tokenloom.llm.common import buckets, components, cut_lineage, map_groups, small_batches
 
 COORDS = 64
 LEVELS = 21
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: b
                     recall: float = 0.999, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over
     links with ``100 * intersection >= percent * union``) and ``kept`` (whether it is that id)."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut_lineage(own.mapInArrow(_signatures(lower, width), "doc_id bigint, n bigint, print binary, tokens binary"))
     classes = signed.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(

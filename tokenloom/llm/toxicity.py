@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tokenloom.llm import hashing as H
+from tokenloom.llm.common import small_batches
 from tokenloom.llm.samples import held_out, labelled
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -123,7 +124,7 @@ def _term_counts(batches):
             part = batch.slice(lo, 256)
             for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 (toxic if label else clean).update(terms_of(fold(text)))
-            if len(toxic) + len(clean) > 500_000:
+            if len(toxic) + len(clean) > 150_000:
                 yield _counted(toxic, clean)
                 toxic, clean = Counter(), Counter()
     yield _counted(toxic, clean)
@@ -150,6 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
           least_docs: int = 3, least_lift: float = 12.0, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """A lexicon from at most ``rows`` labelled documents, of at most ``most_terms`` terms.  Candidate terms with
     their counts (at most 20 for each term kept) and the sample's measures reach the driver."""
+    small_batches(docs.sparkSession)
     sample = labelled(docs, labels, label_col, rows, id_col, text_col).mapInArrow(_sketched, "text string, label int, sketch bigint")
     sample = sample.groupBy("sketch", "label").agg(F.min("text").alias("text")).select("text", "label").persist()
     try:
@@ -238,6 +240,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float
 
 def score_rows(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The input with its score; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     bias, hit, length = lexicon.curve
     own = docs.drop(score_col)
     at, names = own.columns.index(text_col), [*own.columns, score_col]

@@ -36,6 +36,8 @@ HEADLINE = [
     "split",             # R4
     "tag_outer_merge",   # J1
     "json_stat_objects", # P6-P10 + catalog
+    "feature_table",     # S4-S5, J5, P12-P17
+    "comprehensive_features",  # P13, 221 features
 ]
 
 

@@ -166,3 +166,28 @@ def test_string_ids_break_ties_by_id(spark):
     got = {(r["id"], r["rank"]): r["neighbor_id"] for r in neighbors.knn_exact(df, 3, "id", "features").collect()}
     assert [got["d", r] for r in (1, 2, 3)] == ["a", "b", "c"]
     assert [got["e", r] for r in (1, 2)] == ["c", "d"]
+
+
+def test_knn_far_from_the_origin(spark):
+    """Data around 1e7 gives the neighbor lists of the exact differences."""
+    rng = np.random.default_rng(12)
+    x = 1e7 + rng.normal(size=(150, 5))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    want = np.argsort(d2, axis=1)[:, :4]
+    for kw in ({"block_rows": 40}, {"block_rows": 1000}, {"strategy": "pivot", "block_rows": 40}):
+        got = {(r["id"], r["rank"]): r["neighbor_id"] for r in neighbors.knn_exact(df, 4, "id", "features", **kw).collect()}
+        assert all(got[i, k + 1] == want[i, k] for i in range(150) for k in range(4))
+
+
+def test_more_queries_than_a_part(spark, monkeypatch):
+    from tokenloom.operators import neighbors as N
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, [float(v) for v in r], [int(i % 3), int(i % 5)]) for i, r in enumerate(rng.normal(size=(60, 4)))],
+                               "id long, features array<double>, codes array<int>")
+    one = sorted(map(tuple, N.query_topk(df, df, 3, "id", "features", "cosine", "codes").collect()))
+    pairs = sorted(map(tuple, N.token_candidates(df, df).collect()))
+    monkeypatch.setattr(N, "MAX_QUERIES", 20)
+    assert sorted(map(tuple, N.query_topk(df, df, 3, "id", "features", "cosine", "codes").collect())) == one
+    assert sorted(map(tuple, N.token_candidates(df, df).collect())) == pairs

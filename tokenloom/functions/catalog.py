@@ -26,29 +26,45 @@ class Extractor:
     key: str
     names: tuple[str, ...]
     build: Builder = field(compare=False)
+    # the same features as whole arrays, each leaf read once for all its elements
+    arrays: Builder | None = field(compare=False, default=None)
 
 
 def _fixed(arr: Column, n: int) -> list[Column]:
     return [F.get(arr, i) for i in range(n)]
 
 
+def _padded(arr: Column, n: int) -> Column:
+    """The first ``n`` elements, missing ones null; never null itself."""
+    none = F.array_repeat(F.lit(None).cast("double"), n)
+    return F.slice(F.concat(F.coalesce(arr, F.array().cast("array<double>")), none), 1, n)
+
+
+def _diagonal(m: Column) -> Column:
+    return F.transform(m, lambda row, i: F.sqrt(F.get(row, i)))
+
+
 def mean_cov(key: str, path: str, prefix: str, n: int) -> Extractor:
     """P7+P10: mean vector and std from the covariance diagonal."""
     names = tuple(f"{prefix}_mean_{i}" for i in range(n)) + tuple(f"{prefix}_std_{i}" for i in range(n))
     return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path + ".mean"), n)
-                     + [F.sqrt(F.get(F.get(J.matrix_leaf(d, path + ".cov"), i), i)) for i in range(n)])
+                     + [F.sqrt(F.get(F.get(J.matrix_leaf(d, path + ".cov"), i), i)) for i in range(n)],
+                     lambda d: [_padded(J.array_leaf(d, path + ".mean"), n),
+                                _padded(_diagonal(J.matrix_leaf(d, path + ".cov")), n)])
 
 
 def mean_var(key: str, path: str, prefix: str, n: int) -> Extractor:
     """P7+P9: mean vector and std from the variance vector."""
     names = tuple(f"{prefix}_mean_{i}" for i in range(n)) + tuple(f"{prefix}_std_{i}" for i in range(n))
     return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path + ".mean"), n)
-                     + [F.sqrt(c) for c in _fixed(J.array_leaf(d, path + ".var"), n)])
+                     + [F.sqrt(c) for c in _fixed(J.array_leaf(d, path + ".var"), n)],
+                     lambda d: [_padded(J.array_leaf(d, path + ".mean"), n),
+                                _padded(F.transform(J.array_leaf(d, path + ".var"), F.sqrt), n)])
 
 
 def mean_array(key: str, path: str, prefix: str, n: int) -> Extractor:
     names = tuple(f"{prefix}_{i}" for i in range(n))
-    return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path), n))
+    return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path), n), lambda d: [_padded(J.array_leaf(d, path), n)])
 
 
 def scalars(key: str, pairs: list[tuple[str, str]], reader=J.scalar) -> Extractor:
@@ -66,7 +82,8 @@ def stats(key: str, pairs: list[tuple[str, str]], which=("mean", "var")) -> Extr
 def picked(key: str, path: str, prefix: str, idx: list[int]) -> Extractor:
     """Selected elements of an array leaf, named by their source index."""
     names = tuple(f"{prefix}_{i}" for i in idx)
-    return Extractor(key, names, lambda d: [F.get(J.array_leaf(d, path), i) for i in idx])
+    return Extractor(key, names, lambda d: [F.get(J.array_leaf(d, path), i) for i in idx], lambda d: [
+        F.transform(F.array(J.array_leaf(d, path)), lambda a: F.array(*[F.get(a, i) for i in idx]))[0]])
 
 
 def tonality(key: str) -> Extractor:
@@ -202,12 +219,27 @@ class FeatureSet:
         return out
 
     def vector(self, doc: Column, digits: int | None = None) -> Column:
-        """All features as one array; ``digits`` rounds element-wise (kept out of a
-        higher-order function so the leaf reads stay code-generated and shared)."""
-        cols = self.columns(doc)
-        if digits is not None:
-            cols = [F.round(c, digits) for c in cols]
-        return F.array(*cols)
+        """All features as one array; ``digits`` rounds them.
+
+        Array leaves come in whole (each read once, not once per element, which also
+        keeps the generated code small); scalar leaves one by one, code-generated."""
+        parts, single, seen = [], [], set()
+
+        def flush():
+            if single:
+                parts.append(F.array(*[c if digits is None else F.round(c, digits) for c in single]))
+                single.clear()
+        for e in self.extractors:
+            fresh = [n for n in e.names if n not in seen]
+            if e.arrays and len(fresh) == len(e.names):
+                flush()
+                for c in e.arrays(doc):
+                    parts.append(c if digits is None else F.transform(c, lambda x: F.round(x, digits)))
+            else:
+                single.extend(c.cast("double") for n, c in zip(e.names, e.build(doc)) if n in fresh)
+            seen.update(e.names)
+        flush()
+        return F.concat(*parts)
 
 
 def base_set(use_mel_alt=False, use_energy_alt=False, add_valley=False, add_timbre_dist=False,

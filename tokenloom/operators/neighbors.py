@@ -105,6 +105,13 @@ def _back(res: DataFrame, mapping: DataFrame | None, cols: dict[str, str]) -> Da
 CHUNK_ROWS = 1024  # query rows per distance chunk inside a task (chunk x block doubles)
 
 
+def _exact(a: np.ndarray, b: np.ndarray, score: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of chosen pairs by plain differences (no cancellation), row by row."""
+    if metric != "euclidean" or not len(a):
+        return score
+    return ((a - b) ** 2).sum(axis=1)
+
+
 def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
     """One unordered block pair (a, b): every distance is computed once, in chunks of
     ``chunk_rows`` a-rows against all b-rows; a-rows get their top-k per chunk, b-rows
@@ -126,12 +133,17 @@ def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
         for start in range(0, len(lid), chunk_rows):
             sl = slice(start, start + chunk_rows)
             block = _scores(lv[sl], rv, metric)
-            out.append(_topk_rows(block, lid[sl], rid, k)[:3])
+            r, c, s, _ = _topk_core(block, lid[sl], rid, k)
+            out.append((lid[sl][r], rid[c], _exact(lv[sl][r], rv[c], s, metric)))
             if not diagonal:
                 best_r = _merge_topk(best_r, _batch_topk(block.T, rid, lid[sl], k), k)
         if best_r is not None:
             e = _emit(best_r, rid, "x")
-            out.append((e["qid"].to_numpy(), e["nid"].to_numpy(), e["score"].to_numpy()))
+            qid, nid, s = e["qid"].to_numpy(), e["nid"].to_numpy(), e["score"].to_numpy()
+            order_l, order_r = np.argsort(lid, kind="stable"), np.argsort(rid, kind="stable")
+            at_l = order_l[np.searchsorted(lid, nid, sorter=order_l)]
+            at_r = order_r[np.searchsorted(rid, qid, sorter=order_r)]
+            out.append((qid, nid, _exact(rv[at_r], lv[at_l], s, metric)))
         return pd.DataFrame({"id": np.concatenate([o[0] for o in out]),
                              "nid": np.concatenate([o[1] for o in out]),
                              "score": np.concatenate([o[2] for o in out])})
@@ -156,10 +168,18 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     data, where it skips most pairs; in dozens of unclustered dimensions the bounds
     prune nothing and the hash blocks are cheaper.
     """
+    if strategy not in ("blocks", "pivot"):
+        raise ValueError("strategy must be 'blocks' or 'pivot'")
+    if metric == "euclidean":
+        # distances keep their digits when the data lies far from the origin: shift by about the mean,
+        # a multiple of a power of two near the spread, which leaves equal distances equal
+        from .linalg import Scaler, vector_stats
+        mean, std, _ = vector_stats(df, vec_col)
+        if len(mean):
+            unit = 2.0 ** np.floor(np.log2(np.where(std > 0, std, np.maximum(np.abs(mean), 1.0))))
+            df = Scaler(np.round(mean / unit) * unit, np.ones(len(mean))).apply(df.select(id_col, vec_col), vec_col)
     if strategy == "pivot":
         return knn_pivot(df, k, id_col, vec_col, metric, block_rows)
-    if strategy != "blocks":
-        raise ValueError("strategy must be 'blocks' or 'pivot'")
     num, mapping = numeric_ids(df.select(id_col, vec_col), id_col)
     base = num.select(F.col("_nid").alias("id"), as_doubles(vec_col).alias("v"))
     if metric == "cosine":
@@ -413,8 +433,8 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
                normalize: bool = True) -> DataFrame:
     """K2 (and the scoring half of K4): top-k corpus rows for each query row.
 
-    ``queries`` must be small (<= MAX_QUERIES rows, e.g. from ``hash_sample``);
-    it is the only data shipped to the tasks.  Output ``qid, kind, rank, nid,
+    ``queries`` are the only data shipped to the tasks; more than ``MAX_QUERIES`` of them are
+    dealt by hash into parts below that, each taking its own scan of the corpus.  Output ``qid, kind, rank, nid,
     score`` where ``kind`` is ``all`` or (with ``codes_col``) ``cand``: only
     rows sharing a token with the query at some level.
     """
@@ -428,9 +448,24 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     cols = [F.col("_nid").alias("id"), vec.alias("v")]
     if codes_col:
         cols.append(F.col(codes_col).alias("codes"))
-    qrows = queries.select(*cols).limit(MAX_QUERIES + 1).collect()
-    if len(qrows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
+    n_queries = queries.limit(MAX_QUERIES + 1).count()
+    if n_queries > MAX_QUERIES:
+        n_parts = math.ceil(queries.count() * 2 / MAX_QUERIES)
+        part = F.pmod(F.xxhash64("_nid"), F.lit(n_parts))
+        answers = [_query_part(corpus, queries.filter(part == i).select(*cols).collect(), cols, k, metric, codes_col)
+                   for i in range(n_parts)]
+        res = answers[0]
+        for a in answers[1:]:
+            res = res.unionByName(a)
+    else:
+        res = _query_part(corpus, queries.select(*cols).collect(), cols, k, metric, codes_col)
+    if mapping is not None:
+        res = _back(res, mapping, {"qid": "__q", "nid": "__n"}).select(
+            F.col("__q").alias("qid"), "kind", "rank", F.col("__n").alias("nid"), "score")
+    return res
+
+
+def _query_part(corpus: DataFrame, qrows: list, cols: list, k: int, metric: str, codes_col: str | None) -> DataFrame:
     if not qrows:
         return corpus.sparkSession.createDataFrame([], "qid long, kind string, rank int, nid long, score double")
     qid = np.array([r["id"] for r in qrows], dtype=np.int64)
@@ -441,26 +476,22 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
                            "qid long, nid long, score double, kind string")
     top = topk_merge(part, ["qid", "kind"], k)
     sc = -F.col("score") if metric == "cosine" else F.col("score")
-    res = top.select("qid", "kind", "rank", "nid", sc.alias("score"))
-    if mapping is not None:
-        res = _back(res, mapping, {"qid": "__q", "nid": "__n"}).select(
-            F.col("__q").alias("qid"), "kind", "rank", F.col("__n").alias("nid"), "score")
-    return res
+    return top.select("qid", "kind", "rank", "nid", sc.alias("score"))
 
 
 def token_candidates(codes: DataFrame, queries: DataFrame, id_col: str = "id",
                      codes_col: str = "codes") -> DataFrame:
     """``(qid, id)`` rows sharing a token with the query at ANY level, self excluded.
 
-    The query side (bounded sample x levels) is broadcast; the corpus side is
-    streamed once, so a token that holds a third of all rows is no hot spot.
+    Up to ``MAX_QUERIES`` queries (counted) the query side is broadcast and the corpus side
+    streamed once, so a token that holds a third of all rows is no hot spot; beyond that the
+    sides meet in a shuffle join, whose hot tokens adaptive execution splits.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: the query side is broadcast")
+    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
     q = queries.select(F.col(id_col).alias("qid"),
                        F.posexplode(codes_col).alias("level", "token"))
     c = codes.select(F.col(id_col).alias("id"), F.posexplode(codes_col).alias("level", "token"))
-    pairs = c.join(F.broadcast(q), ["level", "token"]).filter(F.col("qid") != F.col("id"))
+    pairs = c.join(F.broadcast(q) if few else q, ["level", "token"]).filter(F.col("qid") != F.col("id"))
     return pairs.select("qid", "id").distinct()
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import hashing as H
-from tokenloom.llm.common import buckets
+from tokenloom.llm.common import buckets, released
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 _TABLES: dict[str, object] = {}
@@ -355,9 +355,9 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple
     own = docs.select(*keep, F.col(text_col).alias("_text"))
     out = StructType(own.schema.fields[:-1] + added)
     voc, n = Vocabulary(vocabulary), buckets(docs)
-    packed = own.mapInArrow(_pack(n), "block int, rows binary").repartition(n, "block")
-    words = packed.mapInArrow(_words(n, voc), "bucket int, block int, rows binary")
-    answers = words.repartitionById(n, "bucket").mapInArrow(_encode(voc), "block int, bucket int, answer binary")
+    packed = own.mapInArrow(released(_pack(n)), "block int, rows binary").repartition(n, "block")
+    words = packed.mapInArrow(released(_words(n, voc)), "bucket int, block int, rows binary")
+    answers = words.repartitionById(n, "bucket").mapInArrow(released(_encode(voc)), "block int, bucket int, answer binary")
     placed = packed.groupBy("block").cogroup(answers.groupBy("block"))
     return placed.applyInArrow(_place(n, voc, digest, to_arrow_schema(out)), out)
 

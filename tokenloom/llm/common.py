@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -58,12 +59,27 @@ def groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 20) ->
         yield pa.Table.from_batches(held)
 
 
+def released(run):
+    """The task function, with the memory that it freed given back to the system at its end: Spark keeps
+    Python workers for later tasks, and their heaps would add to the executor's for as long."""
+    def inner(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not the GNU C library
+                pass
+    return inner
+
+
 def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over the rows of each key.  The groups must have a bounded size."""
     def run(batches):
         for group in groups(batches, key):
             yield from fn(group)
-    return df.repartition(buckets(df), key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(buckets(df), key).sortWithinPartitions(key).mapInArrow(released(run), schema)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -100,4 +116,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return star.select(F.col("a").alias("vertex"), "component_id").unionByName(roots)
 
 
-__all__ = ["table", "shared_path", "buckets", "small_batches", "groups", "map_groups", "components", "cut_lineage", "StorageLevel"]
+__all__ = ["table", "shared_path", "buckets", "small_batches", "released", "groups", "map_groups", "components", "cut_lineage", "StorageLevel"]

@@ -6,7 +6,8 @@
    coordinate.  A node with more than ``leaf`` documents branches again by further coordinates,
    ``1 / similarity`` of them in expectation (chosen by a hash of the path), so that a similar pair
    keeps a path however deep the tree gets.
-3. Nodes of at most ``leaf`` documents are compared exhaustively on the full sets; a node passes on only
+3. Nodes of at most ``leaf`` documents are compared exhaustively: on the signatures, which leaves the parts that
+   come near the threshold (mostly the same in every tree, and then taken once), and these on the full sets; a node passes on only
    links that connect something new, so a node of n documents gives fewer than n links.
    Levels are taken STEP at a time, to need few jobs; a node counts only if the one above is too large.
 4. A node that is still too large at the last level (documents that agree in every chosen token) is
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import hashing as H
-from tokenloom.llm.common import buckets, components, cut_lineage, map_groups, small_batches
+from tokenloom.llm.common import buckets, components, cut_lineage, map_groups, released, small_batches
 
 COORDS = 64
 LEVELS = 21
@@ -184,12 +185,37 @@ def _compare(percent: int):
     return run
 
 
+def _alike(percent: int):
+    """The parts of a node whose signatures come near the threshold, six standard deviations below it and up."""
+    need = percent / 100
+    least = need - 6 * math.sqrt(need * (1 - need) / COORDS)
+
+    def run(group: pa.Table):
+        ids = np.array(group.column("id").to_pylist())
+        order = np.argsort(ids)
+        ids, tokens, star = ids[order], _matrix(group.column("tokens"))[order], group.column("star")[0].as_py()
+        forest = _Forest(len(ids))
+        for i in range(1 if star else len(ids) - 1):
+            for j in (np.flatnonzero((tokens[i + 1:] == tokens[i]).mean(axis=1) >= least) + i + 1).tolist():
+                forest.join(j, i)
+        roots = np.array([forest.root(i) for i in range(len(ids))])
+        parts = [ids[roots == r] for r in np.unique(roots)]
+        parts = [p for p in parts if len(p) > 1 and (not star or p[0] == ids[0])]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.int64())), pa.array([star] * len(parts))], names=["ids", "star"])
+    return run
+
+
+def _members(leaves: DataFrame) -> DataFrame:
+    return leaves.select(F.xxhash64("ids", "star").alias("node"), "star", F.explode("ids").alias("id"))
+
+
 def _compared(leaves: DataFrame, docs: DataFrame, lower: bool, width: int, percent: int) -> DataFrame:
     """Links within the leaves (``ids`` array, ``star`` boolean), on the full sets."""
-    wanted = leaves.select(F.xxhash64("ids", "star").alias("node"), "star", F.explode("ids").alias("id")).groupBy("id").agg(
+    wanted = _members(leaves).groupBy("id").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("star").alias("stars"))
     rows = docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "nodes", "stars").mapInArrow(
-        _full_sets(lower, width), "node bigint, star boolean, id bigint, shingles binary")
+        released(_full_sets(lower, width)), "node bigint, star boolean, id bigint, shingles binary")
     return map_groups(rows, "node", _compare(percent), "a bigint, b bigint")
 
 
@@ -199,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: b
     links with ``100 * intersection >= percent * union``) and ``kept`` (whether it is that id)."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut_lineage(own.mapInArrow(_signatures(lower, width), "doc_id bigint, n bigint, print binary, tokens binary"))
+    signed = cut_lineage(own.mapInArrow(released(_signatures(lower, width)), "doc_id bigint, n bigint, print binary, tokens binary"))
     classes = signed.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(
         F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
     # repeated ids with other texts: one set stands for the id
@@ -212,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: b
 def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, levels) -> DataFrame:
     keep_path = (percent / 100) ** levels
     trees = min(COORDS, math.ceil(math.log(1 - recall) / math.log(1 - keep_path)))
-    rows = reps.mapInArrow(_roots(trees), "node bigint, id bigint").selectExpr("node", "0L AS above", "1 AS level", "id")
+    rows = reps.mapInArrow(released(_roots(trees)), "node bigint, id bigint").selectExpr("node", "0L AS above", "1 AS level", "id")
     first, last, leaves, large = 1, 1, [], None
     while True:
         rows = cut_lineage(rows)
@@ -232,7 +258,7 @@ def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, lev
             break
         first, last = last + 1, min(last + STEP, LEVELS)
         rows = large.join(reps, "id").select("node", "id", "tokens").mapInArrow(
-            _branches(first, last, percent / 100), "node bigint, above bigint, level int, id bigint")
+            released(_branches(first, last, percent / 100)), "node bigint, above bigint, level int, id bigint")
     rest = None
     if large is not None:  # too large at the last level: with the smallest id, in slices
         first = large.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("m"))
@@ -243,7 +269,8 @@ def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, lev
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
-    nodes = cut_lineage(nodes.distinct())
+    nodes = _members(nodes.distinct()).join(reps, "id").select("node", "star", "id", "tokens")
+    nodes = cut_lineage(map_groups(nodes, "node", _alike(percent), "ids array<bigint>, star boolean").distinct())
     links = cut_lineage(_compared(nodes, own, lower, width, percent).distinct())
     groups = components(links)
     if rest is not None:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tokenloom.llm import hashing as H
-from tokenloom.llm.common import small_batches
+from tokenloom.llm.common import released, small_batches
 from tokenloom.llm.samples import held_out, labelled
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -152,14 +152,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
     """A lexicon from at most ``rows`` labelled documents, of at most ``most_terms`` terms.  Candidate terms with
     their counts (at most 20 for each term kept) and the sample's measures reach the driver."""
     small_batches(docs.sparkSession)
-    sample = labelled(docs, labels, label_col, rows, id_col, text_col).mapInArrow(_sketched, "text string, label int, sketch bigint")
+    sample = labelled(docs, labels, label_col, rows, id_col, text_col).mapInArrow(released(_sketched), "text string, label int, sketch bigint")
     sample = sample.groupBy("sketch", "label").agg(F.min("text").alias("text")).select("text", "label").persist()
     try:
         sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
         n, m = sizes.get(1, 0), sizes.get(0, 0)
         if not n or not m:
             return Lexicon({}, (), (math.log((n + 0.5) / (m + 0.5)), 0.0, 0.0))
-        counts = sample.mapInArrow(_term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(
+        counts = sample.mapInArrow(released(_term_counts), "term string, toxic bigint, clean bigint").groupBy("term").agg(
             F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
         tried = counts.where(f"toxic >= {least_docs}").count()
         best = counts.where((F.col("toxic") >= least_docs) & (F.col("toxic") * m > least_lift * F.col("clean") * n)).orderBy(
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
                 ranked.append((g, len(r["term"]), r["term"], r["toxic"], weight))
         terms = {t[2]: t[-1] for t in _pick(sorted(ranked, reverse=True), most_terms)}
         lexicon = Lexicon(terms, _exceptions(sample, Lexicon(terms)))
-        found = sample.mapInArrow(_measured(lexicon), "a double, b double, label int").orderBy("a", "b", "label").collect()
+        found = sample.mapInArrow(released(_measured(lexicon)), "a double, b double, label int").orderBy("a", "b", "label").collect()
         lexicon.curve = _fit_curve(np.array([(r["a"], r["b"]) for r in found]), np.array([r["label"] for r in found]))
         return lexicon
     finally:
@@ -212,7 +212,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 5, most: int =
                 phrases += seen
                 label += [y] * len(seen)
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(label, pa.int32())], names=["phrase", "label"])
-    found = sample.mapInArrow(run, "phrase string, label int").groupBy("phrase").agg(
+    found = sample.mapInArrow(released(run), "phrase string, label int").groupBy("phrase").agg(
         F.sum("label").alias("toxic"), F.count("*").alias("n")).where(f"toxic = 0 AND n >= {least}").orderBy(F.desc("n"), "phrase").limit(most)
     return tuple(r["phrase"] for r in found.collect())
 
@@ -252,7 +252,7 @@ def score_rows(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_
                 x = np.array([measures(lexicon, t) for t in part.column(at).to_pylist()]).reshape(-1, 2)
                 value = bias + x @ np.array([hit, length])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(value, -30, 30))))], names=names)
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(score_col, DoubleType())]))
+    return own.mapInArrow(released(run), StructType([*own.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,16 +66,6 @@ def matrix_leaf(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, _p(path), "array<array<double>>")
 
 
-def sqrt_each(arr: Column) -> Column:
-    """Element-wise square root (variance -> std)."""
-    return F.transform(arr, lambda x: F.sqrt(x))
-
-
-def sqrt_diag(cov: Column) -> Column:
-    """P10: square root of the covariance diagonal."""
-    return F.transform(cov, lambda row, i: F.sqrt(F.get(row, i)))
-
-
 # Pitch classes in chromatic order from C (key names as written
 # in the documents, lower case).
 CHROMATIC_SCALE = ["c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b"]

@@ -20,26 +20,12 @@ def sq_norm(x: Column | str) -> Column:
     return F.aggregate(_c(x), F.lit(0.0), lambda acc, v: acc + v * v)
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda u, v: u * v), F.lit(0.0),
-                       lambda acc, v: acc + v)
-
-
 def l2_normalize(x: Column | str, eps: float = 1e-12) -> Column:
     """X / (||x|| + eps)."""
     norm = F.sqrt(sq_norm(x)) + F.lit(eps)
     return F.transform(_c(x), lambda v: v / norm)
 
 
-def subtract(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda u, v: u - v)
-
-
-def sq_dist(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(_c(a), _c(b), lambda u, v: (u - v) * (u - v)),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
 def round_all(x: Column | str, digits: int = 6) -> Column:
     return F.transform(_c(x), lambda v: F.round(v, digits))
 

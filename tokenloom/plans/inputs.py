@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_leaf import CHROMATIC_SCALE
 from ..functions.vectors import as_doubles
 
 
@@ -76,7 +77,7 @@ def _doc_struct(v, label):
     diag = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.transform(
         F.sequence(F.lit(0), F.lit(12)), lambda j: F.when(i == j, F.get(v, i + 13) * F.get(v, i + 13))
         .otherwise(F.lit(0.0))))
-    keys = F.array(*[F.lit(k) for k in ["c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b"]])
+    keys = F.array(*[F.lit(k) for k in CHROMATIC_SCALE])
     return F.struct(
         F.struct(F.struct(F.slice(v, 1, 13).alias("mean"), diag.alias("cov")).alias("mfcc"),
                  F.struct(F.slice(v, 47, 13).alias("mean")).alias("gfcc"),

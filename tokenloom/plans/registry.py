@@ -388,7 +388,7 @@ KEYS_TEXT = ["C", "c#", "d", "D#", "e", "f", "f#", "g", "G#", "a", "a#", "b", "b
 WITH k AS (SELECT p_partkey, {_sql_list(KEYS_TEXT)}[p_size % 13 + 1] AS key_key,
                   CASE WHEN p_size % 2 = 0 THEN 'major' ELSE 'minor' END AS key_scale,
                   p_retailprice / 1000.0 AS strength FROM part),
-pc AS (SELECT *, list_position({_sql_list(['c', 'c#', 'd', 'd#', 'e', 'f', 'f#', 'g', 'g#', 'a', 'a#', 'b'])},
+pc AS (SELECT *, list_position({_sql_list(J.CHROMATIC_SCALE)},
                                lower(key_key)) - 1 AS pc FROM k),
 th AS (SELECT *, ((CASE WHEN key_scale = 'minor' THEN (pc + 3) % 12 ELSE pc END) * 7 % 12) * (2 * pi() / 12) AS theta
        FROM pc)
@@ -907,6 +907,20 @@ def q_prompts3(spark, d):
         "p_partkey", "rep", "prompt", "target")
 
 
+@register("prompts_without_tags", """
+SELECT p_partkey, count(*) FILTER (WHERE prompt_null) AS n_null FROM (
+  SELECT p_partkey, false AS prompt_null FROM part
+  WHERE NOT (p_size BETWEEN 20 AND 30) AND (p_size >= 8 OR p_size <= 44 OR p_retailprice >= 905))
+GROUP BY p_partkey""")
+def q_prompts_without_tags(spark, d):
+    """Tracks without any tag have no prompt and give no training pair."""
+    blank = F.col("p_size").between(20, 30)
+    tracks = id_tracks(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    tracks = tracks.withColumns({c: F.when(blank, F.lit("")).otherwise(F.col(c)) for c in ("mood", "genre", "instrument")})
+    return recsets.training_pairs(tracks, "p_partkey", "semantic_id", 16, 6, 42).groupBy("p_partkey").agg(
+        F.count_if(F.col("prompt").isNull()).alias("n_null"))
+
+
 @register("prompts2", "WITH " + IDT_SQL + f"""
 SELECT p_partkey, replace(replace({_sql_list(recsets.PROMPT_TEMPLATES_2)}[
          {_pick_sql("'42:' || CAST(p_partkey AS VARCHAR) || ':t'", 10)} + 1], '{{genre}}', genre),
@@ -1302,7 +1316,7 @@ def _comprehensive_doc(v, label):
         F.sequence(F.lit(0), F.lit(12)), lambda j: F.when(i == j, F.get(v, i + off) * F.get(v, i + off))
         .otherwise(F.lit(0.0))))
     ms = lambda i: F.struct(g(i).alias("mean"), sq(i + 1).alias("var"))
-    keys = F.array(*[F.lit(k) for k in ["c", "c#", "d", "d#", "e", "f", "f#", "g", "g#", "a", "a#", "b"]])
+    keys = F.array(*[F.lit(k) for k in J.CHROMATIC_SCALE])
     ll = [F.struct(F.slice(v, 1, 13).alias("mean"), diag(13).alias("cov")).alias("mfcc"),
           F.struct(F.slice(v, 21, 13).alias("mean"), diag(33).alias("cov")).alias("gfcc"),
           F.struct(g(26).alias("mean")).alias("spectral_centroid"),

@@ -93,7 +93,8 @@ def _race(sets: list[np.ndarray], m: int, restarts: int, salt: int, col: str):
 def _draw(data: DataFrame, sets: list[np.ndarray], m: int, restarts: int, salt: int, col: str) -> list[np.ndarray]:
     first = data.mapInPandas(_race(sets, m, restarts, salt, col), "r int, wait double, v array<double>").distinct()
     place = F.row_number().over(Window.partitionBy("r").orderBy("wait", "v"))
-    rows = first.withColumn("place", place).filter(F.col("place") <= m).orderBy("r", "place").collect()
+    rows = first.withColumn("place", place).filter(F.col("place") <= m).collect()  # m rows a restart
+    rows.sort(key=lambda row: (row["r"], row["place"]))
     return [np.array([row["v"] for row in rows if row["r"] == r], dtype=float) for r in range(restarts)]
 
 

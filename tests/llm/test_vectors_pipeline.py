@@ -52,6 +52,37 @@ def test_recall_on_the_given_table(spark):
     assert found >= 0.99 * near.sum() and all(got[i] <= n for (i, _), n in zip(rows, near.sum(axis=1)))
 
 
+@pytest.mark.parametrize("n", [10**4, 2 * 10**7, 10**9])
+def test_passes_keep_the_recall(n):
+    """Enough passes for every number of hashes, at every size; there is no cap."""
+    chance = 1 - np.arccos(0.9) / np.pi
+    for hashes in range(1, int(np.log2(n)) + 1):
+        assert 1 - (1 - chance ** hashes) ** vectors.passes_needed(0.9, hashes, 0.995) >= 0.995
+
+
+def test_recall_in_a_dense_cone(spark):
+    """50,000 vectors with a common mean direction, a part of them in a dense cone, with planted pairs just above the threshold."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((50_000, 64)) / 8
+    x[:, 0] += 1.2
+    x[:20_000, 1] += 0.6
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(0, 4000, 2):
+        y = rng.standard_normal(64)
+        y -= (y @ x[k]) * x[k]
+        x[k + 1] = 0.905 * x[k] + np.sqrt(1 - 0.905 ** 2) * y / np.linalg.norm(y)
+    want, own = np.zeros(len(x), int), np.arange(len(x))
+    for lo in range(0, len(x), 2000):
+        near = x[lo:lo + 2000] @ x.T >= 0.9
+        near[np.arange(len(near)), own[lo:lo + 2000]] = False
+        want[lo:lo + 2000] = near.sum(axis=1)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(16)
+    got = np.zeros(len(x), int)
+    for r in vectors.near_vectors(frame).select("vec_id", "n_links").collect():
+        got[r.vec_id] = r.n_links
+    assert want.sum() >= 4000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)

@@ -1,15 +1,17 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Each pass orders the vectors lexicographically by concatenated random hashes (the signs of random
-projections) and compares all vectors within windows of ``window`` consecutive places; the windows of
-a pass begin at a random offset.  Links found in any pass are united to components.  All passes are one
-global sort.  The number of passes follows from the table's size: a pair at the threshold agrees in
-one hash with a known chance, about log2(n / window) hashes tell windows apart, and passes are added
-until the pair is found with the chance ``recall``.
-
-A window passes on only links that connect something new.  The links of each vector are then counted
-within its component, where all of them lie, exhaustively in blocks; so groups larger than a window
-are counted whole.  That count costs the square of a group's size over the block size in rows.
+1. Equal vectors collapse to the smallest id.
+2. A few cheap passes order the vectors by concatenated random hashes (the signs of random projections) and link
+   within windows of ``window`` consecutive places.  They promise nothing; they only tell which vectors of large
+   dense groups are connected already.
+3. Each further pass deals the vectors to buckets by ``hashes`` signs, and every bucket is compared whole, one of more
+   than ``window`` vectors in all pairs of its blocks, except blocks of one group of step 2, which are connected.  A pair
+   at the threshold agrees in all signs of a pass with a chance that follows from its angle alone, so the number of
+   passes for the chance ``recall`` holds for every table, however large or skewed.  There is no cap on it.
+   ``hashes`` decides only the cost: it is chosen on the bucket sizes that a sample shows (with other planes).  No hash,
+   which is all pairs and exact, is the cheapest for small tables; dense cones take more hashes and passes.
+4. Links are united to components, and the links of each vector are counted within its component, where all of them
+   lie, exhaustively in blocks.  That count costs the square of a group's size over the block size in rows.
 
 Edge cases: vectors that are null, empty, zero or of another length than most, or hold null or non-finite components,
 link with nothing, as do rows without an id; of rows that share an id the smallest vector (in byte
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import buckets, components, cut_lineage, map_groups
 
 BITS = 48
+#: Window passes, and passes over the sample that plans the buckets.
+FIRST, SAMPLED = 4, 4
 
 
 def _units(batches):
@@ -52,21 +56,43 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows)).reshape(len(rows), -1)
 
 
-def _keys(passes: int, size: int, seed: int):
+def _keys(passes: int, bits: int, size: int, seed: int):
     def run(batches):
-        planes = np.random.default_rng(seed).standard_normal((size, passes * BITS))
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                if part.num_rows:
-                    signs = (_matrix(part.column(1)) @ planes > 0).reshape(part.num_rows, passes, BITS)
+                x, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                for first in range(0, passes if len(ids) else 0, 16):  # planes of 16 passes at a time: any number of passes fits in memory
+                    some = min(16, passes - first)
+                    planes = np.random.default_rng([seed, first]).standard_normal((size, some * bits))
+                    signs = (x @ planes > 0).reshape(len(ids), some, bits)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.tile(np.arange(passes, dtype=np.int32), part.num_rows)), pa.array((signs @ weights).ravel()),
-                        pa.array(np.repeat(part.column(0).to_numpy(), passes))], names=["pass", "key", "id"])
+                        pa.array(np.tile(np.arange(first, first + some, dtype=np.int32), len(ids))), pa.array((signs @ weights).ravel().astype(np.int64)),
+                        pa.array(np.repeat(ids, some))], names=["pass", "key", "id"])
     return run
 
 
+def passes_needed(least: float, hashes: int, recall: float) -> int:
+    """Passes in which a pair at the threshold agrees in all ``hashes`` signs at least once with the chance ``recall``."""
+    agree = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** hashes
+    return 1 if agree >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-agree))) if agree > 0 else 1 << 30
+
+
+def _hashes(units: DataFrame, n: int, width: int, least: float, window: int, recall: float, seed: int) -> int:
+    """The cheapest number of hashes, from the pairs that share key prefixes in a sample of about 20,000 vectors.
+    A vector's turn in a pass costs about ``window`` comparisons, a pair in a bucket two (its copy in a block included)."""
+    some = units.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // 20_000))) == 0)
+    keys = some.mapInArrow(_keys(SAMPLED, BITS, width, seed + 2), "pass int, key bigint, id bigint").select("pass", "key").toArrow()
+    tag, key = keys.column("pass").to_numpy(), keys.column("key").to_numpy()
+    m, best = max(1, len(key) // SAMPLED), (math.inf, 0)
+    for k in range(BITS + 1):
+        sizes = np.concatenate([np.unique(key[tag == t] >> (BITS - k), return_counts=True)[1] for t in range(SAMPLED)]).astype(float)
+        pairs = (sizes * (sizes - 1)).sum() / SAMPLED * (n / m) ** 2
+        best = min(best, (passes_needed(least, k, recall) * (n * window + 2 * pairs), k))
+    return best[1]
+
+
 def _numbered(batches):
     from pyspark import TaskContext
     part, at = TaskContext.get().partitionId(), 0
@@ -125,11 +151,24 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, window: int = 512, reca
     sizes = units.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     n, width = (sizes[0]["count"], sizes[0]["n"] // 8) if sizes else (0, 1)
     units = cut_lineage(units.where(F.length("v") == 8 * width))
-    hashes = max(1, math.ceil(math.log2(max(2.0, 2 * n / window))))
-    agree = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** hashes
-    passes = min(64, max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree)))) if agree < 1 else 4
-    parts = buckets(vectors)
-    ordered = units.mapInArrow(_keys(passes, width, seed), "pass int, key bigint, id bigint").repartitionByRange(parts, "pass", "key", "id")
+    reps = cut_lineage(units.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    equal = units.join(reps.select(F.col("id").alias("b"), "v"), "v").where("id <> b").select(F.col("id").alias("a"), "b")
+    near = cut_lineage(_window_pass_links(reps, buckets(vectors), width, least, window, seed))
+    hashes = _hashes(reps, n, width, least, window, recall, seed)
+    passes = passes_needed(least, hashes, recall)
+    rows = _bucket_rows(reps, components(near), passes, hashes, width, window, seed)
+    links = map_groups(rows.join(reps, "id"), "block", _window_links(least), "a bigint, b bigint")
+    groups = cut_lineage(components(links.unionByName(near).unionByName(equal).distinct()))
+    n_links = _counted(groups, units, least, window)
+    out = own.select("vec_id").join(groups.withColumnRenamed("vertex", "vec_id"), "vec_id", "left")
+    out = out.join(n_links, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                                                     F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _window_pass_links(units: DataFrame, parts: int, width: int, least: float, window: int, seed: int) -> DataFrame:
+    """Links within windows of the sorted keys; the windows of a pass begin at a random offset."""
+    ordered = units.mapInArrow(_keys(FIRST, BITS, width, seed), "pass int, key bigint, id bigint").repartitionByRange(parts, "pass", "key", "id")
     ordered = ordered.sortWithinPartitions("pass", "key", "id").select("pass", "id")
     ordered = cut_lineage(ordered.mapInArrow(_numbered, "part int, pos bigint, pass int, id bigint"))
     counts = dict(ordered.groupBy("part").agg(F.max("pos") + 1).collect())  # one number for each partition
@@ -138,16 +177,30 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, window: int = 512, reca
         before.append(at)
         at += counts.get(p, 0)
     rng = np.random.default_rng(seed + 1)
-    shift = [int(x) for x in rng.integers(0, window, passes)]
+    shift = [int(x) for x in rng.integers(0, window, FIRST)]
     place = F.col("pos") + F.get(F.lit(before or [0]).cast("array<bigint>"), F.col("part")) + F.get(F.lit(shift).cast("array<bigint>"), F.col("pass"))
     placed = ordered.select("id", F.xxhash64("pass", F.floor(place / window)).alias("block"))
-    links = map_groups(placed.join(units, "id"), "block", _window_links(least), "a bigint, b bigint")
-    groups = cut_lineage(components(links.distinct()))
-    n_links = _counted(groups, units, least, window)
-    out = own.select("vec_id").join(groups.withColumnRenamed("vertex", "vec_id"), "vec_id", "left")
-    out = out.join(n_links, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                                                     F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return map_groups(placed.join(units, "id"), "block", _window_links(least), "a bigint, b bigint")
+
+
+def _bucket_rows(units: DataFrame, groups: DataFrame, passes: int, hashes: int, width: int, window: int, seed: int) -> DataFrame:
+    """``id`` and ``block``: each pair of a bucket shares a block, unless known ``groups`` connect it already.
+    Members of one group that fill more than a window of a bucket get blocks of their own."""
+    keyed = units.mapInArrow(_keys(passes, hashes, width, seed + 3), "pass int, key bigint, id bigint").select(
+        F.xxhash64("pass", "key").alias("bucket"), "id")
+    large = groups.groupBy("component_id").agg(F.count("*").alias("m")).where(F.col("m") > window).select("component_id")
+    large = groups.join(large, "component_id").select(F.col("vertex").alias("id"), F.col("component_id").alias("grp"))
+    keyed = cut_lineage(keyed.join(large, "id", "left"))
+    parts = keyed.groupBy("bucket", "grp").agg(F.count("*").alias("m"))
+    parts = parts.withColumn("grp", F.when(F.col("m") > window, F.col("grp"))).groupBy("bucket", "grp").agg(F.sum("m").alias("m"))
+    parts = parts.groupBy("bucket").agg(F.sum("m").alias("m"), F.collect_list(F.struct(
+        "grp", F.ceil(F.col("m") / window).cast("int").alias("n"))).alias("parts")).where("m > 1").drop("m")
+    rows = keyed.join(parts, "bucket").withColumn("grp", F.expr("CASE WHEN exists(parts, p -> p.grp = grp) THEN grp END"))
+    rows = rows.withColumn("own", F.expr("xxhash64(grp, pmod(xxhash64(id), filter(parts, p -> p.grp <=> grp)[0].n))"))
+    rows = rows.select("bucket", "id", "grp", "own", F.explode(F.expr(
+        "flatten(transform(parts, p -> transform(sequence(0L, p.n - 1L), s -> struct(p.grp AS grp, xxhash64(p.grp, s) AS block))))")).alias("o"))
+    rows = rows.where(F.col("grp").isNull() | F.col("o.grp").isNull() | (F.col("grp") != F.col("o.grp")))
+    return rows.select("id", F.xxhash64("bucket", F.least("own", "o.block"), F.greatest("own", "o.block")).alias("block"))
 
 
 def _counted(groups: DataFrame, units: DataFrame, least: float, window: int) -> DataFrame:

@@ -163,6 +163,14 @@ def test_quality(spark, awkward, nothing):
     assert np.allclose(quality.train(docs.repartition(5), labels)[0], model[0])
 
 
+def test_quality_features_count_every_word():
+    """A long text whose period divides a stride, and one whose only signs stand between strides."""
+    by_name = dict(zip(quality.FEATURES, quality.features("WORD! plain plain plain " * 20_000)))
+    assert [by_name[k] for k in ("sign_words", "upper_words", "tail_signs")] == [0.0, 0.25, 0.25]
+    by_name = dict(zip(quality.FEATURES, quality.features("plain " * 7_001 + "a#b " + "plain " * 998)))
+    assert by_name["sign_words"] == 1 / 8_000
+
+
 def test_toxicity(spark, awkward, nothing):
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " moro": 4.0}, (" no idiot ",))
     assert toxicity.fold("1d10t! MОRОN​$$$ 3.5") == " 1diot moron 3 5 "

@@ -166,7 +166,7 @@ def test_quality(spark, awkward, nothing):
 def test_quality_features_count_every_word():
     """A long text whose period divides a stride, and one whose only signs stand between strides."""
     by_name = dict(zip(quality.FEATURES, quality.features("WORD! plain plain plain " * 20_000)))
-    assert [by_name[k] for k in ("sign_words", "upper_words", "tail_signs")] == [0.0, 0.25, 0.25]
+    assert [by_name[k] for k in ("sign_words", "upper_words", "tail_signs")] == [0.25, 0.25, 0.25]
     by_name = dict(zip(quality.FEATURES, quality.features("plain " * 7_001 + "a#b " + "plain " * 998)))
     assert by_name["sign_words"] == 1 / 8_000
 
@@ -236,6 +236,26 @@ def test_near_duplicates(spark, monkeypatch, levels):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_a_templated_family(spark):
+    """Pages of one template, unlinked at about 0.79, with planted pairs just above the threshold: a family far larger than a node."""
+    fresh = iter(range(10**6))
+    words = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    template, rows = words(156), []
+    for k in range(200):
+        page = words(20) + template
+        rows += [(2 * k, " ".join(page)), (2 * k + 1, " ".join(words(13) + page[13:]))]
+    got = setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=20).collect()
+    want = brute_groups(rows)
+    assert len({low for _, low in want.values()}) == 200
+    assert sum((r.n_shingles, r.component_id) == want[r.doc_id] for r in got) >= 399
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.7, 0.8, 0.85, 0.95])
+def test_trees_keep_the_recall(similarity):
+    trees, depth = setjoin._shape(similarity, 0.999, 4)
+    assert trees * depth <= setjoin.COORDS and 1 - (1 - similarity ** depth) ** trees >= 0.999
+
+
 def test_near_duplicates_awkward(spark, awkward, nothing):
     got = setjoin.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()

@@ -2,21 +2,20 @@
 
 1. Each document gets its set of distinct word shingles (64-bit hashes), a 128-bit fingerprint of the
    set and a signature of minwise tokens.  Documents with equal sets collapse to the smallest id.
-2. Each of several independent trees sends a document to the node of its minwise token at a chosen
-   coordinate.  A node with more than ``leaf`` documents branches again by further coordinates,
-   ``1 / similarity`` of them in expectation (chosen by a hash of the path), so that a similar pair
-   keeps a path however deep the tree gets.
+2. Each of several independent trees sends a document to the node of its minwise token at a coordinate of the tree's
+   own.  A node with more than ``leaf`` documents is split by the tree's further coordinates, ``levels`` at most.  No
+   coordinate serves twice, so a pair at the threshold shares a node of a tree with the chance similarity ** levels
+   at least, and the number of trees for the chance ``recall`` follows from that.
 3. Nodes of at most ``leaf`` documents are compared exhaustively: on the signatures, which leaves the parts that
    come near the threshold (mostly the same in every tree, and then taken once), and these on the full sets; a node passes on only
    links that connect something new, so a node of n documents gives fewer than n links.
    Levels are taken STEP at a time, to need few jobs; a node counts only if the one above is too large.
-4. A node that is still too large at the last level (documents that agree in every chosen token) is
-   compared with its smallest document in slices; where that leaves several components, all pairs of
-   its slices are compared.  No candidate is dropped anywhere.
+4. A node that is still too large at the last level (a family of near copies, or of pages from one template) is
+   compared with its smallest document in slices; where that leaves several components, all pairs of its slices are
+   compared like nodes, except slices of one component.  That costs the square of such a node's unconnected part.
 5. Connected components over the links give the groups.
 
-Trees needed for a target recall follow from the chance that a pair at the threshold keeps a path of
-``levels`` choices.  Edge cases: null or empty texts have an empty set and stay alone; a text shorter
+Edge cases: null or empty texts have an empty set and stay alone; a text shorter
 than a shingle is one shingle; rows without an id link with nothing (``component_id`` null, kept);
 repeated rows are judged one by one and give a row each.
 """
@@ -34,7 +33,7 @@ from tokenloom.llm import hashing as H
 from tokenloom.llm.common import buckets, components, cut_lineage, map_groups, released, small_batches
 
 COORDS = 64
-LEVELS = 21
+LEVELS = 4  # at most
 STEP = 4
 _A = (H.mix64(np.arange(1, COORDS + 1, dtype=H.U64)) >> H.U64(32)).astype(np.uint32) | np.uint32(1)
 _B = H.mix64(np.arange(1001, COORDS + 1001, dtype=H.U64)).astype(np.uint32)
@@ -92,16 +91,26 @@ def _full_sets(lower: bool, width: int):
     return run
 
 
-def _roots(trees: int):
-    """The first node of each tree: by the minwise token at the tree's own coordinate."""
+def _shape(similarity: float, recall: float, levels: int) -> tuple[int, int]:
+    """Trees and levels: as many levels as leave each level of each tree a coordinate of its own."""
+    for depth in range(min(levels, LEVELS), 0, -1):
+        keep = similarity ** depth
+        trees = math.ceil(math.log(1 - recall) / math.log1p(-keep)) if keep < 1 else 1
+        if trees * depth <= COORDS:
+            return trees, depth
+    return COORDS, 1
+
+
+def _roots(trees: int, depth: int):
+    """The first node of each tree: by the minwise token at the tree's first coordinate."""
     def run(batches):
-        coords = np.arange(trees) * (COORDS // trees)
         salt = H.mix64(np.arange(1, trees + 1, dtype=H.U64))
         for batch in batches:
             ids = np.repeat(batch.column(0).to_numpy(), trees)
-            tokens = _matrix(batch.column(1))[:, coords]
+            tokens = _matrix(batch.column(1))[:, np.arange(trees) * depth]
             nodes = H.mix64(tokens.astype(H.U64) * H.U64(0x9E3779B97F4A7C15) + salt)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(ids)], names=["node", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(ids), pa.array(
+                np.tile(np.arange(trees, dtype=np.int32), batch.num_rows))], names=["node", "id", "tree"])
     return run
 
 
@@ -110,26 +119,17 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint32).reshape(len(rows), COORDS)
 
 
-def _branches(first: int, last: int, similarity: float):
-    """The nodes of the next levels, ``first`` to ``last``, with the node above each.  A node's path chooses one
-    coordinate, and a second one as often as keeps ``1 / similarity`` branches in expectation."""
-    more = 1 / similarity - 1
-
+def _branches(first: int, last: int, depth: int):
+    """The nodes of the next levels, ``first`` to ``last``, with the node above each: by the tree's next coordinates."""
     def run(batches):
         for batch in batches:
-            nodes, ids, tokens = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            row = np.arange(len(nodes))
+            nodes, ids, tree = batch.column(0).to_numpy().view(np.uint64), batch.column(1), batch.column(2)
+            tokens, row = _matrix(batch.column(3)), np.arange(batch.num_rows)
             for level in range(first, last + 1):
-                below = []
-                for k in range(1 + math.ceil(more)):
-                    dice = H.mix64(nodes + H.U64(7919 * level + 104729 * k + 1))
-                    use = np.ones(len(nodes), bool) if k == 0 else (dice >> H.U64(11)).astype(float) / 2.0**53 < more - (k - 1)
-                    dice, above, at = dice[use], nodes[use], row[use]
-                    chosen = tokens[at, (H.mix64(dice) % H.U64(COORDS)).astype(np.int64)].astype(H.U64)
-                    below.append((H.mix64(H.mix64(above ^ dice) + chosen * H.U64(0x9E3779B97F4A7C15)), above, at))
-                nodes, above, row = (np.concatenate(x) for x in zip(*below))
+                chosen = tokens[row, tree.to_numpy() * depth + level - 1].astype(H.U64)
+                above, nodes = nodes, H.mix64(H.mix64(nodes + H.U64(level)) + chosen * H.U64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(above.view(np.int64)), pa.array(
-                    np.full(len(row), level, np.int32)), pa.array(ids[row])], names=["node", "above", "level", "id"])
+                    np.full(len(row), level, np.int32)), ids, tree], names=["node", "above", "level", "id", "tree"])
     return run
 
 
@@ -235,10 +235,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: b
     return _joined(own, signed, classes, reps.select("id", "tokens"), percent, width, lower, leaf, recall, levels)
 
 
+def _narrowed(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The parts of the nodes (``ids``, ``star``) that come near the threshold, each once."""
+    rows = _members(nodes).join(reps, "id").select("node", "star", "id", "tokens")
+    return cut_lineage(map_groups(rows, "node", _alike(percent), "ids array<bigint>, star boolean").distinct())
+
+
+def _slice_pairs(placed: DataFrame, leaf: int) -> DataFrame:
+    """All pairs of slices of each node (``node``, ``id``, ``group``), except those of one connected group.
+    Groups that fill more than a slice get slices of their own."""
+    sized = placed.groupBy("node", "group").agg(F.count("*").alias("m")).withColumn("own", F.when(F.col("m") * 4 > leaf, F.col("group")))
+    total = sized.groupBy("node", "own").agg(F.sum("m").alias("m")).select(
+        "node", "own", F.ceil(F.col("m") * 4 / leaf).cast("bigint").alias("slices"))
+    dealt = placed.join(sized.drop("m"), ["node", "group"]).alias("d").join(
+        total.alias("t"), (F.col("d.node") == F.col("t.node")) & F.col("d.own").eqNullSafe(F.col("t.own")))
+    parts = cut_lineage(dealt.select("d.node", "d.own", "id", F.xxhash64("d.own", F.pmod(F.xxhash64("id"), "slices")).alias("slice")).groupBy(
+        "node", "own", "slice").agg(F.collect_list("id").alias("ids")))
+    other = parts.select("node", F.col("own").alias("own2"), F.col("slice").alias("slice2"), F.col("ids").alias("ids2"))
+    return parts.join(other, "node").where("slice <= slice2 AND (own IS NULL OR own2 IS NULL OR own <> own2)").select(
+        F.sort_array(F.array_union("ids", "ids2")).alias("ids"), F.lit(False).alias("star"))
+
+
 def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, levels) -> DataFrame:
-    keep_path = (percent / 100) ** levels
-    trees = min(COORDS, math.ceil(math.log(1 - recall) / math.log(1 - keep_path)))
-    rows = reps.mapInArrow(released(_roots(trees)), "node bigint, id bigint").selectExpr("node", "0L AS above", "1 AS level", "id")
+    trees, depth = _shape(percent / 100, recall, levels)
+    rows = reps.mapInArrow(released(_roots(trees, depth)), "node bigint, id bigint, tree int").selectExpr(
+        "node", "0L AS above", "1 AS level", "id", "tree")
     first, last, leaves, large = 1, 1, [], None
     while True:
         rows = cut_lineage(rows)
@@ -253,12 +274,12 @@ def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, lev
         if big.isEmpty():
             large = None
             break
-        large = rows.join(big, "node").select("node", "id")
-        if last >= LEVELS:
+        large = rows.join(big, "node").select("node", "id", "tree")
+        if last >= depth:
             break
-        first, last = last + 1, min(last + STEP, LEVELS)
-        rows = large.join(reps, "id").select("node", "id", "tokens").mapInArrow(
-            released(_branches(first, last, percent / 100)), "node bigint, above bigint, level int, id bigint")
+        first, last = last + 1, min(last + STEP, depth)
+        rows = large.join(reps, "id").select("node", "id", "tree", "tokens").mapInArrow(
+            released(_branches(first, last, depth)), "node bigint, above bigint, level int, id bigint, tree int")
     rest = None
     if large is not None:  # too large at the last level: with the smallest id, in slices
         first = large.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("m"))
@@ -269,20 +290,16 @@ def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, lev
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
-    nodes = _members(nodes.distinct()).join(reps, "id").select("node", "star", "id", "tokens")
-    nodes = cut_lineage(map_groups(nodes, "node", _alike(percent), "ids array<bigint>, star boolean").distinct())
+    nodes = _narrowed(nodes.distinct(), reps, percent)
     links = cut_lineage(_compared(nodes, own, lower, width, percent).distinct())
     groups = components(links)
     if rest is not None:
         placed = rest.join(groups.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
             "group", F.coalesce("component_id", "id"))
         several = placed.groupBy("node").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("node")
-        parts = placed.join(several, "node").groupBy("node", "slice").agg(F.collect_list("id").alias("ids"))
-        other = parts.select("node", F.col("slice").alias("slice2"), F.col("ids").alias("ids2"))
-        blocks = parts.join(other, "node").where("slice <= slice2").select(
-            F.sort_array(F.array_union("ids", "ids2")).alias("ids"), F.lit(False).alias("star"))
         if not several.isEmpty():
-            groups = components(links.unionByName(_compared(cut_lineage(blocks), own, lower, width, percent)))
+            blocks = _narrowed(_slice_pairs(placed.join(several, "node").select("node", "id", "group"), leaf), reps, percent)
+            groups = components(links.unionByName(_compared(blocks, own, lower, width, percent)))
     ids = classes.select("print", F.col("id").alias("_rep")).join(
         groups.withColumnRenamed("vertex", "_rep"), "_rep", "left").select(
         "print", F.coalesce("component_id", "_rep").alias("component_id"))

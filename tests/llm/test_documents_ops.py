@@ -250,6 +250,20 @@ def test_near_duplicates_in_a_templated_family(spark):
     assert sum((r.n_shingles, r.component_id) == want[r.doc_id] for r in got) >= 399
 
 
+@pytest.mark.parametrize("others", [10, 80])
+def test_linked_pairs_looks_at_every_pair(others):
+    """A pair above the threshold whose signatures agree far below it, in small and large groups."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: np.unique(rng.integers(1, 2**63, n, dtype=np.uint64))
+    a = draw(200)
+    held = Counter(np.array([setjoin.signature(a[k:k + 1]) for k in range(200)]).argmin(axis=0).tolist())
+    gone = [k for k, _ in held.most_common(15)]
+    b = np.sort(np.concatenate([np.delete(a, gone), draw(15)]))
+    assert (setjoin.signature(a) == setjoin.signature(b)).mean() < 0.85 - 4 * (0.85 * 0.15 / 64) ** 0.5
+    sets = [draw(200) for _ in range(others)] + [a, b]
+    assert list(setjoin.linked_pairs(sets, 85)) == [(others, others + 1)]
+
+
 @pytest.mark.parametrize("similarity", [0.3, 0.5, 0.7, 0.8, 0.85, 0.95])
 def test_trees_keep_the_recall(similarity):
     trees, depth = setjoin._shape(similarity, 0.999, 4)

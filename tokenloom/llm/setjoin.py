@@ -6,9 +6,10 @@
    own.  A node with more than ``leaf`` documents is split by the tree's further coordinates, ``levels`` at most.  No
    coordinate serves twice, so a pair at the threshold shares a node of a tree with the chance similarity ** levels
    at least, and the number of trees for the chance ``recall`` follows from that.
-3. Nodes of at most ``leaf`` documents are compared exhaustively: on the signatures, which leaves the parts that
-   come near the threshold (mostly the same in every tree, and then taken once), and these on the full sets; a node passes on only
-   links that connect something new, so a node of n documents gives fewer than n links.
+3. Nodes of at most ``leaf`` documents are first narrowed on the signatures, to the parts connected by pairs that come
+   within six standard deviations of the threshold (mostly the same in every tree, and then taken once; a pair at the
+   threshold falls below that about once in ten million).  Within a part all pairs not connected yet are compared on the
+   full sets; a part passes on only links that connect something new, so n documents give fewer than n links.
    Levels are taken STEP at a time, to need few jobs; a node counts only if the one above is too large.
 4. A node that is still too large at the last level (a family of near copies, or of pages from one template) is
    compared with its smallest document in slices; where that leaves several components, all pairs of its slices are
@@ -150,19 +151,15 @@ def linked_pairs(sets: list[np.ndarray], percent: int, star: bool = False):
     """Pairs (i, j) with intersection / union of at least ``percent`` %, fewer than ``len(sets)`` of them,
     that connect everything that such pairs connect.  With ``star``: pairs with the first set only.
 
-    Above 64 sets, pairs whose signatures agree far less than the threshold (four standard deviations)
-    are not looked at in full."""
+    Above 64 sets, signatures put the likely pairs first; every pair not connected yet is looked at in full."""
     m, sizes = len(sets), np.array([len(s) for s in sets])
-    forest, need = _Forest(m), percent / 100
-    least = need - 4 * math.sqrt(need * (1 - need) / COORDS) if m > 64 else 0.0
-    tokens = np.array([signature(s) for s in sets]) if least else None
+    forest = _Forest(m)
+    tokens = np.array([signature(s) for s in sets]) if m > 64 else None
     for i in range(1 if star else m - 1):
         rest = np.arange(i + 1, m)
         rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
-        if least and len(rest):
-            agree = (tokens[rest] == tokens[i]).mean(axis=1)
-            rest = rest[agree >= least]
-            rest = rest[np.argsort(-agree[agree >= least], kind="stable")]
+        if tokens is not None and len(rest):
+            rest = rest[np.argsort(-(tokens[rest] == tokens[i]).sum(axis=1), kind="stable")]
         for j in rest.tolist():
             if forest.root(i) != forest.root(j):
                 both = np.intersect1d(sets[i], sets[j], assume_unique=True).size

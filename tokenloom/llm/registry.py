@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import licenses, periods, pii, quality, secrets, toxicity, vectors
+from tokenloom.llm import conversations, licenses, periods, pii, quality, secrets, toxicity, vectors
 from tokenloom.llm.common import shared_path, table
 
 #: Key of the registered queries; a deployment passes its own.
@@ -164,4 +164,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.periodic_runs(docs))
 
 
+@query("op13_conversation_repair", conversations.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digests(*conversations.repair(rows, "present"))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL", "F"]

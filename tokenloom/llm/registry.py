@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import conversations, licenses, periods, pii, quality, secrets, toxicity, vectors
+from tokenloom.llm import conversations, languages, licenses, periods, pii, quality, secrets, toxicity, vectors
 from tokenloom.llm.common import shared_path, table
 
 #: Key of the registered queries; a deployment passes its own.
@@ -158,6 +158,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), read_vocabulary(), digest=True)
 
 
+@query("op11_language_mixture")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages.identify(docs, languages.learn(docs))
+
+
 @query("op12_periodic_runs", periods.ORACLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periods.planted(table(spark, sf_dir, "documents"))

@@ -102,6 +102,54 @@ def test_pii(spark, awkward, nothing):
     assert pii.pseudonymize(nothing, "k").count() == 0
 
 
+@pytest.mark.parametrize("form", ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y"])
+def test_every_day_of_a_century_comes_back(spark, form):
+    import datetime
+    days = [datetime.date(1950, 1, 1) + datetime.timedelta(k) for k in range(36_525)]
+    if form == "%d/%m/%Y":
+        days = [d for d in days if d.day > 12]  # others read month first
+    texts = [d.strftime(form) for d in days]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    out = pii.pseudonymize(frame, "key")
+    new = dict(out.select("doc_id", "text").collect())
+    assert len(set(new.values())) == len(days) and sum(new[k] == t for k, t in enumerate(texts)) < 10
+    assert out.where("n_date <> 1").count() == 0
+    assert dict(pii.pseudonymize(out.select("doc_id", "text"), "key", reverse=True).select("doc_id", "text").collect()) == dict(enumerate(texts))
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_ibans_phones_and_cards_of_all_forms(spark):
+    ibans = ["GB82WEST12345698765432", "NL91ABNA0417164300", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "ES9121000418450200051332",
+             "PL61109010140000071219812874", "HU42117730161111101800000000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    other = ["(017) 555-7713", "017-555-7713", "017.555.7713", "+49 170 555 7713", "3782 822463 10005", "378282246310005"]
+    left = ["GB83WEST12345698765432", "0175557713", "1-017-555-7713", "017-5557713", "10.017.555.7713", "3782 822463 10006"]
+    texts = [*ibans, *other, *left]
+    frame = spark.createDataFrame([(k, f"a {t}, b") for k, t in enumerate(texts)], "doc_id long, text string")
+    out = pii.pseudonymize(frame, "key").orderBy("doc_id").collect()
+    for r, t in zip(out, texts):
+        shape = re.sub("[A-Z]", "A", re.sub("[0-9]", "0", f"a {t}, b"))
+        assert re.sub("[A-Z]", "A", re.sub("[0-9]", "0", r.text)) == shape
+        assert (r.text == f"a {t}, b") == (t in left), t
+    for r, t in zip(out, ibans):
+        assert r.n_iban == 1 and r.text[2:4] == t[:2] and mod97(r.text[2:-3].replace(" ", "")) == 1
+    assert out[0].text[2:-3] == out[8].text[2:-3].replace(" ", "")  # one account, written in two ways
+    assert out[5].text[-9:-3] != "812874"
+    assert [r.n_phone for r in out[9:13]] == [1] * 4 and [r.n_card for r in out[13:15]] == [1, 1]
+    again = spark.createDataFrame([(r.doc_id, r.text) for r in out], "doc_id long, text string")
+    assert [r.text for r in pii.pseudonymize(again, "key", reverse=True).orderBy("doc_id").collect()] == [f"a {t}, b" for t in texts]
+
+
+def test_key_and_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "4111111111111111", "x", "y", 7)], "doc_id long, text string, found string, secret string, n_card int")
+    out = pii.pseudonymize(frame, "sesame-open")
+    assert "sesame" not in out._jdf.queryExecution().toString()
+    row = out.first()
+    assert (row.found, row.secret, row.n_card) == ("x", "y", 1) and row.text != "4111111111111111"
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))

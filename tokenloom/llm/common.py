@@ -23,6 +23,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame lacks (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -116,4 +124,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return star.select(F.col("a").alias("vertex"), "component_id").unionByName(roots)
 
 
-__all__ = ["table", "shared_path", "buckets", "small_batches", "released", "groups", "map_groups", "components", "cut_lineage", "StorageLevel"]
+__all__ = ["table", "shared_path", "unused", "buckets", "small_batches", "released", "groups", "map_groups", "components", "cut_lineage", "StorageLevel"]

@@ -1,6 +1,8 @@
 """Document operators against brute force, on awkward rows, and on empty tables."""
 import hashlib
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -211,6 +213,29 @@ def test_quality(spark, awkward, nothing):
     assert np.allclose(quality.train(docs.repartition(5), labels)[0], model[0])
 
 
+def test_quality_against_plain_scoring(spark):
+    """The whole table's scores from the trained weights, feature by feature, and the weights as the loss's minimum."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    w, mean, dev, cut = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.score(docs, (w, mean, dev, cut)).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for i, t in texts.items():
+        z = np.clip((np.array(quality.features(t)) - mean) / dev, -8, 8)
+        want = 1 / (1 + np.exp(-(z @ w - cut + np.log(0.3 / 0.7))))
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].predicted == (want >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+    rows = [(texts[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 5]
+    z = np.clip((np.array([quality.features(t) for t, _ in rows]) - mean) / dev, -8, 8)
+    good, bad = z[[q == 1 for _, q in rows]], z[[q == 0 for _, q in rows]]
+
+    def loss(v):  # over all pairs; the fit draws some of them
+        return np.logaddexp(0, -((good @ v)[:, None] - (bad @ v)[None, :])).mean() + 0.5e-3 * v @ v
+    rng = np.random.default_rng(1)
+    assert all(loss(w) < loss(w + 0.3 * d / np.linalg.norm(d)) for d in rng.standard_normal((50, len(w))))
+    assert np.mean((z @ w < cut) == [q == 0 for _, q in rows]) > 0.97
+
+
 def test_quality_features_count_every_word():
     """A long text whose period divides a stride, and one whose only signs stand between strides."""
     by_name = dict(zip(quality.FEATURES, quality.features("WORD! plain plain plain " * 20_000)))
@@ -219,11 +244,30 @@ def test_quality_features_count_every_word():
     assert by_name["sign_words"] == 1 / 8_000
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_lexicon_hits_against_every_position(seed):
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("ab"), rng.integers(1, 4)))
+    terms = {f" {word()}{' ' if rng.random() < 0.5 else ''}": float(rng.integers(1, 9)) for _ in range(5)}
+    phrases = {f" {word()} {word()} " for _ in range(3)} | {f" {word()} "}
+    lexicon = toxicity.Lexicon(terms, tuple(phrases - terms.keys()))
+    text = toxicity.fold(" ".join(word() for _ in range(60)))
+    free = [(k, k + len(p)) for p in lexicon.exceptions for k in range(len(text)) if text.startswith(p, k)]
+    want = [(k, k + len(t), w, t) for t, w in terms.items() for k in range(len(text)) if text.startswith(t, k)
+            and not any(s <= k and k + len(t) <= e for s, e in free)]
+    assert sorted(lexicon.hits(text)) == sorted(want)
+    best = {k: max(w for j, _, w, _ in want if j == k) for k, *_ in want}
+    assert toxicity.measures(lexicon, text) == (pytest.approx(np.log1p(sum(best.values()))), pytest.approx(np.log1p(60)))
+
+
 def test_toxicity(spark, awkward, nothing):
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " moro": 4.0}, (" no idiot ",))
     assert toxicity.fold("1d10t! MОRОN​$$$ 3.5") == " 1diot moron 3 5 "
     assert [t for *_, t in lexicon.hits(toxicity.fold("an id1ot, moronic idiots"))] == [" idiot ", " moro"]
     assert lexicon.hits(toxicity.fold("no idiot here")) == []
+    many = toxicity.fold("no idiot idiot " * 30_000)  # each hit looks at one span
+    began = time.time()
+    assert len(lexicon.hits(many)) == 30_000 and time.time() - began < 5
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     learned = toxicity.learn(docs, labels)
@@ -327,6 +371,24 @@ def test_near_duplicates_awkward(spark, awkward, nothing):
     assert setjoin.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_under_repeated_ids(spark):
+    """One id with several texts: each text is joined as its own, and unites nothing."""
+    a, b = near_copies(12, 5), near_copies(12, 6)
+    for first, second in ((a, b), (b, a)):
+        rows = [(7, first[0][1]), (7, second[0][1]), (7, first[0][1])]
+        rows += [(10 + k, t) for k, (_, t) in enumerate(first)] + [(40 + k, t) for k, (_, t) in enumerate(second)] + [(3, second[1][1])]
+        want = brute_groups(enumerate(t for _, t in rows))
+        low = {}
+        for k, (i, _) in enumerate(rows):
+            low[want[k][1]] = min(i, low.get(want[k][1], i))
+        got = setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), digest=True)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(
+            (i, want[k][0], low[want[k][1]]) for k, (i, _) in enumerate(rows))
+        assert got.select("digest").distinct().count() == len({t for _, t in rows})
+    with pytest.raises(ValueError):
+        setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=5)
+
+
 # ---- secrets ------------------------------------------------------------------------------------------
 
 def test_secrets(spark, awkward, nothing):
@@ -352,6 +414,32 @@ def test_secrets(spark, awkward, nothing):
     assert (rows[0].n_assign, rows[0].n_hex, rows[0].base_sha256, rows[0].spans) == (1, 0, sha("assign:2:18"), "assign:2:18")
 
 
+def brute_secrets(t):
+    """The base kinds by their definition, over the whole text."""
+    assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    own = [(m.start(), 0, m.end(), "assign") for m in re.finditer(assign, t) if len(m.group(2)) >= 8]
+    own += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16]
+    own += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 32]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(own)]
+
+
+def test_secrets_of_the_whole_table_in_two_runs(spark):
+    """The ledger filled by a third of the rows first, then by all: the second run scans only what is new."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    path = shared_path(spark, "ledger-test")
+    secrets.scan_versions(docs.where("doc_id % 3 = 0"), path).count()
+    half = secrets.ledger(spark, path).count()
+    got = {r.doc_id: r for r in secrets.digests(secrets.scan_versions(docs, path)).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert secrets.ledger(spark, path).count() == len(set(texts.values())) > half == len({t for i, t in texts.items() if i % 3 == 0})
+    assert sum(len(brute_secrets(t)) for t in texts.values()) > 100
+    for i, t in texts.items():
+        base = brute_secrets(t)
+        assert got[i].base_sha256 == sha(",".join(base))
+        assert [got[i][f"n_{k}"] for k in secrets.BASE] == [sum(x.startswith(k) for x in base) for k in secrets.BASE]
+        assert [x for x in got[i].spans.split(",") if x.split(":")[0] in secrets.BASE] == base
+
+
 # ---- substring deduplication -------------------------------------------------------------------------------
 
 def brute_substrings(rows, window):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import hashing as H
-from tokenloom.llm.common import buckets, released
+from tokenloom.llm.common import buckets, released, unused
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 _TABLES: dict[str, object] = {}
@@ -191,7 +191,7 @@ def _pack(blocks: int):
 
 def _texts(rows: pa.Table, voc: Vocabulary, most: int = 1_000_000):
     """Successive (first row, number of rows, segments, row of each segment) of bounded size."""
-    texts = rows.column("_text").to_pylist()
+    texts = rows.column(rows.num_columns - 1).to_pylist()
     first, held, row, size = 0, [], [], 0
     for k, t in enumerate(texts):
         if held and size + len(t or "") > most:
@@ -352,7 +352,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple
     added = [StructField("n_tokens", LongType())] + (
         [StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())] if digest
         else [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    own = docs.select(*keep, F.col(text_col).alias("_text"))
+    own = docs.select(*keep, F.col(text_col).alias(unused(docs, "text")))  # the text stands last
     out = StructType(own.schema.fields[:-1] + added)
     voc, n = Vocabulary(vocabulary), buckets(docs)
     packed = own.mapInArrow(released(_pack(n)), "block int, rows binary").repartition(n, "block")

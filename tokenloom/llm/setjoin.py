@@ -1,7 +1,8 @@
 """Near-duplicate documents: chosen-path set similarity join on word shingles.
 
 1. Each document gets its set of distinct word shingles (64-bit hashes), a 128-bit fingerprint of the
-   set and a signature of minwise tokens.  Documents with equal sets collapse to the smallest id.
+   set and a signature of minwise tokens.  Documents with equal sets are one class, numbered by the fingerprint's first
+   half; classes, not ids, are joined, and the smallest id of each component is looked up at the end.
 2. Each of several independent trees sends a document to the node of its minwise token at a coordinate of the tree's
    own.  A node with more than ``leaf`` documents is split by the tree's further coordinates, ``levels`` at most.  No
    coordinate serves twice, so a pair at the threshold shares a node of a tree with the chance similarity ** levels
@@ -18,7 +19,8 @@
 
 Edge cases: null or empty texts have an empty set and stay alone; a text shorter
 than a shingle is one shingle; rows without an id link with nothing (``component_id`` null, kept);
-repeated rows are judged one by one and give a row each.
+repeated rows are judged one by one by their own text and give a row each, also where one id stands for several texts (such
+an id doesn't unite their groups).  A similarity too low to be found with the chance ``recall`` raises a ValueError.
 """
 
 from __future__ import annotations
@@ -49,11 +51,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(lower: bool, width: int, batch: pa.RecordBatch):
-    for ids, texts in H.chunks(batch):
+    for ids, texts, digests in H.chunks(batch, columns=3):
         words, counts = H.hashed_words(texts, lower)
         at = 0
-        for i, n in zip(ids, counts.tolist()):
-            yield i, H.shingle_set(words[at:at + n], width)
+        for i, n, digest in zip(ids, counts.tolist(), digests):
+            yield i, H.shingle_set(words[at:at + n], width), digest
             at += n
 
 
@@ -63,28 +65,37 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
     return a.tobytes() + b.tobytes()
 
 
+def _number(fingerprint: bytes) -> int:
+    return int.from_bytes(fingerprint[:8], "little", signed=True)
+
+
 def _signatures(lower: bool, width: int):
     def run(batches):
         for batch in batches:
-            out = [(i, len(s), _fingerprint(s) if len(s) else None, signature(s).tobytes() if len(s) else None)
-                   for i, s in _sets(lower, width, batch)]
-            ids, n, prints, tokens = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(
-                prints, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "print", "tokens"])
+            out = []
+            for i, s, digest in _sets(lower, width, batch):
+                own = _fingerprint(s) if len(s) else None
+                out.append((i, len(s), own, _number(own) if own else None, signature(s).tobytes() if own else None, digest))
+            types = pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()
+            columns = zip(*out) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n", "print", "id", "tokens", "digest"])
     return run
 
 
 def _full_sets(lower: bool, width: int):
-    """The set of each document, once for each node that it is in."""
+    """The set of each class's document, once for each node that it is in.  An id's other texts and repeated rows are left out."""
     def run(batches):
+        done = set()
         for batch in batches:
             for ids, texts, nodes, stars in H.chunks(batch, columns=4):
                 words, counts = H.hashed_words(texts, lower)
                 at, out = 0, []
                 for i, n, own, star in zip(ids, counts.tolist(), nodes, stars):
-                    held = H.shingle_set(words[at:at + n], width).tobytes()
+                    held = H.shingle_set(words[at:at + n], width)
                     at += n
-                    out += [(node, s, i, held) for node, s in zip(own, star)]
+                    if i not in done and len(held) and _number(_fingerprint(held)) == i:
+                        done.add(i)
+                        out += [(node, s, i, held.tobytes()) for node, s in zip(own, star)]
                 if out:
                     columns = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -99,7 +110,7 @@ def _shape(similarity: float, recall: float, levels: int) -> tuple[int, int]:
         trees = math.ceil(math.log(1 - recall) / math.log1p(-keep)) if keep < 1 else 1
         if trees * depth <= COORDS:
             return trees, depth
-    return COORDS, 1
+    raise ValueError(f"a similarity of {similarity} isn't found with the chance {recall} by {COORDS} coordinates")
 
 
 def _roots(trees: int, depth: int):
@@ -207,29 +218,29 @@ def _members(leaves: DataFrame) -> DataFrame:
     return leaves.select(F.xxhash64("ids", "star").alias("node"), "star", F.explode("ids").alias("id"))
 
 
-def _compared(leaves: DataFrame, docs: DataFrame, lower: bool, width: int, percent: int) -> DataFrame:
+def _compared(leaves: DataFrame, docs: DataFrame, classes: DataFrame, lower: bool, width: int, percent: int) -> DataFrame:
     """Links within the leaves (``ids`` array, ``star`` boolean), on the full sets."""
     wanted = _members(leaves).groupBy("id").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("star").alias("stars"))
-    rows = docs.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "nodes", "stars").mapInArrow(
+    wanted = wanted.join(classes.select("id", F.col("low").alias("doc_id")), "id")
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("id", "text", "nodes", "stars").mapInArrow(
         released(_full_sets(lower, width)), "node bigint, star boolean, id bigint, shingles binary")
     return map_groups(rows, "node", _compare(percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: bool = True, leaf: int = 1000,
-                    recall: float = 0.999, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    recall: float = 0.999, levels: int = 4, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """One row for each input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over
-    links with ``100 * intersection >= percent * union``) and ``kept`` (whether it is that id)."""
+    links with ``100 * intersection >= percent * union``) and ``kept`` (whether it is that id); with ``digest`` also
+    ``digest``, the text's ``xxhash64``, which tells rows of one id apart."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut_lineage(own.mapInArrow(released(_signatures(lower, width)), "doc_id bigint, n bigint, print binary, tokens binary"))
-    classes = signed.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(
-        F.min("doc_id").alias("id"), F.first("tokens").alias("tokens"))
-    # repeated ids with other texts: one set stands for the id
-    classes = cut_lineage(classes)
-    reps = classes.groupBy("id").agg(F.min("print").alias("print"), F.min("tokens").alias("tokens")) \
-        if classes.count() != classes.select("id").distinct().count() else classes
-    return _joined(own, signed, classes, reps.select("id", "tokens"), percent, width, lower, leaf, recall, levels)
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    signed = cut_lineage(own.mapInArrow(released(_signatures(lower, width)),
+                                        "doc_id bigint, n bigint, print binary, id bigint, tokens binary, digest bigint"))
+    classes = cut_lineage(signed.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(
+        F.first("id").alias("id"), F.min("doc_id").alias("low"), F.first("tokens").alias("tokens")))
+    out = _joined(own, signed, classes, percent, width, lower, leaf, recall, levels)
+    return out if digest else out.drop("digest")
 
 
 def _narrowed(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -253,8 +264,9 @@ def _slice_pairs(placed: DataFrame, leaf: int) -> DataFrame:
         F.sort_array(F.array_union("ids", "ids2")).alias("ids"), F.lit(False).alias("star"))
 
 
-def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, levels) -> DataFrame:
+def _joined(own, signed, classes, percent, width, lower, leaf, recall, levels) -> DataFrame:
     trees, depth = _shape(percent / 100, recall, levels)
+    reps = classes.select("id", "tokens")
     rows = reps.mapInArrow(released(_roots(trees, depth)), "node bigint, id bigint, tree int").selectExpr(
         "node", "0L AS above", "1 AS level", "id", "tree")
     first, last, leaves, large = 1, 1, [], None
@@ -288,7 +300,7 @@ def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, lev
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
     nodes = _narrowed(nodes.distinct(), reps, percent)
-    links = cut_lineage(_compared(nodes, own, lower, width, percent).distinct())
+    links = cut_lineage(_compared(nodes, own, classes, lower, width, percent).distinct())
     groups = components(links)
     if rest is not None:
         placed = rest.join(groups.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
@@ -296,13 +308,14 @@ def _joined(own, signed, classes, reps, percent, width, lower, leaf, recall, lev
         several = placed.groupBy("node").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("node")
         if not several.isEmpty():
             blocks = _narrowed(_slice_pairs(placed.join(several, "node").select("node", "id", "group"), leaf), reps, percent)
-            groups = components(links.unionByName(_compared(blocks, own, lower, width, percent)))
-    ids = classes.select("print", F.col("id").alias("_rep")).join(
-        groups.withColumnRenamed("vertex", "_rep"), "_rep", "left").select(
-        "print", F.coalesce("component_id", "_rep").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "print").join(ids, "print", "left")
+            groups = components(links.unionByName(_compared(blocks, own, classes, lower, width, percent)))
+    grouped = classes.select("print", "id", "low").join(groups.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
+        "group", F.coalesce("component_id", "id"))
+    lowest = grouped.groupBy("group").agg(F.min("low").alias("component_id"))
+    ids = grouped.select("print", "group").join(lowest, "group").select("print", "component_id")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "print", "digest").join(ids, "print", "left")
     out = out.select("doc_id", "n_shingles", F.expr(
-        "CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"))
+        "CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END").alias("component_id"), "digest")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +84,13 @@ class Lexicon:
         if not len(a):
             return []
         found = [(end - n + 1, end + 1, w, t) for end, (n, w, t) in a.iter(folded)]
-        free = [(s, e) for s, e, w, _ in found if w is None]
-        return [h for h in found if h[2] is not None and not any(s <= h[0] and h[1] <= e for s, e in free)]
+        free = sorted((s, e) for s, e, w, _ in found if w is None)
+        starts, reach = [s for s, _ in free], list(accumulate((e for _, e in free), max))  # the furthest end of those that start up to here
+
+        def excepted(start: int, end: int) -> bool:
+            k = bisect_right(starts, start)
+            return k > 0 and reach[k - 1] >= end
+        return [h for h in found if h[2] is not None and not excepted(h[0], h[1])]
 
 
 def measures(lexicon: Lexicon, text: str | None) -> tuple[float, float]:

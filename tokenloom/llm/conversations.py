@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,17 @@ def align(letter: np.ndarray, must: np.ndarray, cut: np.ndarray) -> tuple[int, s
     return cost, min("".join(p[3]) for p in paths)
 
 
+@lru_cache(maxsize=1 << 16)
+def _align_short(codes: bytes) -> tuple[int, str]:
+    code = np.frombuffer(codes, dtype=np.uint8).astype(np.int64)
+    return align(code & 3, (code & 4) > 0, (code & 8) > 0)
+
+
+def align_coded(code: np.ndarray) -> tuple[int, str]:
+    """``align`` of rows coded as letter + 4 must + 8 cut; short conversations of the same shape are aligned once."""
+    return _align_short(code.astype(np.uint8).tobytes()) if len(code) <= 24 else align(code & 3, (code & 4) > 0, (code & 8) > 0)
+
+
 # ---- in Spark ---------------------------------------------------------------------------
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -187,7 +199,8 @@ def _audited(group: pa.Table) -> tuple:
         seen.add(mark)
     again &= ~blank
     cut = ~np.array(rows["ended"].to_pylist(), dtype=bool) & ~blank & ~again
-    cost, audit = align(np.array([_LETTERS.get(x, _OTHER) for x in initial], dtype=np.int64), blank | again, cut)
+    letter = np.array([_LETTERS.get(x, _OTHER) for x in initial], dtype=np.int64)
+    cost, audit = align_coded(letter + 4 * (blank | again) + 8 * cut)
     gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
     illegal = sum(x + y not in ("su", "ua", "au") for x, y in zip(initial, initial[1:]))
     return gaps, int(blank.sum()), int(again.sum()), int(cut.sum()), illegal, cost, audit

@@ -85,19 +85,23 @@ def test_recall_in_a_dense_cone(spark):
 
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "bpe"]
 
 
 def test_pipeline_stages(spark, awkward, nothing):
     sf = "/root/testdata/sf0.001"
-    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), awkward.drop("tokens"), nothing):
+    clashing = awkward.selectExpr("*", "label AS toxicity", "text AS found", "lang AS secret", "id AS digest", "node AS print", "score AS _text")
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), clashing, nothing):
         before = docs
         for name, stage in corpus_pipeline.STAGES:
             after = stage(spark, before, sf)
             after = spark.createDataFrame(after.collect(), after.schema)
             if name != "bpe":
                 assert after.columns == before.columns
+            own = [c for c in before.columns if c != "text"]  # the other columns of a row stay as they were
+            rows = {repr(r) for r in before.select(own).collect()}
+            assert all(repr(r) in rows for r in after.select(own).collect())
             if name in ("personal_data", "bpe"):
                 assert after.count() == before.count()
             before = after
@@ -121,3 +125,32 @@ def test_pipeline_decisions(spark):
     assert 0 < len(own) - len(clean) < len(own) / 2
     total = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < total.count() <= 200 and "ids" in total.columns
+
+
+def test_pipeline_rewrites(spark):
+    """Toxic documents that go, and the last two stages' texts and tokens, against plain Python and the tokenizers library."""
+    import public_tokenizers
+    import tokenizers
+
+    from tokenloom.llm import pii, toxicity
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages, texts = dict(corpus_pipeline.STAGES), {r.doc_id: r.text for r in docs.collect()}
+    lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    bias, hit, length = lexicon.curve
+    score = {i: 1 / (1 + np.exp(-(bias + np.dot(toxicity.measures(lexicon, t), (hit, length))))) for i, t in texts.items()}
+    kept = {r.doc_id for r in stages["toxicity"](spark, docs, sf).collect()}
+    assert kept == {i for i, s in score.items() if s < 0.5} and 0.8 * len(texts) < len(kept) < len(texts)
+    spark.conf.set(corpus_pipeline.KEY_SETTING, "of the test")
+    try:
+        hidden = spark.createDataFrame(stages["personal_data"](spark, docs, sf).collect(), docs.schema)
+        want = {r.doc_id: r.text for r in pii.pseudonymize(docs, "of the test").collect()}
+        assert {r.doc_id: r.text for r in hidden.collect()} == want
+    finally:
+        spark.conf.unset(corpus_pipeline.KEY_SETTING)
+    assert {r.doc_id for r in hidden.collect() if r.text != texts[r.doc_id]} == {r.doc_id for r in pii.pseudonymize(docs, "k").where("n_private > 0").collect()}
+    library = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    library.no_truncation()
+    library.no_padding()
+    for r in stages["bpe"](spark, hidden, sf).collect():
+        assert r.ids == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) and r.round_trip

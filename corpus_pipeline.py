@@ -5,16 +5,19 @@ A stage takes ``(spark, docs, sf_dir)`` and returns the rows it keeps, or rewrit
 shared folder and reads them back for the next, so a lost executor costs no more than one stage's tasks.
 
 Rows without a ``doc_id`` pass the stages that compare documents; null texts count as empty; rows that
-share an id are dropped or kept together; further columns are carried along.
+share an id are judged by their own texts (those with equal texts are dropped or kept together); further columns of any
+name are carried along, only the last stage replaces columns called ``n_tokens``, ``ids``, ``decoded`` or ``round_trip``.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe, containment, pii, setjoin, toxicity
-from tokenloom.llm.common import shared_path, table
+from tokenloom.llm.common import shared_path, table, unused
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.5
@@ -22,21 +25,24 @@ TOXIC = 0.5
 SIMILAR = 80
 #: Share (percent) of a test item's shingles from which a document counts as contaminated.
 CONTAINED = 80
-#: Key of the pseudonyms; a deployment sets its own in the session.
-KEY_SETTING, DEFAULT_KEY = "spark.tokenloom.pseudonymKey", "corpus-pipeline"
+#: Session setting with the key of the pseudonyms.  Without it each run draws a key of its own: its pseudonyms can't be
+#: turned back or linked with another run's.
+KEY_SETTING = "spark.tokenloom.pseudonymKey"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, by a lexicon learned from the labels, is below ``TOXIC``."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_rows(docs, lexicon, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    score = unused(docs, "toxicity")
+    return toxicity.score_rows(docs, lexicon, score_col=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    groups = setjoin.near_duplicates(docs, percent=SIMILAR)
-    return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    digest = unused(docs, "digest")
+    groups = setjoin.near_duplicates(docs, percent=SIMILAR, digest=True)
+    gone = groups.where(~F.col("kept")).select("doc_id", F.col("digest").alias(digest)).distinct()
+    return docs.withColumn(digest, F.xxhash64("text")).join(gone, ["doc_id", digest], "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +53,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms."""
-    return pii.pseudonymize(docs, spark.conf.get(KEY_SETTING, DEFAULT_KEY)).select(*docs.columns)
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    return pii.pseudonymize(docs, key).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with ``n_tokens``, ``ids`` and ``round_trip``: whether the text decoded from the ids is the text."""
-    keep = tuple(c for c in docs.columns if c not in ("n_tokens", "ids", "decoded"))
+    keep = tuple(c for c in docs.columns if c not in ("n_tokens", "ids", "decoded", "round_trip"))
     encoded = bpe.encode(docs, bpe.read_vocabulary(), keep=keep)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return encoded.select(*keep, "n_tokens", "ids", same.alias("round_trip"))

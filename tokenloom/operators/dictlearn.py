@@ -1,18 +1,20 @@
 """Sparse dictionary coding: OMP encode (M8), coefficient tokens (M9),
 dictionary fitting (M6 mini-batch, M7 full batch) and apply (M10).
 
-Fitting follows the online dictionary learning of Mairal et al. (2009):
-every iteration codes a batch against the current dictionary on the
-executors and sums the sufficient statistics ``A = sum c c^T`` (D x D) and
-``B = sum x c^T`` (dim x D).  Only those model-sized sums reach the driver,
-where the block coordinate descent atom update runs.  The data itself is
-never collected and its lineage does not grow across iterations.
+Fitting follows the online dictionary learning of Mairal et al. (2009): a
+step codes a batch against the current dictionary, adds to the sufficient
+statistics ``A = sum c c^T`` (D x D) and ``B = sum x c^T`` (dim x D), and
+updates the atoms by block coordinate descent.  Mini-batches (M6) run block-parallel:
+each block of rows takes steps of ``batch_size`` rows on a copy of the atoms and
+statistics, and the copies meet in a weighted mean after each pass.  The full-batch
+fit (M7) is one step per pass over sums from all partitions.  Only model-sized
+sums reach the driver; the data is never collected and its lineage does not
+grow across passes.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hash32, pick, seeded_key
+from ..functions.hashing import hash32, seeded_key
 from ..functions.vectors import as_doubles
-from ..session import checkpoint_dir, cut_lineage, delete_path
+from ..session import cut_lineage
 
 EPS = float(np.finfo(float).eps)
 MAX_DICT_VALUES = 2_000_000  # 16 MB of doubles; D=128 x d=221 is 28k
@@ -226,30 +228,119 @@ def _update_atoms(atoms: np.ndarray, A: np.ndarray, B: np.ndarray, pool: np.ndar
     return spare
 
 
+@dataclass
+class _Progress:
+    """What a step starts from: atoms, statistics, steps taken, and the state of the stop rules."""
+
+    atoms: np.ndarray
+    A: np.ndarray
+    B: np.ndarray
+    step: int = 0
+    spare: int = 0
+    smooth: float = math.nan
+    best: float = math.inf
+    stale: int = 0
+    done: bool = False
+
+
+def online_step(at: _Progress, x: np.ndarray, pool: np.ndarray, batch_size: int, n_total: int, algo: str, alpha: float,
+                n_nonzero: int, tol: float, patience: int | None) -> float:
+    """One step of online dictionary learning on the rows ``x``; returns their summed error."""
+    P, G = x @ at.atoms.T, at.atoms @ at.atoms.T
+    c = lasso_cd(P, G, alpha) if algo == "cd" else omp_gram(P, G, n_nonzero)
+    r = x - c @ at.atoms
+    err = float((r * r).sum()) + (2 * alpha * float(np.abs(c).sum()) if algo == "cd" else 0.0)
+    at.step += 1
+    # forgetting factor of the online algorithm (Mairal et al., 2010, sec. 3.4)
+    theta = batch_size * at.step if at.step < batch_size else batch_size ** 2 + at.step - batch_size
+    beta = (theta + 1 - batch_size) / (theta + 1)
+    at.A, at.B = beta * at.A + c.T @ c, beta * at.B + x.T @ c
+    before = at.atoms.copy()
+    at.spare = _update_atoms(at.atoms, at.A, at.B, pool, at.spare)
+    weight = min(1.0, 2.0 * len(x) / (n_total + 1))
+    at.smooth = err / len(x) if math.isnan(at.smooth) else at.smooth * (1 - weight) + err / len(x) * weight
+    at.stale = 0 if at.smooth < at.best else at.stale + 1
+    at.best = min(at.best, at.smooth)
+    at.done = (tol > 0 and np.linalg.norm(at.atoms - before) / len(at.atoms) <= tol) or bool(patience and at.stale >= patience)
+    return err
+
+
+def _block_pass(start: _Progress, pool: np.ndarray, batch_size: int, n_total: int, slots: int, col: str, rules: tuple):
+    """One pass of a block (= partition): steps of exactly ``batch_size`` rows, whatever the Arrow batches; the last may be
+    smaller.  Emits one row of fixed size: usage-weighted atoms, row-weighted statistics, and for each step
+    its error and rows."""
+    def run(batches):
+        at = _Progress(start.atoms.copy(), start.A.copy(), start.B.copy(), start.step, start.spare, start.smooth, start.best, start.stale)
+        held, size, rows, steps = [], 0, 0, 0
+        err, seen = np.zeros(slots), np.zeros(slots)
+
+        def take(x):
+            nonlocal rows, steps
+            err[steps], seen[steps] = online_step(at, x, pool, batch_size, n_total, *rules), len(x)
+            rows, steps = rows + len(x), steps + 1
+        for pdf in batches:
+            if at.done:
+                break
+            if len(pdf):
+                held.append(np.stack(pdf[col].to_numpy()).astype(float))
+                size += len(pdf)
+            if size >= batch_size:
+                x = np.concatenate(held)
+                for lo in range(0, size - batch_size + 1, batch_size):
+                    if not at.done:
+                        take(x[lo:lo + batch_size])
+                held = [x[size // batch_size * batch_size:]]
+                size = len(held[0])
+        if size and not at.done:
+            take(np.concatenate(held))
+        if rows:
+            use = np.diag(at.A)
+            yield pd.DataFrame({"stats": [np.concatenate([
+                (at.atoms * use[:, None]).ravel(), use, rows * at.A.ravel(), rows * at.B.ravel(), err, seen,
+                [rows, steps, 1.0, float(at.done), rows * at.smooth, rows * at.best, rows * at.stale, at.spare]])]})
+    return run
+
+
+def _merged(s: np.ndarray, before: _Progress, pool: np.ndarray, slots: int) -> tuple[_Progress, list[float], int]:
+    """The mean of the blocks' copies: atoms weighted by their use, statistics by rows.  One block stays as it is."""
+    D, dim = before.atoms.shape
+    cuts = np.cumsum([D * dim, D, D * D, dim * D, slots, slots])
+    atoms, use, A, B, err, seen, (rows, steps, blocks, done, smooth, best, stale, spare) = np.split(s, cuts)
+    at = _Progress(np.where(use[:, None] > 1e-10, atoms.reshape(D, dim) / np.maximum(use, 1e-300)[:, None], before.atoms),
+                   A.reshape(D, D) / rows, B.reshape(dim, D) / rows, before.step + math.ceil(steps / blocks), int(spare / blocks),
+                   smooth / rows, best / rows, int(stale / rows), done == blocks)
+    if blocks > 1:
+        at.spare = _update_atoms(at.atoms, at.A, at.B, pool, at.spare)
+    return at, (err[seen > 0] / seen[seen > 0]).tolist(), int(rows)
+
+
+#: Blocks of a pass at most: beyond MAX_BLOCKS * block_rows rows the blocks grow, never the batch.
+MAX_BLOCKS = 4096
+
+
 def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_iter: int = 100,
                    batch_size: int | None = 256, alpha: float = 1.0, fit_algorithm: str = "cd",
                    seed: int = 42, col: str = "features", id_col: str | None = None,
                    tol: float = 1e-3, max_no_improvement: int | None = 10,
-                   steps_per_epoch: int = 8) -> DictionaryModel:
+                   block_rows: int = 65_536) -> DictionaryModel:
     """M6 (mini-batches) or M7 (``batch_size=None``): ``max_iter`` passes over every row.
 
-    M6 deals the rows once into slices by a seeded md5 of the row key (``id_col``, else
-    the vector) and takes one step per slice, so every row enters exactly once per pass
-    whatever the table's size and partitioning.  A slice holds ``batch_size`` rows, or
-    one ``steps_per_epoch``-th of the table where that is more: the batch grows with the
-    data, so that a pass stays at most ``steps_per_epoch`` jobs, each reading its slice's
-    folder only.  The fit stops early when a step changes the atoms by at most ``tol``
-    (Frobenius norm over the number of atoms), or when the smoothed error has not improved
-    for ``max_no_improvement`` steps (0 or None: never).
+    M6 deals the rows once into blocks of about ``block_rows`` rows by a seeded md5 of the row key (``id_col``, else
+    the vector) and orders each block by it.  A pass is one job: every block takes steps of ``batch_size`` rows,
+    the same at every table size, on its own copy of the atoms and statistics; the copies are merged in a tree
+    sum (64 model-sized rows reach the driver).  The first block of the first pass goes ahead, so that all
+    others start from atoms that have seen data.  Up to ``block_rows`` rows it is the plain sequential algorithm.  Every
+    row enters once per pass, and the result doesn't depend on the input's partitioning.  A block stops when a step
+    changes its atoms by at most ``tol`` (Frobenius norm over the number of atoms), or when its smoothed
+    error has not improved for ``max_no_improvement`` steps (0 or None: never); the fit stops with all blocks.
 
     The starting atoms are the first ``n_atoms`` rows in seeded md5 order (normalized);
-    an atom that no row of a step uses is re-seeded from a further row of that order.
+    an atom that no row uses is re-seeded from a further row of that order.
     Codes in the fit are lasso codes (coordinate descent, ``alpha``) or OMP codes.
     """
     if fit_algorithm not in ("cd", "omp"):
         raise ValueError("fit_algorithm must be 'cd' or 'omp'")
-    spark = df.sparkSession
-    # every step re-reads the data: cut its lineage once (shared checkpoint folder)
+    # every pass re-reads the data: cut its lineage once (shared checkpoint folder)
     data = cut_lineage(df.select(*([id_col] if id_col else []), as_doubles(col).alias(col)))
     order_key = seeded_key(seed, F.col(id_col)) if id_col else seeded_key(seed, F.to_json(F.col(col)))
     pool_rows = (data.withColumn("_h", hash32(order_key)).orderBy("_h", F.md5(order_key))
@@ -262,57 +353,59 @@ def fit_dictionary(df: DataFrame, n_atoms: int = 128, n_nonzero: int = 2, max_it
         rng = np.random.default_rng(seed)
         atoms[len(pool):] += 1e-3 * rng.standard_normal(atoms[len(pool):].shape)
         atoms = _normalize_rows(atoms)
-    D, dim = atoms.shape
+    fit = _fit_online if batch_size else _fit_full
+    return fit(data, atoms, pool, order_key, n_nonzero, max_iter, batch_size, alpha, fit_algorithm, col, tol, max_no_improvement, block_rows)
+
+
+def _fit_online(data: DataFrame, atoms, pool, order_key, n_nonzero, max_iter, batch_size, alpha, algo, col, tol, patience, block_rows):
     n_total = data.count()
-    n_slices = min(steps_per_epoch, max(1, math.ceil(n_total / batch_size))) if batch_size else 1
-    slices, folder = [data], None
-    if n_slices > 1:
-        folder = f"{checkpoint_dir(spark).rstrip('/')}/dictfit-{uuid.uuid4().hex[:12]}"
-        (data.withColumn("_slice", pick(order_key, n_slices)).repartition("_slice", F.floor(F.rand(seed) * 64))
-         .write.partitionBy("_slice").parquet(folder))
-        stored = spark.read.parquet(folder)
-        slices = [stored.filter(F.col("_slice") == i).drop("_slice") for i in range(n_slices)]
-    batch = max(1.0, n_total / n_slices)
-    A, B = np.zeros((D, D)), np.zeros((dim, D))
+    n_blocks = min(MAX_BLOCKS, max(1, math.ceil(n_total / block_rows)))
+    block = F.pmod(F.xxhash64(F.md5(order_key)), F.lit(n_blocks)).cast("int")
+    dealt = data.select(col, block.alias("_block"), hash32(order_key).alias("_h"), F.md5(order_key).alias("_m"))
+    dealt = cut_lineage(dealt.repartitionById(n_blocks, "_block").sortWithinPartitions("_h", "_m", col).select("_block", col))
+    largest = dealt.groupBy("_block").count().agg(F.max("count")).first()[0]
+    slots = math.ceil(largest / batch_size)
+    D, dim = atoms.shape
+    at = _Progress(atoms, np.zeros((D, D)), np.zeros((dim, D)))
+    rules = (algo, alpha, n_nonzero, tol, patience)
     history: list[float] = []
-    spare = step = visited = stale = 0
-    smooth, best, done = None, None, False
-    epoch = 0
-    try:
-        for epoch in range(1, max_iter + 1):
-            for part in slices:
-                s = sum_partials(part.mapInPandas(_partial_stats(atoms, fit_algorithm, alpha, n_nonzero, col),
-                                                  "stats array<double>"))
-                if s is None:
-                    continue
-                step += 1
-                A_b = s[:D * D].reshape(D, D)
-                B_b = s[D * D:D * D + dim * D].reshape(dim, D)
-                n_b, err = s[-2], s[-1]
-                visited += int(n_b)
-                history.append(err / max(n_b, 1.0))
-                if batch_size:
-                    # forgetting factor of the online algorithm (Mairal et al., 2010, sec. 3.4)
-                    theta = batch * step if step < batch else batch ** 2 + step - batch
-                    beta = (theta + 1 - batch) / (theta + 1)
-                    A, B = beta * A + A_b, beta * B + B_b
-                else:
-                    A, B = A_b, B_b
-                before = atoms.copy()
-                spare = _update_atoms(atoms, A, B, pool, spare)
-                weight = min(1.0, 2.0 * n_b / (n_total + 1))
-                smooth = history[-1] if smooth is None else smooth * (1 - weight) + history[-1] * weight
-                stale = 0 if best is None or smooth < best else stale + 1
-                best = smooth if best is None else min(best, smooth)
-                done = (tol > 0 and np.linalg.norm(atoms - before) / D <= tol) or bool(
-                    max_no_improvement and stale >= max_no_improvement)
-                if done and batch_size:
-                    break
-            if done:
-                break
-    finally:
-        if folder:
-            delete_path(spark, folder)
+    visited = epoch = 0
+
+    def run(rows: DataFrame, start: _Progress) -> np.ndarray | None:
+        return sum_partials(rows.select(col).mapInPandas(_block_pass(start, pool, batch_size, n_total, slots, col, rules), "stats array<double>"))
+    for epoch in range(1, max_iter + 1):
+        if epoch == 1 and n_blocks > 1:
+            parts = [run(dealt.filter(F.col("_block") == 0), at)]
+            lead = at if parts[0] is None else _merged(parts[0], at, pool, slots)[0]
+            parts.append(run(dealt.filter(F.col("_block") > 0), lead))
+            s = sum(p for p in parts if p is not None)
+        else:
+            s = run(dealt, at)
+        at, errors, rows = _merged(s, at, pool, slots)
+        history += errors
+        visited += rows
+        if at.done:
+            break
+    return DictionaryModel(_normalize_rows(at.atoms), n_nonzero, history, visited, epoch)
+
+
+def _fit_full(data: DataFrame, atoms, pool, order_key, n_nonzero, max_iter, batch_size, alpha, algo, col, tol, patience, block_rows):
+    D, dim = atoms.shape
+    history: list[float] = []
+    spare = visited = stale = epoch = 0
+    smooth, best = None, None
+    for epoch in range(1, max_iter + 1):
+        s = sum_partials(data.mapInPandas(_partial_stats(atoms, algo, alpha, n_nonzero, col), "stats array<double>"))
+        A, B = s[:D * D].reshape(D, D), s[D * D:D * D + dim * D].reshape(dim, D)
+        visited += int(s[-2])
+        history.append(s[-1] / max(s[-2], 1.0))
+        before = atoms.copy()
+        spare = _update_atoms(atoms, A, B, pool, spare)
+        smooth = history[-1]
+        stale = 0 if best is None or smooth < best else stale + 1
+        best = smooth if best is None else min(best, smooth)
+        if (tol > 0 and np.linalg.norm(atoms - before) / D <= tol) or (patience and stale >= patience):
+            break
     return DictionaryModel(_normalize_rows(atoms), n_nonzero, history, visited, epoch)
 
 

@@ -739,6 +739,49 @@ def q_dict_fit_invariants(spark, d):
         F.lit(unit).alias("unit_atoms"), F.lit(bool(fell)).alias("error_fell"))
 
 
+def omp2_by_sql(z: DataFrame, atoms: DataFrame) -> DataFrame:
+    """``vec_id``, ``expected``: the two signed tokens of OMP against a stored dictionary (``atom``, ``vec``), by joins and
+    aggregates instead of matrix products.  The dictionary and its Gram matrix are model-sized and broadcast."""
+    d = atoms.select("atom", F.posexplode("vec").alias("i", "v"))
+    gram = d.join(F.broadcast(d.select(F.col("atom").alias("other"), "i", F.col("v").alias("w"))), "i").groupBy("atom", "other").agg(
+        F.sum(F.col("v") * F.col("w")).alias("g"))
+    gram = gram.groupBy("atom").agg(F.transform(F.array_sort(F.collect_list(F.struct("other", "g"))), lambda s: s["g"]).alias("g"))
+    p = z.select("vec_id", F.posexplode("features").alias("i", "x")).join(F.broadcast(d), "i").groupBy("vec_id", "atom").agg(
+        F.sum(F.col("x") * F.col("v")).alias("p"))
+    p = p.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("atom", "p"))), lambda s: s["p"]).alias("p"))
+
+    def best(c):
+        return (F.array_position(c, F.array_max(c)) - 1).cast("int")
+    side = lambda k: F.broadcast(gram.select(F.col("atom").alias(f"j{k}"), F.col("g").alias(f"g{k}")))
+    first = p.withColumn("j1", best(F.transform("p", lambda v: F.abs(v)))).join(side(1), "j1")
+    corr = F.expr("transform(p, (v, k) -> if(k = j1, -1D, abs(v - p[j1] / g1[j1] * g1[k])))")
+    both = first.withColumn("j2", best(corr)).join(side(2), "j2")
+    det = "(g1[j1] * g2[j2] - g1[j2] * g1[j2])"
+    both = both.withColumn("a", F.expr(f"(p[j1] * g2[j2] - p[j2] * g1[j2]) / {det}")).withColumn("b", F.expr(f"(p[j2] * g1[j1] - p[j1] * g1[j2]) / {det}"))
+    size = F.size("p")
+    one, two = (F.when(F.col(c) >= 0, F.col(j)).otherwise(F.col(j) + size) for c, j in (("a", "j1"), ("b", "j2")))
+    ahead = (F.abs("a") > F.abs("b")) | ((F.abs("a") == F.abs("b")) & (F.col("j1") < F.col("j2")))
+    return both.select("vec_id", F.when(ahead, F.array(one, two)).otherwise(F.array(two, one)).alias("expected"))
+
+
+@register("dict_fit_online", "SELECT vec_id, true AS codes_agree, 3 * n AS rows_visited, true AS error_fell FROM embeddings, (SELECT count(*) AS n FROM embeddings)")
+def q_dict_fit_online(spark, d):
+    """M6 in parallel blocks, then S9, M8-M10: dictionary and codes are stored and read back, and every stored code is held
+    against OMP by SQL on the stored dictionary."""
+    from ..operators.dictlearn import load_dictionary
+    z, _ = linalg.standardize(embeddings(spark, d))
+    model = fit_dictionary(z, n_atoms=16, n_nonzero=2, max_iter=3, batch_size=64, id_col="vec_id", tol=0.0, max_no_improvement=None, block_rows=128)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/dict-online-{uuid.uuid4().hex}"
+    for name, t in model.tables(spark).items():
+        t.write.parquet(f"{folder}/{name}")
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("dictionary", "config")}
+    load_dictionary(tables).transform(z, out_cols=["vec_id"]).write.parquet(f"{folder}/codes")
+    stored, steps = spark.read.parquet(f"{folder}/codes"), len(model.history) // 3
+    return stored.join(omp2_by_sql(z, tables["dictionary"]), "vec_id").select(
+        "vec_id", (F.col("codes") == F.col("expected")).alias("codes_agree"), F.lit(model.rows_visited).cast("bigint").alias("rows_visited"),
+        F.lit(bool(sum(model.history[-steps:]) < sum(model.history[:steps]))).alias("error_fell"))
+
+
 @register("dict_fit_full")
 def q_dict_fit_full(spark, d):
     """M7: full-batch dictionary fit; the learned atoms."""

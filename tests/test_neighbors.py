@@ -188,6 +188,46 @@ def test_more_queries_than_a_part(spark, monkeypatch):
                                "id long, features array<double>, codes array<int>")
     one = sorted(map(tuple, N.query_topk(df, df, 3, "id", "features", "cosine", "codes").collect()))
     pairs = sorted(map(tuple, N.token_candidates(df, df).collect()))
-    monkeypatch.setattr(N, "MAX_QUERIES", 20)
+    monkeypatch.setattr(N, "FEW_QUERIES", 20)
     assert sorted(map(tuple, N.query_topk(df, df, 3, "id", "features", "cosine", "codes").collect())) == one
     assert sorted(map(tuple, N.token_candidates(df, df).collect())) == pairs
+
+
+def test_every_row_a_query_in_blocks(spark, monkeypatch):
+    """The block join against brute force: string ids that break ties, self excluded, candidates by any shared token."""
+    monkeypatch.setattr(neighbors, "FEW_QUERIES", 0)
+    rng = np.random.default_rng(40)
+    x = rng.integers(-2, 3, size=(90, 3)).astype(float) + 0.5          # many equal cosines
+    codes = rng.integers(0, 4, size=(90, 2))
+    names = [f"n{k:02d}" for k in rng.permutation(90)]
+    df = spark.createDataFrame([(n, [float(v) for v in r], [int(c) for c in cs]) for n, r, cs in zip(names, x, codes)],
+                               "name string, features array<double>, codes array<int>")
+    for metric in ("euclidean", "cosine"):
+        got = {}
+        for r in neighbors.query_topk(df, df.filter("name < 'n70'"), 6, "name", "features", metric, "codes", block_rows=17).collect():
+            got.setdefault((r["kind"], r["qid"]), {})[r["rank"]] = (r["nid"], r["score"])
+        unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+        s = ((x[:, None] - x[None]) ** 2).sum(-1) if metric == "euclidean" else -np.round(unit @ unit.T, 9)
+        for i, n in enumerate(names):
+            if n >= "n70":
+                continue
+            for kind in ("all", "cand"):
+                ok = [j for j in range(90) if j != i and (kind == "all" or (codes[i] == codes[j]).any())]
+                want = sorted(ok, key=lambda j: (s[i, j], names[j]))[:6]
+                own = got[kind, n]
+                assert [round(abs(own[k + 1][1]), 6) for k in range(6)] == [round(abs(s[i, j]), 6) for j in want]
+                if metric == "euclidean":
+                    assert [own[k + 1][0] for k in range(6)] == [names[j] for j in want]
+
+
+def test_knn_of_groups_far_apart(spark):
+    """Groups of unit spread, millions apart: the matrix product's digits cancel, the lists must not change."""
+    rng = np.random.default_rng(41)
+    for far in (1e6, 1e7, 1e8):
+        x = np.concatenate([rng.normal(size=(60, 8)) + s * far for s in (-1, 0, 1)])
+        ref = brute_knn(x, 5)
+        for kw in ({"n_blocks": 1}, {"n_blocks": 3, "chunk_rows": 16}, {"strategy": "pivot", "block_rows": 40}):
+            got = {}
+            for r in neighbors.knn_exact(make(spark, x), 5, "id", "features", **kw).collect():
+                got.setdefault(r["id"], {})[r["rank"]] = r["neighbor_id"]
+            assert {i: [got[i][j] for j in range(1, 6)] for i in got} == ref, (far, kw)

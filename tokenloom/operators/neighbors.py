@@ -7,8 +7,10 @@ partial top-k per query row; a final per-row top-k merges the B partial
 lists.  No task ever holds more than two blocks, and no pair list is
 emitted, only k candidates per row per block.
 
-K2/K4 use a bounded query sample (``n_queries`` rows, the only data shipped
-inside tasks); the corpus is scanned once in Arrow batches.
+K2/K4 with few queries ship them inside tasks and scan the corpus once in Arrow
+batches, without a shuffle of it; any number of queries meets the corpus in a
+two-sided block join (query blocks x corpus blocks).  Ids of any orderable type
+are carried as they are and break ties in their own order.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from ..functions.vectors import as_doubles, l2_normalize
 from ..session import cut_lineage
 from .sample import hash_sample
 
-MAX_QUERIES = 10_000  # query samples are small by design (50 in the reference)
+#: Queries that are shipped inside tasks at most; more meet the corpus in a block join, with the same result.
+FEW_QUERIES = 10_000
 
 
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
@@ -37,43 +40,57 @@ def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def _topk_core(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
-    """Per query row: the k best (score, id) pairs, ties by the lower id; self excluded.
+#: Pairs rescored at once (rows of two gathered matrices).
+RESCORE_PAIRS = 1 << 16
 
-    ``np.partition`` finds each row's k-th smallest score in linear time; every
-    entry up to that value (ties included, so the result stays exact) is then
-    ordered by (row, score, id) with one small lexsort.  Returns row positions,
-    column positions, scores and 1-based ranks.
-    """
+
+def _rescored(q: np.ndarray, c: np.ndarray, r: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distances of chosen pairs by plain differences (no cancellation)."""
+    out = np.empty(len(r))
+    for lo in range(0, len(r), RESCORE_PAIRS):
+        part = slice(lo, lo + RESCORE_PAIRS)
+        out[part] = ((q[r[part]] - c[col[part]]) ** 2).sum(axis=1)
+    return out
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int, metric: str,
+             limit: np.ndarray | None = None, score: np.ndarray | None = None):
+    """Per query row the k best (score, id) pairs, ties by the lower id, self excluded: row positions, column
+    positions, scores and 1-based ranks.
+
+    The matrix product only picks candidates: a euclidean score from it may be off by ``slack`` (its digits cancel
+    where rows lie far from the origin), so every pair within twice that of the k-th best is rescored by plain
+    differences and ranked by that.  ``limit`` is a known bound on each row's k-th best score, e.g. of a running top-k;
+    ``np.partition`` finds the k-th smallest in linear time where there is none."""
+    score = _scores(q, c, metric) if score is None else score
     score = np.where(qid[:, None] == cid[None, :], np.inf, score)
     nq, nc = score.shape
     m = min(k, nc)
     if m == 0 or nq == 0:
         e = np.empty((0,), np.int64)
         return e, e, np.empty((0,)), np.empty((0,), np.int32)
-    kth = np.partition(score, m - 1, axis=1)[:, m - 1] if m < nc else score.max(axis=1)
-    r, c = np.nonzero(score <= kth[:, None])
-    s = score[r, c]
-    order = np.lexsort((cid[c], s, r))
-    r, c, s = r[order], c[order], s[order]
-    start = np.searchsorted(r, np.arange(nq))
-    rank = np.arange(len(r)) - start[r] + 1
-    keep = (rank <= m) & np.isfinite(s)
-    return r[keep], c[keep], s[keep], rank[keep].astype(np.int32)
-
-
-def _topk_rows(score: np.ndarray, qid: np.ndarray, cid: np.ndarray, k: int):
-    """As ``_topk_core`` with ids instead of positions."""
-    r, c, s, rank = _topk_core(score, qid, cid, k)
-    return qid[r], cid[c], s, rank
-
-
-def _batch_topk(score, qid, cid, k):
-    """Dense (rows x k) top-k for running merges; missing slots are +inf."""
-    r, c, s, rank = _topk_core(score, qid, cid, k)
-    m = min(k, score.shape[1])
-    out_s = np.full((len(qid), m), np.inf)
-    out_i = np.full((len(qid), m), -1, dtype=np.int64)
+    slack = np.zeros(nq)
+    if metric == "euclidean":
+        size = np.sqrt((q * q).sum(1)) + np.sqrt((c * c).sum(1).max())
+        slack = (q.shape[1] + 8) * np.finfo(float).eps * size * size
+    cut = np.full(nq, np.inf) if limit is None else limit + slack
+    if not np.isfinite(cut).all() or (score <= cut[:, None]).sum() > 4 * m * nq:
+        kth = np.partition(score, m - 1, axis=1)[:, m - 1] if m < nc else np.where(np.isfinite(score), score, -np.inf).max(axis=1)
+        cut = np.minimum(cut, kth + 2 * slack)
+    r, col = np.nonzero((score <= cut[:, None]) & np.isfinite(score))
+    s = _rescored(q, c, r, col) if metric == "euclidean" else score[r, col]
+    order = np.lexsort((cid[col], s, r))
+    r, col, s = r[order], col[order], s[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, np.arange(nq))[r] + 1
+    keep = rank <= m
+    return r[keep], col[keep], s[keep], rank[keep].astype(np.int32)
+
+
+def _dense(found, nq: int, cid: np.ndarray, m: int):
+    """(rows x m) scores and ids of ``_nearest`` for running merges; missing slots are +inf."""
+    r, c, s, rank = found
+    out_s = np.full((nq, m), np.inf)
+    out_i = np.full((nq, m), -1, dtype=np.int64)
     out_s[r, rank - 1] = s
     out_i[r, rank - 1] = cid[c]
     return out_s, out_i
@@ -105,13 +122,6 @@ def _back(res: DataFrame, mapping: DataFrame | None, cols: dict[str, str]) -> Da
 CHUNK_ROWS = 1024  # query rows per distance chunk inside a task (chunk x block doubles)
 
 
-def _exact(a: np.ndarray, b: np.ndarray, score: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of chosen pairs by plain differences (no cancellation), row by row."""
-    if metric != "euclidean" or not len(a):
-        return score
-    return ((a - b) ** 2).sum(axis=1)
-
-
 def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
     """One unordered block pair (a, b): every distance is computed once, in chunks of
     ``chunk_rows`` a-rows against all b-rows; a-rows get their top-k per chunk, b-rows
@@ -133,17 +143,15 @@ def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
         for start in range(0, len(lid), chunk_rows):
             sl = slice(start, start + chunk_rows)
             block = _scores(lv[sl], rv, metric)
-            r, c, s, _ = _topk_core(block, lid[sl], rid, k)
-            out.append((lid[sl][r], rid[c], _exact(lv[sl][r], rv[c], s, metric)))
+            r, c, s, _ = _nearest(lv[sl], rv, lid[sl], rid, k, metric, score=block)
+            out.append((lid[sl][r], rid[c], s))
             if not diagonal:
-                best_r = _merge_topk(best_r, _batch_topk(block.T, rid, lid[sl], k), k)
+                limit = best_r[0][:, k - 1] if best_r is not None and best_r[0].shape[1] >= k else None
+                found = _nearest(rv, lv[sl], rid, lid[sl], k, metric, limit, block.T)
+                best_r = _merge_topk(best_r, _dense(found, len(rid), lid[sl], min(k, block.shape[0])), k)
         if best_r is not None:
             e = _emit(best_r, rid, "x")
-            qid, nid, s = e["qid"].to_numpy(), e["nid"].to_numpy(), e["score"].to_numpy()
-            order_l, order_r = np.argsort(lid, kind="stable"), np.argsort(rid, kind="stable")
-            at_l = order_l[np.searchsorted(lid, nid, sorter=order_l)]
-            at_r = order_r[np.searchsorted(rid, qid, sorter=order_r)]
-            out.append((qid, nid, _exact(rv[at_r], lv[at_l], s, metric)))
+            out.append((e["qid"].to_numpy(), e["nid"].to_numpy(), e["score"].to_numpy()))
         return pd.DataFrame({"id": np.concatenate([o[0] for o in out]),
                              "nid": np.concatenate([o[1] for o in out]),
                              "score": np.concatenate([o[2] for o in out])})
@@ -223,8 +231,9 @@ def _assign_cells(pivots: np.ndarray):
             for r0 in range(0, len(x), CHUNK_ROWS):      # rows x pivots distances per chunk
                 xc = x[r0:r0 + CHUNK_ROWS]
                 d2 = (xc * xc).sum(1)[:, None] - 2.0 * (xc @ pivots.T) + pp[None, :]
-                cell[r0:r0 + len(xc)] = np.argmin(d2, axis=1)
-                dp[r0:r0 + len(xc)] = np.sqrt(np.maximum(d2[np.arange(len(xc)), cell[r0:r0 + len(xc)]], 0.0))
+                own = np.argmin(d2, axis=1)  # any pivot does; the distance to it must be exact
+                cell[r0:r0 + len(xc)] = own
+                dp[r0:r0 + len(xc)] = np.sqrt(((xc - pivots[own]) ** 2).sum(1))
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "v": pdf["v"], "cell": cell.astype(np.int32),
                                 "dp": dp})
     return run
@@ -240,21 +249,20 @@ def candidate_cells(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray,
     candidate when the lower bound ``d(p_a, p_b) - r_a - r_b`` does not exceed theta_a.
     Exactness does not depend on the pivots; only the amount of pruning does.
     """
-    dpp = np.sqrt(np.maximum((pivots * pivots).sum(1)[:, None] - 2 * pivots @ pivots.T
-                             + (pivots * pivots).sum(1)[None, :], 0.0))
     live = counts > 0
     out = []
     for a in range(len(pivots)):
         if not live[a]:
             out.append(np.empty(0, dtype=np.int64))
             continue
-        reach = radius[a] + dpp[a] + radius          # every point of b is within this of any x in a
+        dpp = np.sqrt(((pivots - pivots[a]) ** 2).sum(1))
+        reach = radius[a] + dpp + radius             # every point of b is within this of any x in a
         reach = np.where(live, reach, np.inf)
         order = np.argsort(reach, kind="stable")
         covered = np.cumsum(counts[order])
         enough = np.searchsorted(covered, k + 1)     # self is one of the covered points
         theta = reach[order[enough]] if enough < len(order) else np.inf
-        lower = dpp[a] - radius[a] - radius
+        lower = dpp - radius[a] - radius
         tol = slack * (1.0 + abs(theta)) if np.isfinite(theta) else 0.0
         out.append(np.nonzero(live & (lower <= theta + tol))[0])
     return out
@@ -310,9 +318,9 @@ def _group_topk(k: int, metric: str):
             return pd.DataFrame({"id": [], "nid": [], "score": []})
         qv = np.stack(q["v"].to_numpy()).astype(float)
         cv = np.stack(c["v"].to_numpy()).astype(float)
-        a, b, sc, _ = _topk_rows(_scores(qv, cv, metric), q["id"].to_numpy().astype(np.int64),
-                                 c["id"].to_numpy().astype(np.int64), k)
-        return pd.DataFrame({"id": a, "nid": b, "score": sc})
+        qid, cid = q["id"].to_numpy().astype(np.int64), c["id"].to_numpy().astype(np.int64)
+        a, b, sc, _ = _nearest(qv, cv, qid, cid, k, metric)
+        return pd.DataFrame({"id": qid[a], "nid": cid[b], "score": sc})
     return run
 
 
@@ -365,13 +373,22 @@ def knn_pivot(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
 
 # ---- query samples -----------------------------------------------------------------
 
+def _codes(*ids: np.ndarray) -> list[np.ndarray]:
+    """Integers in the order of the ids (of any orderable type), the same for equal ids."""
+    if all(i.dtype != object for i in ids):
+        return list(ids)
+    _, code = np.unique(np.concatenate([i.ravel() for i in ids]), return_inverse=True)
+    cuts = np.cumsum([i.size for i in ids])[:-1]
+    return [c.reshape(i.shape) for c, i in zip(np.split(code, cuts), ids)]
+
+
 def _merge_topk(best, new, k):
     """Keep the k best (score, id) per query row of two candidate sets."""
     if best is None:
         return new
     s = np.concatenate([best[0], new[0]], axis=1)
     i = np.concatenate([best[1], new[1]], axis=1)
-    order = np.lexsort((i, s), axis=-1)[:, :k]
+    order = np.lexsort((_codes(i)[0], s), axis=-1)[:, :k]
     return np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
 
 
@@ -387,33 +404,64 @@ def _emit(best, qid, kind):
 QUERY_CHUNK = 1024  # queries scored at once against an Arrow batch (chunk x batch doubles)
 
 
-def _query_topk(qid, qvec, qcodes, k: int, metric: str, with_candidates: bool):
-    """Per partition: a running top-k per query over all its batches, emitted once.
-    Queries are scored in chunks, so a task holds QUERY_CHUNK x batch scores at a time."""
+class _Queries:
+    """Running top-k of some queries over blocks of the corpus, scored in chunks of QUERY_CHUNK queries."""
+
+    def __init__(self, ids: np.ndarray, vec: np.ndarray, codes: np.ndarray | None, k: int, metric: str):
+        self.ids, self.vec, self.codes, self.k, self.metric = ids, vec, codes, k, metric
+        self.starts = list(range(0, len(ids), QUERY_CHUNK))
+        self.best = {kind: [None] * len(self.starts) for kind in (["all"] if codes is None else ["all", "cand"])}
+
+    def add(self, cid: np.ndarray, c: np.ndarray, codes: np.ndarray | None) -> None:
+        own, other = _codes(self.ids, cid)
+        for at, q0 in enumerate(self.starts):
+            part = slice(q0, q0 + QUERY_CHUNK)
+            score = _scores(self.vec[part], c, self.metric)
+            kinds = {"all": score}
+            if self.codes is not None:  # J9: a shared token at any level
+                share = np.zeros(score.shape, dtype=bool)
+                for level in range(self.codes.shape[1]):
+                    share |= self.codes[part, level][:, None] == codes[:, level][None, :]
+                kinds["cand"] = np.where(share, score, np.inf)
+            for kind, own_score in kinds.items():
+                r, col, s, rank = _nearest(self.vec[part], c, own[part], other, self.k, self.metric, score=own_score)
+                m = min(self.k, len(cid))
+                dense_s, dense_i = np.full((len(score), m), np.inf), np.full((len(score), m), cid[0], dtype=cid.dtype)
+                dense_s[r, rank - 1], dense_i[r, rank - 1] = s, cid[col]
+                self.best[kind][at] = _merge_topk(self.best[kind][at], (dense_s, dense_i), self.k)
+
+    def rows(self) -> pd.DataFrame:
+        out = [_emit(best, self.ids[q0:q0 + QUERY_CHUNK], kind) for kind, parts in self.best.items() for q0, best in zip(self.starts, parts)]
+        return pd.concat(out, ignore_index=True) if out else _emit(None, None, None)
+
+
+def _columns(pdf: pd.DataFrame, with_codes: bool):
+    ids = pdf["id"].to_numpy()
+    return ids if ids.dtype.kind in "iu" else ids.astype(object), np.stack(pdf["v"].to_numpy()).astype(float), (
+        np.stack(pdf["codes"].to_numpy()).astype(np.int64) if with_codes else None)
+
+
+def _query_topk(qid, qvec, qcodes, k: int, metric: str):
+    """Per partition: a running top-k per query over all its batches, emitted once."""
     def run(batches):
-        best_all = [None] * len(range(0, len(qid), QUERY_CHUNK))
-        best_cand = [None] * len(best_all)
+        queries = _Queries(qid, qvec, qcodes, k, metric)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            c = np.stack(pdf["v"].to_numpy()).astype(float)
-            cid = pdf["id"].to_numpy().astype(np.int64)
-            cc = np.stack(pdf["codes"].to_numpy()).astype(np.int64) if with_candidates else None
-            for ci, q0 in enumerate(range(0, len(qid), QUERY_CHUNK)):
-                qs = slice(q0, q0 + QUERY_CHUNK)
-                score = _scores(qvec[qs], c, metric)
-                best_all[ci] = _merge_topk(best_all[ci], _batch_topk(score, qid[qs], cid, k), k)
-                if with_candidates:
-                    share = (qcodes[qs][:, None, :] == cc[None, :, :]).any(axis=2)  # J9: any level
-                    best_cand[ci] = _merge_topk(best_cand[ci],
-                                                _batch_topk(np.where(share, score, np.inf), qid[qs], cid, k), k)
-        out = []
-        for ci, q0 in enumerate(range(0, len(qid), QUERY_CHUNK)):
-            qs = qid[q0:q0 + QUERY_CHUNK]
-            out.append(_emit(best_all[ci], qs, "all"))
-            if with_candidates:
-                out.append(_emit(best_cand[ci], qs, "cand"))
-        yield pd.concat(out, ignore_index=True)
+            if len(pdf):
+                queries.add(*_columns(pdf, qcodes is not None))
+        yield queries.rows()
+    return run
+
+
+def _block_topk(k: int, metric: str, with_codes: bool, block_rows: int):
+    """One (query block, corpus block): the queries' top-k among the block's corpus rows."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, c = pdf[pdf["query"]], pdf[~pdf["query"]]
+        if len(q) == 0 or len(c) == 0:
+            return _emit(None, None, None)
+        queries = _Queries(*_columns(q, with_codes), k, metric)
+        for lo in range(0, len(c), block_rows):
+            queries.add(*_columns(c.iloc[lo:lo + block_rows], with_codes))
+        return queries.rows()
     return run
 
 
@@ -430,50 +478,36 @@ def topk_merge(df: DataFrame, keys: list[str], k: int, fanout: int = 256) -> Dat
 
 def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
                vec_col: str = "features", metric: str = "cosine", codes_col: str | None = None,
-               normalize: bool = True) -> DataFrame:
-    """K2 (and the scoring half of K4): top-k corpus rows for each query row.
-
-    ``queries`` are the only data shipped to the tasks; more than ``MAX_QUERIES`` of them are
-    dealt by hash into parts below that, each taking its own scan of the corpus.  Output ``qid, kind, rank, nid,
-    score`` where ``kind`` is ``all`` or (with ``codes_col``) ``cand``: only
-    rows sharing a token with the query at some level.
+               normalize: bool = True, block_rows: int = 8192, few: int | None = None) -> DataFrame:
+    """K2 (and the scoring half of K4): top-k corpus rows for each query row, for any number of queries.
+
+    Up to ``few`` (``FEW_QUERIES``) queries, counted, are shipped to the tasks and the corpus is scanned once.  More are dealt into
+    blocks of about ``block_rows`` rows, as is the corpus; each pair of blocks is one grouped task, so a query is
+    copied once per corpus block and a corpus row once per query block, and nothing reaches the driver.  Output ``qid,
+    kind, rank, nid, score`` where ``kind`` is ``all`` or (with ``codes_col``) ``cand``: only
+    rows sharing a token with the query at some level.  Ties go to the lower id, in the order of the id's own type.
     """
     vec = l2_normalize(as_doubles(vec_col)) if normalize and metric == "cosine" else as_doubles(vec_col)
-    keep = [id_col, vec_col] + ([codes_col] if codes_col else [])
-    corpus, mapping = numeric_ids(corpus.select(*keep), id_col)
-    if mapping is not None:  # queries are rows of the corpus: same surrogate ids
-        queries = queries.select(*keep).join(mapping, id_col)
-    else:
-        queries = queries.select(*keep).withColumn("_nid", F.col(id_col).cast("bigint"))
-    cols = [F.col("_nid").alias("id"), vec.alias("v")]
-    if codes_col:
-        cols.append(F.col(codes_col).alias("codes"))
-    n_queries = queries.limit(MAX_QUERIES + 1).count()
-    if n_queries > MAX_QUERIES:
-        n_parts = math.ceil(queries.count() * 2 / MAX_QUERIES)
-        part = F.pmod(F.xxhash64("_nid"), F.lit(n_parts))
-        answers = [_query_part(corpus, queries.filter(part == i).select(*cols).collect(), cols, k, metric, codes_col)
-                   for i in range(n_parts)]
-        res = answers[0]
-        for a in answers[1:]:
-            res = res.unionByName(a)
+    cols = [F.col(id_col).alias("id"), vec.alias("v")] + ([F.col(codes_col).alias("codes")] if codes_col else [])
+    kind = corpus.schema[id_col].dataType.simpleString()
+    corpus, queries = corpus.select(*cols), queries.select(*cols)
+    schema = f"qid {kind}, nid {kind}, score double, kind string"
+    few = FEW_QUERIES if few is None else few
+    if few and queries.limit(few + 1).count() <= few:
+        rows = queries.toPandas()
+        if not len(rows):
+            return corpus.sparkSession.createDataFrame([], f"qid {kind}, kind string, rank int, nid {kind}, score double")
+        part = corpus.mapInPandas(_query_topk(*_columns(rows, codes_col is not None), k, metric), schema)
     else:
-        res = _query_part(corpus, queries.select(*cols).collect(), cols, k, metric, codes_col)
-    if mapping is not None:
-        res = _back(res, mapping, {"qid": "__q", "nid": "__n"}).select(
-            F.col("__q").alias("qid"), "kind", "rank", F.col("__n").alias("nid"), "score")
-    return res
-
-
-def _query_part(corpus: DataFrame, qrows: list, cols: list, k: int, metric: str, codes_col: str | None) -> DataFrame:
-    if not qrows:
-        return corpus.sparkSession.createDataFrame([], "qid long, kind string, rank int, nid long, score double")
-    qid = np.array([r["id"] for r in qrows], dtype=np.int64)
-    qvec = np.array([r["v"] for r in qrows], dtype=float)
-    qcodes = np.array([r["codes"] for r in qrows], dtype=np.int64) if codes_col else None
-    src = corpus.select(*cols)
-    part = src.mapInPandas(_query_topk(qid, qvec, qcodes, k, metric, codes_col is not None),
-                           "qid long, nid long, score double, kind string")
+        n_q, n_c = (max(1, math.ceil(x.count() / block_rows)) for x in (queries, corpus))
+
+        def dealt(df: DataFrame, is_query: bool) -> DataFrame:
+            own, other = ("qb", "cb") if is_query else ("cb", "qb")
+            n_own, n_other = (n_q, n_c) if is_query else (n_c, n_q)
+            return df.select("*", F.lit(is_query).alias("query"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own),
+                             F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+        both = dealt(queries, True).unionByName(dealt(corpus, False))
+        part = both.groupBy("qb", "cb").applyInPandas(_block_topk(k, metric, codes_col is not None, block_rows), schema)
     top = topk_merge(part, ["qid", "kind"], k)
     sc = -F.col("score") if metric == "cosine" else F.col("score")
     return top.select("qid", "kind", "rank", "nid", sc.alias("score"))
@@ -483,11 +517,11 @@ def token_candidates(codes: DataFrame, queries: DataFrame, id_col: str = "id",
                      codes_col: str = "codes") -> DataFrame:
     """``(qid, id)`` rows sharing a token with the query at ANY level, self excluded.
 
-    Up to ``MAX_QUERIES`` queries (counted) the query side is broadcast and the corpus side
+    Up to ``FEW_QUERIES`` queries (counted) the query side is broadcast and the corpus side
     streamed once, so a token that holds a third of all rows is no hot spot; beyond that the
     sides meet in a shuffle join, whose hot tokens adaptive execution splits.
     """
-    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
     q = queries.select(F.col(id_col).alias("qid"),
                        F.posexplode(codes_col).alias("level", "token"))
     c = codes.select(F.col(id_col).alias("id"), F.posexplode(codes_col).alias("level", "token"))

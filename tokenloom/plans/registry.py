@@ -865,6 +865,18 @@ def q_cosine_topk(spark, d):
     return top.filter(F.col("kind") == "all").select("qid", "rank", "nid")
 
 
+@register("cosine_topk_all", "WITH " + EMB_SQL + "," + NORM_SQL + """,
+named AS (SELECT 't' || vec_id AS id, v FROM en),
+sims AS (SELECT a.id AS qid, b.id AS nid, list_dot_product(a.v, b.v) AS s FROM named a JOIN named b ON a.id <> b.id)
+SELECT qid, CAST(rank AS INTEGER) AS rank, nid FROM
+  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, nid) AS rank FROM sims) WHERE rank <= 10""")
+def q_cosine_topk_all(spark, d):
+    """K2/J8 with every row a query and string ids: query blocks meet corpus blocks."""
+    e = embeddings(spark, d).select(F.concat(F.lit("t"), "vec_id").alias("track"), "features")
+    top = neighbors.query_topk(e, e, 10, "track", "features", "cosine", few=0, block_rows=2048)
+    return top.filter(F.col("kind") == "all").select("qid", "rank", "nid")
+
+
 @register("candidate_lookup", "WITH " + RVQ_SQL + "," + QSAMPLE_SQL + """,
 cl AS (SELECT vec_id, generate_subscripts(codes, 1) AS level, unnest(codes) AS token FROM rvq)
 SELECT DISTINCT q.vec_id AS qid, c.vec_id AS id

@@ -1,8 +1,9 @@
 """Near-duplicate documents: chosen-path set similarity join on word shingles.
 
 1. Each document gets its set of distinct word shingles (64-bit hashes), a 128-bit fingerprint of the
-   set and a signature of minwise tokens.  Documents with equal sets are one class, numbered by the fingerprint's first
-   half; classes, not ids, are joined, and the smallest id of each component is looked up at the end.
+   set and a signature of minwise tokens.  Documents with equal sets are one class; its number is its smallest id, or,
+   where that is the smallest id of another class too (one id with several texts), the fingerprint's first half.
+   Classes, not ids, are joined, and the smallest id of each component is looked up at the end.
 2. Each of several independent trees sends a document to the node of its minwise token at a coordinate of the tree's
    own.  A node with more than ``leaf`` documents is split by the tree's further coordinates, ``levels`` at most.  No
    coordinate serves twice, so a pair at the threshold shares a node of a tree with the chance similarity ** levels
@@ -78,7 +79,7 @@ def _signatures(lower: bool, width: int):
                 out.append((i, len(s), own, _number(own) if own else None, signature(s).tobytes() if own else None, digest))
             types = pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()
             columns = zip(*out) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n", "print", "id", "tokens", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n", "print", "mark", "tokens", "digest"])
     return run
 
 
@@ -87,13 +88,13 @@ def _full_sets(lower: bool, width: int):
     def run(batches):
         done = set()
         for batch in batches:
-            for ids, texts, nodes, stars in H.chunks(batch, columns=4):
+            for ids, texts, nodes, stars, marks in H.chunks(batch, columns=5):
                 words, counts = H.hashed_words(texts, lower)
                 at, out = 0, []
-                for i, n, own, star in zip(ids, counts.tolist(), nodes, stars):
+                for i, n, own, star, mark in zip(ids, counts.tolist(), nodes, stars, marks):
                     held = H.shingle_set(words[at:at + n], width)
                     at += n
-                    if i not in done and len(held) and _number(_fingerprint(held)) == i:
+                    if i not in done and len(held) and _number(_fingerprint(held)) == mark:
                         done.add(i)
                         out += [(node, s, i, held.tobytes()) for node, s in zip(own, star)]
                 if out:
@@ -222,8 +223,8 @@ def _compared(leaves: DataFrame, docs: DataFrame, classes: DataFrame, lower: boo
     """Links within the leaves (``ids`` array, ``star`` boolean), on the full sets."""
     wanted = _members(leaves).groupBy("id").agg(
         F.collect_list("node").alias("nodes"), F.collect_list("star").alias("stars"))
-    wanted = wanted.join(classes.select("id", F.col("low").alias("doc_id")), "id")
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("id", "text", "nodes", "stars").mapInArrow(
+    wanted = wanted.join(classes.select("id", "mark", F.col("low").alias("doc_id")), "id")
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("id", "text", "nodes", "stars", "mark").mapInArrow(
         released(_full_sets(lower, width)), "node bigint, star boolean, id bigint, shingles binary")
     return map_groups(rows, "node", _compare(percent), "a bigint, b bigint")
 
@@ -236,9 +237,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, lower: b
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     signed = cut_lineage(own.mapInArrow(released(_signatures(lower, width)),
-                                        "doc_id bigint, n bigint, print binary, id bigint, tokens binary, digest bigint"))
+                                        "doc_id bigint, n bigint, print binary, mark bigint, tokens binary, digest bigint"))
     classes = cut_lineage(signed.where("doc_id IS NOT NULL AND print IS NOT NULL").groupBy("print").agg(
-        F.first("id").alias("id"), F.min("doc_id").alias("low"), F.first("tokens").alias("tokens")))
+        F.first("mark").alias("mark"), F.min("doc_id").alias("low"), F.first("tokens").alias("tokens")).withColumn("id", F.col("low")))
+    if classes.count() != classes.select("low").distinct().count():  # an id with several texts keeps its number for one of them
+        first = classes.groupBy("low").agg(F.min("print").alias("first"))
+        classes = cut_lineage(classes.join(first, "low").withColumn("id", F.when(F.col("print") == F.col("first"), F.col("low")).otherwise(
+            F.col("mark"))).drop("first"))
     out = _joined(own, signed, classes, percent, width, lower, leaf, recall, levels)
     return out if digest else out.drop("digest")
 

@@ -89,6 +89,11 @@ def test_run_full(spark, corpus):
     assert reloaded.count() == res["scores"].count()
     cov = res["document_coverage"].collect()[0]
     assert cov["coverage_pct"] == 100.0
+    written = store.read_csv(spark, f"{out}/dataset_with_semantic_ids_csv")
+    assert sorted(r.semantic_id for r in written.collect()) == sorted(r.semantic_id for r in ids.collect())
+    together = P.run_full(spark, corpus["tags"], corpus["docs"], out, ratio=0.8, n_atoms=8, n_nonzero=2, max_iter=3, batch_size=64,
+                          group_split=True)["pairs"]
+    assert together.groupBy("track_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
     tc = {r["category"]: r["n_tagged"] for r in res["tag_coverage"].collect()}
     assert tc == {"genre": 90, "mood": 60, "instrument": 72}
     assert {r["category"] for r in res["top_tags"].collect()} == {"genre", "mood", "instrument"}
@@ -118,6 +123,23 @@ def test_run_discrimination(spark, corpus):
     assert top["significant"] and top["f_statistic"] > 10
     assert {r["category"] for r in res["summary"].collect()} == {"genre", "mood", "instrument"}
     assert res["contrast_valley"].select("pair").distinct().count() == 6
+    # T5 and T9 of the top six features, and the result files
+    pairs = res["pairs"].collect()
+    values = res["pair_values"]
+    assert {(r.category, r.pair, r.feature_x, r.feature_y) for r in values.select("category", "pair", "feature_x", "feature_y").distinct().collect()} == {
+        (r.category, r.pair, r.feature_x, r.feature_y) for r in pairs}
+    labeled = res["violin_values"].groupBy("category", "feature").count().collect()
+    assert len(labeled) == 18
+    quart = {(r.category, r.feature, r.label): r for r in res["violin_quantiles"].collect()}
+    rows = res["violin_values"].filter("category = 'genre' AND label = 'rock'").collect()
+    for feature in {r.feature for r in rows}:
+        own = sorted(r.value for r in rows if r.feature == feature and r.value is not None)
+        assert quart["genre", feature, "rock"].median == own[-(-len(own) // 2) - 1]
+    assert res["violin_density"].count() >= len(quart)
+    out = corpus["root"] / "out_disc"
+    for c in ("genre", "mood", "instrument"):
+        assert store.read_csv(spark, str(out / f"discrimination_{c}_csv")).count() == d.filter(F.col("category") == c).count()
+    assert store.read_csv(spark, str(out / "discrimination_summary_csv")).count() == 3
     assert res["tonal"].filter("x IS NULL").count() == 0
 
 
@@ -188,3 +210,104 @@ def test_splits_written_and_read(spark, tmp_path):
     df = spark.createDataFrame(rows, "i long, text string, split string")
     store.write_splits(df, str(tmp_path / "s"))
     assert sorted(map(tuple, store.read_splits(spark, str(tmp_path / "s"), "i long, text string").collect())) == rows
+
+
+def plant(root, rng):
+    """A document without features, a malformed one, one with NaN text and missing leaves, a long line and a line without key."""
+    docs = root / "docs2"
+    header = "TRACK_ID\tARTIST_ID\tALBUM_ID\tPATH\tDURATION\tTAGS"
+    texts = {f"00/{i}.json": json.dumps(make_doc(rng, i % 4)) for i in range(40)}
+    texts["00/40.json"] = json.dumps({"metadata": {"x": 1}})
+    texts["00/41.json"] = "{not json"
+    part = make_doc(rng, 1)
+    del part["lowlevel"]["mfcc"], part["rhythm"]["bpm"]
+    texts["00/42.json"] = json.dumps(part)
+    for name, text in texts.items():
+        (docs / name).parent.mkdir(parents=True, exist_ok=True)
+        (docs / name).write_text(text)
+    paths = {}
+    for c, tag in (("genre", "genre---rock"), ("mood", "mood/theme---sad"), ("instrument", "instrument---piano")):
+        lines = [f"track_{i}\ta\tb\t00/{i}.mp3\t1.0\t{tag}" for i in range(45 if c != "mood" else 20)]
+        lines += [f"track_99\ta\tb\t00/99.mp3\t1.0\t{tag}\t{tag}", "track_98"]
+        p = root / f"{c}2.tsv"
+        p.write_text("\n".join([header, *lines]) + "\n")
+        paths[c] = str(p)
+    jsonl = root / "docs2.jsonl"
+    jsonl.write_text("\n".join("{broken" if t == "{not json" else json.dumps({"path": n, "doc": json.loads(t)}) for n, t in texts.items()) + "\n")
+    return paths, str(docs), str(jsonl)
+
+
+def test_counts_taken_by_the_writing_job(spark, tmp_path):
+    paths, docs, jsonl = plant(tmp_path, np.random.default_rng(13))
+    cats = ["genre", "mood", "instrument"]
+    fs = preset("full_run")
+    made = {"a": 1}
+
+    def stage(out, root, fmt):
+        return P._feature_stage(spark, str(tmp_path / out), paths, cats, 2, root, fs, made, False, fmt, None)
+    for fmt, root, n_docs, n_bad in (("files", docs, 43, 1), ("jsonl", jsonl, 42, 0)):
+        feats, observed = stage(f"features_{fmt}", root, fmt)
+        got = {(r.stage, r.metric): r.value for r in observed.collect()}
+        for c in cats:
+            assert got[f"lines_{c}", "n_rows"] == (47 if c != "mood" else 22)
+            assert (got[f"lines_{c}", "n_long"], got[f"lines_{c}", "n_short"], got[f"lines_{c}", "n_null_key"]) == (1, 1, 1)
+        assert (got["merged", "n_rows"], got["merged", "n_kept"], got["merged", "n_mood"], got["merged", "kept_mood"]) == (45, 45, 20, 20)
+        assert got["wanted", "n_rows"] == 45 and got["found", "n_rows"] == n_docs
+        assert (got["documents", "n_rows"], got["documents", "n_malformed"]) == (n_docs, n_bad)
+        assert got["found", "n_empty"] == 1 + n_bad and feats.count() == 41
+        missing = feats.select(F.sum(F.size(F.filter("features", lambda v: v.isNull() | F.isnan(v))))).first()[0]
+        assert got["found", "n_filled"] == missing > 0
+        cover = P.observed_reports(observed, cats)
+        row = cover["document_coverage"].first()
+        assert (row.n_rows, row.n_found) == (45, n_docs) and row.coverage_pct == pytest.approx(100 * n_docs / 45)
+        assert {r.category: r.n_tagged for r in cover["tag_coverage"].collect()} == {"genre": 45, "mood": 20, "instrument": 45}
+        kept = cover["retention"].first()
+        assert (kept.n_total, kept.n_kept, kept.pct_kept, kept.mood_tagged) == (45, 45, 100.0, 20)
+        wide = store.read_csv(spark, str(tmp_path / f"features_{fmt}_csv"))
+        assert wide.count() == 41 and set(fs.names) <= set(wide.columns)
+        packed, names = pack_wide(wide)  # P16 over the stored CSV
+        assert names == fs.names and packed.select(F.size("features")).first()[0] == fs.width
+        # a second call reads the stored table and the stored counts
+        again, seen = stage(f"features_{fmt}", root, fmt)
+        assert {(r.stage, r.metric): r.value for r in seen.collect()} == got and again.count() == 41
+
+
+def test_counts_need_no_scan_of_their_own(spark, tmp_path):
+    paths, docs, _ = plant(tmp_path, np.random.default_rng(14))
+    cats, fs, tracker = ["genre", "mood", "instrument"], preset("selected"), spark.sparkContext.statusTracker()
+    counts = []
+    for name, watch in (("plain", None), ("watched", store.Watch())):
+        spark.sparkContext.setJobGroup(f"counts-{name}", name)
+        tags = P.load_tags(spark, paths, header=None, watch=watch)
+        tags = watch.on(tags, "merged", n=F.count(F.lit(1))) if watch else tags
+        P.build_feature_table(spark, tags, docs, fs, watch=watch).write.parquet(str(tmp_path / name))
+        counts.append(len(tracker.getJobIdsForGroup(f"counts-{name}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] and len(watch.rows()) > 10
+
+
+def test_shredded_documents(spark, tmp_path):
+    """Typed leaves give every feature set what the documents give, and are all that is read."""
+    _, docs, jsonl = plant(tmp_path, np.random.default_rng(15))
+    for fmt, root in (("files", docs), ("jsonl", jsonl)):
+        path = str(tmp_path / f"shredded_{fmt}")
+        P.store_documents(spark, root, path, fmt)
+        parsed = spark.read.parquet(path)
+        tags = parsed.select(F.col("rel_path").alias("track_id"), F.replace("rel_path", F.lit(".json"), F.lit(".mp3")).alias("path"))
+        for name in ("base", "full_run", "comprehensive", "selected", "all"):
+            fs = preset(name)
+            for strategy in ("extract_first", "shuffle"):
+                one, two = (P.build_feature_table(spark, tags, r, fs, strategy, f) for r, f in ((root, fmt), (path, "shredded")))
+                assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+        fs = preset("selected")
+        some = spark.createDataFrame([("a", "00/1.mp3")], "track_id string, path string")
+        scans = P.build_feature_table(spark, some, path, fs, doc_format="shredded")._jdf.queryExecution().sparkPlan().collectLeaves()
+        read = [{x.split("#")[0] for x in scans.apply(i).output().mkString(",").split(",")} for i in range(scans.size())]
+        assert any(own == {"rel_path", *fs.leaves()} for own in read), read  # its own leaves, not the document
+        assert len(fs.leaves()) < 60 < len(parsed.columns)
+    assert P.parsed_documents(spark, path, "shredded").count() == 42
+    from tokenloom.sources.documents import document_names
+    names = document_names(spark, path, "shredded")
+    assert "ReadSchema: struct<rel_path:string>" in names._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        P.parsed_documents(spark, path, "xml")

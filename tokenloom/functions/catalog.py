@@ -89,8 +89,8 @@ def picked(key: str, path: str, prefix: str, idx: list[int]) -> Extractor:
 def tonality(key: str) -> Extractor:
     names = ("key_vector_x", "key_vector_y", "key_vector_z")
     return Extractor(key, names, lambda d: J.key_vector(
-        F.try_variant_get(d, "$.tonal.key_key", "string"),
-        F.try_variant_get(d, "$.tonal.key_scale", "string"),
+        J.leaf(d, "tonal.key_key", "string"),
+        J.leaf(d, "tonal.key_scale", "string"),
         J.scalar(d, "tonal.key_strength")))
 
 
@@ -208,6 +208,13 @@ class FeatureSet:
     def width(self) -> int:
         return len(self.names)
 
+    def leaves(self) -> dict[str, tuple[str, str]]:
+        """The leaves that the set reads: column of a shredded table -> (path, type)."""
+        wanted = J.Wanted()
+        self.columns(wanted)
+        self.vector(wanted)
+        return wanted.leaves
+
     def columns(self, doc: Column) -> list[Column]:
         """One double column per feature name; later duplicates are dropped."""
         out, seen = [], set()
@@ -302,6 +309,12 @@ def preset(name: str) -> FeatureSet:
 EXCLUDE_COLS = ["track_id", "path", "genre", "mood", "instrument", "json_full"]
 
 
+def all_leaves() -> dict[str, tuple[str, str]]:
+    """The leaves of all feature sets with all their options."""
+    sets = [preset(n) for n in PRESETS] + [base_set(True, True, True, True, True, True), comprehensive_set(True, True)]
+    return {name: own for fs in sets for name, own in fs.leaves().items()}
+
+
 def feature_columns(columns: list[str], exclude: list[str] = EXCLUDE_COLS) -> list[str]:
     """Feature columns of a wide table are all columns not in the exclusion list."""
     return [c for c in columns if c not in exclude]

@@ -3,11 +3,15 @@
 Every reader is a plain column expression: a missing path, a JSON null or a
 leaf of the wrong shape gives null instead of failing the job (D4).  The
 ``strict`` reader raises on a missing path, as a contract check.
+
+A document is a variant column, or ``Leaves``: a table whose typed columns hold
+the leaves already (``sources.documents.shred``).  The readers are the same.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,14 +27,44 @@ def _p(path: str) -> str:
     return path if path.startswith("$") else "$." + path
 
 
+class Leaves:
+    """The columns of a shredded table, one for each leaf path and type."""
+
+    KINDS = {"double": "n", "string": "s", "array<double>": "a", "array<array<double>>": "m"}
+
+    @classmethod
+    def name(cls, path: str, kind: str) -> str:
+        plain = re.sub(r"[^A-Za-z0-9_]", lambda m: {".": "__", "[": "_at_", "]": ""}.get(m.group(), f"_{ord(m.group()):x}_"), _p(path)[2:])
+        return f"{cls.KINDS[kind]}_{plain}"
+
+    def leaf(self, path: str, kind: str) -> Column:
+        return F.col(self.name(path, kind))
+
+
+class Wanted(Leaves):
+    """Notes which leaves a projection reads."""
+
+    def __init__(self) -> None:
+        self.leaves: dict[str, tuple[str, str]] = {}
+
+    def leaf(self, path: str, kind: str) -> Column:
+        self.leaves[self.name(path, kind)] = (_p(path), kind)
+        return F.lit(None).cast(kind)
+
+
+def leaf(doc: Column | Leaves, path: str, kind: str) -> Column:
+    """The value at a path as ``double``, ``string``, ``array<double>`` or ``array<array<double>>``, else null."""
+    return doc.leaf(path, kind) if isinstance(doc, Leaves) else F.try_variant_get(doc, _p(path), kind)
+
+
 def scalar(doc: Column, path: str) -> Column:
     """Number at a dotted path."""
-    return F.try_variant_get(doc, _p(path), "double")
+    return leaf(doc, path, "double")
 
 
 def strict_scalar(doc: Column, path: str) -> Column:
     """P3 strict form: a missing or non-numeric leaf raises."""
-    v = F.try_variant_get(doc, _p(path), "double")
+    v = leaf(doc, path, "double")
     return F.when(v.isNotNull(), v).otherwise(
         F.raise_error(F.lit(f"missing feature leaf {path}")).cast("double"))
 
@@ -54,16 +88,15 @@ def stat(doc: Column, path: str, name: str) -> Column:
 def array_leaf(doc: Column, path: str) -> Column:
     """Numeric array leaf, flattened like ``ravel``: a 2-D leaf gives its rows one
     after another, a scalar gives a one-element array."""
-    p = _p(path)
-    scalar_ = F.try_variant_get(doc, p, "double")
-    nested = F.try_variant_get(doc, p + "[0]", "array<double>").isNotNull()
+    scalar_ = leaf(doc, path, "double")
+    nested = leaf(doc, path + "[0]", "array<double>").isNotNull()
     return (F.when(scalar_.isNotNull(), F.array(scalar_))
-            .when(nested, F.flatten(F.try_variant_get(doc, p, "array<array<double>>")))
-            .otherwise(F.try_variant_get(doc, p, "array<double>")))
+            .when(nested, F.flatten(leaf(doc, path, "array<array<double>>")))
+            .otherwise(leaf(doc, path, "array<double>")))
 
 
 def matrix_leaf(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, _p(path), "array<array<double>>")
+    return leaf(doc, path, "array<array<double>>")
 
 
 # Pitch classes in chromatic order from C (key names as written

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions.tags import split_tags
 from ..functions.vectors import as_doubles, nan_to_zero
+from ..session import cut_lineage
 
 
 # ---- P18 ---------------------------------------------------------------------------
@@ -211,13 +212,82 @@ def feature_pairs(res: DataFrame, group_cols: list[str], n: int = 6) -> DataFram
     return a.join(b, group_cols + ["pair"], "left")
 
 
-def value_quantiles(long: DataFrame, group_cols: list[str], value_col: str = "value",
-                    accuracy: int = 100_000) -> DataFrame:
-    """Count and quartiles per group with a bounded-memory quantile sketch."""
-    q = F.percentile_approx(value_col, [0.25, 0.5, 0.75], accuracy)
-    return (long.groupBy(*group_cols).agg(F.count("*").alias("n"), q.alias("q"))
-            .select(*group_cols, "n", F.get("q", 0).alias("q25"), F.get("q", 1).alias("median"),
-                    F.get("q", 2).alias("q75")))
+#: Value ranges of a refinement pass, and groups above which their states meet the rows in a shuffle join.
+RANGES, FEW_GROUPS = 1024, 100_000
+
+
+def _place(v, lo, hi, by_ratio):
+    """The number of the range of ``v`` within [lo, hi]: equal widths, or widths that halve towards ``lo`` (for
+    values of very different sizes).  It never falls as ``v`` grows."""
+    span = hi - lo
+    huge = F.lit(1.7976931348623157e308)
+    t = F.when(span <= huge, (v - lo) / span).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+    even = F.least(F.floor(t * RANGES), F.lit(RANGES - 1).cast("bigint"))
+    ratio = F.when(t <= 0, 0).otherwise(F.greatest(F.lit(1).cast("bigint"), RANGES - 1 + F.floor(F.log2(t) * 16)))
+    inner = F.when(F.lit(by_ratio), ratio).otherwise(even)
+    # infinite ends are ranges of their own
+    return F.when(v == lo, F.lit(-1).cast("bigint")).when(v == hi, F.lit(RANGES).cast("bigint")).otherwise(F.coalesce(inner, F.lit(0).cast("bigint")))
+
+
+def value_quantiles(long: DataFrame, group_cols: list[str], value_col: str = "value", passes: int = 200) -> DataFrame:
+    """Count and quartiles per group, exact at any size: the smallest value with at least that share of the group's
+    values up to it.  Nulls and NaN count as rows but are no values.
+
+    Distributed selection by range refinement.  Each quartile of each group has a rank and a value range that holds it;
+    a pass counts the values of all groups by ``RANGES`` parts of their ranges, keeps the part of each rank (its least and
+    largest value are the next range), and ends where that is one value.  Equal parts and parts of equal ratio take
+    turns.  A pass shuffles at most ``RANGES`` + 2 counts for each quartile; no value is collected or sorted."""
+    key = F.struct(*group_cols)
+    v = F.col(value_col).cast("double")
+    rows = long.select(key.alias("g"), F.when(~F.isnan(v), v).alias("v"))
+    total = cut_lineage(rows.groupBy("g").agg(F.count("*").alias("n"), F.count("v").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    few = total.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    share = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    state = total.where("m > 0").select("g", share.alias("q"), F.lit(0).cast("bigint").alias("below"), "m", "lo", "hi")
+    state = state.withColumn("rank", F.greatest(F.ceil(F.col("q") * F.col("m")), F.lit(1).cast("bigint"))).drop("m")
+    state, done = cut_lineage(state), []
+    for turn in range(passes):
+        done.append(state.where("lo = hi").select("g", "q", F.col("lo").alias("value")))
+        state = state.where("lo < hi")
+        if state.isEmpty():
+            break
+        # the ranges of a group's three quartiles in one row
+        side = state.groupBy("g").agg(F.collect_list(F.struct("q", "rank", "below", "lo", "hi")).alias("open"))
+        side = side.withColumnRenamed("g", "own")
+        met = rows.where("v IS NOT NULL").join(F.broadcast(side) if few else side, F.col("g").eqNullSafe(F.col("own")))
+        inside = met.select("g", "v", F.explode("open").alias("s")).where((F.col("v") >= F.col("s.lo")) & (F.col("v") <= F.col("s.hi")))
+        at = _place(F.col("v"), F.col("s.lo"), F.col("s.hi"), turn % 2 == 1)
+        parts = inside.groupBy("g", F.col("s.q").alias("q"), F.col("s.rank").alias("rank"), F.col("s.below").alias("below"), at.alias("at")).agg(
+            F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        w = Window.partitionBy("g", "q").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumn("upto", F.col("below") + F.sum("c").over(w)).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        state = cut_lineage(parts.select("g", "q", (F.col("upto") - F.col("c")).alias("below"), "lo", "hi", "rank"))
+    else:
+        raise RuntimeError(f"quantiles: not settled after {passes} passes")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    one = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    found = found.groupBy(F.col("g").alias("own")).agg(one(0.25).alias("q25"), one(0.5).alias("median"), one(0.75).alias("q75"))
+    out = total.join(found, F.col("g").eqNullSafe(F.col("own")), "left")
+    return out.select(*[F.col(f"g.{c}").alias(c) for c in group_cols], "n", "q25", "median", "q75")
+
+
+def value_density(long: DataFrame, group_cols: list[str], value_col: str = "value", bins: int = 32) -> DataFrame:
+    """The outline of each group's violin: ``bin`` (from 0), its ``left`` and ``right`` edge between the group's least and
+    largest value, ``n`` values and their ``density`` (share of the group over the width; null for a group of one value).
+    Nulls, NaN and infinite values are left out; empty bins have no row."""
+    v = F.col(value_col).cast("double")
+    rows = long.select(F.struct(*group_cols).alias("g"), v.alias("v")).where(F.abs(v) < F.lit(float("inf")))
+    ends = rows.groupBy("g").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnRenamed("g", "own")
+    few = ends.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    met = rows.join(F.broadcast(ends) if few else ends, F.col("g").eqNullSafe(F.col("own")))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1).cast("bigint"))).otherwise(0)
+    counted = met.groupBy("g", "m", "lo", "hi", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    return counted.select(*[F.col(f"g.{c}").alias(c) for c in group_cols], "bin", (F.col("lo") + F.col("bin") * width).alias("left"),
+                          (F.col("lo") + (F.col("bin") + 1) * width).alias("right"), "n",
+                          F.when(width > 0, F.col("n") / F.col("m") / width).alias("density"))
 
 
 def contrast_valley_pairs(names: list[str]) -> list[tuple[str, str]]:
@@ -238,6 +308,39 @@ def pair_values(features: DataFrame, labels: DataFrame, names: list[str], pairs:
     return j.select(*carry, F.explode(arr).alias("p")).select("p.pair", "p.x", "p.y", *carry)
 
 
+def _top_features(res: DataFrame, names: list[str], n: int) -> list[tuple[str, int, str]]:
+    """(category, rank, feature) of the top ``n`` features of each category: at most n rows a category reach the driver."""
+    rows = res.filter(F.col("rank") <= n).select("category", "rank", "feature").collect()
+    return sorted((r["category"], r["rank"], r["feature"]) for r in rows if r["feature"] in set(names))
+
+
+def top_feature_values(features: DataFrame, labels: DataFrame, names: list[str], res: DataFrame, n: int = 6, key: str = "track_id",
+                       col: str = "features") -> DataFrame:
+    """Violin input (T9): ``(category, feature, label, value)`` of the top ``n`` features of each category, per labeled track."""
+    idx = {f: i for i, f in enumerate(names)}
+    top = _top_features(res, names, n)
+    kind = "array<struct<category:string,feature:string,value:double>>"
+    arr = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(f).alias("feature"), F.get(F.col(col), idx[f]).alias("value")) for c, _, f in top]).cast(kind)
+    j = labels.select(key, F.col("category").alias("own"), "label").join(features.select(key, col), key)
+    each = j.select("label", F.explode(F.filter(arr, lambda s: s["category"] == F.col("own"))).alias("p"))
+    return each.select("p.category", "p.feature", "label", "p.value")
+
+
+def top_pair_values(features: DataFrame, labels: DataFrame, names: list[str], res: DataFrame, n: int = 6, key: str = "track_id",
+                    col: str = "features") -> DataFrame:
+    """Scatter input (T5): ``(category, pair, feature_x, feature_y, x, y, label)`` of the consecutive pairs among each category's top ``n``
+    features, per labeled track."""
+    idx = {f: i for i, f in enumerate(names)}
+    by = {(c, r): f for c, r, f in _top_features(res, names, n)}
+    pairs = [(c, (r + 1) // 2, f, by[c, r + 1]) for (c, r), f in sorted(by.items()) if r % 2 and (c, r + 1) in by]
+    kind = "array<struct<category:string,pair:int,feature_x:string,feature_y:string,x:double,y:double>>"
+    arr = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(k).alias("pair"), F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"),
+                             F.get(F.col(col), idx[a]).alias("x"), F.get(F.col(col), idx[b]).alias("y")) for c, k, a, b in pairs]).cast(kind)
+    j = labels.select(key, F.col("category").alias("own"), "label").join(features.select(key, col), key)
+    each = j.select("label", F.explode(F.filter(arr, lambda s: s["category"] == F.col("own"))).alias("p"))
+    return each.select("p.*", "label")
+
+
 def tonal_vectors(features: DataFrame, labels: DataFrame, names: list[str], key: str = "track_id",
                   col: str = "features", label_col: str = "label") -> DataFrame:
     """3-D tonal plot input: the key vector of every labeled track."""

@@ -59,6 +59,10 @@ def _row_hash(x: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Groups of partitions whose seed candidates are ranked together before all are.
+SEED_GROUPS = 256
+
+
 def _distances(x: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
     """Squared distance of each row to each member of each set."""
     xx = (x * x).sum(1)[:, None]
@@ -91,7 +95,11 @@ def _race(sets: list[np.ndarray], m: int, restarts: int, salt: int, col: str):
 
 
 def _draw(data: DataFrame, sets: list[np.ndarray], m: int, restarts: int, salt: int, col: str) -> list[np.ndarray]:
-    first = data.mapInPandas(_race(sets, m, restarts, salt, col), "r int, wait double, v array<double>").distinct()
+    # two levels: the candidates of a group of partitions first, so no task ranks those of all partitions
+    group = F.pmod(F.spark_partition_id(), F.lit(SEED_GROUPS)).alias("g")
+    first = data.mapInPandas(_race(sets, m, restarts, salt, col), "r int, wait double, v array<double>").select("*", group).distinct()
+    inner = F.row_number().over(Window.partitionBy("r", "g").orderBy("wait", "v"))
+    first = first.withColumn("place", inner).filter(F.col("place") <= m).select("r", "wait", "v").distinct()
     place = F.row_number().over(Window.partitionBy("r").orderBy("wait", "v"))
     rows = first.withColumn("place", place).filter(F.col("place") <= m).collect()  # m rows a restart
     rows.sort(key=lambda row: (row["r"], row["place"]))

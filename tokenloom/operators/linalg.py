@@ -21,11 +21,51 @@ from ..functions.vectors import as_doubles
 MAX_MODEL_DIM = 4096  # d x d covariance and d-long literals stay model-sized
 
 
+def _elements(column) -> tuple[np.ndarray, np.ndarray]:
+    """Position in its list and value of every non-null element of an Arrow list column; null lists have none."""
+    lists = column.drop_null()
+    size = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten()
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    there = values.is_valid().to_numpy(zero_copy_only=False)
+    return at[there], values.filter(values.is_valid()).to_numpy()
+
+
+def _column_sums(d: int, center: np.ndarray | None):
+    """Per partition one array: the number of values and their sum by position, or the squares of their distances to ``center``."""
+    import pyarrow as pa
+
+    def run(batches):
+        out = np.zeros(2 * d)
+        for batch in batches:
+            at, v = _elements(batch.column(0))
+            out[:d] += np.bincount(at, minlength=d)
+            out[d:] += np.bincount(at, v if center is None else (v - center[at]) ** 2, minlength=d)
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["stats"])
+    return run
+
+
 def column_stats(df: DataFrame, col: str = "features") -> DataFrame:
-    """Per-dimension mean and population std: ``(idx, mean, std, n)``."""
-    long = df.select(F.posexplode(as_doubles(col)).alias("idx", "v"))
-    return long.groupBy("idx").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
-                                   F.count("v").alias("n"))
+    """Per-dimension mean and population std of the non-null values: ``(idx, mean, std, n)``.
+
+    Two passes (sums, then squares around the mean, which keeps the digits), each with one array per partition summed in a
+    tree: no element becomes a row.  A dimension without values has null mean and std."""
+    from .dictlearn import sum_partials
+
+    vec = df.select(as_doubles(col).alias("v"))
+    d = df.agg(F.max(F.size(F.col(col)))).first()[0] or 0
+    if d > MAX_MODEL_DIM:
+        raise ValueError(f"feature width {d} exceeds {MAX_MODEL_DIM}")
+    schema = "idx int, mean double, std double, n long"
+    if d <= 0:
+        return df.sparkSession.createDataFrame([], schema)
+    first = sum_partials(vec.mapInArrow(_column_sums(d, None), "stats array<double>"))
+    n = first[:d]
+    mean = np.divide(first[d:], n, out=np.zeros(d), where=n > 0)
+    second = sum_partials(vec.mapInArrow(_column_sums(d, mean), "stats array<double>"))
+    std = np.sqrt(np.divide(second[d:], n, out=np.zeros(d), where=n > 0))
+    rows = [(i, float(mean[i]), float(std[i]), int(n[i])) if n[i] else (i, None, None, 0) for i in range(d)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def vector_stats(df: DataFrame, col: str = "features") -> tuple[np.ndarray, np.ndarray, int]:

@@ -407,10 +407,11 @@ QUERY_CHUNK = 1024  # queries scored at once against an Arrow batch (chunk x bat
 class _Queries:
     """Running top-k of some queries over blocks of the corpus, scored in chunks of QUERY_CHUNK queries."""
 
-    def __init__(self, ids: np.ndarray, vec: np.ndarray, codes: np.ndarray | None, k: int, metric: str):
+    def __init__(self, ids: np.ndarray, vec: np.ndarray, codes: np.ndarray | None, k: int, metric: str, only: str | None = None):
         self.ids, self.vec, self.codes, self.k, self.metric = ids, vec, codes, k, metric
         self.starts = list(range(0, len(ids), QUERY_CHUNK))
-        self.best = {kind: [None] * len(self.starts) for kind in (["all"] if codes is None else ["all", "cand"])}
+        kinds = [only] if only else ["all"] if codes is None else ["all", "cand"]
+        self.best = {kind: [None] * len(self.starts) for kind in kinds}
 
     def add(self, cid: np.ndarray, c: np.ndarray, codes: np.ndarray | None) -> None:
         own, other = _codes(self.ids, cid)
@@ -423,7 +424,8 @@ class _Queries:
                 for level in range(self.codes.shape[1]):
                     share |= self.codes[part, level][:, None] == codes[:, level][None, :]
                 kinds["cand"] = np.where(share, score, np.inf)
-            for kind, own_score in kinds.items():
+            for kind in self.best:
+                own_score = kinds[kind]
                 r, col, s, rank = _nearest(self.vec[part], c, own[part], other, self.k, self.metric, score=own_score)
                 m = min(self.k, len(cid))
                 dense_s, dense_i = np.full((len(score), m), np.inf), np.full((len(score), m), cid[0], dtype=cid.dtype)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import is_tagged
 from ..session import cut_lineage
+from .lsh import knn_lsh
 from .neighbors import knn_exact
 
 
@@ -42,14 +43,18 @@ def neighbor_purity_from_knn(knn: DataFrame, labels: DataFrame, k: int, id_col:
 
 
 def neighbor_purity(df: DataFrame, k: int = 20, id_col: str = "id", vec_col: str = "features",
-                    label_col: str = "label", block_rows: int = 4096) -> DataFrame:
-    """K3: neighbor purity@k among labeled rows (n <= k labeled rows gives 0)."""
+                    label_col: str = "label", block_rows: int = 16_384, approximate: bool = False) -> DataFrame:
+    """K3: neighbor purity@k among labeled rows (n <= k labeled rows gives 0); ``approximate``: neighbors by hashing
+    (``lsh.knn_lsh``) instead of the exact block join."""
     labeled = df.filter(is_tagged(F.col(label_col).cast("string"))).select(id_col, vec_col, label_col)
     n = labeled.count()
     if n <= k:
         return df.sparkSession.createDataFrame([(0.0, 0.0)], "micro double, macro double")
-    knn = knn_exact(labeled, k, id_col, vec_col, "euclidean", block_rows,
-                    n_blocks=max(1, math.ceil(n / block_rows)))  # n is known: no second count
+    if approximate:
+        knn, _ = knn_lsh(labeled, k, id_col, vec_col)
+    else:
+        knn = knn_exact(labeled, k, id_col, vec_col, "euclidean", block_rows,
+                        n_blocks=max(1, math.ceil(n / block_rows)))  # n is known: no second count
     return neighbor_purity_from_knn(knn, labeled, k, id_col, label_col)
 
 
@@ -73,11 +78,11 @@ def _same_row_sets(df: DataFrame, cols: list[str]) -> list[list[str]]:
 
 def quality_report(df: DataFrame, tag_cols: list[str], cluster_col: str = "semantic_id",
                    id_col: str = "track_id", vec_col: str | None = None, k: int = 20,
-                   block_rows: int = 4096) -> DataFrame:
+                   block_rows: int = 16_384, approximate: bool = False) -> DataFrame:
     """Cluster purity (and neighbor purity@k when ``vec_col`` is given) per tag column.
 
-    Neighbor purity needs the exact kNN among each category's labeled rows; categories
-    that label the same rows share one kNN computation.
+    Neighbor purity needs the kNN among each category's labeled rows (exact, or by hashing if
+    ``approximate``); categories that label the same rows share one kNN computation.
     """
     rows = []
     for c in tag_cols:
@@ -89,9 +94,12 @@ def quality_report(df: DataFrame, tag_cols: list[str], cluster_col: str = "seman
         for group in _same_row_sets(df, tag_cols):
             labeled = df.filter(is_tagged(F.col(group[0]).cast("string")))
             n = labeled.count()
-            knn = (knn_exact(labeled.select(id_col, vec_col), k, id_col, vec_col, "euclidean", block_rows,
-                             n_blocks=max(1, math.ceil(n / block_rows)))
-                   if n > k else None)
+            knn = None
+            if n > k and approximate:
+                knn, _ = knn_lsh(labeled.select(id_col, vec_col), k, id_col, vec_col)
+            elif n > k:
+                knn = knn_exact(labeled.select(id_col, vec_col), k, id_col, vec_col, "euclidean", block_rows,
+                                n_blocks=max(1, math.ceil(n / block_rows)))
             if knn is not None and len(group) > 1:
                 knn = cut_lineage(knn)  # computed once, read by every category of the group
             for c in group:

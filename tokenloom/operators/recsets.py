@@ -123,26 +123,31 @@ def split_sizes(n: int, test_size: float = 0.2, val_share: float = 0.5) -> tuple
     return n - n_temp, n_temp - n_test, n_test
 
 
-def global_rank(df: DataFrame, order_key: Column, n_buckets: int = 64) -> DataFrame:
-    """Exact 1-based rank by ``(hash32(order_key), md5(order_key))`` without one giant partition.
+def running_total(df: DataFrame, order_key: Column, weight: Column, n_buckets: int = 64) -> DataFrame:
+    """``total``: the exact sum of the integer ``weight`` over all rows up to and with this one, in the order of
+    ``(hash32(order_key), md5(order_key))``, without one giant partition.
 
     The 32-bit hash is uniform for distinct keys, so value ranges of it form
-    balanced buckets: count per bucket (a few rows), prefix offsets on the
-    driver, and rank inside each bucket with a window partitioned by bucket.
+    balanced buckets: the sum of each bucket (a few rows), prefix offsets on the
+    driver, and a running sum inside each bucket by a window partitioned by bucket.
     """
-    h = hash32(order_key)
-    keyed = df.withColumn("_h", h).withColumn("_m", F.md5(order_key)).withColumn(
+    keyed = df.withColumn("_h", hash32(order_key)).withColumn("_m", F.md5(order_key)).withColumn("_w", weight.cast("long")).withColumn(
         "_b", F.floor(F.col("_h") * F.lit(n_buckets) / F.lit(float(1 << 32))).cast("int"))
-    counts = sorted((r["_b"], r["n"]) for r in keyed.groupBy("_b").agg(F.count("*").alias("n")).collect())
+    sums = sorted((r["_b"], r["n"]) for r in keyed.groupBy("_b").agg(F.sum("_w").alias("n")).collect())
     offsets, run = [], 0
-    for b, n in counts:
+    for b, n in sums:
         offsets.append((b, run))
         run += n
     spark = df.sparkSession
     off = spark.createDataFrame(offsets or [(0, 0)], "_b int, _off long")
-    w = Window.partitionBy("_b").orderBy("_h", "_m")
-    ranked = keyed.withColumn("_local", F.row_number().over(w)).join(F.broadcast(off), "_b")
-    return ranked.withColumn("rank", F.col("_off") + F.col("_local")).drop("_h", "_m", "_b", "_local", "_off")
+    w = Window.partitionBy("_b").orderBy("_h", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed.withColumn("_local", F.sum("_w").over(w)).join(F.broadcast(off), "_b")  # a row for each bucket
+    return out.withColumn("total", F.col("_off") + F.col("_local")).drop("_h", "_m", "_w", "_b", "_local", "_off")
+
+
+def global_rank(df: DataFrame, order_key: Column, n_buckets: int = 64) -> DataFrame:
+    """Exact 1-based ``rank`` in the order of ``running_total``."""
+    return running_total(df, order_key, F.lit(1), n_buckets).withColumnRenamed("total", "rank")
 
 
 ROWS_PER_BUCKET = 2_000_000  # rows one window task sorts in global_rank
@@ -164,11 +169,23 @@ def split_exact(df: DataFrame, key: Column, seed: int = 42, test_size: float = 0
 
 
 def split_by_group(df: DataFrame, group_col: str, seed: int = 42, test_size: float = 0.2,
-                   val_share: float = 0.5) -> DataFrame:
-    """R4 with ``group_split=True``: split distinct groups (tracks), copies follow their group."""
-    groups = df.select(group_col).distinct()
-    s = split_exact(groups, F.col(group_col), seed, test_size, val_share).select(group_col, "split")
-    return df.join(s, group_col)
+                   val_share: float = 0.5, n_buckets: int = 64) -> DataFrame:
+    """R4 for rows that must stay together (the copies of a track): whole groups in seeded hash order, row counts as near to
+    80/10/10 as groups allow.
+
+    A weighted prefix sum over the groups puts each one on the line of all rows; it goes to the split in which its
+    middle lies, so a split's size is off by at most half of the group on each of its borders.  Rows
+    without a group are one group."""
+    n = df.count()
+    n_train, n_val, _ = split_sizes(n, test_size, val_share)
+    sizes = df.groupBy(F.col(group_col).alias("_group")).agg(F.count("*").alias("_size"))
+    key = seeded_key(seed, F.coalesce(F.col("_group").cast("string"), F.lit("")))
+    n_buckets = max(n_buckets, math.ceil(n / ROWS_PER_BUCKET))
+    placed = running_total(sizes, key, F.col("_size"), n_buckets)
+    middle = 2 * F.col("total") - F.col("_size")  # twice the middle
+    part = F.when(middle <= 2 * n_train, "train").when(middle <= 2 * (n_train + n_val), "val").otherwise("test")
+    placed = placed.select("_group", part.alias("split"))
+    return df.join(placed, F.col(group_col).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def hits_at_k(candidates: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:

@@ -31,6 +31,6 @@ def plot_input(df: DataFrame, label_col: str, score_col: str, key: str, top: int
     return capped.select(key, label_col, *[F.get(F.col(score_col), i).alias(f"pc{i + 1}") for i in range(n_dims)])
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows (a limit; nothing else is computed)."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
+    """The first rows in the order of the given columns (a top-n), or any (a limit; nothing else is computed)."""
+    return df.orderBy(*order).limit(n) if order else df.limit(n)

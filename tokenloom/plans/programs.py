@@ -12,19 +12,20 @@ re-run alone and lineage is cut between stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.catalog import FeatureSet, preset
+from ..functions.catalog import FeatureSet, all_leaves, preset
 from ..functions.ids import codes_to_id
-from ..functions.tags import is_tagged
+from ..functions.json_leaf import Leaves, parse
+from ..functions.tags import is_tagged, n_tagged
 from ..operators import discriminate, idstats, linalg, recsets, rvq
 from ..operators import tags as TG
 from ..operators.dictlearn import fit_dictionary
 from ..sources import store
-from ..functions.json_leaf import parse
-from ..sources.documents import (attach_documents, document_coverage, json_name, read_documents,
-                                 read_documents_jsonl)
+from ..sources.documents import json_name, parsed_documents, read_documents, shred
 from ..sources.tags import read_tag_tsv
 from .inputs import embeddings
 
@@ -40,19 +41,10 @@ def semantic_id_counts(spark: SparkSession, sf_dir: str, ratio: float = 0.80, n_
     return idstats.id_counts(ids)
 
 
-def load_documents(spark: SparkSession, doc_root: str, doc_format: str = "files") -> DataFrame:
-    """``files``: one JSON file per track under ``doc_root``; ``jsonl``: one document per line."""
-    if doc_format == "files":
-        return read_documents(spark, doc_root)
-    if doc_format == "jsonl":
-        return read_documents_jsonl(spark, doc_root)
-    raise ValueError("doc_format must be files or jsonl")
-
-
 def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
-              multi_tag: str = "drop", header: str | None = None) -> DataFrame:
+              multi_tag: str = "drop", header: str | None = None, watch: store.Watch | None = None) -> DataFrame:
     """Stages 1-2: read each category file (S1) and merge (J1 outer / J2 inner)."""
-    tables = {cat: read_tag_tsv(spark, p, cat, multi_tag, header) for cat, p in paths.items()}
+    tables = {cat: read_tag_tsv(spark, p, cat, multi_tag, header, watch) for cat, p in paths.items()}
     if how == "outer":
         return TG.merge_outer(tables)
     cats = list(tables)
@@ -62,36 +54,63 @@ def load_tags(spark: SparkSession, paths: dict[str, str], how: str = "outer",
     return out
 
 
+def store_documents(spark: SparkSession, doc_root: str, path: str, doc_format: str = "files") -> None:
+    """Parse every document once into the shredded layout at ``path``: a typed column for each leaf of any feature set, beside
+    the document itself."""
+    shred(parsed_documents(spark, doc_root, doc_format), path, all_leaves())
+
+
 def build_feature_table(spark: SparkSession, tags: DataFrame, doc_root: str,
-                        features: FeatureSet, strategy: str = "extract_first", doc_format: str = "files") -> DataFrame:
+                        features: FeatureSet, strategy: str = "extract_first", doc_format: str = "files",
+                        watch: store.Watch | None = None) -> DataFrame:
     """Stage 3: tags joined to their documents (J5), catalog projection in one select.
 
     ``json_full`` records the document's relative name.  How documents meet tags, the same
     at every size (whether a side is broadcast is left to adaptive execution):
 
     * ``extract_first`` - every document is parsed and projected map-side, and the
-      compact feature rows (not the raw JSON text) meet the tags.
+      compact feature rows (not the raw JSON text) meet the tags.  Documents in the shredded
+      layout (``doc_format="shredded"``) are read by the leaves of the feature set only.
     * ``shuffle`` - documents and tags meet by path first and only matched documents are
       parsed; with ``spark.sql.optimizer.runtime.bloomFilter.enabled`` Spark prunes
       unmatched documents before the shuffle, so this is the better choice when only a
       small share of a large document dump has tags.
 
+    With ``watch`` the job that computes the table also counts the tag rows that want a document, the documents and the
+    malformed ones, the rows found, those without any feature (P17), and the missing values of the others (P18).
+
     The result carries no filter on purpose: a filter on document columns would be
     pushed onto the document scan.  Apply ``drop_empty_records`` (P17) to the stored
     table; a malformed document parses to null and so has only null features.
     """
-    docs = load_documents(spark, doc_root, doc_format)
     keep = [c for c in tags.columns]
+    see = watch.on if watch is not None else lambda df, stage, **metrics: df
+    keyed = see(tags.withColumn("rel_path", json_name("path")), "wanted", n_rows=F.count(F.lit(1)))
+    malformed = F.col("doc").isNull() if doc_format != "shredded" else F.col("malformed")
+    if doc_format == "shredded":
+        docs = spark.read.parquet(doc_root)
+        docs = docs.select("rel_path", "malformed", *features.leaves()) if strategy == "extract_first" else docs
+    elif strategy == "extract_first":
+        docs = parsed_documents(spark, doc_root, doc_format)
+    elif doc_format == "files":
+        docs = read_documents(spark, doc_root)
+        malformed = parse("text").isNull()
+    else:
+        docs = parsed_documents(spark, doc_root, doc_format)
+    docs = see(docs, "documents", n_rows=F.count(F.lit(1)), n_malformed=F.count_if(malformed))
+    vector = features.vector(Leaves() if doc_format == "shredded" else F.col("doc")).alias("features")
     if strategy == "extract_first":
-        parsed = docs.select("rel_path", parse("text").alias("doc"))
-        feats = parsed.select("rel_path", features.vector(F.col("doc")).alias("features"))
-        keyed = tags.withColumn("rel_path", json_name("path"))
-        return keyed.join(feats, "rel_path").select(*keep, F.col("rel_path").alias("json_full"), "features")
-    if strategy == "shuffle":
-        joined = attach_documents(tags, docs, "inner")
-        return joined.select(*keep, F.col("rel_path").alias("json_full"),
-                             features.vector(F.col("doc")).alias("features"))
-    raise ValueError("strategy must be extract_first or shuffle")
+        out = keyed.join(docs.select("rel_path", vector), "rel_path").select(*keep, F.col("rel_path").alias("json_full"), "features")
+    elif strategy == "shuffle":
+        joined = keyed.join(docs, "rel_path")
+        if doc_format == "files":
+            joined = joined.withColumn("doc", parse("text")).drop("text")
+        out = joined.select(*keep, F.col("rel_path").alias("json_full"), vector)
+    else:
+        raise ValueError("strategy must be extract_first or shuffle")
+    empty = F.array_max("features").isNull()
+    missing = F.aggregate("features", F.lit(0), lambda n, v: n + F.when(v.isNull() | F.isnan(v), 1).otherwise(0))
+    return see(out, "found", n_rows=F.count(F.lit(1)), n_empty=F.count_if(empty), n_filled=F.sum(F.when(~empty, missing)))
 
 
 def missing_leaf_counts(df: DataFrame, names: list[str], col: str = "features") -> DataFrame:
@@ -142,61 +161,82 @@ def _scores_and_ids(spark: SparkSession, out: str, suffix: str, feats: DataFrame
         model = fit_dictionary(scores, n_atoms, n_nonzero, max_iter, batch_size, seed=seed, id_col="track_id")
         store.save_model(spark, out, f"dictionary{suffix}", model.tables(spark))
         ids = model.transform(scores).withColumn("semantic_id", codes_to_id("codes"))
-        store.materialize(spark, f"{out}/dataset_with_semantic_ids{suffix}", lambda: ids, rebuild=True, made=made)
+        stored = store.materialize(spark, f"{out}/dataset_with_semantic_ids{suffix}", lambda: ids, rebuild=True, made=made)
+        store.write_csv(stored.select("track_id", "path", *cats, "codes", "semantic_id"), f"{out}/dataset_with_semantic_ids{suffix}_csv")  # S6
     return scores, variance, store.read_table(spark, f"{out}/dataset_with_semantic_ids{suffix}")
 
 
-def _stored_split(spark: SparkSession, out: str, suffix: str, pairs: DataFrame, seed: int) -> DataFrame:
+def _stored_split(spark: SparkSession, out: str, suffix: str, pairs: DataFrame, seed: int, group_split: bool = False) -> DataFrame:
     """The split training pairs, stored, and each split as CSV."""
     path = f"{out}/training_pairs{suffix}"
-    store.write_table(recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed), path)
+    store.write_table(recsets.split_by_group(pairs, "track_id", seed) if group_split
+                      else recsets.split_exact(pairs, F.concat_ws(":", "track_id", "rep"), seed), path)
     stored = store.read_table(spark, path)
     store.write_splits(stored, f"{out}/training{suffix}")
     return stored
 
 
+def _feature_stage(spark: SparkSession, path: str, tag_paths: dict[str, str], cats: list[str], least: int, doc_root: str, fs: FeatureSet,
+                   made: dict, rebuild: bool, doc_format: str, tag_header: str | None, how: str = "outer") -> tuple[DataFrame, DataFrame]:
+    """Stages 1-3 in one job: tags read and merged, rows with at least ``least`` tags kept (W1-W4), their documents' features stored at
+    ``path`` and, as CSV with a column for each feature, at ``path_csv`` (S6).  Returns the records with features (P17) and the
+    counts that the job took (S2, A1-A3, P17, P18), ``(stage, metric, value)``."""
+    def build(watch: store.Watch) -> DataFrame:
+        merged = load_tags(spark, {c: tag_paths[c] for c in cats}, how=how, header=tag_header, watch=watch)
+        kept = n_tagged(cats) >= least
+        merged = watch.on(merged, "merged", n_rows=F.count(F.lit(1)), n_kept=F.count_if(kept), **{
+            f"n_{c}": F.count_if(is_tagged(c)) for c in cats}, **{f"kept_{c}": F.count_if(kept & is_tagged(c)) for c in cats})
+        return build_feature_table(spark, merged.filter(kept), doc_root, fs, doc_format=doc_format, watch=watch)
+    written = rebuild or not store.is_current(spark, path, made)
+    stored, observed = store.materialize_watched(spark, path, build, rebuild=rebuild, made=made)
+    feats = drop_empty_records(stored)
+    if written:
+        store.write_csv(store.widen(feats, fs.names), f"{path}_csv")
+    TG.assert_unique(feats, ["path"], "feature table")  # A4
+    return feats, observed
+
+
+def observed_reports(observed: DataFrame, cats: list[str]) -> dict[str, DataFrame]:
+    """A1, A2 and A3 as tables, from the counts of the feature stage: no row is read for them."""
+    def pick(stage: str, metric: str) -> Column:
+        return F.max(F.when((F.col("stage") == stage) & (F.col("metric") == metric), F.col("value")))
+    one = observed.agg(pick("merged", "n_rows").alias("n_total"), pick("merged", "n_kept").alias("n_kept"), pick("wanted", "n_rows").alias("n_wanted"),
+                       pick("found", "n_rows").alias("n_found"), *[pick("merged", f"n_{c}").alias(f"all_{c}") for c in cats],
+                       *[pick("merged", f"kept_{c}").alias(f"{c}_tagged") for c in cats])
+    share = lambda a, b: F.try_divide(F.col(a) * 100.0, F.col(b))
+    per = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"all_{c}").alias("n_tagged")) for c in cats])).alias("x")
+    return {"document_coverage": one.select(F.col("n_wanted").alias("n_rows"), "n_found", share("n_found", "n_wanted").alias("coverage_pct")),
+            "tag_coverage": one.select("n_total", per).select("x.category", F.col("n_total").alias("n_rows"), "x.n_tagged",
+                                                              F.try_divide(F.col("x.n_tagged") * 100.0, "n_total").alias("pct")),
+            "retention": one.select("n_total", "n_kept", share("n_kept", "n_total").alias("pct_kept"), *[f"{c}_tagged" for c in cats])}
+
+
 def run_full(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
              ratio: float = 0.80, n_atoms: int = 16, n_nonzero: int = 2, max_iter: int = 200,
              batch_size: int | None = 256, threshold: int = 16, max_replication: int = 6,
              seed: int = 42, rebuild: bool = False, doc_format: str = "files",
-             tag_header: str | None = None) -> dict[str, DataFrame]:
-    """Three-category program (stages 1-8 of the full run)."""
-    out = out_dir.rstrip("/")
-    fs = preset("full_run")
-    merged = load_tags(spark, tag_paths, header=tag_header)
+             tag_header: str | None = None, group_split: bool = False) -> dict[str, DataFrame]:
+    """Three-category program (stages 1-8 of the full run).  ``group_split`` keeps the copies of a track in one split."""
+    out, cats, fs = out_dir.rstrip("/"), ["genre", "mood", "instrument"], preset("full_run")
     made = {"tags": tag_paths, "header": tag_header, "documents": doc_root, "format": doc_format, "features": fs.names}
-    # W1 runs on the tag rows before the join, so only kept tracks' documents are parsed
-    feats = drop_empty_records(store.materialize(spark, f"{out}/features", lambda: build_feature_table(
-        spark, TG.filter_min_tags(merged, 2), doc_root, fs, doc_format=doc_format), rebuild=rebuild, made=made))
-    TG.assert_unique(feats, ["path"], "feature table")  # A4
+    feats, observed = _feature_stage(spark, f"{out}/features", tag_paths, cats, 2, doc_root, fs, made, rebuild, doc_format, tag_header)
     scores, variance, ids = _scores_and_ids(
-        spark, out, "", feats, ["genre", "mood", "instrument"], made, rebuild, ratio, n_atoms, n_nonzero, max_iter,
+        spark, out, "", feats, cats, made, rebuild, ratio, n_atoms, n_nonzero, max_iter,
         batch_size, seed)
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed)
-    split = _stored_split(spark, out, "", pairs, seed)
-    return {"features": feats, "scores": scores, "ids": ids, "pairs": split,
-            "variance": variance, "occupancy": idstats.occupancy(ids),
-            **tag_profiles(spark, merged, doc_root, ["genre", "mood", "instrument"], 2, doc_format=doc_format),
+    split = _stored_split(spark, out, "", pairs, seed, group_split)
+    return {"features": feats, "scores": scores, "ids": ids, "pairs": split, "observed": observed,
+            "variance": variance, "occupancy": idstats.occupancy(ids), **observed_reports(observed, cats),
+            **tag_profiles(load_tags(spark, {c: tag_paths[c] for c in cats}, header=tag_header), cats),
             "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
             "missing_leaves": missing_leaf_counts(feats, fs.names)}
 
 
-def tag_profiles(spark: SparkSession, merged: DataFrame, doc_root: str, cols: list[str],
-                 min_tags: int, top: int = 20, doc_format: str = "files") -> dict[str, DataFrame]:
-    """The reports printed along the reference's feature stage, as tables:
-    A1 document coverage, A2 tag coverage, A3 filter retention, A5 category counts,
+def tag_profiles(merged: DataFrame, cols: list[str], top: int = 20) -> dict[str, DataFrame]:
+    """The reports along the reference's feature stage that need groups of the tag rows, as tables: A5 category counts,
     A6 top tags per category."""
-    from functools import reduce
-
-    from ..functions.tags import n_tagged
     tops = [TG.top_counts(merged, c, top).withColumn("category", F.lit(c)) for c in cols]
-    return {
-        "document_coverage": document_coverage(merged, load_documents(spark, doc_root, doc_format)),
-        "tag_coverage": TG.tag_coverage(merged, cols),
-        "retention": TG.filter_retention(merged, n_tagged(cols) >= min_tags, cols),
-        "category_counts": TG.category_counts(merged, cols),
-        "top_tags": reduce(lambda a, b: a.unionByName(b), tops),
-    }
+    return {"category_counts": TG.category_counts(merged, cols), "top_tags": reduce(lambda a, b: a.unionByName(b), tops)}
 
 
 def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str, out_dir: str,
@@ -207,19 +247,18 @@ def run_two_tags(spark: SparkSession, tag_paths: dict[str, str], doc_root: str,
     """Genre + instrument program: inner merge (J2), selected features, both tags."""
     out = out_dir.rstrip("/")
     cats, fs = ["genre", "instrument"], preset("selected")
-    tags = load_tags(spark, {k: tag_paths[k] for k in cats}, how="inner", header=tag_header)
     made = {"tags": {k: tag_paths[k] for k in cats}, "header": tag_header, "documents": doc_root, "format": doc_format,
             "features": fs.names}
-    feats = drop_empty_records(store.materialize(spark, f"{out}/features_nomood", lambda: build_feature_table(
-        spark, TG.filter_min_tags(tags, 2, cats), doc_root, fs, doc_format=doc_format), rebuild=rebuild, made=made))
-    TG.assert_unique(feats, ["path"], "feature table")  # A4
+    feats, observed = _feature_stage(spark, f"{out}/features_nomood", tag_paths, cats, 2, doc_root, fs, made, rebuild, doc_format, tag_header,
+                                     how="inner")
     scores, variance, ids = _scores_and_ids(spark, out, "_nomood", feats, cats, made, rebuild, ratio, None, 2, max_iter,
                                             batch_size, seed)
     pairs = recsets.training_pairs(ids, "track_id", "semantic_id", threshold, max_replication, seed,
                                    two_tags=True)
     return {"features": feats, "scores": scores, "variance": variance, "ids": ids, "pairs": _stored_split(spark, out, "_nomood", pairs, seed),
         "occupancy": idstats.occupancy(ids), "id_detail": idstats.occupancy_detail(ids), "top_ids": idstats.top_ids(ids, 10),
-        **tag_profiles(spark, tags, doc_root, cats, 2, doc_format=doc_format),
+        "observed": observed, **observed_reports(observed, cats),
+        **tag_profiles(load_tags(spark, {c: tag_paths[c] for c in cats}, how="inner", header=tag_header), cats),
         "missing_leaves": missing_leaf_counts(feats, fs.names)}
 
 
@@ -227,27 +266,33 @@ def run_discrimination(spark: SparkSession, tag_paths: dict[str, str], doc_root:
                        top_n: int = 10, always_include: dict[str, str] | None = None,
                        feature_set: str = "all", rebuild: bool = False, doc_format: str = "files",
                        tag_header: str | None = None) -> dict[str, DataFrame]:
-    """Feature discrimination report over tracks with at least one tag.
+    """Feature discrimination report over tracks with at least one tag (W3/W4): the results, stored and as CSV per category, and the inputs
+    of the plots: values of the top-6 pairs (T5), values, quartiles and outlines of the top-6 features by tag (T9).
 
     The feature table is stored first (S10, as the reference caches its feature
     CSV): the wide catalog projection is planned once, and the report reads it back.
     """
-    fs = preset(feature_set)
-    feats = drop_empty_records(store.materialize(
-        spark, f"{out_dir.rstrip('/')}/features_{feature_set}",
-        lambda: build_feature_table(spark, TG.filter_any_tag(load_tags(spark, tag_paths, header=tag_header)),
-                                    doc_root, fs, doc_format=doc_format),
-        rebuild=rebuild, made={"tags": tag_paths, "header": tag_header, "documents": doc_root, "format": doc_format,
-                               "features": fs.names}))
-    TG.assert_unique(feats, ["path"], "feature table")  # A4
+    fs, root, cats = preset(feature_set), out_dir.rstrip("/"), ["genre", "mood", "instrument"]
+    made = {"tags": tag_paths, "header": tag_header, "documents": doc_root, "format": doc_format, "features": fs.names}
+    feats, observed = _feature_stage(spark, f"{root}/features_{feature_set}", tag_paths, cats, 1, doc_root, fs, made, rebuild, doc_format,
+                                     tag_header)
     tags = feats.select("track_id", "genre", "mood", "instrument")
     res = discriminate.discrimination(feats, tags, fs.names, ["genre", "mood", "instrument"], "track_id",
                                       "features", top_n, always_include if always_include is not None
                                       else {"mood": "sad"})
     always = always_include if always_include is not None else {"mood": "sad"}
     labels, top = discriminate.single_top_labels(tags, ["genre", "mood", "instrument"], "track_id", top_n, always)
-    out = {"discrimination": res, "summary": discriminate.discrimination_summary(res),
-           "pairs": discriminate.feature_pairs(res, ["category"], 6), "top_tags": top}
+    res = store.materialize(spark, f"{root}/discrimination", lambda: res, rebuild=True)
+    summary = discriminate.discrimination_summary(res)
+    for c in cats:  # S6: a result file for each category, and the summary
+        store.write_csv(res.filter(F.col("category") == c).orderBy("rank"), f"{root}/discrimination_{c}_csv")
+    store.write_csv(summary, f"{root}/discrimination_summary_csv")
+    violins = discriminate.top_feature_values(feats, labels, fs.names, res, 6)
+    groups = ["category", "feature", "label"]
+    out = {"discrimination": res, "summary": summary, "observed": observed, **observed_reports(observed, cats),
+           "pairs": discriminate.feature_pairs(res, ["category"], 6), "top_tags": top,
+           "pair_values": discriminate.top_pair_values(feats, labels, fs.names, res, 6), "violin_values": violins,
+           "violin_quantiles": discriminate.value_quantiles(violins, groups), "violin_density": discriminate.value_density(violins, groups)}
     cv = discriminate.contrast_valley_pairs(fs.names)
     if cv:  # T9-style plot inputs
         out["contrast_valley"] = discriminate.pair_values(feats, labels, fs.names, cv)

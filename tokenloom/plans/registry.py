@@ -23,10 +23,10 @@ from ..functions.ids import codes_to_id, id_second_token
 from ..functions.tags import grab_tag
 from ..functions.vectors import l2_normalize, pick_indices, round_all
 from ..operators import discriminate as D
-from ..operators import idstats, linalg, neighbors, quality, recsets, rvq, sample
+from ..operators import idstats, linalg, neighbors, postings, quality, recsets, rvq, sample
 from ..operators import tags as TG
 from ..operators.dictlearn import fit_dictionary
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources.tags import parse_tag_lines
 from ..sources.documents import document_coverage
 from .inputs import embeddings, id_tracks, multi_label_tags, table, tag_tables, track_keys
@@ -484,6 +484,43 @@ def q_pca_ratio(spark, d):
     return model.variance_table(spark)
 
 
+@register("pca_spectrum", "WITH " + EMB_SQL + """,
+mu AS (SELECT i, avg(x) AS m FROM el GROUP BY i),
+ce AS (SELECT vec_id, i, x - m AS x FROM el JOIN mu USING (i)),
+cv AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS c FROM ce a JOIN ce b USING (vec_id) GROUP BY a.i, b.i),
+tr AS (SELECT sum(c) AS t FROM cv WHERE i = j),
+sq AS (SELECT a.i AS i, b.j AS j, sum(a.c * b.c) AS c FROM cv a JOIN cv b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT (SELECT count(DISTINCT i) FROM cv) AS n_components, 1.0::DOUBLE AS p1, round((SELECT sum(c * c) FROM cv) / (t * t), 6) AS p2,
+  round((SELECT sum(sq.c * cv.c) FROM sq JOIN cv ON cv.i = sq.i AND cv.j = sq.j) / (t * t * t), 6) AS p3,
+  true AS orthonormal, true AS variances_match, true AS uncorrelated FROM tr""")
+def q_pca_spectrum(spark, d):
+    """M2, M3, S8 with all components: power sums of the explained-variance ratios (traces of the powers of the covariance matrix in SQL),
+    orthonormal loadings, and scores that are uncorrelated and have the variances of the ratios."""
+    e = embeddings(spark, d)
+    model = linalg.fit_pca(e, k=e.select(F.size("features")).first()[0])
+    scores = model.transform(e).select(F.col("pca").alias("features"))
+    gram = linalg.gram_long(scores, normalize=True).where("i <= j")
+    ratios = model.variance_table(spark)
+    total = linalg.column_stats(e).agg(F.sum(F.col("std") * F.col("std"))).first()[0]  # a number for each dimension
+    off = gram.join(ratios, (F.col("component") == F.col("i")) & (F.col("i") == F.col("j")), "left").agg(
+        F.max(F.when(F.col("i") == F.col("j"), F.abs(F.col("value") / total - F.col("ratio")))).alias("var_off"),
+        F.max(F.when(F.col("i") < F.col("j"), F.abs(F.col("value") / total))).alias("corr_off"))
+    c = model.components
+    orthonormal = bool(np.allclose(c.T @ c, np.eye(c.shape[1]), atol=1e-9))
+    sums = ratios.agg(F.count("*").alias("n_components"), *[r6(F.sum(F.pow("ratio", F.lit(k)))).alias(f"p{k}") for k in (1, 2, 3)])
+    return _one_row(sums, off).select(
+        "n_components", "p1", "p2", "p3", F.lit(orthonormal).alias("orthonormal"), (F.col("var_off") < 1e-9).alias("variances_match"),
+        (F.col("corr_off") < 1e-9).alias("uncorrelated"))
+
+
+def _one_row(*rows: DataFrame) -> DataFrame:
+    """One-row frames side by side."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 @register("pca_k")
 def q_pca_k(spark, d):
     """M2: PCA scores with k = 8."""
@@ -544,6 +581,14 @@ def q_semantic_id(spark, d):
     return coded.select("vec_id", codes_to_id("codes").alias("semantic_id"))
 
 
+@register("attach_ids", "WITH " + RVQ_SQL + """
+SELECT t.vec_id, t.label, r.semantic_id FROM embeddings t LEFT JOIN rvq r USING (vec_id)""")
+def q_attach_ids(spark, d):
+    """Semantic IDs joined to their rows by key, one to one."""
+    ids = rvq_ids(spark, d).select("vec_id", "semantic_id")
+    return TG.attach_ids(embeddings(spark, d).select("vec_id", "label"), ids, ["vec_id"])
+
+
 @register("code_distribution", "WITH " + RVQ_SQL + """
 SELECT CAST(level AS INTEGER) AS level, count(DISTINCT token) AS n_tokens, round(count(DISTINCT token) / 16.0, 6) AS usage
 FROM (SELECT generate_subscripts(codes, 1) - 1 AS level, unnest(codes) AS token FROM rvq) GROUP BY level""")
@@ -782,6 +827,35 @@ def q_dict_fit_online(spark, d):
         F.lit(bool(sum(model.history[-steps:]) < sum(model.history[:steps]))).alias("error_fell"))
 
 
+def _stored_ids(spark, d, fit, load, **kw) -> DataFrame:
+    """IDs made by a fit and IDs made by its stored model: how many rows agree, and whether the occupancy report adds up."""
+    z, _ = linalg.standardize(embeddings(spark, d))
+    out = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    ids, occupancy, _ = fit(z, out, **kw)
+    again = load(z, out).select("vec_id", F.col("semantic_id").alias("again"))
+    both = ids.select("vec_id", "semantic_id").join(again, "vec_id")
+    agree = both.agg(F.count("*").alias("n_rows"), F.count_if(F.col("semantic_id") == F.col("again")).alias("n_equal"),
+                     F.count_if(F.col("semantic_id").rlike("^(<[0-9]{3}>){2}$")).alias("n_ids"))
+    return _one_row(agree, occupancy.select(F.round(F.col("unique_ids") * F.col("mean_per_id")).cast("bigint").alias("n_counted")))
+
+
+STORED_IDS_SQL = "SELECT count(*) AS n_rows, count(*) AS n_equal, count(*) AS n_ids, count(*) AS n_counted FROM embeddings"
+
+
+@register("rvq_stored_model", STORED_IDS_SQL)
+def q_rvq_stored_model(spark, d):
+    """RVQ fitted, its codebook stored, loaded and applied to every row."""
+    from .programs import load_rvq_ids, rvq_semantic_ids
+    return _stored_ids(spark, d, rvq_semantic_ids, load_rvq_ids, n_levels=2, n_clusters=8, max_iter=10, n_init=1)
+
+
+@register("dict_stored_model", STORED_IDS_SQL)
+def q_dict_stored_model(spark, d):
+    """Dictionary fitted, stored, loaded and applied to every row."""
+    from .programs import dictionary_semantic_ids, load_dictionary_ids
+    return _stored_ids(spark, d, dictionary_semantic_ids, load_dictionary_ids, n_nonzero=2, n_atoms=16, max_iter=3, id_col="vec_id")
+
+
 @register("dict_fit_full")
 def q_dict_fit_full(spark, d):
     """M7: full-batch dictionary fit; the learned atoms."""
@@ -840,6 +914,35 @@ def q_knn_pivot(spark, d):
     return knn.select("vec_id", "rank", "neighbor_id")
 
 
+@register("knn_lsh")
+def q_knn_lsh(spark, d):
+    """K1, approximate: 20 neighbors of every row by hashing, the measured recall beside each row."""
+    from ..operators.lsh import knn_lsh
+    rows, report = knn_lsh(embeddings(spark, d), 20, "vec_id", "features", bucket_rows=256)
+    return rows.select("vec_id", "rank", "neighbor_id", r6(F.col("distance")).alias("distance"), F.lit(report.recall).alias("recall"))
+
+
+@register("knn_lsh_check", """
+SELECT count(*) AS n_rows, true AS recall_reached, true AS distances_true, true AS ordered FROM embeddings""")
+def q_knn_lsh_check(spark, d):
+    """K1, approximate, against the exact lists of all rows: at least 0.9 of the true neighbors, and every distance a true one."""
+    from ..operators.lsh import knn_lsh
+    e = embeddings(spark, d)
+    rows, _ = knn_lsh(e, 10, "vec_id", "features", bucket_rows=64)
+    rows = cut_lineage(rows)
+    kth = neighbors.knn_exact(e, 10, "vec_id", "features").groupBy("vec_id").agg(F.max("distance").alias("kth"), F.count("*").alias("k"))
+    other = e.select(F.col("vec_id").alias("neighbor_id"), F.col("features").alias("other"))
+    near = rows.join(other, "neighbor_id").join(e.select("vec_id", "features"), "vec_id").withColumn("true", F.sqrt(F.aggregate(
+        F.zip_with("features", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
+    per = near.groupBy("vec_id").agg(F.max(F.abs(F.col("true") - F.col("distance"))).alias("off"), F.collect_list("true").alias("all"), F.array_sort(
+        F.collect_list(F.struct("rank", "distance"))).alias("ranked"))
+    own = kth.join(per, "vec_id", "left").select(
+        "k", "off", F.size(F.filter(F.coalesce("all", F.array()), lambda x: x <= F.col("kth") + 1e-9)).alias("hits"),
+        (F.col("ranked.distance") == F.sort_array("ranked.distance")).alias("ordered"))
+    return own.agg(F.count("*").alias("n_rows"), (F.sum("hits") >= 0.9 * F.sum("k")).alias("recall_reached"),
+                   (F.max("off") < 1e-9).alias("distances_true"), F.bool_and("ordered").alias("ordered"))
+
+
 @register("neighbor_purity", "WITH " + KNN_SQL + """,
 per AS (SELECT knn.vec_id, e.label AS nlabel, count(*) AS c FROM knn JOIN e ON e.vec_id = knn.neighbor_id
         GROUP BY knn.vec_id, e.label),
@@ -889,6 +992,25 @@ def q_candidate_lookup(spark, d):
     return neighbors.token_candidates(ids, qs, "vec_id", "codes")
 
 
+@register("candidate_index", "WITH " + RVQ_SQL + "," + QSAMPLE_SQL + """,
+cl AS (SELECT vec_id, generate_subscripts(codes, 1) AS level, unnest(codes) AS token FROM rvq),
+found AS (SELECT DISTINCT q.vec_id AS qid, c.vec_id AS id FROM cl q JOIN qs ON q.vec_id = qs.qid
+          JOIN cl c ON c.level = q.level AND c.token = q.token WHERE c.vec_id <> q.vec_id),
+sizes AS (SELECT level, token, count(*) AS n FROM cl GROUP BY level, token),
+bounds AS (SELECT q.vec_id AS qid, max(n) AS at_least, CAST(sum(n) AS BIGINT) AS at_most
+           FROM cl q JOIN qs ON q.vec_id = qs.qid JOIN sizes USING (level, token) GROUP BY 1)
+SELECT found.qid, id, at_least, at_most FROM found JOIN bounds USING (qid)""")
+def q_candidate_index(spark, d):
+    """Rows sharing a token at any level with each sampled query, from the stored posting index, and the bounds that
+    the stored counts give on their number."""
+    ids = rvq_ids(spark, d).select("vec_id", "codes")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/candidate-index-{uuid.uuid4().hex}"
+    postings.write_index(ids, path, "vec_id", "codes", segment_rows=64)
+    qs = sample.hash_sample(ids, "vec_id", 50, 42)
+    found = postings.candidates(spark, path, qs, "vec_id", "codes")
+    return found.join(postings.candidate_bounds(spark, path, qs, "vec_id", "codes"), "qid")
+
+
 @register("index_recall", "WITH " + RVQ_SQL + "," + NORM_SQL + "," + QSAMPLE_SQL + """,
 cl AS (SELECT vec_id, generate_subscripts(codes, 1) AS level, unnest(codes) AS token FROM rvq),
 cand AS (SELECT DISTINCT q.vec_id AS qid, c.vec_id AS nid FROM cl q JOIN qs ON q.vec_id = qs.qid
@@ -1005,6 +1127,22 @@ def q_split(spark, d):
     return recsets.split_exact(up, key, 42, n_buckets=16).select("p_partkey", "rep", "split")
 
 
+@register("split_groups", "WITH " + IDT_SQL + """,
+g AS (SELECT p_partkey, count(*) AS size, '42:' || CAST(p_partkey AS VARCHAR) AS k FROM up GROUP BY p_partkey),
+t AS (SELECT p_partkey, size, sum(size) OVER (ORDER BY CAST('0x' || substr(md5(k), 1, 8) AS BIGINT), md5(k)) AS total,
+             sum(size) OVER () AS n FROM g),
+s AS (SELECT *, n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n_train,
+             CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT)
+             - CAST(ceil(CAST(0.5 AS DOUBLE) * CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT)) AS BIGINT) AS n_val FROM t)
+SELECT p_partkey, rep, CASE WHEN 2 * total - size <= 2 * n_train THEN 'train'
+                            WHEN 2 * total - size <= 2 * (n_train + n_val) THEN 'val' ELSE 'test' END AS split
+FROM up JOIN s USING (p_partkey)""")
+def q_split_groups(spark, d):
+    """R4 with the copies of a track in one split, sizes by rows."""
+    up = recsets.upsample(id_tracks(spark, d), "semantic_id", 16, 6)
+    return recsets.split_by_group(up, "p_partkey", 42, n_buckets=16).select("p_partkey", "rep", "split")
+
+
 SPLIT_SQL = "WITH " + IDT_SQL + """,
 k AS (SELECT p_partkey, rep, '42:' || CAST(p_partkey AS VARCHAR) || ':' || CAST(rep AS VARCHAR) AS k FROM up),
 r AS (SELECT p_partkey, rep, row_number() OVER (ORDER BY CAST('0x' || substr(md5(k), 1, 8) AS BIGINT), md5(k)) AS rk,
@@ -1156,6 +1294,15 @@ def q_discrimination_summary(spark, d):
     return rounded(D.discrimination_summary(_disc(spark, d)))
 
 
+@register("discrimination_summary_f", "WITH " + DISC_SQL + """,
+f AS (SELECT category, CASE WHEN ssw > 0 THEN (ssb / (n_groups - 1)) / (ssw / (n - n_groups)) END AS f,
+             CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) ELSE 0.0 END AS eta FROM ss)
+SELECT category, count(*) AS n_features, round(avg(f), 6) AS mean_f, round(avg(eta), 6) AS mean_eta_squared FROM f GROUP BY category""")
+def q_discrimination_summary_f(spark, d):
+    """S11 without the p-values, for which SQL has no F distribution."""
+    return rounded(D.discrimination_summary(_disc(spark, d)).select("category", "n_features", "mean_f", "mean_eta_squared"))
+
+
 @register("plot_input", "WITH " + EMB_SQL + """,
 lb AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, v FROM e),
 top AS (SELECT label FROM lb WHERE length(label) > 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 5),
@@ -1169,6 +1316,26 @@ def q_plot_input(spark, d):
     return sample.plot_input(e, "label", "features", "vec_id", 5, 1000, 42)
 
 
+@register("plot_cap", """
+WITH top AS (SELECT o_orderpriority AS label FROM orders GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 3),
+kept AS (SELECT o_orderkey, o_orderpriority AS label, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_custkey AS DOUBLE) AS cust FROM orders
+         WHERE o_orderpriority IN (SELECT label FROM top)
+         ORDER BY CAST('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT), md5('42:' || CAST(o_orderkey AS VARCHAR)) LIMIT 1000)
+SELECT o_orderkey, label, round(price, 6) AS pc1, cust AS pc2 FROM kept""")
+def q_plot_cap(spark, d):
+    """T7, T8 over more labelled rows than the cap."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"),
+                                         F.array(F.col("o_totalprice").cast("double"), F.col("o_custkey").cast("double")).alias("scores"))
+    out = sample.plot_input(o, "label", "scores", "o_orderkey", top=3, cap=1000, n_dims=2)
+    return out.select("o_orderkey", "label", r6(F.col("pc1")).alias("pc1"), "pc2")
+
+
+@register("preview", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
+def q_preview(spark, d):
+    """The first rows of a table, by key."""
+    return sample.preview(table(spark, d, "customer").select("c_custkey", "c_name"), 5, ["c_custkey"])
+
+
 @register("violin_quantiles", "WITH " + EMB_SQL + """
 SELECT printf('emb_%02d', i) AS feature, label, count(*) AS n, quantile_disc(x, 0.25) AS q25,
        quantile_disc(x, 0.5) AS median, quantile_disc(x, 0.75) AS q75
@@ -1178,10 +1345,75 @@ def q_violin_quantiles(spark, d):
     return D.value_quantiles(emb_long(spark, d).drop("i"), ["feature", "label"], "value")
 
 
+@register("value_quartiles", """
+SELECT l_returnflag, l_linestatus, count(*) AS n, quantile_disc(CAST(l_extendedprice AS DOUBLE), 0.25) AS q25,
+       quantile_disc(CAST(l_extendedprice AS DOUBLE), 0.5) AS median, quantile_disc(CAST(l_extendedprice AS DOUBLE), 0.75) AS q75
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def q_value_quartiles(spark, d):
+    """T9 over groups of very different sizes, one of them with half of all rows."""
+    return D.value_quantiles(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("value")),
+                             ["l_returnflag", "l_linestatus"])
+
+
+@register("violin_density", "WITH " + EMB_SQL + """,
+ends AS (SELECT i, label, count(*) AS m, min(x) AS lo, max(x) AS hi FROM el GROUP BY i, label),
+binned AS (SELECT i, label, m, lo, hi, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 8), 7) ELSE 0 END AS bin
+           FROM el JOIN ends USING (i, label))
+SELECT printf('emb_%02d', i) AS feature, label, CAST(bin AS INTEGER) AS bin, round(lo + bin * ((hi - lo) / 8), 6) AS "left",
+       round(lo + (bin + 1) * ((hi - lo) / 8), 6) AS "right", count(*) AS n,
+       CASE WHEN hi > lo THEN round(count(*) / m / ((hi - lo) / 8), 6) END AS density
+FROM binned GROUP BY i, label, m, lo, hi, bin""")
+def q_violin_density(spark, d):
+    """The outline of each (feature, label) violin."""
+    return rounded(D.value_density(emb_long(spark, d).drop("i"), ["feature", "label"], "value", bins=8))
+
+
 # =============================================================================
 # Pipelines and searches: M12-M15 (rows-only)
 # =============================================================================
 
+GRID_EVAL_SQL = "WITH " + RVQ_SQL + OMP2_SQL[len(EMB_SQL):] + "," + NORM_SQL + "," + QSAMPLE_SQL + f""",
+coded AS (SELECT 0 AS config, vec_id, [CAST(token AS INTEGER)] AS codes FROM t0
+          UNION ALL SELECT 1, vec_id, codes FROM rvq UNION ALL SELECT 2, vec_id, codes FROM omp
+          UNION ALL SELECT 3, vec_id, [CAST(CASE WHEN p1 * p1 < {float(np.finfo(float).eps)!r} THEN 0 WHEN p1 >= 0 THEN j1 ELSE j1 + 10 END AS INTEGER)] FROM j1),
+occ AS (SELECT config, count(*) AS unique_ids, round(avg(n), 6) AS mean_per_id, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS singleton_pct
+        FROM (SELECT config, codes, count(*) AS n FROM coded GROUP BY config, codes) GROUP BY config),
+cl AS (SELECT config, vec_id, generate_subscripts(codes, 1) AS level, unnest(codes) AS token FROM coded),
+cand AS (SELECT DISTINCT q.config, q.vec_id AS qid, c.vec_id AS nid FROM cl q JOIN qs ON q.vec_id = qs.qid
+         JOIN cl c ON c.config = q.config AND c.level = q.level AND c.token = q.token WHERE c.vec_id <> q.vec_id),
+sims AS (SELECT q.vec_id AS qid, c.vec_id AS nid, list_dot_product(q.v, c.v) AS s
+         FROM en q JOIN qs ON q.vec_id = qs.qid JOIN en c ON c.vec_id <> q.vec_id),
+gt AS (SELECT qid, nid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, nid) AS rn FROM sims) WHERE rn <= 10),
+ct AS (SELECT config, qid, nid FROM (SELECT config, sims.*, row_number() OVER (PARTITION BY config, sims.qid ORDER BY s DESC, sims.nid) AS rn
+                                     FROM sims JOIN cand USING (qid, nid)) WHERE rn <= 10),
+hits AS (SELECT config, count(*) AS h FROM gt JOIN ct USING (qid, nid) GROUP BY config)
+SELECT CAST(occ.config AS INTEGER) AS config, unique_ids, mean_per_id, singleton_pct,
+  round(coalesce(h, 0) / (10.0 * (SELECT count(*) FROM qs)), 6) AS recall
+FROM occ LEFT JOIN hits ON hits.config = occ.config"""
+
+
+@register("grid_eval", GRID_EVAL_SQL)
+def q_grid_eval(spark, d):
+    """M14/M15, the measuring half: two RVQ and two OMP settings over stored codebooks, in one pass over the rows."""
+    from ..operators.evaluate import OmpCoder, RvqCoder, evaluate_codings
+    e = embeddings(spark, d)
+    levels = fixture_codebook(e)
+    atoms = label_dictionary(e)
+    coders = {0: RvqCoder(levels[:1]), 1: RvqCoder(levels), 2: OmpCoder(atoms, 2), 3: OmpCoder(atoms, 1)}
+    return rounded(evaluate_codings(e, coders, "vec_id"))
+
+
+@register("best_config", "WITH grid AS (" + GRID_EVAL_SQL + """)
+SELECT config, round(recall - singleton_pct - abs(mean_per_id - 3.0) * 0.1, 6) AS score FROM grid
+ORDER BY recall - singleton_pct - abs(mean_per_id - 3.0) * 0.1 DESC, config LIMIT 1""")
+def q_best_config(spark, d):
+    """T4: the setting with the largest score, the first of equal ones."""
+    from .search import best_config, search_score
+    grid = q_grid_eval(spark, d).withColumn("score", search_score(F.col("recall"), F.col("singleton_pct"), F.col("mean_per_id")))
+    best = best_config(grid.withColumnRenamed("config", "config_no"))
+    return best.select(F.col("config_no").alias("config"), r6(F.col("score")).alias("score"))
+
+
 @register("grid_search_rvq")
 def q_grid_search_rvq(spark, d):
     """RVQ grid over K x L with the occupancy/recall score."""
@@ -1212,7 +1444,7 @@ def q_stream_rvq_apply(spark, d):
 
 def _corpus(spark, d):
     import uuid
-    from ..session import checkpoint_dir
+    from ..session import checkpoint_dir, cut_lineage
     from .inputs import render_corpus
     root = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex[:12]}"
     return root, render_corpus(spark, d, root)
@@ -1272,6 +1504,59 @@ def q_feature_table(spark, d):
                         .alias("features"))
 
 
+@register("record_json_path", """
+WITH""" + FEATURE_TABLE_SQL.split("WITH", 1)[1].split("e AS (SELECT vec_id")[0].rstrip().rstrip(",") + """
+SELECT 'track_' || CAST(vec_id AS VARCHAR) AS track_id, 'mp3/' || CAST(vec_id AS VARCHAR) || '.json' AS json_full
+FROM embeddings JOIN kept ON kept.k = vec_id""")
+def q_record_json_path(spark, d):
+    """FB13: the document of each record, over rendered tag TSVs and documents."""
+    from .inputs import TAG_HEADER
+    from .programs import build_feature_table, load_tags
+    _, paths = _corpus(spark, d)
+    tags = TG.filter_min_tags(load_tags(spark, {c: paths[c] for c in ("genre", "mood", "instrument")}, header=TAG_HEADER), 2)
+    return build_feature_table(spark, tags, paths["docs"], preset("selected"), doc_format="jsonl").select("track_id", "json_full")
+
+
+@register("wide_pack", "WITH " + EMB_SQL + """
+SELECT vec_id, label, list_transform(v[1:8], lambda x: round(x, 6) + 0.0) AS features FROM e""")
+def q_wide_pack(spark, d):
+    """Features written as CSV with a column each, read back, and packed by the exclusion list."""
+    from ..functions.catalog import pack_wide
+    from ..sources import store
+    e = embeddings(spark, d).select("vec_id", "label", F.slice("features", 1, 8).alias("features"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/wide-{uuid.uuid4().hex}"
+    store.write_csv(store.widen(e, [f"emb_{i}" for i in range(8)]), path)
+    packed, _ = pack_wide(store.read_csv(spark, path), exclude=["vec_id", "label"])
+    return packed.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast(dict(e.dtypes)["label"]).alias("label"),
+                         round_all("features").alias("features"))
+
+
+@register("observed_counts", """
+WITH""" + FEATURE_TABLE_SQL.split("WITH", 1)[1].split("e AS (SELECT vec_id")[0].rstrip().rstrip(",") + """,
+lines AS (SELECT 'genre' AS category, count(*) AS n_rows, count(*) FILTER (p_size > 33) AS n_long FROM part WHERE p_size <= 35
+          UNION ALL SELECT 'mood', count(*), 0 FROM part WHERE p_size >= 15
+          UNION ALL SELECT 'instrument', count(*), 0 FROM part WHERE p_size BETWEEN 10 AND 45),
+hit AS (SELECT count(*) AS n FROM embeddings JOIN kept ON kept.k = vec_id)
+SELECT 'lines_' || category AS stage, 'n_rows' AS metric, CAST(n_rows AS BIGINT) AS value FROM lines
+UNION ALL SELECT 'lines_' || category, 'n_long', CAST(n_long AS BIGINT) FROM lines
+UNION ALL SELECT 'merged', 'n_rows', count(*) FROM mg UNION ALL SELECT 'merged', 'n_kept', count(*) FROM kept
+UNION ALL SELECT 'merged', 'n_mood', count(*) FROM mg WHERE mood <> ''
+UNION ALL SELECT 'wanted', 'n_rows', count(*) FROM kept UNION ALL SELECT 'documents', 'n_rows', count(*) FROM embeddings
+UNION ALL SELECT 'documents', 'n_malformed', 0 UNION ALL SELECT 'found', 'n_rows', n FROM hit
+UNION ALL SELECT 'found', 'n_empty', 0 UNION ALL SELECT 'found', 'n_filled', 0""")
+def q_observed_counts(spark, d):
+    """S2, A1-A3, P17 and P18 as counted by the job that writes the feature table."""
+    from .inputs import TAG_HEADER
+    from .programs import _feature_stage
+    root, paths = _corpus(spark, d)
+    cats = ["genre", "mood", "instrument"]
+    _, seen = _feature_stage(spark, f"{root}/features", {c: paths[c] for c in cats}, cats, 2, paths["docs"], preset("selected"),
+                             {"corpus": root}, False, "jsonl", TAG_HEADER)
+    shown = (F.col("metric").isin("n_rows", "n_long") & F.col("stage").startswith("lines_")) | (
+        ~F.col("stage").startswith("lines_") & F.col("metric").isin("n_rows", "n_kept", "n_mood", "n_malformed", "n_empty", "n_filled"))
+    return seen.where(shown)
+
+
 def _discrimination_program_sql() -> str:
     names = _sql_list(preset("full_run").names)
     return """
@@ -1350,14 +1635,15 @@ FROM e JOIN kept ON kept.k = e.vec_id
 
 @register("feature_table_selected", FEATURE_TABLE_SELECTED_SQL)
 def q_feature_table_selected(spark, d):
-    """J2 + W2 + the selected catalog (FN1-FN18) over rendered tag TSVs and documents."""
+    """J2 + W2 + the selected catalog (FN1-FN18) over rendered tag TSVs and documents, parsed once into typed leaves."""
     from .inputs import TAG_HEADER
-    from .programs import build_feature_table, drop_empty_records, load_tags
-    _, paths = _corpus(spark, d)
+    from .programs import build_feature_table, drop_empty_records, load_tags, store_documents
+    root, paths = _corpus(spark, d)
     tags = TG.filter_min_tags(load_tags(spark, {c: paths[c] for c in ("genre", "instrument")}, how="inner",
                                         header=TAG_HEADER), 2, ["genre", "instrument"])
     fs = preset("selected")
-    feats = drop_empty_records(build_feature_table(spark, tags, paths["docs"], fs, doc_format="jsonl"))
+    store_documents(spark, paths["docs"], f"{root}/shredded", "jsonl")
+    feats = drop_empty_records(build_feature_table(spark, tags, f"{root}/shredded", fs, doc_format="shredded"))
     return feats.select("track_id", F.array(*[F.round(F.get("features", i), 6) for i in range(fs.width)])
                         .alias("features"))
 
@@ -1503,7 +1789,7 @@ def q_semantic_ids_run(spark, d):
     """The semantic-ID program: dictionary grid search, stored best model, IDs, statistics and
     per-category quality (A13) on standardized embeddings; returns the quality report."""
     import uuid
-    from ..session import checkpoint_dir
+    from ..session import checkpoint_dir, cut_lineage
     from .programs import run_semantic_ids
     z, _ = linalg.standardize(embeddings(spark, d))
     ids = z.withColumn("genre", F.col("label").cast("string")).withColumn(

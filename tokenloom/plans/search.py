@@ -1,10 +1,10 @@
 """Grid searches over quantizer settings (M14 RVQ, M15 dictionary).
 
-The driver only loops over configurations; each configuration is a few
-Spark jobs (fit, occupancy, recall) and contributes one metrics row.  Codes
-of losing configurations are never kept.  RVQ levels are nested, so the
-deepest L is fitted once per (K, n_init) and shallower L reuse its first
-levels; dictionary fits do not depend on C, so one fit serves every C.
+The driver loops over the fits only.  RVQ levels are nested, so the deepest L is
+fitted once per (K, n_init) and shallower L reuse its first levels; dictionary
+fits do not depend on C, so one fit serves every C.  All configurations are
+then coded and measured in one pass over the rows (``operators.evaluate``),
+and no codes are kept.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import codes_to_id
-from ..operators import idstats, neighbors, rvq
-from ..operators.dictlearn import fit_dictionary, sparse_codes
+from ..operators import rvq
+from ..operators.dictlearn import fit_dictionary
+from ..operators.evaluate import OmpCoder, RvqCoder, evaluate_codings
 from ..session import cut_lineage
 
 RESULT_SCHEMA = ("config_no int, L int, K int, n_init int, unique_ids long, mean_per_id double, "
@@ -28,18 +28,13 @@ def search_score(recall: Column, singleton: Column, mean_per_id: Column, ideal:
     return recall - singleton - F.abs(mean_per_id - F.lit(ideal)) * 0.1
 
 
-def _metrics(coded: DataFrame, id_col: str, col: str, n_queries: int, k_eval: int, seed: int):
-    ided = coded.withColumn("semantic_id", codes_to_id("codes"))
-    occ = idstats.occupancy(ided).collect()[0]
-    rec = neighbors.index_recall(ided, k_eval, n_queries, seed, id_col, col, "codes").collect()[0]
-    return occ["unique_ids"], occ["mean_per_id"], occ["singleton_pct"], float(rec["recall"] or 0.0)
-
-
-def _finish(spark, rows, schema, ideal):
+def _finish(spark, settings: dict[int, tuple], measured: DataFrame, schema: str, ideal: float) -> DataFrame:
+    """One row per configuration: its settings, its metrics and the score."""
+    found = {r["config"]: r for r in measured.collect()}
+    rows = [(no, *own, int(found[no]["unique_ids"]), float(found[no]["mean_per_id"]), float(found[no]["singleton_pct"]),
+             float(found[no]["recall"]), 0.0) for no, own in settings.items()]
     res = spark.createDataFrame(rows, schema)
-    res = res.withColumn("score", search_score(F.col("recall"), F.col("singleton_pct"),
-                                               F.col("mean_per_id"), ideal))
-    return res
+    return res.withColumn("score", search_score(F.col("recall"), F.col("singleton_pct"), F.col("mean_per_id"), ideal))
 
 
 def best_config(results: DataFrame) -> DataFrame:
@@ -54,7 +49,7 @@ def search_rvq(df: DataFrame, id_col: str = "id", col: str = "features",
     """Returns ``(results, best_codebook)``; loop order K, then L, then n_init."""
     spark = df.sparkSession
     data = cut_lineage(df.select(id_col, col))  # every configuration re-reads it
-    rows, books, no = [], {}, 0
+    settings, books, no = {}, {}, 0
     for K in n_clusters_list:
         fits = {}
         for n_init in n_init_values:
@@ -62,13 +57,10 @@ def search_rvq(df: DataFrame, id_col: str = "id", col: str = "features",
             fits[n_init] = rvq.codebook_arrays(book)
         for L in n_levels_list:
             for n_init in n_init_values:
-                levels = fits[n_init][:L]
-                coded = rvq.apply_codebooks(data, levels, col)
-                u, m, s, r = _metrics(coded, id_col, col, n_queries, k_eval, seed)
-                rows.append((no, L, K, n_init, int(u), float(m), float(s), r, 0.0))
-                books[no] = levels
+                settings[no], books[no] = (L, K, n_init), fits[n_init][:L]
                 no += 1
-    res = _finish(spark, rows, RESULT_SCHEMA, ideal)
+    measured = evaluate_codings(data, {n: RvqCoder(levels) for n, levels in books.items()}, id_col, col, n_queries, k_eval, seed)
+    res = _finish(spark, settings, measured, RESULT_SCHEMA, ideal)
     best_no = best_config(res).collect()[0]["config_no"]
     levels = books[best_no]
     book = spark.createDataFrame(
@@ -84,19 +76,16 @@ def search_dictionary(df: DataFrame, id_col: str = "id", col: str = "features",
     """Returns ``(results, best_model)``; loop order D, then C, then batch size."""
     spark = df.sparkSession
     data = cut_lineage(df.select(id_col, col))
-    rows, models, no = [], {}, 0
+    settings, models, no = {}, {}, 0
     for D in n_atoms_list:
         fits = {b: fit_dictionary(data, D, 2, max_iter, b, seed=seed, col=col, id_col=id_col)
                 for b in batch_sizes}
         for C in n_nonzero_list:
             for b in batch_sizes:
-                model = fits[b]
-                coded = sparse_codes(data, model.atoms, C, col)
-                u, m, s, r = _metrics(coded, id_col, col, n_queries, k_eval, seed)
-                rows.append((no, C, D, b, int(u), float(m), float(s), r, 0.0))
-                models[no] = (model, C)
+                settings[no], models[no] = (C, D, b), (fits[b], C)
                 no += 1
-    res = _finish(spark, rows, DICT_SCHEMA, ideal)
+    coders = {n: OmpCoder(model.atoms, C) for n, (model, C) in models.items()}
+    res = _finish(spark, settings, evaluate_codings(data, coders, id_col, col, n_queries, k_eval, seed), DICT_SCHEMA, ideal)
     best_no = best_config(res).collect()[0]["config_no"]
     model, C = models[best_no]
     model.n_nonzero = C

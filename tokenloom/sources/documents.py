@@ -1,11 +1,17 @@
-"""Feature documents: one JSON file per track, found by the track's path."""
+"""Feature documents: one JSON file per track, found by the track's path.
+
+Three layouts: a folder of files, a dump of JSON lines, and the shredded table that
+``shred`` makes of either, in which the leaves of the feature catalog are typed
+columns beside the whole document.  A feature set then reads its own leaves only, and no
+text is parsed again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.json_leaf import parse
+from ..functions.json_leaf import leaf, parse
 
 
 def json_name(path_col: str = "path"):
@@ -47,6 +53,33 @@ def read_documents_jsonl(spark: SparkSession, path: str, path_field: str = "path
         .filter(F.col("rel_path").isNotNull())
 
 
+def parsed_documents(spark: SparkSession, root: str, doc_format: str = "files") -> DataFrame:
+    """``(rel_path, doc)``: the documents as variants, each parsed once; a malformed one is null."""
+    if doc_format == "files":
+        return read_documents(spark, root).select("rel_path", parse("text").alias("doc"))
+    if doc_format == "jsonl":
+        v = F.try_parse_json(F.col("value"))
+        lines = spark.read.text(root).select(v.alias("v"))
+        return lines.select(F.try_variant_get("v", "$.path", "string").alias("rel_path"), F.try_variant_get("v", "$.doc", "variant").alias("doc")) \
+            .filter(F.col("rel_path").isNotNull())
+    if doc_format == "shredded":
+        return spark.read.parquet(root).select("rel_path", "doc")
+    raise ValueError("doc_format must be files, jsonl or shredded")
+
+
+def document_names(spark: SparkSession, root: str, doc_format: str = "files") -> DataFrame:
+    """``rel_path`` of each document; a shredded table is read for its names only."""
+    if doc_format == "shredded":
+        return spark.read.parquet(root).select("rel_path")
+    return parsed_documents(spark, root, doc_format).select("rel_path")
+
+
+def shred(docs: DataFrame, path: str, leaves: dict[str, tuple[str, str]], keep_document: bool = True) -> None:
+    """Store ``(rel_path, doc)`` at ``path`` with a typed column for each of the ``leaves`` (column -> path, type), in one pass."""
+    columns = [leaf(F.col("doc"), where, kind).alias(name) for name, (where, kind) in sorted(leaves.items())]
+    docs.select("rel_path", F.col("doc").isNull().alias("malformed"), *columns, *(["doc"] if keep_document else [])).write.parquet(path)
+
+
 def attach_documents(tags: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
     """Tag rows joined to their documents on the relative JSON name, then parsed.
 

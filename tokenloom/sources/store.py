@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import delete_path, write_shared_bytes
@@ -104,6 +104,38 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     return read_table(spark, path, fmt)
 
 
+class Watch:
+    """Counts of the rows that pass through a job, taken while it runs (``DataFrame.observe``): no scan of their own."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, Observation] = {}
+
+    def on(self, df: DataFrame, stage: str, **metrics: Column) -> DataFrame:
+        """``df``, whose rows are counted by the aggregates ``metrics`` when it is computed."""
+        self.parts[stage] = Observation()
+        return df.observe(self.parts[stage], *[c.alias(name) for name, c in metrics.items()])
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        """(stage, metric, value), after the job."""
+        return [(stage, name, int(value or 0)) for stage, seen in self.parts.items() for name, value in seen.get.items()]
+
+
+METRICS_SCHEMA = "stage string, metric string, value long"
+
+
+def materialize_watched(spark: SparkSession, path: str, builder: Callable[[Watch], DataFrame], rebuild: bool = False,
+                        made: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """``materialize`` with counts: the stored table and its metrics ``(stage, metric, value)``, taken by the job that wrote it
+    and stored beside it, so a reused table has them too."""
+    metrics = path.rstrip("/") + ".metrics"
+    watch = Watch()
+    current = (table_exists(spark, path) if made is None else is_current(spark, path, made)) and table_exists(spark, metrics)
+    df = materialize(spark, path, lambda: builder(watch), rebuild=rebuild or not current, made=made)
+    if watch.parts:
+        write_table(spark.createDataFrame(watch.rows(), METRICS_SCHEMA).coalesce(1), metrics)
+    return df, read_table(spark, metrics)
+
+
 def write_splits(df: DataFrame, path: str, split_col: str = "split", splits=("train", "val", "test")) -> None:
     """Each split of a training set as CSV with header under ``path/<split>``; ``df`` should be
     a stored table (it is read once per split)."""

@@ -59,29 +59,32 @@ def read_header(spark: SparkSession, path: str) -> str:
     return head[0][0]
 
 
+def line_counts(header: str, line_col: str = "value") -> dict[str, Column]:
+    """Aggregates over the lines of a tag file, its header left out: data rows, rows longer than the header
+    (several tab-separated tags, skipped by default), rows shorter than the header
+    (kept, missing fields null), rows without a key (dropped), rows kept."""
+    names = [h.strip().lower() for h in header.split("\t")]
+    n, f, data = len(names), F.split(F.col(line_col), "\t"), F.col(line_col) != F.lit(header)
+    key_missing = F.get(f, names.index("track_id")).isNull() | F.get(f, names.index("path")).isNull()
+    return {"n_rows": F.count_if(data), "n_long": F.count_if(data & (F.size(f) > n)), "n_short": F.count_if(data & (F.size(f) < n)),
+            "n_null_key": F.count_if(data & (F.size(f) <= n) & key_missing), "n_kept": F.count_if(data & (F.size(f) <= n) & ~key_missing)}
+
+
 def read_tag_tsv(spark: SparkSession, path: str, category: str, multi_tag: str = "drop",
-                 header: str | None = None) -> DataFrame:
+                 header: str | None = None, watch=None) -> DataFrame:
     """``load_tag_tsv`` - one tag category file (or a folder of them).
 
     ``header`` may be given when a folder holds many part files; otherwise the
-    first line of the first file is the header."""
+    first line of the first file is the header.  With ``watch`` (``store.Watch``) the lines
+    are counted while they are read."""
     header = header if header is not None else read_header(spark, path)
-    return parse_tag_lines(spark.read.text(path), header, category, multi_tag)
+    lines = spark.read.text(path)
+    if watch is not None:
+        lines = watch.on(lines, f"lines_{category}", **line_counts(header))
+    return parse_tag_lines(lines, header, category, multi_tag)
 
 
 def scan_report(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
-    """S2/D2/D3 profile of a tag file in one aggregation: data rows, rows longer than the
-    header (several tab-separated tags, skipped by default), rows shorter than the header
-    (kept, missing fields null), rows without a key (dropped), rows kept."""
+    """S2/D2/D3 profile of a tag file in one aggregation (``line_counts``)."""
     header = header if header is not None else read_header(spark, path)
-    names = [h.strip().lower() for h in header.split("\t")]
-    n = len(names)
-    f = F.split(F.col("value"), "\t")
-    rows = spark.read.text(path).filter(F.col("value") != F.lit(header)).select(f.alias("f"))
-    key_missing = (F.get(F.col("f"), names.index("track_id")).isNull()
-                   | F.get(F.col("f"), names.index("path")).isNull())
-    return rows.agg(F.count("*").alias("n_rows"),
-                    F.count_if(F.size("f") > n).alias("n_long"),
-                    F.count_if(F.size("f") < n).alias("n_short"),
-                    F.count_if((F.size("f") <= n) & key_missing).alias("n_null_key"),
-                    F.count_if((F.size("f") <= n) & ~key_missing).alias("n_kept"))
+    return spark.read.text(path).agg(*[c.alias(name) for name, c in line_counts(header).items()])

@@ -59,6 +59,22 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_of_any_length(spark):
+    """A whole license text of hundreds of words, with words changed, dropped and missing."""
+    rng = np.random.default_rng(12)
+    own = [f"term{k}" for k in rng.integers(0, 400, 500)]
+    notices = [*licenses.NOTICES, ("long", " ".join(own))]
+    changed = [f"other{k}" if rng.random() < 0.03 else w for k, w in enumerate(own)]
+    texts = [" ".join(["start", *own, "end"]), " ".join(changed), " ".join(own[:250]), " ".join(own[:480]), " ".join(reversed(own))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices).collect()}
+    assert [got[k].labels for k in range(5)] == ["long", "long", "", "long", ""]
+    grams = lambda words: {(q, " ".join(words[q:q + 3])) for q in range(len(words) - 2)}
+    assert got[0].score == 1.0 and got[0].spans[0].start == 1 and got[0].spans[0].end == 501
+    assert got[1].score == pytest.approx(len(grams(own) & grams(changed)) / 498, abs=0.02) and got[3].score == pytest.approx(478 / 498, abs=1e-9)
+    with pytest.raises(ValueError):
+        licenses.template_grams([("x", "word " * 70)], [])
+
+
 # ---- personal data --------------------------------------------------------------------------
 
 def brute_digits(d, key, kind, reverse=False):

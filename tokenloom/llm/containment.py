@@ -13,8 +13,8 @@ own minwise shingle stands in the window, so all shingle positions are first joi
 minwise shingles, and a window's minimum is worked out where one was met.  Candidates are verified on
 the whole sets: share of the item's distinct shingles that the document holds, at least ``percent`` %.
 
-Only DataFrame functions.  The items' values are broadcast up to ``broadcast_rows`` of them (their
-number is counted), beyond that they are joined by a shuffle.
+Only DataFrame functions.  The items' minwise values, and their whole sets, are broadcast up to ``broadcast_rows``
+values of 8 bytes each (both are counted), beyond that they are joined by a shuffle.
 
 Edge cases: null texts count as empty; texts and items under ``width`` words have no shingle and match
 nothing; repeated document rows of one id give one result; rows without an id are not searched.
@@ -58,29 +58,30 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, width:
     (distinct shingles) and ``containment``."""
     spark = docs.sparkSession
     seeds = _array(_seeds(spark, permutations))
-    texts = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("_t")).where("item_id IS NOT NULL")
-    known = cut_lineage(texts.select("item_id", shingles(F.col("_t"), width).alias("s"))).where("size(s) > 0").select(
+    texts = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("t")).where("item_id IS NOT NULL")
+    known = cut_lineage(texts.select("item_id", shingles(F.col("t"), width).alias("s"))).where("size(s) > 0").select(
         "item_id", F.expr("int(floor(log2(size(s))))").alias("class"), F.array_distinct("s").alias("s"))
     keys = known.select("item_id", "class", F.explode(F.expr(
         f"transform({seeds}, v -> named_struct('seed', v, 'key', array_min(transform(s, x -> x ^ v)) ^ v))")).alias("k")).select(
         "item_id", "class", "k.seed", "k.key")
-    n_keys = known.count() * permutations
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).where("doc_id IS NOT NULL")
+    n_items, n_values = known.agg(F.count("*"), F.coalesce(F.sum(F.size("s")), F.lit(0))).first()
+    n_keys = n_items * permutations
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("doc_id IS NOT NULL")
     # an item's minwise shingle must stand in a window to be its minimum: only there the window is looked at
-    probes = own.select("doc_id", F.posexplode_outer(shingles(F.col("_t"), width)).alias("pos", "key"))
+    probes = own.select("doc_id", F.posexplode_outer(shingles(F.col("t"), width)).alias("pos", "key"))
     side = F.broadcast(keys) if n_keys <= broadcast_rows else keys
     agreed = probes.join(side, "key").groupBy("doc_id").agg(
         F.collect_set(F.struct("item_id", "class", "seed", "key", "pos")).alias("agreed"))
-    full = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
+    full = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     size = "shiftleft(1, m.class)"
-    sets = full.join(agreed, "doc_id").select("doc_id", "agreed", shingles(F.col("_t"), width).alias("s")).select("doc_id", "s", F.expr(
+    sets = full.join(agreed, "doc_id").select("doc_id", "agreed", shingles(F.col("t"), width).alias("s")).select("doc_id", "s", F.expr(
         "transform(array(s), t -> array_distinct(transform(filter(agreed, m -> exists("
         f"sequence(greatest(m.pos div {size} - 2, 0), m.pos div {size}), b -> "
         f"array_min(transform(slice(t, int(b * {size}) + 1, 3 * {size}), y -> y ^ m.seed)) = m.key ^ m.seed)), "
         "m -> m.item_id)))[0]").alias("items"))
     # whole sets of the candidates
     each = sets.select("doc_id", "s", F.explode_outer("items").alias("item_id")).join(
-        (F.broadcast(known) if n_keys <= broadcast_rows else known).select("item_id", F.col("s").alias("own")), "item_id")
+        (F.broadcast(known) if n_items + n_values <= broadcast_rows else known).select("item_id", F.col("s").alias("own")), "item_id")
     counted = each.select("doc_id", "item_id", F.size(F.array_intersect("s", "own")).cast("bigint").alias("n_shared"),
                           F.size("own").cast("bigint").alias("n_item"))
     return counted.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).groupBy("doc_id", "item_id").agg(

@@ -48,13 +48,17 @@ NOTICES = (
 )
 
 
+#: Positions of a template that one mask holds; a notice of any length takes several masks.
+MASK = 62
+
+
 def template_grams(base=BASE, notices=NOTICES) -> list[tuple[int, str, bool, int, int, str]]:
     """(template, label, whether it is a base phrase, its grams, position, gram)."""
     rows = []
     for number, (label, text) in enumerate([*base, *notices]):
         words = text.split()
         n = len(words) - K + 1
-        if not 1 <= n <= 62:
+        if n < 1 or n > MASK and number < len(base):
             raise ValueError(f"template of {len(words)} words: {label}")
         rows += [(number, label, number < len(base), n, q, " ".join(words[q:q + K])) for q in range(n)]
     return rows
@@ -82,16 +86,20 @@ def scan_licenses(docs: DataFrame, base=BASE, notices=NOTICES, coverage: float =
     votes = each.withColumn("h", F.xxhash64("gram")).join(
         F.broadcast(grams.withColumn("h", F.xxhash64("gram")).withColumnRenamed("gram", "own")), "h").where(
         "gram = own AND (template >= 0 OR p = 0)").withColumn("diagonal", F.expr("CASE WHEN template >= 0 THEN p - 1 - q ELSE 0 END"))
-    diagonals = votes.groupBy("row", "doc_id", "n_words", "template", "label", "base", "n_grams", "diagonal").agg(
-        F.expr("bit_or(shiftleft(1L, q))").alias("mask"), F.min("p").alias("low"), F.max("p").alias("high"))
+    part = F.floor(F.col("q") / MASK).cast("int").alias("part")
+    diagonals = votes.groupBy("row", "doc_id", "n_words", "template", "label", "base", "n_grams", "diagonal", part).agg(
+        F.expr(f"bit_or(shiftleft(1L, q % {MASK}))").alias("mask"), F.min("p").alias("low"), F.max("p").alias("high"))
     own = Window.partitionBy("row", "template").orderBy("diagonal")
     merged = diagonals.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > slack, F.lit(True)).cast("int")) \
         .withColumn("span", F.sum("new").over(own))
     whole = F.col("base") & (F.bit_count("mask") == F.col("n_grams"))
-    spans = merged.groupBy("row", "doc_id", "n_words", "template", "label", "base", "n_grams", "span").agg(
-        (F.bit_count(F.expr("bit_or(mask)")) / F.col("n_grams")).alias("share"),
+    masks = merged.groupBy("row", "doc_id", "n_words", "template", "label", "base", "n_grams", "span", "part").agg(
+        F.bit_count(F.expr("bit_or(mask)")).alias("bits"),
         F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.when(whole, 1)).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first"), F.max(F.when(whole, F.col("diagonal"))).alias("last"))
+    spans = masks.groupBy("row", "doc_id", "n_words", "template", "label", "base", "n_grams", "span").agg(
+        (F.sum("bits") / F.col("n_grams")).alias("share"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("places").alias("places"), F.min("first").alias("first"), F.max("last").alias("last"))
     found = (F.col("template") >= 0) & ((F.col("base") & (F.col("places") > 0)) | (
         ~F.col("base") & (F.col("share") >= coverage) & (F.col("high") - F.col("low") + K <= 1.5 * (F.col("n_grams") + K - 1))))
     spans = spans.withColumn("found", found)

@@ -1,7 +1,7 @@
 """Secret scan with an incremental blob ledger.
 
 Every version of a text is addressed by the SHA-256 of its content.  The ledger (a Parquet table of
-``blob``, ``rule_version`` and findings) says which blobs were scanned under which version of the
+``blob`` and findings, in folders by ``rule_version``, of which a run reads its own) says which blobs were scanned under which version of the
 rules; a run scans each blob without such an entry once, whichever path holds it, appends it, and joins
 the findings back to all paths.  Running again over old and new versions scans only what is new; a new
 version of the rules scans everything once more.
@@ -101,7 +101,7 @@ def scan_versions(docs: DataFrame, path: str, rule_version: str = RULE_VERSION,
     texts = texts.where(_blob("text") == F.col("want")).select("want", "text")
     found = texts.mapInArrow(_scan, "blob binary, spans array<struct<start:bigint,end:bigint,kind:string>>")
     found.groupBy("blob").agg(F.first("spans").alias("spans")).withColumn("rule_version", F.lit(rule_version)) \
-        .write.mode("append").parquet(path)
+        .write.mode("append").partitionBy("rule_version").parquet(path)
     entries = ledger(spark, path).where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))
     return paths.join(entries, "blob").select("doc_id", F.lower(F.hex("blob")).alias("blob"), "spans")
 

@@ -169,3 +169,25 @@ def test_document_names_below_the_exact_root(spark, tmp_path):
         (root / n).parent.mkdir(parents=True, exist_ok=True)
         (root / n).write_text("{}")
     assert sorted(r["rel_path"] for r in read_documents(spark, f"{root}/").collect()) == sorted(names)
+
+
+def test_elements_beyond_the_declared_width(spark):
+    """They are left out of the features, counted per leaf, and refused in strict mode."""
+    import json
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tokenloom.functions.catalog import preset
+    from tokenloom.functions.json_leaf import parse
+    from tokenloom.plans.programs import assert_widths, extra_leaf_counts
+    fs = preset("full_run")
+    docs = [{"lowlevel": {"mfcc": {"mean": [1.0] * n, "cov": [[1.0] * 13] * m}}} for n, m in ((13, 13), (15, 13), (20, 14), (0, 0))] + [{}]
+    frame = spark.createDataFrame([(json.dumps(x),) for x in docs], "t string").select(parse("t").alias("doc"))
+    got = {r.leaf: (r.n_documents, r.n_extra) for r in extra_leaf_counts(frame, fs).collect()}
+    assert got["lowlevel.mfcc.mean"] == (2, 9) and got["lowlevel.mfcc.cov"] == (1, 1)
+    assert all(v == (0, 0) for k, v in got.items() if "mfcc" not in k) and len(got) > 4
+    assert frame.select(F.size(fs.vector(F.col("doc"))).alias("n")).distinct().collect()[0].n == fs.width
+    with pytest.raises(ValueError, match="lowlevel.mfcc.cov"):
+        assert_widths(frame, fs)
+    assert_widths(frame.limit(1), fs)

@@ -28,6 +28,8 @@ class Extractor:
     build: Builder = field(compare=False)
     # the same features as whole arrays, each leaf read once for all its elements
     arrays: Builder | None = field(compare=False, default=None)
+    # array leaves and their declared widths: (path, reader, elements)
+    widths: tuple[tuple[str, str, int], ...] = ()
 
 
 def _fixed(arr: Column, n: int) -> list[Column]:
@@ -50,7 +52,8 @@ def mean_cov(key: str, path: str, prefix: str, n: int) -> Extractor:
     return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path + ".mean"), n)
                      + [F.sqrt(F.get(F.get(J.matrix_leaf(d, path + ".cov"), i), i)) for i in range(n)],
                      lambda d: [_padded(J.array_leaf(d, path + ".mean"), n),
-                                _padded(_diagonal(J.matrix_leaf(d, path + ".cov")), n)])
+                                _padded(_diagonal(J.matrix_leaf(d, path + ".cov")), n)],
+                     ((path + ".mean", "array", n), (path + ".cov", "matrix", n)))
 
 
 def mean_var(key: str, path: str, prefix: str, n: int) -> Extractor:
@@ -59,12 +62,14 @@ def mean_var(key: str, path: str, prefix: str, n: int) -> Extractor:
     return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path + ".mean"), n)
                      + [F.sqrt(c) for c in _fixed(J.array_leaf(d, path + ".var"), n)],
                      lambda d: [_padded(J.array_leaf(d, path + ".mean"), n),
-                                _padded(F.transform(J.array_leaf(d, path + ".var"), F.sqrt), n)])
+                                _padded(F.transform(J.array_leaf(d, path + ".var"), F.sqrt), n)],
+                     ((path + ".mean", "array", n), (path + ".var", "array", n)))
 
 
 def mean_array(key: str, path: str, prefix: str, n: int) -> Extractor:
     names = tuple(f"{prefix}_{i}" for i in range(n))
-    return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path), n), lambda d: [_padded(J.array_leaf(d, path), n)])
+    return Extractor(key, names, lambda d: _fixed(J.array_leaf(d, path), n), lambda d: [_padded(J.array_leaf(d, path), n)],
+                     ((path, "array", n),))
 
 
 def scalars(key: str, pairs: list[tuple[str, str]], reader=J.scalar) -> Extractor:
@@ -225,6 +230,15 @@ class FeatureSet:
                     out.append(c.cast("double"))
         return out
 
+    def extra_elements(self, doc: Column) -> dict[str, Column]:
+        """For each array leaf how many elements of the document lie beyond its declared width."""
+        out = {}
+        for e in self.extractors:
+            for path, reader, n in e.widths:
+                value = J.matrix_leaf(doc, path) if reader == "matrix" else J.array_leaf(doc, path)
+                out[path] = F.greatest(F.coalesce(F.size(value), F.lit(0)) - n, F.lit(0))
+        return out
+
     def vector(self, doc: Column, digits: int | None = None) -> Column:
         """All features as one array; ``digits`` rounds them.
 

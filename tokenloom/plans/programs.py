@@ -122,6 +122,23 @@ def missing_leaf_counts(df: DataFrame, names: list[str], col: str = "features")
     return per.select(F.get(names_arr, F.col("idx")).alias("feature"), "n_missing", "n_records")
 
 
+def extra_leaf_counts(docs: DataFrame, features: FeatureSet) -> DataFrame:
+    """Per array leaf of the feature set the documents (column ``doc``) with more elements than its declared width, and how many
+    elements the catalog leaves out, in one aggregation: ``(leaf, n_documents, n_extra)``."""
+    extra = features.extra_elements(F.col("doc"))
+    per = F.array(*[F.struct(F.lit(path).alias("leaf"), n.alias("n")) for path, n in extra.items()])
+    each = docs.select(F.explode(per).alias("x"))
+    return each.groupBy(F.col("x.leaf").alias("leaf")).agg(F.count_if(F.col("x.n") > 0).alias("n_documents"),
+                                                           F.coalesce(F.sum("x.n"), F.lit(0)).cast("long").alias("n_extra"))
+
+
+def assert_widths(docs: DataFrame, features: FeatureSet) -> None:
+    """P7 strict mode: raise if any document has elements beyond a declared width (names the first such leaf)."""
+    bad = extra_leaf_counts(docs, features).filter(F.col("n_extra") > 0).orderBy("leaf").limit(1).collect()
+    if bad:
+        raise ValueError(f"leaf {bad[0]['leaf']!r} is wider than declared in {bad[0]['n_documents']} documents")
+
+
 def assert_complete(df: DataFrame, names: list[str], col: str = "features") -> None:
     """D4 strict mode: raise if any record lacks any catalog feature (names the first one)."""
     bad = missing_leaf_counts(df, names, col).filter(F.col("n_missing") > 0).orderBy("feature").limit(1).collect()

@@ -384,6 +384,20 @@ def q_json_stat_objects(spark, d):
 KEYS_TEXT = ["C", "c#", "d", "D#", "e", "f", "f#", "g", "G#", "a", "a#", "b", "bb"]
 
 
+@register("extra_elements", """
+SELECT 'lowlevel.mfcc.mean' AS leaf, count(*) AS n_documents, CAST(sum(len(embedding) - 13) AS BIGINT) AS n_extra FROM embeddings
+UNION ALL SELECT 'lowlevel.spectral_contrast_coeffs.mean', count(*) FILTER (label > 6), CAST(coalesce(sum(label - 6) FILTER (label > 6), 0) AS BIGINT)
+FROM embeddings""")
+def q_extra_elements(spark, d):
+    """Elements beyond the declared width of an array leaf, counted per leaf."""
+    from .programs import extra_leaf_counts
+    e = embeddings(spark, d)
+    doc = F.to_json(F.struct(F.struct(F.struct(F.col("features").alias("mean")).alias("mfcc"), F.struct(
+        F.slice("features", F.lit(1), F.col("label").cast("int")).alias("mean")).alias("spectral_contrast_coeffs")).alias("lowlevel")))
+    counts = extra_leaf_counts(e.select(J.parse(doc).alias("doc")), preset("full_run"))
+    return counts.where(F.col("leaf").isin("lowlevel.mfcc.mean", "lowlevel.spectral_contrast_coeffs.mean"))
+
+
 @register("key_vector", f"""
 WITH k AS (SELECT p_partkey, {_sql_list(KEYS_TEXT)}[p_size % 13 + 1] AS key_key,
                   CASE WHEN p_size % 2 = 0 THEN 'major' ELSE 'minor' END AS key_scale,

@@ -26,7 +26,7 @@ def test_entry_smoke(spark):
 def _compare(spark, name, sf):
     df = entry_mod.queries()[name](spark, sf)
     con = duckdb.connect()
-    for t in ("part", "embeddings", "events", "documents", "labels", "benchmark"):
+    for t in ("part", "embeddings", "events", "documents", "labels", "benchmark", "conversations", "lineitem", "orders", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     res = con.execute(entry_mod.oracle_sql()[name])
     ocols = [c[0] for c in res.description]

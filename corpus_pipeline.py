@@ -3,6 +3,7 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns the rows it keeps, or rewrites, with the columns of
 ``docs``; the last one adds the tokens.  ``run`` writes each stage's rows as Parquet into the cluster's
 shared folder and reads them back for the next, so a lost executor costs no more than one stage's tasks.
+A stage's copy of the corpus is deleted when the next one is complete; the last one stays, the result reads it.
 
 Rows without a ``doc_id`` pass the stages that compare documents; null texts count as empty; rows that
 share an id are judged by their own texts (those with equal texts are dropped or kept together); further columns of any
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe, containment, pii, setjoin, toxicity
 from tokenloom.llm.common import shared_path, table, unused
+from tokenloom.session import delete_path
 
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.5
@@ -78,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_path(spark, "corpus-pipeline")
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_path(spark, "corpus-pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete_path(spark, before)
+        before = f"{folder}/{name}"
     return docs

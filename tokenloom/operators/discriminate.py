@@ -157,10 +157,12 @@ def single_top_labels(tags: DataFrame, tag_cols: list[str], key: str = "track_id
     exploded = long.select(key, "category", F.explode(split_tags("tags")).alias("tag"))
     counts = exploded.groupBy("category", "tag").agg(F.count("*").alias("n"))
     w = Window.partitionBy("category").orderBy(F.desc("n"), F.asc("tag"))
-    ranked = counts.withColumn("rank", F.row_number().over(w))
-    top = ranked.filter(F.col("rank") <= top_n)
+    # the limit goes below the shuffle: a task ranks the first of each partition, not all tags of a category
+    first = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    top = first
     for cat, tag in (always_include or {}).items():
-        forced = ranked.filter((F.col("category") == cat) & (F.col("tag") == tag) & (F.col("rank") > top_n))
+        forced = counts.filter((F.col("category") == cat) & (F.col("tag") == tag)).join(
+            F.broadcast(first.select("category", "tag")), ["category", "tag"], "left_anti")
         top = top.unionByName(forced.withColumn("rank", F.lit(top_n + 1)))
     # repeats count: "a---a" with a in the top list matches twice and is dropped
     matches = exploded.join(F.broadcast(top.select("category", "tag")), ["category", "tag"])

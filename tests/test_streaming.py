@@ -15,6 +15,17 @@ def test_stream_equals_batch(spark):
     assert streamed == batch
 
 
+def test_stream_of_a_table_of_part_files(spark, tmp_path):
+    """A table that is a folder of part files is streamed whole, like one that is a single file."""
+    e = embeddings(spark, SF_SMALL)
+    spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    (tmp_path / "embeddings.parquet.old").mkdir()
+    levels = fixture_codebook(e)
+    batch = {r["vec_id"]: list(r["codes"]) for r in apply_codebooks(e, levels).collect()}
+    rows = stream_codes(spark, str(tmp_path), levels).collect()
+    assert len(rows) == len(batch) and {r["vec_id"]: list(r["codes"]) for r in rows} == batch
+
+
 def test_stream_dictionary_equals_batch(spark, tmp_path):
     import numpy as np
     from tokenloom.operators.dictlearn import sparse_codes

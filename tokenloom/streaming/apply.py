@@ -18,6 +18,10 @@ from ..operators.rvq import apply_codebooks
 from ..session import checkpoint_dir
 
 
+#: Files of a micro-batch: a table of many part files is no long row of small jobs.
+FILES_PER_BATCH = 64
+
+
 def stream_rvq_ids(stream: DataFrame, levels: list[np.ndarray], col: str = "features") -> DataFrame:
     """Streaming M5 + M11: adds ``codes`` and ``semantic_id``."""
     return apply_codebooks(stream, levels, col).withColumn("semantic_id", codes_to_id("codes"))
@@ -31,16 +35,16 @@ def stream_dictionary_ids(stream: DataFrame, atoms: np.ndarray, n_nonzero: int,
 
 def stream_codes(spark: SparkSession, folder: str, levels: list[np.ndarray],
                  pattern: str = "embeddings.parquet") -> DataFrame:
-    """Run the streaming apply over the files of ``folder`` matching ``pattern`` until
-    caught up, and return the result.
+    """Run the streaming apply over the tables of ``folder`` matching ``pattern`` (files, or
+    folders of part files) until caught up, and return the result.
 
     The coded rows go to a Parquet table below the session's shared checkpoint folder
     (no row passes the driver), beside the stream's own checkpoint; every micro-batch
     is an ordinary Spark job.
     """
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", pattern).parquet(folder)
+    tables = f"{folder.rstrip('/')}/{{{pattern}}}"  # always a glob: a stream's plain path may be no single file
+    schema = spark.read.parquet(tables).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(tables)
               .select("vec_id", as_doubles("embedding").alias("features")))
     coded = stream_rvq_ids(stream, levels).select("vec_id", "codes", "semantic_id")
     name = "rvq_stream_" + uuid.uuid4().hex[:12]

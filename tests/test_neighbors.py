@@ -231,3 +231,18 @@ def test_knn_of_groups_far_apart(spark):
             for r in neighbors.knn_exact(make(spark, x), 5, "id", "features", **kw).collect():
                 got.setdefault(r["id"], {})[r["rank"]] = r["neighbor_id"]
             assert {i: [got[i][j] for j in range(1, 6)] for i in got} == ref, (far, kw)
+
+
+def test_query_topk_with_empty_partitions(spark, tmp_path):
+    """Partitions without rows (splits of a file, say) add nothing, whatever the id type, and do not fail."""
+    rng = np.random.default_rng(51)
+    x = rng.normal(size=(12, 3))
+    for kind, name in (("long", lambda i: i), ("string", lambda i: f"n{i:02d}")):
+        df = spark.createDataFrame([(name(i), [float(v) for v in r], [i % 2]) for i, r in enumerate(x)],
+                                   f"id {kind}, features array<double>, codes array<int>")
+        some = df.repartition(30, "id")
+        assert some.groupBy(F.spark_partition_id()).count().count() < 30
+        for codes in (None, "codes"):
+            one, more = (sorted(map(tuple, neighbors.query_topk(d, df, 3, "id", "features", "euclidean", codes).collect()))
+                         for d in (df.coalesce(1), some))
+            assert more == one and len([r for r in one if r[1] == "all"]) == 36

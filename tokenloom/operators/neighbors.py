@@ -393,8 +393,8 @@ def _merge_topk(best, new, k):
 
 
 def _emit(best, qid, kind):
-    if best is None:
-        return pd.DataFrame({"qid": [], "nid": [], "score": [], "kind": []})
+    if best is None:  # object columns: empty ones of any other type may not become strings
+        return pd.DataFrame(columns=["qid", "nid", "score", "kind"], dtype=object)
     s, i = best
     keep = np.isfinite(s)
     q = np.repeat(qid, s.shape[1]).reshape(s.shape)
@@ -433,7 +433,8 @@ class _Queries:
                 self.best[kind][at] = _merge_topk(self.best[kind][at], (dense_s, dense_i), self.k)
 
     def rows(self) -> pd.DataFrame:
-        out = [_emit(best, self.ids[q0:q0 + QUERY_CHUNK], kind) for kind, parts in self.best.items() for q0, best in zip(self.starts, parts)]
+        out = [_emit(best, self.ids[q0:q0 + QUERY_CHUNK], kind) for kind, parts in self.best.items()
+               for q0, best in zip(self.starts, parts) if best is not None]
         return pd.concat(out, ignore_index=True) if out else _emit(None, None, None)
 
 

@@ -246,3 +246,30 @@ def test_query_topk_with_empty_partitions(spark, tmp_path):
             one, more = (sorted(map(tuple, neighbors.query_topk(d, df, 3, "id", "features", "euclidean", codes).collect()))
                          for d in (df.coalesce(1), some))
             assert more == one and len([r for r in one if r[1] == "all"]) == 36
+
+
+def test_lists_a_row_do_not_grow_with_the_table(spark, monkeypatch):
+    """Small blocks asked of a larger table: a row still meets no more than BLOCKS blocks, with the same neighbors."""
+    rng = np.random.default_rng(52)
+    merge, parts = neighbors.topk_merge, []
+    monkeypatch.setattr(neighbors, "topk_merge", lambda df, *a, **kw: parts.append(df) or merge(df, *a, **kw))
+    for n in (200, 400):
+        x = rng.normal(size=(n, 6))
+        df, ref = make(spark, x), brute_knn(x, 2)
+        for run in (lambda: neighbors.knn_exact(df, 2, block_rows=4), lambda: neighbors.knn_exact(df, 2, block_rows=4, strategy="pivot"),
+                    lambda: neighbors.query_topk(df, df, 2, metric="euclidean", few=0, block_rows=4).select(
+                        F.col("qid").alias("id"), "rank", F.col("nid").alias("neighbor_id"))):
+            got = {(r["id"], r["rank"]): r["neighbor_id"] for r in run().collect()}
+            assert all(got[i, k + 1] == ref[i][k] for i in range(n) for k in range(2))
+            assert parts.pop().count() <= n * 2 * 32
+
+
+def test_tiles_are_bounded(monkeypatch):
+    """A pair of large blocks holds tiles of distances, never a chunk of one side against all of the other."""
+    import pandas as pd
+    rng = np.random.default_rng(53)
+    x, sizes, scores = rng.normal(size=(300, 3)), [], neighbors._scores
+    monkeypatch.setattr(neighbors, "_scores", lambda q, c, m: sizes.append(len(q) * len(c)) or scores(q, c, m))
+    rows = pd.DataFrame({"id": np.arange(300), "v": list(x), "blk": [0] * 100 + [1] * 200, "pa": 0, "pb": 1})
+    found = neighbors._pair_topk(3, "euclidean", 16)(rows)
+    assert max(sizes) <= 16 * 16 and len(found) == 300 * 3

@@ -1,9 +1,9 @@
 """Exact neighbors and index recall.
 
 K1 (every row's k nearest neighbors) is a block join: rows are hashed into
-B blocks of bounded size, every (query block, corpus block) pair meets in
-one ``cogroup`` task that computes the distance block with BLAS and keeps a
-partial top-k per query row; a final per-row top-k merges the B partial
+B blocks of bounded size, every unordered pair of blocks meets in
+one grouped task that computes the distances tile by tile with BLAS and keeps a
+running top-k per row; a final per-row top-k merges the B partial
 lists.  No task ever holds more than two blocks, and no pair list is
 emitted, only k candidates per row per block.
 
@@ -86,16 +86,6 @@ def _nearest(q: np.ndarray, c: np.ndarray, qid: np.ndarray, cid: np.ndarray, k:
     return r[keep], col[keep], s[keep], rank[keep].astype(np.int32)
 
 
-def _dense(found, nq: int, cid: np.ndarray, m: int):
-    """(rows x m) scores and ids of ``_nearest`` for running merges; missing slots are +inf."""
-    r, c, s, rank = found
-    out_s = np.full((nq, m), np.inf)
-    out_i = np.full((nq, m), -1, dtype=np.int64)
-    out_s[r, rank - 1] = s
-    out_i[r, rank - 1] = cid[c]
-    return out_s, out_i
-
-
 def numeric_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
     """Integer ids are used as they are.  Any other id type gets a unique integer in the
     order of the ids (so ties go to the lowest id), from a distributed sort; returns the
@@ -119,13 +109,42 @@ def _back(res: DataFrame, mapping: DataFrame | None, cols: dict[str, str]) -> Da
     return res
 
 
-CHUNK_ROWS = 1024  # query rows per distance chunk inside a task (chunk x block doubles)
+CHUNK_ROWS = 1024  # rows of each side of a distance tile inside a task (chunk x chunk doubles)
+#: Blocks that rows are dealt into at most, so that a row is copied about as often at every table size; only blocks
+#: that would exceed MAX_BLOCK_ROWS rows (tens of MB in a task) make for more of them.
+BLOCKS, MAX_BLOCK_ROWS = 16, 65_536
+
+
+def block_count(n: int, block_rows: int) -> int:
+    """Blocks for ``n`` rows: of about ``block_rows`` rows, or larger ones where that were more than ``BLOCKS``."""
+    return max(1, min(math.ceil(n / block_rows), max(BLOCKS, math.ceil(n / MAX_BLOCK_ROWS))))
+
+
+class _Lists:
+    """Running top-k lists (score, id) of some rows over tiles of the other side."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.s, self.i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+
+    def add(self, part: slice, v: np.ndarray, other_id: np.ndarray, other: np.ndarray, metric: str, score: np.ndarray) -> None:
+        r, c, s, rank = _nearest(v, other, self.ids[part], other_id, self.k, metric, self.s[part, -1], score)
+        if not len(r):
+            return
+        rows, at = np.unique(r, return_inverse=True)  # only lists that found something are merged
+        new_s, new_i = np.full((len(rows), self.k), np.inf), np.full((len(rows), self.k), -1, dtype=np.int64)
+        new_s[at, rank - 1], new_i[at, rank - 1] = s, other_id[c]
+        rows += part.start
+        self.s[rows], self.i[rows] = _merge_topk((self.s[rows], self.i[rows]), (new_s, new_i), self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keep = np.isfinite(self.s)
+        return np.repeat(self.ids, keep.sum(axis=1)), self.i[keep], self.s[keep]
 
 
 def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
-    """One unordered block pair (a, b): every distance is computed once, in chunks of
-    ``chunk_rows`` a-rows against all b-rows; a-rows get their top-k per chunk, b-rows
-    keep a running top-k across chunks.  Memory is chunk_rows x block_rows doubles."""
+    """One unordered block pair (a, b): every distance is computed once, in tiles of ``chunk_rows`` rows of both sides,
+    and the rows of both sides keep a running top-k.  Beside the two blocks, memory is a few tiles, whatever the blocks' size."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0:
             return pd.DataFrame({"id": [], "nid": [], "score": []})
@@ -139,22 +158,17 @@ def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
         lid = left["id"].to_numpy().astype(np.int64)
         rv = lv if diagonal else np.stack(right["v"].to_numpy()).astype(float)
         rid = lid if diagonal else right["id"].to_numpy().astype(np.int64)
-        out, best_r = [], None
-        for start in range(0, len(lid), chunk_rows):
-            sl = slice(start, start + chunk_rows)
-            block = _scores(lv[sl], rv, metric)
-            r, c, s, _ = _nearest(lv[sl], rv, lid[sl], rid, k, metric, score=block)
-            out.append((lid[sl][r], rid[c], s))
-            if not diagonal:
-                limit = best_r[0][:, k - 1] if best_r is not None and best_r[0].shape[1] >= k else None
-                found = _nearest(rv, lv[sl], rid, lid[sl], k, metric, limit, block.T)
-                best_r = _merge_topk(best_r, _dense(found, len(rid), lid[sl], min(k, block.shape[0])), k)
-        if best_r is not None:
-            e = _emit(best_r, rid, "x")
-            out.append((e["qid"].to_numpy(), e["nid"].to_numpy(), e["score"].to_numpy()))
-        return pd.DataFrame({"id": np.concatenate([o[0] for o in out]),
-                             "nid": np.concatenate([o[1] for o in out]),
-                             "score": np.concatenate([o[2] for o in out])})
+        lists = [_Lists(lid, k)] + ([] if diagonal else [_Lists(rid, k)])
+        for l0 in range(0, len(lid), chunk_rows):
+            own = slice(l0, l0 + chunk_rows)
+            for r0 in range(0, len(rid), chunk_rows):
+                other = slice(r0, r0 + chunk_rows)
+                tile = _scores(lv[own], rv[other], metric)
+                lists[0].add(own, lv[own], rid[other], rv[other], metric, tile)
+                if not diagonal:
+                    lists[1].add(other, rv[other], lid[own], lv[own], metric, tile.T)
+        found = [x.rows() for x in lists]
+        return pd.DataFrame({c: np.concatenate([f[at] for f in found]) for at, c in enumerate(("id", "nid", "score"))})
     return run
 
 
@@ -163,13 +177,14 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
               strategy: str = "blocks", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """K1: ``(id, rank, neighbor_id, distance)`` for the k nearest other rows of every row.
 
-    Rows are hashed into B blocks of about ``block_rows`` rows; every unordered
+    Rows are hashed into B blocks of about ``block_rows`` rows, but no more than ``BLOCKS``
+    (larger blocks then, of at most ``MAX_BLOCK_ROWS`` rows); every unordered
     block pair (a <= b) meets once, so each row is shuffled B times and each
     distance is computed once.  ``distance`` is euclidean (``similarity`` for
     ``metric='cosine'``).  Ties go to the lower neighbor id; a row is never its
-    own neighbor (D11).  Exact search is O(n^2) work by nature; each row is
-    shuffled n / block_rows times, and a task holds two blocks plus one
-    ``chunk_rows`` x ``block_rows`` distance chunk.
+    own neighbor (D11).  Exact search is O(n^2) work by nature, but what is shuffled
+    grows with n (B copies and B lists of a row, up to ``BLOCKS * MAX_BLOCK_ROWS`` rows), and
+    a task holds two blocks plus a few tiles of ``chunk_rows`` x ``chunk_rows`` distances.
 
     ``strategy='pivot'`` gives the same result with pivot cells and triangle-inequality
     pruning of cell pairs (``knn_pivot``): worth it for low-dimensional or clustered
@@ -193,15 +208,18 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     if metric == "cosine":
         base = base.withColumn("v", l2_normalize("v"))
     if n_blocks is None:
-        n = base.count()
-        n_blocks = max(1, math.ceil(n / block_rows))
+        n_blocks = block_count(base.count(), block_rows)
     keyed = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     paired = keyed.select("id", "v", "blk", other.alias("j")).select(
         "id", "v", "blk", F.least("blk", "j").alias("pa"), F.greatest("blk", "j").alias("pb"))
     part = paired.groupBy("pa", "pb").applyInPandas(_pair_topk(k, metric, chunk_rows),
                                                      "id long, nid long, score double")
-    top = topk_merge(part, ["id"], k)
+    return _named_lists(topk_merge(part, ["id"], k, lists=n_blocks), mapping, metric, id_col)
+
+
+def _named_lists(top: DataFrame, mapping: DataFrame | None, metric: str, id_col: str) -> DataFrame:
+    """The merged lists with the ids of the input and ``distance`` or ``similarity``."""
     dist = F.sqrt(F.greatest(F.col("score"), F.lit(0.0))) if metric == "euclidean" else -F.col("score")
     dname = "distance" if metric == "euclidean" else "similarity"
     res = top.select("id", "rank", "nid", dist.alias(dname))
@@ -214,7 +232,7 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
 # ---- pivot-pruned exact kNN -------------------------------------------------------
 
 MAX_PIVOTS = 4096
-ROUTE_ROWS = 65536  # rows per routed Arrow batch
+COPIES = 2 * BLOCKS  # copies of a row, on average, beyond which fewer and larger cells are taken
 
 
 def _assign_cells(pivots: np.ndarray):
@@ -268,60 +286,13 @@ def candidate_cells(pivots: np.ndarray, counts: np.ndarray, radius: np.ndarray,
     return out
 
 
-def _route(cands: list[np.ndarray], subs: np.ndarray):
-    """Replicate rows to their groups; a group is one (query sub-block, corpus sub-block).
-
-    A row of cell c (sub-block s) goes, as a query, to every sub-block of every
-    candidate cell of c and, as a corpus row, to every sub-block of every cell that
-    lists c as a candidate.  Targets are built once per cell in a batch and
-    broadcast over that cell's rows with numpy (no per-row Python loop).
-    """
-    wanted_by: dict[int, list[int]] = {}
-    for a, cs in enumerate(cands):
-        for b in cs:
-            wanted_by.setdefault(int(b), []).append(a)
-    offs = np.concatenate([[0], np.cumsum(subs)]).astype(np.int64)
-
-    def blocks(cells) -> np.ndarray:
-        if len(cells) == 0:
-            return np.empty(0, dtype=np.int64)
-        return np.concatenate([np.arange(offs[c], offs[c + 1]) for c in cells])
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf["id"].to_numpy().astype(np.int64)
-            vec = pdf["v"].to_numpy()
-            cell = pdf["cell"].to_numpy().astype(np.int64)
-            me_all = offs[cell] + pdf["sub"].to_numpy().astype(np.int64)
-            for c in np.unique(cell):
-                idx = np.nonzero(cell == c)[0]
-                me = me_all[idx]
-                for role, targets in ((0, blocks(cands[c])), (1, blocks(wanted_by.get(int(c), ())))):
-                    # yield in pieces of <= ROUTE_ROWS output rows: each carries its vector
-                    step = max(1, ROUTE_ROWS // max(1, len(idx)))
-                    for t0 in range(0, len(targets), step):
-                        t = targets[t0:t0 + step]
-                        mine, other = np.repeat(me, len(t)), np.tile(t, len(idx))
-                        r = np.repeat(idx, len(t))
-                        yield pd.DataFrame({"qb": mine if role == 0 else other, "cb": other if role == 0 else mine,
-                                            "role": np.int8(role), "id": ids[r], "v": vec[r]})
-    return run
-
-
-def _group_topk(k: int, metric: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["role"] == 0]
-        c = pdf[pdf["role"] == 1]
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"id": [], "nid": [], "score": []})
-        qv = np.stack(q["v"].to_numpy()).astype(float)
-        cv = np.stack(c["v"].to_numpy()).astype(float)
-        qid, cid = q["id"].to_numpy().astype(np.int64), c["id"].to_numpy().astype(np.int64)
-        a, b, sc, _ = _nearest(qv, cv, qid, cid, k, metric)
-        return pd.DataFrame({"id": qid[a], "nid": cid[b], "score": sc})
-    return run
+def _cell_pairs(cands: list[np.ndarray], counts: np.ndarray, subs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which cells meet (either lists the other as a candidate: a pair serves both), and the copies of a row on average."""
+    meet = np.zeros((len(cands), len(cands)), dtype=bool)
+    for a, bs in enumerate(cands):
+        meet[a, bs] = True
+    meet |= meet.T
+    return meet, float(counts @ (meet @ subs)) / max(1.0, float(counts.sum()))
 
 
 def knn_pivot(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "features",
@@ -335,40 +306,47 @@ def knn_pivot(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     3. ``candidate_cells`` keeps only cell pairs whose distance lower bound can beat the
        cell's proven k-th neighbor bound (triangle inequality; cosine runs as euclidean
        on unit vectors, which orders neighbors identically).
-    4. Cells are split into sub-blocks of <= block_rows rows (a hot cell becomes many
-       bounded groups); each (query sub-block, corpus sub-block) pair is one grouped task.
+    4. Cells are split into blocks of <= block_rows rows (a hot cell becomes many
+       bounded groups); each unordered pair of blocks whose cells meet is one grouped task, as in ``knn_exact``.
+
+    Where so little is pruned that a row would be copied into more than ``COPIES`` pairs on average (dozens of
+    unclustered dimensions), steps 1 to 4 start again with ``BLOCKS`` pivots and blocks to match: all pairs of
+    blocks may then meet, with at most about ``COPIES`` copies of a row up to ``BLOCKS * MAX_BLOCK_ROWS`` rows.
     """
     num, mapping = numeric_ids(df.select(id_col, vec_col), id_col)
     base = num.select(F.col("_nid").alias("id"), as_doubles(vec_col).alias("v"))
     if metric == "cosine":
         base = base.withColumn("v", l2_normalize("v"))
     n = base.count()
-    P = int(min(MAX_PIVOTS, max(1, n_pivots or math.ceil(n / block_rows))))
-    piv_rows = hash_sample(base, "id", P, seed).select("v").collect()
-    pivots = np.array([r["v"] for r in piv_rows], dtype=float)
-    P = len(pivots)
-    from ..session import cut_lineage
-    cells = cut_lineage(base.mapInPandas(_assign_cells(pivots), "id long, v array<double>, cell int, dp double"))
-    st = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dp").alias("r")).collect()
-    counts = np.zeros(P, dtype=np.int64)
-    radius = np.zeros(P)
-    for r in st:
-        counts[r["cell"]] = r["n"]
-        radius[r["cell"]] = r["r"]
-    cands = candidate_cells(pivots, counts.astype(float), radius, k)
-    subs = np.maximum(1, np.ceil(counts / block_rows)).astype(np.int64)
-    sub = F.pmod(F.xxhash64("id"), F.element_at(F.array(*[F.lit(int(x)) for x in subs]), F.col("cell") + 1))
-    routed = cells.withColumn("sub", sub.cast("int")).mapInPandas(
-        _route(cands, subs), "qb long, cb long, role byte, id long, v array<double>")
-    part = routed.groupBy("qb", "cb").applyInPandas(_group_topk(k, metric), "id long, nid long, score double")
-    top = topk_merge(part, ["id"], k)
-    dist = F.sqrt(F.greatest(F.col("score"), F.lit(0.0))) if metric == "euclidean" else -F.col("score")
-    dname = "distance" if metric == "euclidean" else "similarity"
-    res = top.select("id", "rank", "nid", dist.alias(dname))
-    if mapping is not None:
-        res = _back(res, mapping, {"id": "__id", "nid": "__nid"}).select(
-            F.col("__id").alias("id"), "rank", F.col("__nid").alias("nid"), dname)
-    return res.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"), dname)
+    coarse = block_count(n, block_rows)
+    tries = [(n_pivots or math.ceil(n / block_rows), max(block_rows, math.ceil(n / MAX_PIVOTS))), (coarse, math.ceil(n / coarse))]
+    for last, (wanted, rows) in enumerate(tries):
+        P = int(min(MAX_PIVOTS, max(1, wanted)))
+        piv_rows = hash_sample(base, "id", P, seed).select("v").collect()
+        pivots = np.array([r["v"] for r in piv_rows], dtype=float)
+        P = len(pivots)
+        cells = cut_lineage(base.mapInPandas(_assign_cells(pivots), "id long, v array<double>, cell int, dp double"))
+        counts = np.zeros(P, dtype=np.int64)
+        radius = np.zeros(P)
+        for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dp").alias("r")).collect():
+            counts[r["cell"]] = r["n"]
+            radius[r["cell"]] = r["r"]
+        cands = candidate_cells(pivots, counts.astype(float), radius, k)
+        subs = np.ceil(counts / max(1, rows)).astype(np.int64)
+        meet, copies = _cell_pairs(cands, counts, subs)
+        if last or copies <= COPIES:
+            break
+    offs = np.concatenate([[0], np.cumsum(subs)]).astype(np.int64)
+    spark = df.sparkSession
+    blocks = spark.createDataFrame([(c, int(offs[c]), int(subs[c])) for c in range(P) if subs[c]], "cell int, off int, subs int")
+    keyed = cells.join(F.broadcast(blocks), "cell").select(
+        "id", "v", (F.col("off") + F.pmod(F.xxhash64("id"), F.col("subs"))).cast("int").alias("blk"))
+    cell_of = np.repeat(np.arange(P), subs)
+    pairs = [(x, *sorted((x, int(y)))) for x in range(len(cell_of)) for y in np.flatnonzero(meet[cell_of[x]][cell_of])]
+    paired = keyed.join(F.broadcast(spark.createDataFrame(pairs, "blk int, pa int, pb int")), "blk")  # COPIES a block or so
+    part = paired.select("id", "v", "blk", "pa", "pb").groupBy("pa", "pb").applyInPandas(
+        _pair_topk(k, metric), "id long, nid long, score double")
+    return _named_lists(topk_merge(part, ["id"], k, lists=COPIES), mapping, metric, id_col)
 
 
 # ---- query samples -----------------------------------------------------------------
@@ -468,9 +446,13 @@ def _block_topk(k: int, metric: str, with_codes: bool, block_rows: int):
     return run
 
 
-def topk_merge(df: DataFrame, keys: list[str], k: int, fanout: int = 256) -> DataFrame:
+def topk_merge(df: DataFrame, keys: list[str], k: int, fanout: int = 256, lists: int | None = None) -> DataFrame:
     """Two-level top-k by (score, nid) per key: partial lists are first merged within
-    ``fanout`` groups of source partitions, so no final group exceeds fanout * k rows."""
+    ``fanout`` groups of source partitions, so no final group exceeds fanout * k rows.
+    Keys known to have no more than ``lists`` <= ``fanout`` partial lists are merged at once."""
+    if lists is not None and lists <= fanout:
+        w = Window.partitionBy(*keys).orderBy("score", "nid")
+        return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     g = F.pmod(F.spark_partition_id(), F.lit(fanout))
     w1 = Window.partitionBy(*keys, "_g").orderBy("score", "nid")
     first = (df.withColumn("_g", g).withColumn("_r", F.row_number().over(w1))
@@ -485,8 +467,8 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     """K2 (and the scoring half of K4): top-k corpus rows for each query row, for any number of queries.
 
     Up to ``few`` (``FEW_QUERIES``) queries, counted, are shipped to the tasks and the corpus is scanned once.  More are dealt into
-    blocks of about ``block_rows`` rows, as is the corpus; each pair of blocks is one grouped task, so a query is
-    copied once per corpus block and a corpus row once per query block, and nothing reaches the driver.  Output ``qid,
+    blocks (``block_count``: no more than ``BLOCKS`` until they are large), as is the corpus; each pair of blocks is one
+    grouped task, so a query is copied once per corpus block and a corpus row once per query block, and nothing reaches the driver.  Output ``qid,
     kind, rank, nid, score`` where ``kind`` is ``all`` or (with ``codes_col``) ``cand``: only
     rows sharing a token with the query at some level.  Ties go to the lower id, in the order of the id's own type.
     """
@@ -495,14 +477,14 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     kind = corpus.schema[id_col].dataType.simpleString()
     corpus, queries = corpus.select(*cols), queries.select(*cols)
     schema = f"qid {kind}, nid {kind}, score double, kind string"
-    few = FEW_QUERIES if few is None else few
+    few, lists = FEW_QUERIES if few is None else few, None
     if few and queries.limit(few + 1).count() <= few:
         rows = queries.toPandas()
         if not len(rows):
             return corpus.sparkSession.createDataFrame([], f"qid {kind}, kind string, rank int, nid {kind}, score double")
         part = corpus.mapInPandas(_query_topk(*_columns(rows, codes_col is not None), k, metric), schema)
     else:
-        n_q, n_c = (max(1, math.ceil(x.count() / block_rows)) for x in (queries, corpus))
+        n_q, n_c = (block_count(x.count(), block_rows) for x in (queries, corpus))
 
         def dealt(df: DataFrame, is_query: bool) -> DataFrame:
             own, other = ("qb", "cb") if is_query else ("cb", "qb")
@@ -511,7 +493,8 @@ def query_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
                              F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
         both = dealt(queries, True).unionByName(dealt(corpus, False))
         part = both.groupBy("qb", "cb").applyInPandas(_block_topk(k, metric, codes_col is not None, block_rows), schema)
-    top = topk_merge(part, ["qid", "kind"], k)
+        lists = n_c
+    top = topk_merge(part, ["qid", "kind"], k, lists=lists)
     sc = -F.col("score") if metric == "cosine" else F.col("score")
     return top.select("qid", "kind", "rank", "nid", sc.alias("score"))
 

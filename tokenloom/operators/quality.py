@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tags import is_tagged
 from ..session import cut_lineage
 from .lsh import knn_lsh
-from .neighbors import knn_exact
+from .neighbors import block_count, knn_exact
 
 
 def cluster_purity(df: DataFrame, cluster_col: str, label_col: str) -> DataFrame:
@@ -54,7 +53,7 @@ def neighbor_purity(df: DataFrame, k: int = 20, id_col: str = "id", vec_col: str
         knn, _ = knn_lsh(labeled, k, id_col, vec_col)
     else:
         knn = knn_exact(labeled, k, id_col, vec_col, "euclidean", block_rows,
-                        n_blocks=max(1, math.ceil(n / block_rows)))  # n is known: no second count
+                        n_blocks=block_count(n, block_rows))  # n is known: no second count
     return neighbor_purity_from_knn(knn, labeled, k, id_col, label_col)
 
 
@@ -99,7 +98,7 @@ def quality_report(df: DataFrame, tag_cols: list[str], cluster_col: str = "seman
                 knn, _ = knn_lsh(labeled.select(id_col, vec_col), k, id_col, vec_col)
             elif n > k:
                 knn = knn_exact(labeled.select(id_col, vec_col), k, id_col, vec_col, "euclidean", block_rows,
-                                n_blocks=max(1, math.ceil(n / block_rows)))
+                                n_blocks=block_count(n, block_rows))
             if knn is not None and len(group) > 1:
                 knn = cut_lineage(knn)  # computed once, read by every category of the group
             for c in group:

@@ -252,6 +252,38 @@ def test_quality_against_plain_scoring(spark):
     assert np.mean((z @ w < cut) == [q == 0 for _, q in rows]) > 0.97
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Means, deviations and the cut are those of all labelled rows, in one block or in several; so are the weights, about."""
+    rng = np.random.default_rng(6)
+    words = np.array(["some", "plain", "WORDS!", "12", "$$", "line\n", "other"])
+    rows = [(i, " ".join(rng.choice(words, rng.integers(3, 40), p=(a := rng.dirichlet(np.ones(7))))), int(a[2] + a[4] < 0.3)) for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3), spark.createDataFrame(
+        [(i, q) for i, _, q in rows], "doc_id long, quality int")
+    x, y = (np.array(v) for v in zip(*[(quality.features(t), q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 5]))
+    whole = quality.train(docs.drop("quality"), labels)
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(quality, "LEAST_RARE", 150)
+    parts = quality.train(docs.drop("quality"), labels)
+    for w, mean, dev, cut in (whole, parts):
+        assert np.allclose(mean, x.mean(axis=0)) and np.allclose(dev, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1))
+        z = np.clip((x - mean) / dev, -8, 8)
+        assert cut == pytest.approx(np.quantile(z @ w, (y == 0).mean()))
+    assert np.corrcoef(whole[0], parts[0])[0, 1] > 0.98
+    z = np.clip((x - whole[1]) / whole[2], -8, 8)  # at the loss's minimum over all pairs its slope is 0
+    good, bad = z[y == 1], z[y == 0]
+    p = 1 / (1 + np.exp(-((good @ whole[0])[:, None] - (bad @ whole[0])[None, :])))
+    slope = (good.T @ (1 - p).sum(axis=1) - bad.T @ (1 - p).sum(axis=0)) / p.size - 1e-3 * whole[0]
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_quality_cut_of_many_values(spark):
+    v = np.random.default_rng(7).normal(size=3000).round(2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    for q in (0.0, 0.31, 0.5, 1.0):
+        got, want = quality._order_value(df, q * 2999, most=20), np.quantile(v, q)
+        assert abs(got - want) < 0.011  # equal values end the search at the value itself
+
+
 def test_quality_features_count_every_word():
     """A long text whose period divides a stride, and one whose only signs stand between strides."""
     by_name = dict(zip(quality.FEATURES, quality.features("WORD! plain plain plain " * 20_000)))

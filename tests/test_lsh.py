@@ -79,3 +79,39 @@ def test_neighbor_purity_on_approximate_neighbors(spark):
     exact = quality.neighbor_purity(df, 10, "id").first()
     near = quality.neighbor_purity(df, 10, "id", approximate=True).first()
     assert abs(exact.micro - near.micro) < 0.02 and abs(exact.macro - near.macro) < 0.02
+
+
+def test_nothing_is_hashed_for_a_recall_out_of_reach(spark, monkeypatch):
+    """Unclustered rows: the trial looks at the sampled queries only, and no row is hashed or dealt into buckets in vain."""
+    monkeypatch.setattr(lsh, "_leaves", lambda *a: pytest.fail("all rows were dealt into buckets"))
+    x = np.random.default_rng(55).normal(size=(600, 48))
+    rows, report = lsh.knn_lsh(frame(spark, x), 4, recall=0.99, tables=2, bucket_rows=20)
+    assert report.tables == 0 and true_recall(x, rows.collect(), 4) == 1.0
+
+
+def test_trial_finds_what_the_buckets_hold(spark):
+    """The hits of the trial against the buckets of all rows, with equal rows beyond the last hash."""
+    rng = np.random.default_rng(56)
+    x = groups(rng, 700, 6, rng.normal(size=(12, 6)) * 3, 0.5)
+    x[:200] = x[0]
+    df, k, tables, probes, size, seed = frame(spark, x).withColumnRenamed("features", "v"), 6, 5, 2, 32, 42
+    exact, far = lsh._typical(df, k, seed)
+    planes, offsets = rng.standard_normal((tables, 6, lsh.DEPTH)), rng.uniform(0, 2 * far, (tables, lsh.DEPTH))
+    got = lsh._trial(df, exact, planes, offsets, 2 * far, probes, k, size, seed)
+    got = {(r.id, r.tab): r.hits for r in got.itertuples()}
+    hashed = df.mapInPandas(lsh._hashed(planes, offsets, 2 * far, probes), "tab int, id long, variant int, h binary")
+    visits, holds = {}, {}
+    for r in lsh._leaves(hashed, size, seed).collect():
+        visits.setdefault((r.tab, r.id), set()).add(r.bucket)
+        if r.corpus:
+            holds.setdefault(r.bucket, set()).add(r.id)
+    dealt = 0
+    for q, kth in exact.groupby("qid")["score"].max().items():
+        near = {int(i) for i in np.flatnonzero(((x - x[q]) ** 2).sum(1) <= kth * (1 + 1e-9) + 1e-300)} - {q}
+        seen, hits, want = set(), 0, 0
+        for t in range(tables):
+            seen |= near & set().union(*(holds.get(b, set()) for b in visits[t, q]))
+            hits += got.get((q, t), 0)
+            assert min(hits, k) == min(len(seen), k)
+        dealt += q < 200
+    assert dealt > 10

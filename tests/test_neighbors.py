@@ -273,3 +273,30 @@ def test_tiles_are_bounded(monkeypatch):
     rows = pd.DataFrame({"id": np.arange(300), "v": list(x), "blk": [0] * 100 + [1] * 200, "pa": 0, "pb": 1})
     found = neighbors._pair_topk(3, "euclidean", 16)(rows)
     assert max(sizes) <= 16 * 16 and len(found) == 300 * 3
+
+
+def test_candidates_of_a_pair_are_few(monkeypatch):
+    """Tiles in single precision pick the candidates: few pairs are rescored where rows differ, fewer yet where the own
+    block has bounded the lists, and rows of any magnitude get the lists of the exact differences."""
+    import pandas as pd
+    import pytest
+    rng = np.random.default_rng(54)
+    x, rescored, plain = rng.normal(size=(600, 24)), [], neighbors._rescored
+    monkeypatch.setattr(neighbors, "_rescored", lambda q, c, r, col: rescored.append(len(r)) or plain(q, c, r, col))
+    monkeypatch.setattr(neighbors, "_nearest", lambda *a, **kw: pytest.fail("a tile was ranked in double precision"))
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    rows = pd.DataFrame({"id": np.arange(600), "v": list(x), "blk": [0] * 300 + [1] * 300, "pa": 0, "pb": 1})
+    own = np.sort(np.concatenate([d[:300, :300], d[300:, 300:]]), axis=1)[:, 4]
+    for scale in (1.0, 1e30, 1e-30):
+        for cut in (None, own * scale * scale):
+            rescored.clear()
+            part = rows.assign(v=list(x * scale)) if cut is None else rows.assign(v=list(x * scale), cut=cut * (1 + 1e-12))
+            found = neighbors._pair_topk(5, "euclidean", 100)(part)
+            assert sum(rescored) <= (20 if cut is None else 8) * 600
+            for i in range(600):
+                far = slice(300, 600) if i < 300 else slice(0, 300)
+                want = far.start + np.argsort(d[i, far])[:5]
+                if cut is not None:
+                    want = [j for j in want if d[i, j] <= own[i] * (1 + 1e-12)]
+                assert list(found[found["id"] == i].sort_values("score")["nid"]) == list(want)

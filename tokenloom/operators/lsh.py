@@ -13,8 +13,9 @@
    (in parts of 4 x ``bucket_rows``), scores are exact distances, k a query leave the task, and the lists of
    all buckets are merged.
 5. The sampled queries are looked up first, in all tables, and the smallest number of tables that reaches the wanted
-   recall on them is used for all rows.  The recall measured is returned beside the rows.  Where even all
-   tables miss it, the exact block join answers.
+   recall on them is used for all rows.  This counts rows in the buckets that these queries visit and nothing
+   else: two passes over the rows, no row is copied.  The recall measured is returned beside the rows.  Where
+   even all tables miss it, the exact block join answers.
 
 Rows that are compared grow with n x bucket_rows x tables x (1 + probes), not with the square of n.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_doubles
 from ..session import cut_lineage
-from .neighbors import _nearest, _scores, knn_exact, numeric_ids, query_topk, topk_merge
+from .neighbors import _nearest, _rescored, _scores, knn_exact, numeric_ids, query_topk, topk_merge
 from .sample import hash_sample
 
 #: Hashes of a table, and how many of the first ones are probed across their boundaries.
@@ -48,32 +49,32 @@ class Report:
     all_pairs: int
 
 
+def _sequences(x: np.ndarray, planes: np.ndarray, offsets: np.ndarray, width: float, probes: int) -> list[np.ndarray]:
+    """In one table: the hash sequence of each row, and as further variants those of its probes."""
+    at = (x @ planes + offsets) / width
+    h = np.floor(at)
+    inside = (at - h)[:, :PROBED]
+    h = np.clip(h, -32_768, 32_767).astype(np.int16)
+    gap = np.minimum(inside, 1 - inside)
+    nearest = np.argsort(gap, axis=1)[:, :probes] if probes else np.empty((len(x), 0), int)
+    rows, out = np.arange(len(x)), [h]
+    for c in nearest.T:
+        own = h.copy()
+        own[rows, c] += np.where(inside[rows, c] < 0.5, -1, 1).astype(np.int16)
+        out.append(own)
+    return out
+
+
 def _hashed(planes: np.ndarray, offsets: np.ndarray, width: float, probes: int):
     """For each row and table the hash sequence (variant 0) and, as further variants, those of its probes."""
-    tables, _, depth = planes.shape
-
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
             x, ids = np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy()
-            out = []
-            for t in range(tables):
-                at = (x @ planes[t] + offsets[t]) / width
-                h = np.floor(at)
-                inside = (at - h)[:, :PROBED]
-                h = np.clip(h, -32_768, 32_767).astype(np.int16)
-                gap = np.minimum(inside, 1 - inside)
-                nearest = np.argsort(gap, axis=1)[:, :probes]
-                rows = np.arange(len(x))
-                for variant in range(probes + 1):
-                    own = h
-                    if variant:
-                        c = nearest[:, variant - 1]
-                        own = h.copy()
-                        own[rows, c] += np.where(inside[rows, c] < 0.5, -1, 1).astype(np.int16)
-                    out.append(pd.DataFrame({"tab": t, "id": ids, "variant": variant, "h": [r.tobytes() for r in own]}))
-            yield pd.concat(out, ignore_index=True)
+            yield pd.concat([pd.DataFrame({"tab": t, "id": ids, "variant": variant, "h": [r.tobytes() for r in own]})
+                             for t in range(len(planes)) for variant, own in enumerate(_sequences(x, planes[t], offsets[t], width, probes))],
+                            ignore_index=True)
     return run
 
 
@@ -149,6 +150,127 @@ def _typical(base: DataFrame, k: int, seed: int) -> tuple[pd.DataFrame, float]:
     return exact, float(np.median(far)) if len(far) else 1.0
 
 
+class _Paths:
+    """The hash sequences of the sampled queries and of their probes: in each table a tree whose nodes are the prefixes
+    that some of them have.  At most SAMPLE x (1 + probes) x DEPTH nodes a table, whatever the number of rows."""
+
+    def __init__(self, x: np.ndarray, planes: np.ndarray, offsets: np.ndarray, width: float, probes: int):
+        self.planes, self.offsets, self.width = planes, offsets, width
+        variants = [_sequences(x, planes[t], offsets[t], width, probes) for t in range(len(planes))]
+        self.paths = np.stack([np.stack(v, axis=1) for v in variants])  # table, query, variant, hash
+        self.keys, self.nodes = [], []  # by table and level: the sorted keys (parent node, hash), the node of each path
+        for paths in self.paths:
+            node, keys, nodes = np.zeros(paths.shape[:2], np.int64), [], []
+            for level in range(DEPTH):
+                known, node = np.unique(_key(node, paths[..., level]), return_inverse=True)
+                node = node.reshape(paths.shape[:2])
+                keys.append(known)
+                nodes.append(node)
+            self.keys.append(keys)
+            self.nodes.append(nodes)
+
+    def hashes(self, x: np.ndarray, table: int) -> np.ndarray:
+        return _sequences(x, self.planes[table], self.offsets[table], self.width, 0)[0]
+
+    def counts(self, batches):
+        """``tab``, ``level``, ``node``, ``n``: corpus rows of a partition at the nodes."""
+        total = [[np.zeros(len(k), np.int64) for k in keys] for keys in self.keys]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy()).astype(float)
+            for t, keys in enumerate(self.keys):
+                h = self.hashes(x, t)
+                node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+                for level, known in enumerate(keys):
+                    key = _key(node, h[rows, level])
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    same = known[at] == key
+                    node, rows = at[same], rows[same]
+                    total[t][level] += np.bincount(node, minlength=len(known))
+                    if not len(rows):
+                        break
+        for t, levels in enumerate(total):
+            for level, n in enumerate(levels):
+                some = np.flatnonzero(n)
+                if len(some):
+                    yield pd.DataFrame({"tab": t, "level": level, "node": some, "n": n[some]})
+
+    def leaves(self, over: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """``over``: the nodes with more rows than a bucket takes.  Per table, query and variant: the hashes down to the
+        bucket where the path ends, and its rows if it goes on beyond the last hash (else 0)."""
+        deep, rest = np.zeros(self.paths.shape[:3], np.int64), np.zeros(self.paths.shape[:3], np.int64)
+        for (t, level), part in over.groupby(["tab", "level"]):
+            n = np.zeros(len(self.keys[t][level]), np.int64)
+            n[part["node"].to_numpy()] = part["n"].to_numpy()
+            deep[t] += n[self.nodes[t][level]] > 0
+            if level == DEPTH - 1:
+                rest[t] = n[self.nodes[t][level]]
+        return np.minimum(deep + 1, DEPTH), rest
+
+
+def _key(node: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return node * 65_536 + (h.astype(np.int64) + 32_768)
+
+
+def _trial_hits(paths: _Paths, deep: np.ndarray, rest: np.ndarray, qid: np.ndarray, qv: np.ndarray, deal: np.ndarray,
+                limit: np.ndarray, least: int, bucket_rows: int):
+    """``id``, ``nid``, ``tab``: true neighbors (at most ``limit`` away) of the sampled queries and the first table in which
+    they share a bucket; of each query and table no more than ``least``, as further ones do not count."""
+    parts = np.maximum(-(-rest // bucket_rows), 1)
+
+    def shared(x: np.ndarray, own: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Table by table whether row and query of a pair share a bucket."""
+        out = np.empty((len(paths.keys), len(q)), bool)
+        for t in range(len(out)):
+            agree = (paths.hashes(x, t)[:, None] == paths.paths[t, q]).cumprod(axis=2).sum(axis=2)  # pair, variant
+            ok = agree >= deep[t, q]
+            n = parts[t, q]
+            step = np.mod(own[:, None], n) - np.mod(deal[q][:, None], n)  # all but equal rows: parts, each with itself and the next
+            out[t] = (ok & ((rest[t, q] == 0) | (step == 0) | (np.mod(step, n) == 1))).any(axis=1)
+        return out
+
+    def run(batches):
+        found = pd.DataFrame({"id": [], "nid": [], "tab": []}, dtype=np.int64)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 2048):
+                part = pdf.iloc[lo:lo + 2048]
+                x, nid, own = np.stack(part["v"].to_numpy()).astype(float), part["id"].to_numpy(), part["deal"].to_numpy()
+                size = np.sqrt((qv * qv).sum(1)) + np.sqrt((x * x).sum(1).max())
+                slack = (x.shape[1] + 8) * np.finfo(float).eps * size * size
+                r, c = np.nonzero((_scores(qv, x, "euclidean") <= (limit + slack)[:, None]) & (qid[:, None] != nid[None]))
+                near = _rescored(qv, x, r, c) <= limit[r]
+                r, c = r[near], c[near]
+                for at in range(0, len(r), 4096):
+                    q, row = r[at:at + 4096], c[at:at + 4096]
+                    hit = shared(x[row], own[row], q)
+                    more = pd.DataFrame({"id": qid[q], "nid": nid[row], "tab": hit.argmax(axis=0)})[hit.any(axis=0)]
+                    found = pd.concat([found, more]).groupby(["id", "nid"], as_index=False)["tab"].min()
+                    found = found.groupby(["id", "tab"]).head(least)
+        yield found[["id", "nid", "tab"]]
+    return run
+
+
+def _trial(base: DataFrame, exact: pd.DataFrame, planes: np.ndarray, offsets: np.ndarray, width: float, probes: int,
+           least: int, bucket_rows: int, seed: int) -> pd.DataFrame:
+    """``id``, ``tab``, ``hits``: how many true neighbors each sampled query finds first in which table.
+
+    Only the queries are hashed into probes and only the buckets that they visit are looked at: two passes over the
+    rows, without a shuffle of them."""
+    dealt = base.withColumn("deal", F.xxhash64("id", F.lit(seed)))
+    kth = exact.groupby("qid")["score"].max()
+    asked = base.sparkSession.createDataFrame([(int(i),) for i in kth.index], "id long")  # at most SAMPLE rows
+    queries = dealt.join(F.broadcast(asked), "id").toPandas()
+    qv = np.stack(queries["v"].to_numpy()).astype(float)
+    paths = _Paths(qv, planes, offsets, width, probes)
+    over = (base.select("v").mapInPandas(paths.counts, "tab int, level int, node int, n long").groupBy("tab", "level", "node")
+            .agg(F.sum("n").alias("n")).where(F.col("n") > bucket_rows).toPandas())
+    limit = queries["id"].map(kth).to_numpy() * (1 + 1e-9) + 1e-300
+    run = _trial_hits(paths, *paths.leaves(over), queries["id"].to_numpy(), qv, queries["deal"].to_numpy(), limit, least, bucket_rows)
+    first = dealt.mapInPandas(run, "id long, nid long, tab int").groupBy("id", "nid").agg(F.min("tab").alias("tab"))
+    return first.groupBy("id", "tab").agg(F.count("*").alias("hits")).toPandas()
+
+
 def knn_lsh(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "features", recall: float = 0.95, tables: int = 16,
             probes: int = 3, bucket_rows: int = 2048, width: float = 4.0, seed: int = 42) -> tuple[DataFrame, Report]:
     """K1, approximate: ``(id, rank, neighbor_id, distance)`` as ``knn_exact`` gives them, and the report.
@@ -165,15 +287,12 @@ def knn_lsh(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "features"
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((tables, dim, DEPTH))
     offsets = rng.uniform(0, width * far, (tables, DEPTH))
-    hashed = base.mapInPandas(_hashed(planes, offsets, width * far, probes), "tab int, id long, variant int, h binary")
-    leaves = _leaves(hashed, bucket_rows, seed)
-    asked = base.sparkSession.createDataFrame([(int(i),) for i in exact["qid"].unique()], "id long")  # at most SAMPLE rows
-    trial = leaves.join(F.broadcast(asked.withColumn("asks", F.lit(True))), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    got = _found(trial, base, k, bucket_rows).toPandas()  # k rows for each sampled query, table and probe
-    use, reached = _tables_for(got, exact, k, min(k, n - 1), tables, recall)
+    least = min(k, n - 1)
+    use, reached = _tables_for(_trial(base, exact, planes, offsets, width * far, probes, least, bucket_rows, seed), exact, least, tables, recall)
     if reached < recall:
         return knn_exact(df, k, id_col, vec_col), Report(1.0, 0, n * (n - 1), n * (n - 1))
-    chosen = leaves.where(F.col("tab") < use).withColumn("asks", F.lit(True))
+    hashed = base.mapInPandas(_hashed(planes[:use], offsets[:use], width * far, probes), "tab int, id long, variant int, h binary")
+    chosen = _leaves(hashed, bucket_rows, seed).withColumn("asks", F.lit(True))
     work = chosen.groupBy("bucket").agg(F.count("*").alias("q"), F.count_if("corpus").alias("c")).agg(F.sum(F.col("q") * F.col("c"))).first()[0]
     rows = _found(chosen, base, k, bucket_rows).groupBy("id", "nid").agg(F.min("score").alias("score"))
     top = topk_merge(rows, ["id"], k).select("id", "rank", "nid", F.sqrt("score").alias("distance"))
@@ -183,15 +302,12 @@ def knn_lsh(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "features"
     return top.select(F.col("id").alias(id_col), "rank", F.col("nid").alias("neighbor_id"), "distance"), Report(reached, use, int(work), n * (n - 1))
 
 
-def _tables_for(got: pd.DataFrame, exact: pd.DataFrame, k: int, least: int, tables: int, recall: float) -> tuple[int, float]:
+def _tables_for(first: pd.DataFrame, exact: pd.DataFrame, least: int, tables: int, recall: float) -> tuple[int, float]:
     """The fewest first tables that reach the recall on the sampled queries, and that recall (of all tables if none does)."""
-    kth = exact.groupby("qid")["score"].max()
-    limit = got["id"].map(kth) * (1 + 1e-9) + 1e-300
-    true = got[got["score"] <= limit].groupby(["id", "nid"], as_index=False)["tab"].min()
-    have = 0.0
+    asked, have = exact["qid"].unique(), 0.0
     for use in range(1, tables + 1):
-        hits = true[true["tab"] < use].groupby("id").size().clip(upper=least)
-        have = float(hits.reindex(kth.index, fill_value=0).sum()) / (least * len(kth))
+        hits = first[first["tab"] < use].groupby("id")["hits"].sum().clip(upper=least)
+        have = float(hits.reindex(asked, fill_value=0).sum()) / (least * len(asked))
         if have >= recall:
             return use, have
     return tables, have

@@ -34,7 +34,10 @@ FEW_QUERIES = 10_000
 def _scores(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     """Lower is closer: squared euclidean distance, or negative cosine similarity."""
     if metric == "euclidean":
-        return (q * q).sum(1)[:, None] - 2.0 * (q @ c.T) + (c * c).sum(1)[None, :]
+        out = (-2.0 * q) @ c.T
+        out += (q * q).sum(1)[:, None]
+        out += (c * c).sum(1)[None, :]
+        return out
     if metric == "cosine":
         return -(q @ c.T)
     raise ValueError(f"unknown metric {metric}")
@@ -120,55 +123,176 @@ def block_count(n: int, block_rows: int) -> int:
     return max(1, min(math.ceil(n / block_rows), max(BLOCKS, math.ceil(n / MAX_BLOCK_ROWS))))
 
 
-class _Lists:
-    """Running top-k lists (score, id) of some rows over tiles of the other side."""
+class _Side:
+    """One side of a pair of blocks: its rows, and their running top-k lists (score, id) over tiles of the other side.
 
-    def __init__(self, ids: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.s, self.i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+    ``cut`` bounds each row's k-th best score.  Candidates of a tile wait until there are twice as many as list entries;
+    then they are merged at once."""
 
-    def add(self, part: slice, v: np.ndarray, other_id: np.ndarray, other: np.ndarray, metric: str, score: np.ndarray) -> None:
-        r, c, s, rank = _nearest(v, other, self.ids[part], other_id, self.k, metric, self.s[part, -1], score)
-        if not len(r):
+    def __init__(self, ids: np.ndarray, v: np.ndarray, cut: np.ndarray | None, k: int, metric: str):
+        self.ids, self.v, self.k, self.metric = ids, v, k, metric
+        self.cut = np.full(len(ids), np.inf) if cut is None else cut.astype(float)
+        self.s, self.i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+        self.wait: dict[int, list] = {}
+        self.norm = np.sqrt((v * v).sum(1))
+
+    def single(self, scale: float) -> None:
+        """Rows in single precision, in a unit that keeps their squares in range."""
+        self.v32 = (self.v / scale).astype(np.float32)
+
+    def add(self, part: slice, other: "_Side", o: slice, tile: np.ndarray, scale: float) -> None:
+        """``tile``: single-precision scores of the rows ``part`` against the other side's rows ``o``; it only picks candidates.
+
+        Scores from it may be off by ``slack``; pairs within that of the k-th best are rescored by plain differences.  Where it
+        can't tell them apart (groups far from each other, equal rows) the tile is done in double precision."""
+        nq, nc = tile.shape
+        slack = (self.v.shape[1] + 8) * np.finfo(np.float32).eps * ((self.norm[part] + other.norm[o].max()) / scale) ** 2
+        with np.errstate(over="ignore"):
+            cut = (self.cut[part] / (scale * scale) + slack).astype(np.float32)
+        if not np.isfinite(cut).all() and self.k < nc:
+            kth = np.partition(tile, self.k - 1, axis=1)[:, self.k - 1]
+            cut = np.fmin(cut, (kth + 2 * slack).astype(np.float32))
+        cut = np.nextafter(cut, np.float32(np.inf))
+        close = tile <= cut[:, None]
+        if np.count_nonzero(close) > 4 * self.k * nq:
+            self.rank(part, other, o)
             return
-        rows, at = np.unique(r, return_inverse=True)  # only lists that found something are merged
-        new_s, new_i = np.full((len(rows), self.k), np.inf), np.full((len(rows), self.k), -1, dtype=np.int64)
-        new_s[at, rank - 1], new_i[at, rank - 1] = s, other_id[c]
-        rows += part.start
-        self.s[rows], self.i[rows] = _merge_topk((self.s[rows], self.i[rows]), (new_s, new_i), self.k)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keep = np.isfinite(self.s)
-        return np.repeat(self.ids, keep.sum(axis=1)), self.i[keep], self.s[keep]
-
-
-def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
+        flat = np.flatnonzero(close if close.flags.c_contiguous else close.T)
+        r, c = np.divmod(flat, nc) if close.flags.c_contiguous else np.divmod(flat, nq)[::-1]
+        s = _rescored(self.v[part], other.v[o], r, c)
+        keep = (s <= self.cut[part][r]) & (self.ids[part][r] != other.ids[o][c]) & np.isfinite(s)
+        self.later(part, nq, r[keep], s[keep], other.ids[o][c[keep]])
+
+    def rank(self, part: slice, other: "_Side", o: slice, tile: np.ndarray | None = None) -> None:
+        """The k best of a tile in double precision."""
+        v = self.v[part]
+        r, c, s, _ = _nearest(v, other.v[o], self.ids[part], other.ids[o], self.k, self.metric, self.cut[part], tile)
+        self.later(part, len(v), r, s, other.ids[o][c])
+
+    def later(self, part: slice, nq: int, r: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
+        waiting = self.wait.setdefault(part.start, [])
+        waiting.append((r, s, i))
+        if sum(len(w[0]) for w in waiting) >= 2 * self.k * nq:
+            self.merge(part.start, nq)
+
+    def merge(self, start: int, n: int) -> None:
+        new, part = self.wait.pop(start), slice(start, start + n)
+        r = np.concatenate([np.repeat(np.arange(n), self.k), *[w[0] for w in new]])
+        s, i = (np.concatenate([own[part].ravel(), *[w[at] for w in new]]) for at, own in ((1, self.s), (2, self.i)))
+        order = np.lexsort((i, s, r))
+        r, s, i = r[order], s[order], i[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+        keep = rank < self.k  # a row has at least its k entries
+        self.s[part], self.i[part] = s[keep].reshape(n, self.k), i[keep].reshape(n, self.k)
+        self.cut[part] = np.minimum(self.cut[part], self.s[part, -1])
+
+    def finish(self, chunk_rows: int) -> None:
+        for start in list(self.wait):
+            self.merge(start, min(chunk_rows, len(self.ids) - start))
+
+
+def _pair_lists(k: int, metric: str, chunk_rows: int):
     """One unordered block pair (a, b): every distance is computed once, in tiles of ``chunk_rows`` rows of both sides,
     and the rows of both sides keep a running top-k.  Beside the two blocks, memory is a few tiles, whatever the blocks' size."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> list:
         if len(pdf) == 0:
-            return pd.DataFrame({"id": [], "nid": [], "score": []})
+            return []
         a_blk, b_blk = pdf["pa"].iloc[0], pdf["pb"].iloc[0]
         diagonal = a_blk == b_blk          # from the group key, never from an empty side
         left = pdf[pdf["blk"] == a_blk]
         right = pdf[pdf["blk"] == b_blk]
         if len(left) == 0 or (not diagonal and len(right) == 0):
-            return pd.DataFrame({"id": [], "nid": [], "score": []})
-        lv = np.stack(left["v"].to_numpy()).astype(float)
-        lid = left["id"].to_numpy().astype(np.int64)
-        rv = lv if diagonal else np.stack(right["v"].to_numpy()).astype(float)
-        rid = lid if diagonal else right["id"].to_numpy().astype(np.int64)
-        lists = [_Lists(lid, k)] + ([] if diagonal else [_Lists(rid, k)])
-        for l0 in range(0, len(lid), chunk_rows):
+            return []
+        sides = [_Side(x["id"].to_numpy().astype(np.int64), np.stack(x["v"].to_numpy()).astype(float),
+                       x["cut"].to_numpy() if "cut" in x else None, k, metric) for x in ([left] if diagonal else [left, right])]
+        one, two = sides[0], sides[-1]
+        scale = 1.0
+        if metric == "euclidean":
+            scale = max([float(np.nanmax(np.where(np.isfinite(x.norm), x.norm, 0.0))) for x in sides]) or 1.0
+            for side in sides:
+                side.single(scale)
+        for l0 in range(0, len(one.ids), chunk_rows):
             own = slice(l0, l0 + chunk_rows)
-            for r0 in range(0, len(rid), chunk_rows):
+            for r0 in range(0, len(two.ids), chunk_rows):
                 other = slice(r0, r0 + chunk_rows)
-                tile = _scores(lv[own], rv[other], metric)
-                lists[0].add(own, lv[own], rid[other], rv[other], metric, tile)
+                if metric != "euclidean":
+                    tile = _scores(one.v[own], two.v[other], metric)
+                    one.rank(own, two, other, tile)
+                    if not diagonal:
+                        two.rank(other, one, own, tile.T)
+                    continue
+                tile = _scores(one.v32[own], two.v32[other], metric)
+                if diagonal:
+                    tile[one.ids[own][:, None] == two.ids[other][None, :]] = np.inf
+                one.add(own, two, other, tile, scale)
                 if not diagonal:
-                    lists[1].add(other, rv[other], lid[own], lv[own], metric, tile.T)
-        found = [x.rows() for x in lists]
-        return pd.DataFrame({c: np.concatenate([f[at] for f in found]) for at, c in enumerate(("id", "nid", "score"))})
+                    two.add(other, one, own, tile.T, scale)
+        for side in sides:
+            side.finish(chunk_rows)
+        return sides
+    return run
+
+
+def _pair_topk(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
+    """The lists of a block pair, a row an entry."""
+    lists = _pair_lists(k, metric, chunk_rows)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.repeat(x.ids, k), x.i.ravel(), x.s.ravel()) for x in lists(pdf)]
+        if not found:
+            return pd.DataFrame({"id": [], "nid": [], "score": []})
+        out = pd.DataFrame({c: np.concatenate([f[at] for f in found]) for at, c in enumerate(("id", "nid", "score"))})
+        return out[np.isfinite(out["score"])]
+    return run
+
+
+#: Lists as their bytes, a row each: a row of them costs as much to shuffle as one entry.
+PACKED = "id long, nids binary, scores binary"
+
+
+def _packed(x: _Side) -> pd.DataFrame:
+    some = np.isfinite(x.s)
+    return pd.DataFrame({"id": x.ids, "nids": [i[m].tobytes() for i, m in zip(x.i, some)], "scores": [s[m].tobytes() for s, m in zip(x.s, some)]})
+
+
+def _pair_packed(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
+    """The lists of a block pair that are not empty, a row a list (``PACKED``)."""
+    lists = _pair_lists(k, metric, chunk_rows)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [_packed(x)[np.isfinite(x.s[:, 0])] for x in lists(pdf)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "nids": [], "scores": []}, dtype=object)
+    return run
+
+
+def _own_lists(k: int, metric: str, chunk_rows: int = CHUNK_ROWS):
+    """The rows of a block with their lists among its own rows, and the bound on the k-th best score that they give."""
+    lists = _pair_lists(k, metric, chunk_rows)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side, = lists(pdf.assign(pa=pdf["blk"], pb=pdf["blk"]))
+        return _packed(side).assign(v=pdf["v"].to_numpy(), blk=pdf["blk"].to_numpy(), cut=side.cut)
+    return run
+
+
+def _block_lists(keyed: DataFrame, pairs, k: int, metric: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Lists (``PACKED``) of the rows ``id, v, blk`` in their own block first, then in the pairs of different blocks that
+    ``pairs`` makes of them: there the own lists bound what can be a neighbor, so that few candidates are looked at."""
+    own = cut_lineage(keyed.groupBy("blk").applyInPandas(_own_lists(k, metric, chunk_rows), f"{PACKED}, v array<double>, blk int, cut double"))
+    paired = pairs(own.select("id", "v", "blk", "cut")).where("pa < pb").select("id", "v", "blk", "cut", "pa", "pb")
+    return own.select("id", "nids", "scores").unionByName(paired.groupBy("pa", "pb").applyInPandas(_pair_packed(k, metric, chunk_rows), PACKED))
+
+
+def _merge_packed(k: int):
+    """The k best entries by (score, nid) of each id's lists."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.repeat(pdf["id"].to_numpy().astype(np.int64), [len(x) // 8 for x in pdf["nids"]])
+        nid, s = np.frombuffer(b"".join(pdf["nids"]), np.int64), np.frombuffer(b"".join(pdf["scores"]), float)
+        order = np.lexsort((nid, s, ids))
+        ids, nid, s = ids[order], nid[order], s[order]
+        rank = np.arange(len(ids)) - np.searchsorted(ids, ids) + 1
+        keep = rank <= k
+        return pd.DataFrame({"id": ids[keep], "rank": rank[keep].astype(np.int32), "nid": nid[keep], "score": s[keep]})
     return run
 
 
@@ -207,15 +331,16 @@ def knn_exact(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
     base = num.select(F.col("_nid").alias("id"), as_doubles(vec_col).alias("v"))
     if metric == "cosine":
         base = base.withColumn("v", l2_normalize("v"))
+    n = base.count()
     if n_blocks is None:
-        n_blocks = block_count(base.count(), block_rows)
+        n_blocks = block_count(n, block_rows)
     keyed = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    paired = keyed.select("id", "v", "blk", other.alias("j")).select(
-        "id", "v", "blk", F.least("blk", "j").alias("pa"), F.greatest("blk", "j").alias("pb"))
-    part = paired.groupBy("pa", "pb").applyInPandas(_pair_topk(k, metric, chunk_rows),
-                                                     "id long, nid long, score double")
-    return _named_lists(topk_merge(part, ["id"], k, lists=n_blocks), mapping, metric, id_col)
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j"))
+        return dealt.select("*", F.least("blk", "j").alias("pa"), F.greatest("blk", "j").alias("pb"))
+    part = _block_lists(keyed, pairs, k, metric, chunk_rows)
+    return _named_lists(topk_merge(part, ["id"], k, packed=n), mapping, metric, id_col)
 
 
 def _named_lists(top: DataFrame, mapping: DataFrame | None, metric: str, id_col: str) -> DataFrame:
@@ -343,10 +468,9 @@ def knn_pivot(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "feature
         "id", "v", (F.col("off") + F.pmod(F.xxhash64("id"), F.col("subs"))).cast("int").alias("blk"))
     cell_of = np.repeat(np.arange(P), subs)
     pairs = [(x, *sorted((x, int(y)))) for x in range(len(cell_of)) for y in np.flatnonzero(meet[cell_of[x]][cell_of])]
-    paired = keyed.join(F.broadcast(spark.createDataFrame(pairs, "blk int, pa int, pb int")), "blk")  # COPIES a block or so
-    part = paired.select("id", "v", "blk", "pa", "pb").groupBy("pa", "pb").applyInPandas(
-        _pair_topk(k, metric), "id long, nid long, score double")
-    return _named_lists(topk_merge(part, ["id"], k, lists=COPIES), mapping, metric, id_col)
+    met = F.broadcast(spark.createDataFrame(pairs, "blk int, pa int, pb int"))  # COPIES a block or so
+    part = _block_lists(keyed, lambda rows: rows.join(met, "blk"), k, metric)
+    return _named_lists(topk_merge(part, ["id"], k, packed=n), mapping, metric, id_col)
 
 
 # ---- query samples -----------------------------------------------------------------
@@ -446,10 +570,18 @@ def _block_topk(k: int, metric: str, with_codes: bool, block_rows: int):
     return run
 
 
-def topk_merge(df: DataFrame, keys: list[str], k: int, fanout: int = 256, lists: int | None = None) -> DataFrame:
+MERGED_IDS = 4096  # ids whose packed lists are merged in one group
+
+
+def topk_merge(df: DataFrame, keys: list[str], k: int, fanout: int = 256, lists: int | None = None,
+               packed: int | None = None) -> DataFrame:
     """Two-level top-k by (score, nid) per key: partial lists are first merged within
     ``fanout`` groups of source partitions, so no final group exceeds fanout * k rows.
-    Keys known to have no more than ``lists`` <= ``fanout`` partial lists are merged at once."""
+    Keys known to have no more than ``lists`` <= ``fanout`` partial lists are merged at once.
+    ``packed``: the number of ids where ``df`` has a row a list (``PACKED``); groups of about MERGED_IDS ids are merged."""
+    if packed is not None:
+        group = F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(packed / MERGED_IDS)))).alias("g")
+        return df.groupBy(group).applyInPandas(_merge_packed(k), "id long, rank int, nid long, score double")
     if lists is not None and lists <= fanout:
         w = Window.partitionBy(*keys).orderBy("score", "nid")
         return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

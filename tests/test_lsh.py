@@ -99,9 +99,8 @@ def test_trial_finds_what_the_buckets_hold(spark):
     planes, offsets = rng.standard_normal((tables, 6, lsh.DEPTH)), rng.uniform(0, 2 * far, (tables, lsh.DEPTH))
     got = lsh._trial(df, exact, planes, offsets, 2 * far, probes, k, size, seed)
     got = {(r.id, r.tab): r.hits for r in got.itertuples()}
-    hashed = df.mapInPandas(lsh._hashed(planes, offsets, 2 * far, probes), "tab int, id long, variant int, h binary")
     visits, holds = {}, {}
-    for r in lsh._leaves(hashed, size, seed).collect():
+    for r in lsh._leaves(df, planes, offsets, 2 * far, probes, size, seed).collect():
         visits.setdefault((r.tab, r.id), set()).add(r.bucket)
         if r.corpus:
             holds.setdefault(r.bucket, set()).add(r.id)

@@ -4,7 +4,7 @@
    agree in many of them.  ``width`` is a multiple of the typical distance to the k-th neighbor, from a
    bounded sample of queries that are also answered exactly.
 2. A row starts in the bucket of its first hash.  Buckets with more than ``bucket_rows`` rows are split by the next hash,
-   level by level; a level is one job over the rows that are still in such buckets.  So buckets are small in dense
+   level by level; what is counted are prefixes, and only those of such buckets are kept.  So buckets are small in dense
    regions and wide in sparse ones.  Beyond ``DEPTH`` hashes rows are all but equal: such a bucket is dealt into parts of
    ``bucket_rows`` rows, each compared with itself and the next one.
 3. As a query a row also probes the buckets across the nearest boundaries of its first hashes (``probes`` of them) and
@@ -65,49 +65,116 @@ def _sequences(x: np.ndarray, planes: np.ndarray, offsets: np.ndarray, width: fl
     return out
 
 
-def _hashed(planes: np.ndarray, offsets: np.ndarray, width: float, probes: int):
-    """For each row and table the hash sequence (variant 0) and, as further variants, those of its probes."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _prefixes(h: np.ndarray, table: int) -> np.ndarray:
+    """A number for each prefix of the hash sequences: rows x DEPTH."""
+    out, key = np.empty(h.shape, np.int64), np.full(len(h), table + 1, np.uint64)
+    for level in range(h.shape[1]):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + h[:, level].astype(np.uint16))
+        out[:, level] = key.view(np.int64)
+    return out
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of ``keys`` in the sorted ``known``, and which of them are there."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return at, (known[at] == keys if len(known) else np.zeros(len(keys), bool))
+
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return known, np.bincount(at, weights=np.concatenate(n), minlength=len(known)).astype(np.int64)
+
+
+def _counted(planes: np.ndarray, offsets: np.ndarray, width: float, over: list, levels: range):
+    """``level``, ``key``, ``n``: rows of a partition at the prefixes of these levels, below those that have too many (``over``)."""
     def run(batches):
+        total = {level: ([np.empty(0, np.int64)], [np.empty(0)]) for level in levels}
         for pdf in batches:
             if not len(pdf):
                 continue
-            x, ids = np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy()
-            yield pd.concat([pd.DataFrame({"tab": t, "id": ids, "variant": variant, "h": [r.tobytes() for r in own]})
-                             for t in range(len(planes)) for variant, own in enumerate(_sequences(x, planes[t], offsets[t], width, probes))],
-                            ignore_index=True)
+            x = np.stack(pdf["v"].to_numpy()).astype(float)
+            for t in range(len(planes)):
+                keys = _prefixes(_sequences(x, planes[t], offsets[t], width, 0)[0], t)
+                if levels[0]:
+                    keys = keys[_places(over[levels[0] - 1][0], keys[:, levels[0] - 1])[1]]
+                for level in levels:
+                    known, n = np.unique(keys[:, level], return_counts=True)
+                    total[level][0].append(known)
+                    total[level][1].append(n)
+            for level in levels:
+                known, n = _summed(*total[level])
+                total[level] = [known], [n]
+        for level, (keys, n) in total.items():
+            yield pd.DataFrame({"level": level, "key": keys[0], "n": n[0].astype(np.int64)})
     return run
 
 
-def _bucket(level: int):
-    return F.xxhash64("tab", F.substring("h", 1, 2 * level))
+LEVELS = 4  # counted in a pass over the rows
 
 
-def _leaves(rows: DataFrame, bucket_rows: int, seed: int) -> DataFrame:
-    """``tab``, ``id``, ``corpus``, ``bucket``: each variant in the bucket where its path ends."""
-    rows, done, depth = rows.withColumn("bucket", _bucket(1)), [], 1
-    while True:
-        rows = cut_lineage(rows)
-        sizes = rows.groupBy("bucket").agg(F.count_if(F.col("variant") == 0).alias("n"))
-        here = rows.join(sizes, "bucket")
-        done.append(here.where(F.col("n").between(1, bucket_rows)).select("tab", "id", (F.col("variant") == 0).alias("corpus"), "bucket"))
-        over = here.where(F.col("n") > bucket_rows)
-        if over.isEmpty():
-            break
-        if depth == DEPTH:  # all but equal rows: parts, each with itself and the next
-            parts = F.ceil(F.col("n") / bucket_rows)
-            over = over.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), parts))
-            part = F.explode(F.array_distinct(F.array(F.col("part"), F.pmod(F.col("part") + 1, parts))))
-            over = over.select("tab", "id", "variant", "bucket", F.col("part").alias("own"), part.alias("p"))
-            done.append(over.select("tab", "id", ((F.col("variant") == 0) & (F.col("own") == F.col("p"))).alias("corpus"),
-                                    F.xxhash64("bucket", "p").alias("bucket")))
+def _over(base: DataFrame, planes: np.ndarray, offsets: np.ndarray, width: float, bucket_rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level the prefixes with more than ``bucket_rows`` rows, and their rows: n x tables / ``bucket_rows`` a level at most."""
+    over: list = []
+    while len(over) < DEPTH:
+        levels = range(len(over), min(DEPTH, len(over) + LEVELS))
+        part = base.select("v").mapInPandas(_counted(planes, offsets, width, over, levels), "level int, key long, n long")
+        found = part.groupBy("level", "key").agg(F.sum("n").alias("n")).where(F.col("n") > bucket_rows).toPandas().sort_values("key")
+        for level in levels:
+            own = found[found["level"] == level]
+            over.append((own["key"].to_numpy().astype(np.int64), own["n"].to_numpy().astype(np.int64)))
+        if not len(over[-1][0]):
             break
-        depth += 1
-        rows = over.drop("bucket", "n").withColumn("bucket", _bucket(depth))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    # a probe that changes a hash below its leaf is the row itself again
-    return cut_lineage(out.groupBy("tab", "bucket", "id").agg(F.max("corpus").alias("corpus")))
+    return over
+
+
+def _dealt(planes: np.ndarray, offsets: np.ndarray, width: float, probes: int, over: list, bucket_rows: int):
+    """``tab``, ``id``, ``corpus``, ``bucket``: each row, and its probes, in the bucket where the path ends."""
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, ids, deal = np.stack(pdf["v"].to_numpy()).astype(float), pdf["id"].to_numpy(), pdf["deal"].to_numpy()
+            out = []
+            for t in range(len(planes)):
+                home = None
+                for variant, h in enumerate(_sequences(x, planes[t], offsets[t], width, probes)):
+                    keys, left = _prefixes(h, t), np.arange(len(x))
+                    deep, parts = np.zeros(len(x), np.int64), np.ones(len(x), np.int64)
+                    for level, (known, n) in enumerate(over):
+                        at, there = _places(known, keys[left, level])
+                        left = left[there]
+                        deep[left] = level + 1
+                        if level == DEPTH - 1:  # all but equal rows: parts, each with itself and the next
+                            parts[left] = -(-n[at[there]] // bucket_rows)
+                    bucket = keys[np.arange(len(x)), np.minimum(deep, DEPTH - 1)]
+                    home = bucket if variant == 0 else home
+                    # a probe that changes a hash below its leaf is the row itself again
+                    some = np.flatnonzero((bucket != home) | (variant == 0))
+                    part = np.mod(deal, parts)
+                    for step in (0, 1):
+                        rows = some if step == 0 else some[parts[some] > 1]
+                        own = np.where(parts[rows] > 1, np.mod(part[rows] + step, parts[rows]) + 1, 0).astype(np.uint64)
+                        key = np.where(own > 0, _mix(bucket[rows].view(np.uint64) + own).view(np.int64), bucket[rows])
+                        out.append(pd.DataFrame({"tab": t, "id": ids[rows], "corpus": variant == 0 and step == 0, "bucket": key}))
+            yield pd.concat(out, ignore_index=True)
+    return run
+
+
+def _leaves(base: DataFrame, planes: np.ndarray, offsets: np.ndarray, width: float, probes: int, bucket_rows: int, seed: int) -> DataFrame:
+    """``tab``, ``bucket``, ``id``, ``corpus``: the buckets that each row visits, and whether it lies in them.
+
+    The buckets that are split are counted first, LEVELS hashes a pass over the rows; then each row follows its paths by itself."""
+    over = _over(base, planes, offsets, width, bucket_rows)
+    dealt = base.withColumn("deal", F.xxhash64("id", F.lit(seed))).mapInPandas(
+        _dealt(planes, offsets, width, probes, over, bucket_rows), "tab int, id long, corpus boolean, bucket long")
+    return cut_lineage(dealt.groupBy("tab", "bucket", "id").agg(F.max("corpus").alias("corpus")))
 
 
 def _grouped(leaves: DataFrame, bucket_rows: int) -> DataFrame:
@@ -291,8 +358,7 @@ def knn_lsh(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "features"
     use, reached = _tables_for(_trial(base, exact, planes, offsets, width * far, probes, least, bucket_rows, seed), exact, least, tables, recall)
     if reached < recall:
         return knn_exact(df, k, id_col, vec_col), Report(1.0, 0, n * (n - 1), n * (n - 1))
-    hashed = base.mapInPandas(_hashed(planes[:use], offsets[:use], width * far, probes), "tab int, id long, variant int, h binary")
-    chosen = _leaves(hashed, bucket_rows, seed).withColumn("asks", F.lit(True))
+    chosen = _leaves(base, planes[:use], offsets[:use], width * far, probes, bucket_rows, seed).withColumn("asks", F.lit(True))
     work = chosen.groupBy("bucket").agg(F.count("*").alias("q"), F.count_if("corpus").alias("c")).agg(F.sum(F.col("q") * F.col("c"))).first()[0]
     rows = _found(chosen, base, k, bucket_rows).groupBy("id", "nid").agg(F.min("score").alias("score"))
     top = topk_merge(rows, ["id"], k).select("id", "rank", "nid", F.sqrt("score").alias("distance"))

@@ -123,6 +123,16 @@ def block_count(n: int, block_rows: int) -> int:
     return max(1, min(math.ceil(n / block_rows), max(BLOCKS, math.ceil(n / MAX_BLOCK_ROWS))))
 
 
+def _few_set(mask: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a mask with few set: eight at a time are passed over."""
+    flat = mask.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eights = np.flatnonzero(flat.view(np.uint64) != 0)
+    at, step = np.nonzero(flat.reshape(-1, 8)[eights])
+    return eights[at] * 8 + step
+
+
 class _Side:
     """One side of a pair of blocks: its rows, and their running top-k lists (score, id) over tiles of the other side.
 
@@ -157,7 +167,7 @@ class _Side:
         if np.count_nonzero(close) > 4 * self.k * nq:
             self.rank(part, other, o)
             return
-        flat = np.flatnonzero(close if close.flags.c_contiguous else close.T)
+        flat = _few_set(close if close.flags.c_contiguous else close.T)
         r, c = np.divmod(flat, nc) if close.flags.c_contiguous else np.divmod(flat, nq)[::-1]
         s = _rescored(self.v[part], other.v[o], r, c)
         keep = (s <= self.cut[part][r]) & (self.ids[part][r] != other.ids[o][c]) & np.isfinite(s)
@@ -211,21 +221,23 @@ def _pair_lists(k: int, metric: str, chunk_rows: int):
             scale = max([float(np.nanmax(np.where(np.isfinite(x.norm), x.norm, 0.0))) for x in sides]) or 1.0
             for side in sides:
                 side.single(scale)
+        repeated = diagonal and len(np.unique(one.ids)) < len(one.ids)
         for l0 in range(0, len(one.ids), chunk_rows):
             own = slice(l0, l0 + chunk_rows)
-            for r0 in range(0, len(two.ids), chunk_rows):
+            for r0 in range(l0 if diagonal else 0, len(two.ids), chunk_rows):
                 other = slice(r0, r0 + chunk_rows)
+                both = not diagonal or r0 > l0
                 if metric != "euclidean":
                     tile = _scores(one.v[own], two.v[other], metric)
                     one.rank(own, two, other, tile)
-                    if not diagonal:
+                    if both:
                         two.rank(other, one, own, tile.T)
                     continue
                 tile = _scores(one.v32[own], two.v32[other], metric)
-                if diagonal:
+                if repeated or diagonal and l0 == r0:
                     tile[one.ids[own][:, None] == two.ids[other][None, :]] = np.inf
                 one.add(own, two, other, tile, scale)
-                if not diagonal:
+                if both:
                     two.add(other, one, own, tile.T, scale)
         for side in sides:
             side.finish(chunk_rows)

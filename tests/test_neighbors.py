@@ -300,3 +300,15 @@ def test_candidates_of_a_pair_are_few(monkeypatch):
                 if cut is not None:
                     want = [j for j in want if d[i, j] <= own[i] * (1 + 1e-12)]
                 assert list(found[found["id"] == i].sort_values("score")["nid"]) == list(want)
+
+
+def test_a_block_with_itself_computes_a_distance_once(monkeypatch):
+    import pandas as pd
+    x, tiles, scores = np.random.default_rng(55).normal(size=(160, 4)), [], neighbors._scores
+    monkeypatch.setattr(neighbors, "_scores", lambda q, c, m: tiles.append(1) or scores(q, c, m))
+    for metric, of in (("euclidean", x), ("cosine", x / np.linalg.norm(x, axis=1, keepdims=True))):
+        tiles.clear()
+        found = neighbors._pair_topk(3, metric, 16)(pd.DataFrame({"id": np.arange(160), "v": list(of), "blk": 0, "pa": 0, "pb": 0}))
+        assert sum(tiles) == 55  # of 10 x 10
+        ref = brute_knn(of, 3)
+        assert all(list(found[found["id"] == i].sort_values("score")["nid"]) == ref[i] for i in range(160))
